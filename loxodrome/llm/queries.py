@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loxodrome.llm import decontaminate
+from loxodrome.llm import decontaminate, near_dedup
 from loxodrome.llm.common import documents, read
 
 
@@ -14,10 +14,16 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), size=3, percent=85)
+
+
 QUERIES = {
     "op7_decontaminate": op7_decontaminate,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 ORACLE_SQL = {
     "op7_decontaminate": decontaminate.ORACLE,
+    "op9_near_dedup": near_dedup.ORACLE,
 }
