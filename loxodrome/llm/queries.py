@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loxodrome.llm import decontaminate, near_dedup
+from loxodrome.llm import decontaminate, fingerprint, near_dedup
 from loxodrome.llm.common import documents, read
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.edited_neighbours(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.text_of(F.col("sketch")).alias("fingerprint"),
+        fingerprint.text_of(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprint.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        fingerprint.containment(F.col("sketch"), F.col("edited_sketch")).alias("kept_share"),
+    )
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -19,6 +33,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprint": op1_fingerprint,
     "op7_decontaminate": op7_decontaminate,
     "op9_near_dedup": op9_near_dedup,
 }
