@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loxodrome.llm import decontaminate, fingerprint, langid, near_dedup
+from loxodrome.llm import decontaminate, fingerprint, langid, near_dedup, toxicity
 from loxodrome.llm.common import documents, held_out, read
 
 
@@ -29,6 +29,12 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = toxicity.scored(docs, toxicity.learnt(docs, read(spark, sf_dir, "labels")))
+    return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -41,6 +47,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_language": op2_language,
+    "op3_toxicity": op3_toxicity,
     "op7_decontaminate": op7_decontaminate,
     "op9_near_dedup": op9_near_dedup,
 }
