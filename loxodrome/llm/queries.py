@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loxodrome.llm import decontaminate, fingerprint, langid, near_dedup, toxicity
+from loxodrome.llm import decontaminate, fingerprint, langid, near_dedup, quality, toxicity
 from loxodrome.llm.common import documents, held_out, read
 
 
@@ -40,6 +40,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return quality.scored(docs, *quality.learnt(docs)).select("row.doc_id", "weak", "score", F.col("good").alias("kept"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), size=3, percent=85)
 
@@ -49,6 +54,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_toxicity": op3_toxicity,
     "op7_decontaminate": op7_decontaminate,
+    "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
 }
 
