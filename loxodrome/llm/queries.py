@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loxodrome.llm import decontaminate, fingerprint, langid, near_dedup, quality, toxicity
+from loxodrome.llm import decontaminate, fingerprint, langid, licenses, near_dedup, quality, toxicity
 from loxodrome.llm.common import documents, held_out, read
 
 
@@ -49,6 +49,11 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), size=3, percent=85)
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scanned(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_language": op2_language,
@@ -56,6 +61,7 @@ QUERIES = {
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL = {
