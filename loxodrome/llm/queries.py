@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loxodrome.llm import decontaminate, fingerprint, langid, licenses, near_dedup, quality, toxicity
+from loxodrome.llm import decontaminate, fingerprint, langid, licenses, mixing, near_dedup, quality, toxicity
 from loxodrome.llm.common import documents, held_out, read
 
 
@@ -35,6 +35,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(documents(spark, sf_dir))
+    return found.select("doc_id", "source", "copy", "shuffle_key", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -58,6 +63,7 @@ QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_language": op2_language,
     "op3_toxicity": op3_toxicity,
+    "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
@@ -65,6 +71,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op6_mixing": mixing.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op9_near_dedup": near_dedup.ORACLE,
 }
