@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loxodrome.llm import decontaminate, fingerprint, langid, licenses, mixing, near_dedup, quality, toxicity
+from loxodrome.llm import decontaminate, fingerprint, langid, licenses, mixing, near_dedup, pii, quality, toxicity
 from loxodrome.llm.common import documents, held_out, read
 
 
@@ -35,6 +35,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixed(documents(spark, sf_dir))
     return found.select("doc_id", "source", "copy", "shuffle_key", "n_chars", F.sha2("text", 256).alias("text_sha256"))
@@ -63,6 +67,7 @@ QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_language": op2_language,
     "op3_toxicity": op3_toxicity,
+    "op4_pii": op4_pii,
     "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
