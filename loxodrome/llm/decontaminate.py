@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loxodrome.llm.common import words
+from loxodrome.llm.common import Scratch, words
 
 WINDOW, K = 10, 5
 RUN = WINDOW - K + 1
@@ -26,6 +26,8 @@ RUN = WINDOW - K + 1
 PLACE_BITS = 29
 #: Items with at most so many bytes of text are broadcast (their windows take about twelve times that); larger ones are joined by shuffles.
 BROADCAST_BYTES = 2_000_000
+#: So many ids of contaminated documents are broadcast at most.
+BROADCAST_IDS = 2_000_000
 
 
 def _grams(w: Column, size: int) -> Column:
@@ -151,3 +153,10 @@ select dw.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit
   sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from dw left join spots using (doc_id) left join its using (doc_id)
 """
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text and others) that hold no window of any item."""
+    gone = Scratch(docs.sparkSession, "clean").table(decontaminate(docs, benchmark).filter("contaminated").select("doc_id"))
+    held = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)

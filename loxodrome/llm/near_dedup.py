@@ -262,3 +262,20 @@ comp as (select doc_id, min(r) as component_id from reach group by doc_id)
 select w.doc_id, coalesce(n.n, 0) as n_shingles, component_id, w.doc_id = component_id as kept
 from w join comp using (doc_id) left join n using (doc_id)
 """
+
+
+def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs (doc_id, text and others) that are kept; rows of one doc_id stay or go together, equal ones once."""
+    scratch = Scratch(docs.sparkSession, "deduplicated")
+    found = scratch.table(near_duplicates(docs, size, percent))
+    gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select("doc_id")
+    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    held = lambda ids: _sized(ids, ids.count())
+    stay = docs.join(held(gone), "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return stay.select(*docs.columns)
+    again = held(repeated)
+    once = stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    nameless = once.filter("false") if docs.filter("doc_id is null").isEmpty() else stay.filter("doc_id is null").dropDuplicates(["text"])
+    single = stay.filter("doc_id is not null").join(again, "doc_id", "left_anti")
+    return single.select(*docs.columns).union(once.select(*docs.columns)).union(nameless.select(*docs.columns))

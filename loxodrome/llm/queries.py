@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loxodrome.llm import decontaminate, fingerprint, langid, licenses, mixing, near_dedup, pii, quality, toxicity
+from loxodrome.llm import decontaminate, fingerprint, langid, licenses, mixing, near_dedup, pii, quality, toxicity, warc
 from loxodrome.llm.common import documents, held_out, read
 
 
@@ -39,6 +39,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replaced(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op5_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return warc.audit(pages, warc.decayed(pages))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixed(documents(spark, sf_dir))
     return found.select("doc_id", "source", "copy", "shuffle_key", "n_chars", F.sha2("text", 256).alias("text_sha256"))
@@ -68,6 +73,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_toxicity": op3_toxicity,
     "op4_pii": op4_pii,
+    "op5_fixity": op5_fixity,
     "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
