@@ -82,6 +82,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_fixity": warc.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op9_near_dedup": near_dedup.ORACLE,

@@ -101,7 +101,8 @@ def audit(pages: DataFrame, replica: DataFrame) -> DataFrame:
 
 def decayed(pages: DataFrame, one_in: int = 97) -> DataFrame:
     """pages as a replica in which the first byte of the HTML of about one page in so many has gone wrong."""
-    hit = (F.crc32(F.col("page_id").cast("string")) % one_in == 0) & (F.char_length("html") > 0)
+    number = F.conv(F.substring(F.md5(F.col("page_id").cast("string")), 1, 8), 16, 10).cast("bigint")
+    hit = (number % one_in == 0) & (F.char_length("html") > 0)
     return pages.select("page_id", "url", F.when(hit, F.concat(F.lit("\u007f"), F.substring("html", F.lit(2), F.char_length("html")))).otherwise(F.col("html")).alias("html"))
 
 
@@ -109,10 +110,11 @@ ORACLE = f"""
 with r as (select page_id, url, html, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
    || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as rec from pages),
-d as (select page_id, coalesce(url, '') as url, cast(strlen(rec) as bigint) as length, sha256(rec) as digest, html from r),
-g as (select page_id, url, length, digest, count(*) as copies from d group by all)
+d as (select page_id, coalesce(url, '') as url, cast(strlen(rec) as bigint) as length, sha256(rec) as digest,
+   cast('0x' || substr(md5(cast(page_id as varchar)), 1, 8) as bigint) % 97 = 0 and length(html) > 0 as hit from r),
+g as (select page_id, url, length, digest, hit, count(*) as copies from d group by all)
 select 'pages-' || cast(floor(page_id / {FILE_PAGES}) as bigint) || '.warc' as file, page_id,
   cast(coalesce(sum(length * copies) over (partition by floor(page_id / {FILE_PAGES}) order by page_id, url, digest rows between unbounded preceding and 1 preceding), 0) as bigint) as offset,
-  length, copies, digest
+  length, copies, digest, case when hit then 'corrupt' else 'ok' end as status
 from g
 """
