@@ -6,14 +6,18 @@
    the corpus first. Two sets over the threshold share so many retained values (``least_shared``;
    missed with a chance under 1e-10) that such prefixes must have one in common, while a passage
    that many documents hold is listed only by those that consist of little else.
-3. A list isn't expanded into all its pairs. Its most central member (the pivot) is compared with
-   the others; those it links to are in one component with it. Of the rest, the ones within twice
-   the distance of the pivot are compared with those linked members that the triangle inequality
-   (Jaccard distance is a metric) leaves possible, and the rest alone form a shorter list with a
-   pivot of its own. After ROUNDS the remains of the lists, which hold only members that no pivot
-   linked, are compared pair by pair across components, so no link is lost.
-4. The union of two sketches estimates the likeness; pairs far below the threshold go, the others
-   are decided by the whole sets of hashed shingles.
+3. What shares a list is compared on whole sets of shingles. A class goes again if it has more
+   shingles that nobody else listed holds than a link allows. For the others lists are made of the
+   whole sets, rarest shingles first, as far as a link to a larger or a smaller set can need
+   (prefixes), and each class is compared with the most central class that it shares a list with.
+   That joins the large groups of copies at a cost of one pair a class.
+4. Pairs of classes that aren't in one component yet are made within the lists if size and places
+   in the lists leave enough shingles to share (for every pair over the threshold they do, so none
+   is lost; loose variants of one text, over the threshold with none of each other, make next to
+   none). In lists of many members only those outside the list's largest component meet the rest,
+   and only in the ranges of sizes that their places allow.
+   The union of two sketches estimates the likeness of a pair; pairs far below the threshold go,
+   the others are decided by the whole sets.
 5. Components by least label with pointer jumping.
 
 Links, components and sketches stay in distributed tables; lineage is cut in the shared folder.
@@ -37,8 +41,10 @@ from pyspark.sql import functions as F
 
 from loxodrome.llm.common import Scratch
 
-KEPT, LISTED, ROUNDS = 64, 32, 4
-#: A pair whose estimate from KEPT values lies below this is over the threshold, or within twice its distance, with a chance under 1e-6.
+KEPT, LISTED, PRUNINGS = 64, 32, 3
+#: Lists of more members are paired by ranges of sizes, each this much wider than the one below.
+HOT_LIST, SIZE_STEP = 64, 1.02
+#: A pair whose estimate from KEPT values lies below this is over the threshold with a chance under 1e-10.
 LEAST_ESTIMATE = 0.4
 #: So many ids (16 bytes each) are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -118,32 +124,49 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
-    """value, key, n, central: entries of the lists that have two members or more."""
+def listed(classes: DataFrame, percent: int) -> DataFrame:
+    """key: the classes that share an inverted list of retained values with another."""
     values = classes.select("key", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    by_class = values.join(shared, "value").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"), F.sum(F.log2("df")).alias("central"))
+    by_class = values.join(shared, "value").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"))
     rare = F.least("n", F.lit(LISTED)) - F.size("common")  # these come first in the prefix, and nobody else lists them
     entries = by_class.withColumn("take", F.greatest(_prefix(F.col("n"), percent) - rare, F.lit(0)).cast("int")).filter("take > 0")
-    return entries.select(F.explode(F.slice("common", F.lit(1), F.col("take"))).alias("c"), "key", "n", "central").select("c.value", "key", "n", "central")
+    entries = entries.select(F.explode(F.slice("common", F.lit(1), F.col("take"))).alias("c"), "key").select("c.value", "key")
+    several = entries.groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("value")
+    return entries.join(several, "value", "left_semi").select("key").distinct()
 
 
 class Linker:
-    """The rounds of comparisons over the inverted lists of one corpus."""
+    """The comparisons within one corpus. sketched: doc_id, key, n, sketch of each document; classes: key, doc_id, n."""
 
-    def __init__(self, scratch: Scratch, docs: DataFrame, classes: DataFrame, size: int, percent: int):
-        self.scratch, self.docs, self.classes, self.size, self.percent = scratch, docs, classes, size, percent
+    def __init__(self, scratch: Scratch, docs: DataFrame, sketched: DataFrame, classes: DataFrame, size: int, percent: int):
+        self.scratch, self.docs, self.sketched, self.classes, self.size, self.percent = scratch, docs, sketched, classes, size, percent
 
     def sets_of(self, keys: DataFrame) -> DataFrame:
         """key, shingles: the whole sets of these classes, read again from their first documents."""
-        wanted = self.classes.join(keys, "key", "left_semi").select("doc_id", "key")
+        wanted = self.scratch.table(self.classes.join(keys, "key", "left_semi").select("doc_id", "key"))
         rows = wanted.count()
         some = self.docs.join(_sized(wanted.select("doc_id").distinct(), rows), "doc_id", "left_semi").select("doc_id", "text")
         sets = some.mapInArrow(_batches(self.size, True), SET_SCHEMA)
         return sets.join(_sized(wanted, rows), ["doc_id", "key"], "left_semi").dropDuplicates(["key"]).select("key", "shingles")
 
+    def linkable(self, sets: DataFrame) -> DataFrame:
+        """key: the classes that share enough of their shingles with others of these."""
+        keys, before = None, None
+        for _ in range(PRUNINGS):
+            some = sets if keys is None else sets.join(keys, "key", "left_semi")
+            each = some.select(F.xxhash64("key").alias("id"), F.explode("shingles").alias("shingle"))
+            alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+            sized = some.select("key", F.xxhash64("key").alias("id"), F.size("shingles").cast("bigint").alias("n"))
+            keys = self.scratch.table(sized.join(alone, "id", "left").filter(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= self.percent * F.col("n")).select("key"))
+            left = keys.count()
+            if before is not None and left > 0.95 * before:
+                break
+            before = left
+        return keys
+
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """a, b, far, linked, of the pairs a, b that the estimate doesn't rule out. far: Jaccard distance."""
+        """a, b, linked, of the pairs a, b that the estimate doesn't rule out."""
         side = lambda s: self.members.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, KEPT)
@@ -154,61 +177,65 @@ class Linker:
         exact = likely.select("a", "b", "n_a", "n_b").join(whole("a"), "a").join(whole("b"), "b")
         exact = exact.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("w_a", "w_b")).cast("long").alias("inter"))
         over = F.col("n_a") + F.col("n_b") - F.col("inter")
-        return exact.select("a", "b", (1 - F.col("inter") / over).alias("far"), (100 * F.col("inter") >= self.percent * over).alias("linked"))
-
-    def edges(self, lists: DataFrame) -> DataFrame:
+        return exact.select("a", "b", (100 * F.col("inter") >= self.percent * over).alias("linked"))
+
+    def entries(self) -> DataFrame:
+        """shingle, key, n, place, df, central: what each class lists of its whole set, rarest first."""
+        each = self.sets.select("key", F.size("shingles").cast("bigint").alias("n"), F.explode("shingles").alias("shingle"))
+        shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        by_class = each.join(shared, "shingle").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("common"), (F.sum(F.log2("df")) / F.max("n")).alias("central"))
+        alone = F.col("n") - F.size("common")  # first in the order, and in no list
+        reach = F.col("n") - F.ceil(F.col("n") * self.percent / F.lit(100.0)) + 1
+        take = F.greatest(reach - alone, F.lit(0)).cast("int")
+        return by_class.select("key", "n", "central", alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), take)).alias("at", "c")).select("c.shingle", "key", "n", (F.col("alone") + F.col("at")).alias("place"), "c.df", "central")
+
+    def edges(self) -> DataFrame:
         """a, b: links that hold every component together."""
         table = self.scratch.table
-        lists = table(lists)
-        self.members = self.classes.join(lists.select("key").distinct(), "key", "left_semi").select("key", "n", "sketch")
-        self.members = table(self.members)
-        self.sets = table(self.sets_of(self.members.select("key")))
-        near = 1 - self.percent / 100
-        links, seen, roots = None, None, None
-        for round_ in range(ROUNDS + 1):
-            counted = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("central", "key")).alias("top")).filter("m > 1")
-            paired = lists.join(counted.select("value", F.col("top.key").alias("pivot")), "value")
-            if round_ < ROUNDS:
-                fresh = paired.filter(F.col("key") != F.col("pivot")).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
-            else:  # what no pivot has linked, pair by pair
-                left, right = lists.select("value", F.col("key").alias("a"), F.col("n").alias("na")), lists.select("value", F.col("key").alias("b"), F.col("n").alias("nb"))
-                fresh = left.join(right, "value").filter((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))).select("a", "b")
-            fresh = fresh.distinct()
-            if seen is not None:
-                fresh = fresh.join(seen, ["a", "b"], "left_anti")
-            if roots is not None:
-                fresh = self._apart(fresh, roots)
-            found = table(self.verified(fresh))
-            links = found if links is None else links.union(found)
-            if round_ == ROUNDS:
-                break
-            # members of each list by how the pivot stands to them
-            known = links.select("a", "b", "far", "linked")
-            known = known.union(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "far", "linked"))
-            stands = paired.join(known.select(F.col("a").alias("pivot"), F.col("b").alias("key"), "far", "linked"), ["pivot", "key"], "left")
-            stands = table(stands.filter(F.col("key") != F.col("pivot")).select("value", "key", "n", "central", "pivot", "far", F.coalesce("linked", F.lit(False)).alias("linked")))
-            roots = table(components(self.scratch, self.classes.select("key", "doc_id"), links.filter("linked").select("a", "b")))
-            inside = stands.filter("linked").select("pivot", F.col("key").alias("x"), F.col("far").alias("far_x")).distinct()
-            beside = stands.filter(~F.col("linked") & (F.col("far") <= 2 * near)).select("pivot", F.col("key").alias("y"), F.col("far").alias("far_y")).distinct()
-            across = inside.join(beside, "pivot").filter(F.col("far_x") + near + 1e-9 >= F.col("far_y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            more = table(self.verified(self._apart(across, roots)))
-            links = links.union(more)
-            seen = links.select("a", "b")
-            # a list goes on while it has members in two components
-            rest = stands.filter(~F.col("linked")).select("value", "key", "n", "central")
-            root = rest.join(roots.select("key", F.col("root.key").alias("root")), "key", "left").withColumn("root", F.coalesce("root", "key"))
-            open_ = root.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("value")
-            lists = table(rest.join(open_, "value", "left_semi"))
-            if lists.isEmpty():
-                break
-        return links.filter("linked").select("a", "b").distinct()
-
-    @staticmethod
-    def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """The pairs that aren't in one component yet."""
-        r = roots.select("key", F.col("root.key").alias("root"))
-        a, b = r.select(F.col("key").alias("a"), F.col("root").alias("ra")), r.select(F.col("key").alias("b"), F.col("root").alias("rb"))
-        return pairs.join(a, "a", "left").join(b, "b", "left").filter(~F.coalesce(F.col("ra") == F.col("rb"), F.lit(False))).select("a", "b")
+        sets = table(self.sets_of(listed(self.sketched.dropDuplicates(["key"]), self.percent)))
+        keys = self.linkable(sets)
+        self.sets = table(sets.join(keys, "key", "left_semi"))
+        self.scratch.drop(sets)
+        self.members = table(self.sketched.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", "n", "sketch"))
+        lists = table(self.entries())
+        tops = lists.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("central", "key")).alias("top")).filter("m > 1")
+        best = lists.join(tops, "shingle").groupBy("key").agg(F.max("top").alias("top")).filter(F.col("key") != F.col("top.key"))
+        first = table(self.verified(best.select(F.least("key", "top.key").alias("a"), F.greatest("key", "top.key").alias("b")).distinct()))
+        roots = components(self.scratch, self.classes.select("key", "doc_id"), first.filter("linked").select("a", "b"))
+        rest = self.apart(lists, roots).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+        second = table(self.verified(rest))
+        return first.union(second).filter("linked").select("a", "b")
+
+    def apart(self, lists: DataFrame, roots: DataFrame) -> DataFrame:
+        """a, b: pairs within lists that are in two components and can share enough."""
+        p = self.percent
+        at = lists.join(roots.select("key", F.col("root.key").alias("root")), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        # lists with members of more than one component, their sizes and the largest component
+        by_root = at.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("big")).filter("roots > 1")
+        at = self.scratch.table(at.join(by_root.select("shingle", "m", F.col("big.root").alias("major")), "shingle").select("shingle", "key", "n", "place", "root", "m", (F.col("root") == F.col("major")).alias("major")))
+        # the smaller set of a pair (or smaller key) needs the shorter prefix
+        ceil_div = lambda x, y: F.call_function("div", x + (y - 1), F.lit(y).cast("bigint"))
+        own = at.filter(F.col("place") <= F.col("n") - ceil_div(2 * p * F.col("n"), 100 + p))
+        own = own.select("shingle", F.col("key").alias("ka"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"), F.col("major").alias("ma"), "m")
+        probe = at.select("shingle", F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"), F.col("major").alias("mb"), F.col("m").alias("m_"))
+        fits = (
+            (F.col("ra") != F.col("rb"))
+            & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ka") < F.col("kb"))))
+            & (100 * F.col("na") >= p * F.col("nb"))
+            & ((100 + p) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= p * (F.col("na") + F.col("nb")))
+        )
+        pair = [F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")]
+        few = own.filter(F.col("m") <= HOT_LIST).join(probe.filter(F.col("m_") <= HOT_LIST), "shingle").filter(fits).select(*pair)
+        # the smaller sets that the place of an entry leaves possible
+        step = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(SIZE_STEP))).cast("int")
+        most = F.least(F.col("nb"), F.floor((F.col("nb") - F.col("pb")) * (100 + p) / F.lit(float(p)) - F.col("nb") + F.lit(1e-6)))
+        least = F.ceil(F.col("nb") * p / F.lit(100.0) - F.lit(1e-6))
+        hot_own = own.filter(F.col("m") > HOT_LIST).withColumn("range", step(F.col("na")))
+        hot_probe = probe.filter((F.col("m_") > HOT_LIST) & (most >= least)).withColumn("range", F.explode(F.sequence(step(least), step(most))))
+        on = ["shingle", "range"]
+        odd = hot_own.filter(~F.col("ma")).join(hot_probe, on).filter(fits).select(*pair)
+        even = hot_own.filter("ma").join(hot_probe.filter(~F.col("mb")), on).filter(fits).select(*pair)
+        return few.union(odd).union(even)
 
 
 def components(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -239,10 +266,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     docs = docs.select("doc_id", "text")
     sketched = scratch.table(docs.mapInArrow(_batches(size, False), SKETCH_SCHEMA))
     some = sketched.filter(F.col("key").isNotNull())
-    classes = some.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = scratch.table(classes)
-    linker = Linker(scratch, docs, classes, size, percent)
-    roots = components(scratch, classes.select("key", "doc_id"), linker.edges(inverted_lists(classes, percent)))
+    classes = scratch.table(some.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
+    links = Linker(scratch, docs, some, classes, size, percent).edges()
+    roots = components(scratch, classes.select("key", "doc_id"), links)
     named = classes.select("key", "doc_id").join(roots.select("key", F.col("root.doc_id").alias("root")), "key", "left").select("key", F.coalesce("root", "doc_id").alias("component_id"))
     out = some.select("doc_id", "n", "key").join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     out = out.union(sketched.filter(F.col("key").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
