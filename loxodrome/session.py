@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -24,12 +26,9 @@ def build_session(master: str | None = None, app: str = "loxodrome", **extra: st
     return builder.getOrCreate()
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="loxodrome-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+def use_scratch(spark: SparkSession) -> None:
+    """checkpoint() writes to the folder in spark.checkpoint.dir; to one of our own only where that is unset, as in tests."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loxodrome-")
+    spark.sparkContext.setCheckpointDir(folder)
