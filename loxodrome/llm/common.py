@@ -87,3 +87,14 @@ def held_out(doc_id: Column) -> Column:
 def with_columns_of(df: DataFrame, names: list[str]) -> DataFrame:
     """Only these columns, so that extra columns with clashing names play no part."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def sampled(df: DataFrame, limit: int, *keys: str) -> DataFrame:
+    """About ``limit`` of the distinct rows of df, all if there are fewer: those whose keys hash below that share of the range.
+
+    Whether a row is in depends on its keys and the number of rows only; nothing is sent to the driver but that number.
+    """
+    n = df.count()
+    if n > limit:
+        df = df.filter(F.xxhash64(*keys) < -(1 << 63) + (1 << 64) * limit // n)
+    return df.dropDuplicates(list(keys))

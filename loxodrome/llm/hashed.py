@@ -51,6 +51,7 @@ class HashedLinear:
     index: np.ndarray
     weight: np.ndarray
     bias: float
+    orders: tuple[int, ...] = ORDERS
 
     def scorer(self):
         """A function from texts (UTF-8 bytes, None for null) to the probabilities of the class."""
@@ -61,7 +62,7 @@ class HashedLinear:
         def score(texts: list[bytes | None]) -> np.ndarray:
             z = np.full(len(texts), self.bias)
             for i, t in enumerate(texts):
-                hits = [k[used[k]] for k in grams(t or b"")]
+                hits = [k[used[k]] for k in grams(t or b"", self.orders)]
                 if hits:
                     z[i] += table[np.unique(np.concatenate(hits))].sum(dtype=np.float64)
             return sigmoid(z)
@@ -69,16 +70,15 @@ class HashedLinear:
         return score
 
 
-def fitted(features: list[np.ndarray], y: np.ndarray, scale: np.ndarray, ridge: float = 1e-3, epochs: int = 60, rate: float = 0.05) -> HashedLinear:
+def fitted(features: list[np.ndarray], y: np.ndarray, scale: np.ndarray, orders: tuple[int, ...] = ORDERS, ridge: float = 1e-3, epochs: int = 60, rate: float = 0.05) -> HashedLinear:
     """Logistic regression on scale * presence, by Adam on all rows at once; y may hold probabilities. Features of scale 0 are left out."""
     kept = np.flatnonzero(scale).astype(np.int64)
-    place = np.full(len(scale), -1, np.int64)
-    place[kept] = np.arange(len(kept))
-    cols = [place[f] for f in features]
-    cols = [c[c >= 0] for c in cols]
-    row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    flat = np.concatenate(cols) if cols else np.empty(0, np.int64)
-    value = scale[kept][flat]
+    place = np.full(len(scale), -1, np.int32)
+    place[kept] = np.arange(len(kept), dtype=np.int32)
+    cols = [c[c >= 0] for c in (place[f] for f in features)]
+    row = np.repeat(np.arange(len(cols), dtype=np.int32), [len(c) for c in cols])
+    flat = np.concatenate(cols) if cols else np.empty(0, np.int32)
+    value = scale[kept].astype(np.float32)[flat]
     w, m, s = np.zeros(len(kept)), np.zeros(len(kept)), np.zeros(len(kept))
     share = float(np.clip(y.mean() if len(y) else 0.5, 1e-4, 1 - 1e-4))
     b, mb, sb = float(np.log(share / (1 - share))), 0.0, 0.0
@@ -90,4 +90,4 @@ def fitted(features: list[np.ndarray], y: np.ndarray, scale: np.ndarray, ridge:
         w -= rate * (m / (1 - 0.9**e)) / (np.sqrt(s / (1 - 0.99**e)) + 1e-7)
         mb, sb = mb + 0.1 * (gb - mb), sb + 0.01 * (gb * gb - sb)
         b -= rate * (mb / (1 - 0.9**e)) / (np.sqrt(sb / (1 - 0.99**e)) + 1e-7)
-    return HashedLinear(kept.astype(np.uint32), (w * scale[kept]).astype(np.float32), b)
+    return HashedLinear(kept.astype(np.uint32), (w * scale[kept]).astype(np.float32), b, orders)

@@ -6,8 +6,8 @@ layer over the maxima gives the languages' shares; a document's shares are the m
 all its windows, weighted by their bytes. A filter is a table of 256 values for each of its
 places, so a convolution is a sum of table rows; two places are looked up at once.
 
-The network is trained in numpy on the driver, on excerpts of at most TRAIN_DOCS labelled
-documents: those with the smallest hashes of their ids, outside the held-out fold. EXCERPTS
+The network is trained in numpy on the driver, on excerpts of about TRAIN_DOCS labelled
+documents: those with the smallest hashes, outside the held-out fold. EXCERPTS
 windows are taken from each, spread over its whole text.
 
 Defined results: null text, or one without any letter, is ``und`` with score 0; without labelled
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loxodrome.llm.arrow_rows import added
-from loxodrome.llm.common import held_out
+from loxodrome.llm.common import held_out, sampled
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 TRAIN_DOCS, EXCERPTS = 3_000, 4
@@ -138,13 +138,13 @@ def train(texts: list[bytes], labels: list[str]) -> ByteConvNet | None:
 
 
 def learnt(docs: DataFrame, limit: int = TRAIN_DOCS) -> ByteConvNet | None:
-    """The network trained on at most ``limit`` labelled rows of docs (doc_id, text, lang)."""
+    """The network trained on about ``limit`` labelled rows of docs (doc_id, text, lang)."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     n = F.char_length("text")
     spread = F.array(*[F.substring("text", F.floor(n * k / EXCERPTS).cast("int") + 1, F.lit(WINDOW)) for k in range(EXCERPTS)])
-    some = rows.orderBy(F.xxhash64("doc_id"), "text").limit(limit).select("lang", F.array_distinct(spread).alias("cuts")).collect()
+    some = sampled(rows, limit, "doc_id", "text", "lang").select("doc_id", "lang", F.array_distinct(spread).alias("cuts")).collect()
     texts, labels = [], []
-    for r in some:
+    for r in sorted(some):
         for cut in r["cuts"]:
             if cut:
                 texts.append(cut.encode())

@@ -4,8 +4,7 @@ Each labeller votes for its one class (bad for those that look for a defect, goo
 look for ordinary prose) or abstains. Over the counts of all documents' vote patterns (at most
 2 ** 10 of them reach the driver, whatever the corpus) expectation-maximisation estimates how often
 each labeller's vote is right, and with that the chance that a document of a pattern is good.
-Those chances are the labels of at most TRAIN_DOCS documents (the ones with the smallest hashes of
-their ids), on which a linear scorer of hashed byte n-grams is trained. The patterns are counted
+Those chances are the labels of about TRAIN_DOCS documents (those with the smallest hashes), on which a linear scorer of hashed byte n-grams is trained. The patterns are counted
 over all documents; only the scorer's fit is on the bounded sample.
 
 Defined results: null and empty texts, and those without words, are voted bad for their length; a
@@ -24,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loxodrome.llm.arrow_rows import added
+from loxodrome.llm.common import sampled
 from loxodrome.llm.hashed import BITS, HashedLinear, fitted, present
 
 TRAIN_DOCS, LEAST_TEXTS, STEPS = 4_000, 5, 100
@@ -113,12 +113,12 @@ def voted(docs: DataFrame) -> DataFrame:
 
 
 def learnt(docs: DataFrame, limit: int = TRAIN_DOCS) -> tuple[LabelModel, HashedLinear]:
-    """The label model of all docs (doc_id, text), and the scorer trained on at most ``limit`` of them."""
+    """The label model of all docs (doc_id, text), and the scorer trained on about ``limit`` of them."""
     counted = voted(docs.select("doc_id", "text")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()
     patterns, counts = np.array([r["pattern"] for r in counted], np.int64), np.array([r["n"] for r in counted], float)
     model = estimated(patterns, counts)
-    some = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).orderBy(F.xxhash64("doc_id"), "text").limit(limit).select("text").collect()
-    texts = [r["text"].encode() for r in some]
+    some = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = sorted(r["text"].encode() for r in sampled(some, limit, "doc_id", "text").select("text").collect())
     y = model.good(np.array([votes(t) for t in texts], np.int64)) if texts else np.empty(0)
     features = [present(t) for t in texts]
     seen = np.bincount(np.concatenate([np.empty(0, np.uint32), *features]), minlength=1 << BITS)

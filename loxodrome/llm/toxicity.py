@@ -1,11 +1,12 @@
 """Toxicity by a linear classifier over byte n-grams scaled by naive Bayes log-count ratios.
 
-The presence of each hashed n-gram (3 to 5 bytes) counts as the logarithm of the ratio of its
+The presence of each hashed n-gram (of 4, 6 or 8 bytes) counts as the logarithm of the ratio of its
 shares among toxic and other texts; n-grams seen in fewer than LEAST_TEXTS texts or with a ratio
 near 1 are left out. Logistic regression then weighs the scaled presences.
 
-It is trained in numpy on the driver, on at most TRAIN_DOCS labelled documents:
-those with the smallest hashes of their ids, outside the held-out fold.
+It is trained in numpy on the driver, on about TRAIN_TOXIC toxic and TRAIN_CLEAN other labelled
+documents outside the held-out fold: of either class those with the smallest hashes of their ids.
+As toxic texts are rare, scores lean to them where the sample holds more of them than the corpus.
 
 Defined results: null and empty texts get the score of a text without any n-gram; of repeated
 labels the largest counts; null labels are left out; without labels, or with one class only, every
@@ -21,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loxodrome.llm.arrow_rows import added
-from loxodrome.llm.common import held_out
+from loxodrome.llm.common import held_out, sampled
 from loxodrome.llm.hashed import BITS, HashedLinear, fitted, present
 
-TRAIN_DOCS, LEAST_TEXTS, LEAST_RATIO = 6_000, 5, 1.0
+ORDERS, TRAIN_TOXIC, TRAIN_CLEAN, LEAST_TEXTS, LEAST_RATIO = (4, 6, 8), 3_000, 5_000, 5, 2.0
 
 
 def log_count_ratios(features: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -41,21 +42,17 @@ def train(texts: list[bytes], toxic: list[int]) -> HashedLinear:
     if not len(y) or y.min() == y.max():
         share = float(y[0]) if len(y) else 0.0
         return HashedLinear(np.empty(0, np.uint32), np.empty(0, np.float32), 30.0 if share else -30.0)
-    features = [present(t) for t in texts]
-    return fitted(features, y, log_count_ratios(features, y))
+    features = [present(t, ORDERS) for t in texts]
+    return fitted(features, y, log_count_ratios(features, y), ORDERS)
 
 
-def learnt(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> HashedLinear:
-    """The classifier trained on at most ``limit`` of docs (doc_id, text) by labels (doc_id, toxic)."""
+def learnt(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> HashedLinear:
+    """The classifier trained on about so many of docs (doc_id, text) of either class, by labels (doc_id, toxic)."""
     known = labels.select("doc_id", "toxic").filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    some = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").select("text", "toxic")  # limit bounds it
-    texts, toxic = [], []
-    for r in some.dropDuplicates().collect():
-        texts.append((r["text"] or "").encode())
-        toxic.append(int(r["toxic"] > 0))
-    order = sorted(range(len(texts)), key=lambda i: (texts[i], toxic[i]))
-    return train([texts[i] for i in order], [toxic[i] for i in order])
+    few = sampled(known.filter("toxic > 0"), toxic, "doc_id").union(sampled(known.filter("toxic <= 0"), clean, "doc_id"))
+    some = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").select("text", "toxic")  # about toxic + clean rows
+    pairs = sorted(((r["text"] or "").encode(), int(r["toxic"] > 0)) for r in some.dropDuplicates().collect())
+    return train([t for t, _ in pairs], [y for _, y in pairs])
 
 
 def scored(docs: DataFrame, model: HashedLinear) -> DataFrame:
