@@ -4,24 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from loxodrome.functions import sets
+from loxodrome.operators import frame, stats
+from loxodrome.plans.base import Registry, table
 
-
-def query(sql: str | None = None):
-    """Registers the decorated function under its name, with its SQL if there is one."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def table(spark, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+REGISTRY = Registry()
+query = REGISTRY.query
 
 
 @query("""
@@ -40,3 +28,328 @@ def group_agg(spark, sf_dir):
         F.round(F.stddev_samp("l_quantity"), 6).alias("sd_qty"),
         F.count(F.lit(1)).alias("n"),
     )
+
+
+@query("select l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) as net from lineitem where l_quantity > 45 and l_returnflag = 'R'")
+def df_filter_select(spark, sf_dir):
+    li = frame.filter_(table(spark, sf_dir, "lineitem"), (F.col("l_quantity") > 45) & (F.col("l_returnflag") == "R"))
+    return frame.select(frame.with_column(li, "net", F.col("l_extendedprice") * (1 - F.col("l_discount"))), "l_orderkey", "l_linenumber", "net")
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 20")
+def df_sort_head(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return frame.sort_by(orders, ["o_totalprice", "o_orderkey"], [False, True]).limit(20)
+
+
+@query("select o_orderkey, o_custkey from (select * from orders order by o_orderkey desc limit 7) order by o_orderkey")
+def df_tail(spark, sf_dir):
+    return frame.tail(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 7)
+
+
+@query("select c_custkey from customer order by cast(c_custkey as varchar), c_custkey limit 25")
+def df_sort_by_text(spark, sf_dir):
+    return frame.sort(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", by_text=True).limit(25)
+
+
+@query("select count(*) as rows, 5 as cols from customer")
+def df_shape(spark, sf_dir):
+    return frame.shape(table(spark, sf_dir, "customer"))
+
+
+@query("select * from part where p_partkey = 17")
+def df_row(spark, sf_dir):
+    return frame.row(table(spark, sf_dir, "part"), 17, "p_partkey")
+
+
+@query("select o_custkey, o_orderkey, o_totalprice, rank from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders) where rank <= 3")
+def top_k_by_group(spark, sf_dir):
+    return frame.top_k(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3)
+
+
+@query("select event_type, count(*) as length, round(coalesce(sum(value), 0), 4) as sum, round(coalesce(sum(value), 0) / count(*), 6) as mean, min(value) as min, max(value) as max, count(value) as count from events group by event_type")
+def series_stats(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("length"), F.round(stats.series_sum("value"), 4).alias("sum"), F.round(stats.series_mean("value"), 6).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("value").alias("count")
+    )
+
+
+@query("""
+select event_id, coalesce(case when value < 20 then null else value end, -1) as filled from events
+where (case when event_id % 7 = 0 then null else user_id end) is not null
+""")
+def fill_drop_nil(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("value") >= 20, F.col("value")).alias("filled"), F.when(F.col("event_id") % 7 != 0, F.col("user_id")).alias("u"))
+    return frame.fill_nulls(frame.drop_nulls(e, "u"), {"filled": -1.0}).drop("u")
+
+
+@query("select p_type, min(p_partkey) as p_partkey from part group by p_type")
+def unique(spark, sf_dir):
+    return frame.unique(table(spark, sf_dir, "part"), "p_type", "p_partkey")
+
+
+@query("select p_brand, p_partkey, p_size from (select *, row_number() over (partition by p_brand order by p_size, p_partkey) as r from part) where r = 1")
+def distinct_by(spark, sf_dir):
+    return frame.distinct_by(table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size"), ["p_brand"], ["p_size", "p_partkey"])
+
+
+@query("select p_brand, count(*) as n from part group by p_brand")
+def value_counts(spark, sf_dir):
+    return frame.value_counts(table(spark, sf_dir, "part"), "p_brand")
+
+
+@query("select distinct l_returnflag, l_linestatus from lineitem")
+def distinct(spark, sf_dir):
+    return frame.distinct(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus"))
+
+
+@query("""
+select o_custkey, sum(o_totalprice) as total, count(o_orderkey) as n, arg_min(o_orderkey, (o_orderdate, o_orderkey)) as first_order, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as last_order
+from orders group by o_custkey
+""")
+def group_agg_first_last(spark, sf_dir):
+    return frame.group_agg(table(spark, sf_dir, "orders"), ["o_custkey"], {"total": ("o_totalprice", "sum"), "n": ("o_orderkey", "count"), "first_order": ("o_orderkey", "first"), "last_order": ("o_orderkey", "last")}, ["o_orderdate", "o_orderkey"])
+
+
+@query("select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as q from lineitem group by cube (l_returnflag, l_linestatus)")
+def cube(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"))
+
+
+@query("select p_brand, p_type, count(*) as n from part group by rollup (p_brand, p_type)")
+def rollup(spark, sf_dir):
+    return table(spark, sf_dir, "part").rollup("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select l_returnflag, l_linestatus, count(*) as n from lineitem group by grouping sets ((l_returnflag), (l_linestatus), ())")
+def grouping_sets(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.groupingSets([[F.col("l_returnflag")], [F.col("l_linestatus")], []], "l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _join(how, sql):
+    def run(spark, sf_dir):
+        c = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select("c_custkey", "c_name")
+        o = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+        found = frame.join(c, o, "c_custkey", how)
+        return found.na.fill({"o_orderkey": -1}) if "o_orderkey" in found.columns else found
+
+    run.__name__ = f"join_{how}"
+    return query(sql)(run)
+
+
+_SIDES = "from (select c_custkey, c_name from customer where c_custkey % 3 = 0) c {} join (select o_custkey as c_custkey, o_orderkey from orders where o_orderkey % 5 = 0) o using (c_custkey)"
+for _how, _sql in {"inner": "inner", "left": "left", "right": "right", "outer": "full", "semi": "semi", "anti": "anti"}.items():
+    _join(_how, ("select c_custkey, c_name " if _how in ("semi", "anti") else "select c_custkey, c_name, coalesce(o_orderkey, -1) as o_orderkey ") + _SIDES.format(_sql))
+
+
+@query("select n_name, r_name from nation, region")
+def join_cross(spark, sf_dir):
+    return frame.join(table(spark, sf_dir, "nation").select("n_name"), table(spark, sf_dir, "region").select("r_name"), None, "cross")
+
+
+@query("""
+select n_name, count(*) as n, round(sum(o_totalprice), 2) as total from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
+group by n_name
+""")
+def join_three(spark, sf_dir):
+    o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("""
+select a.user_id, a.ts, a.event_id, b.value as value_asof from (select user_id, ts, event_id from events where event_type = 'purchase') a
+asof left join (select user_id, ts, max(value) as value from events where event_type <> 'purchase' group by user_id, ts) b on a.user_id = b.user_id and a.ts >= b.ts
+""")
+def asof(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    right = e.filter("event_type <> 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    return frame.asof_join(e.filter("event_type = 'purchase'").select("user_id", "ts", "event_id"), right, ["user_id"], "ts", ["value"])
+
+
+@query("select c_nationkey as k from customer where c_acctbal > 5000 union select s_nationkey from supplier where s_acctbal < 2000")
+def union(spark, sf_dir):
+    return sets.union_rows(*_keys(spark, sf_dir))
+
+
+@query("select c_nationkey as k from customer where c_acctbal > 5000 intersect select s_nationkey from supplier where s_acctbal < 2000")
+def intersect(spark, sf_dir):
+    return sets.intersection_rows(*_keys(spark, sf_dir))
+
+
+@query("select c_nationkey as k from customer where c_acctbal > 5000 except select s_nationkey from supplier where s_acctbal < 2000")
+def except_(spark, sf_dir):
+    return sets.difference_rows(*_keys(spark, sf_dir))
+
+
+@query("""
+(select c_nationkey as k from customer where c_acctbal > 5000 except select s_nationkey from supplier where s_acctbal < 2000)
+union all (select s_nationkey from supplier where s_acctbal < 2000 except select c_nationkey from customer where c_acctbal > 5000)
+""")
+def symdiff(spark, sf_dir):
+    return sets.symmetric_difference_rows(*_keys(spark, sf_dir))
+
+
+def _keys(spark, sf_dir):
+    return (table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").filter("s_acctbal < 2000").select(F.col("s_nationkey").alias("k")))
+
+
+@query("select c_custkey as id, c_name as name, null as price from customer where c_custkey < 5 union all select p_partkey, p_name, p_retailprice from part where p_partkey < 5")
+def concat(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").filter("c_custkey < 5").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return frame.concat(a, table(spark, sf_dir, "part").filter("p_partkey < 5").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price")))
+
+
+@query("""
+select l_returnflag, round(sum(case when l_linestatus = 'O' then l_quantity end), 2) as "O", round(sum(case when l_linestatus = 'F' then l_quantity end), 2) as "F"
+from lineitem group by l_returnflag
+""")
+def pivot(spark, sf_dir):
+    out = frame.pivot(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_linestatus", "l_quantity", ["O", "F"])
+    return out.select("l_returnflag", F.round("O", 2).alias("O"), F.round("F", 2).alias("F"))
+
+
+@query("""
+select l_orderkey, l_linenumber, 'l_discount' as variable, l_discount as value from lineitem where l_orderkey < 100
+union all select l_orderkey, l_linenumber, 'l_tax', l_tax from lineitem where l_orderkey < 100
+""")
+def melt(spark, sf_dir):
+    return frame.melt(table(spark, sf_dir, "lineitem").filter("l_orderkey < 100"), ["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"])
+
+
+@query("""
+select 'l_quantity' as "column", count(l_quantity) as n, round(avg(l_quantity), 6) as mean, round(stddev_samp(l_quantity), 6) as sd, min(l_quantity) as min,
+  quantile_cont(l_quantity, 0.25) as q1, quantile_cont(l_quantity, 0.5) as median, quantile_cont(l_quantity, 0.75) as q3, max(l_quantity) as max from lineitem
+union all select 'l_tax', count(l_tax), round(avg(l_tax), 6), round(stddev_samp(l_tax), 6), min(l_tax), quantile_cont(l_tax, 0.25), quantile_cont(l_tax, 0.5), quantile_cont(l_tax, 0.75), max(l_tax) from lineitem
+""")
+def describe(spark, sf_dir):
+    out = frame.summary(table(spark, sf_dir, "lineitem"), "l_quantity", "l_tax")
+    return out.withColumn("mean", F.round("mean", 6)).withColumn("sd", F.round("sd", 6))
+
+
+@query("select o_custkey, list(o_orderkey order by o_orderdate, o_orderkey) as o_orderkey from orders where o_custkey < 200 group by o_custkey")
+def to_list(spark, sf_dir):
+    return frame.to_list(table(spark, sf_dir, "orders").filter("o_custkey < 200"), "o_orderkey", ["o_orderdate", "o_orderkey"], ["o_custkey"])
+
+
+# statistics
+
+
+@query("""
+select l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) as wm,
+  round((sum(l_quantity * l_extendedprice * l_extendedprice) - sum(l_quantity) * pow(sum(l_quantity * l_extendedprice) / sum(l_quantity), 2)) / (sum(l_quantity) - sum(l_quantity * l_quantity) / sum(l_quantity)) / 1e6, 4) as wv
+from lineitem group by l_returnflag
+""")
+def weighted(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(stats.weighted_mean("l_extendedprice", "l_quantity"), 4).alias("wm"), F.round(stats.weighted_variance("l_extendedprice", "l_quantity") / F.lit(1e6), 4).alias("wv"))
+
+
+@query("""
+select l_returnflag, quantile_cont(l_extendedprice, 0.1) as p10, median(l_extendedprice) as med, quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25) as iqr,
+  quantile_cont(l_quantity, 0.25) as q1, quantile_cont(l_quantity, 0.5) as q2, quantile_cont(l_quantity, 0.75) as q3, max(l_quantity) - min(l_quantity) as range
+from lineitem group by l_returnflag
+""")
+def percentiles(spark, sf_dir):
+    q = stats.quartiles("l_quantity")
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(stats.percentile("l_extendedprice", 10).alias("p10"), stats.median("l_extendedprice").alias("med"), stats.iqr("l_extendedprice").alias("iqr"), q["q1"].alias("q1"), q["q2"].alias("q2"), q["q3"].alias("q3"), stats.stat_range("l_quantity").alias("range"))
+
+
+@query("select p_brand, p_size as mode from (select p_brand, p_size, row_number() over (partition by p_brand order by count(*) desc, p_size) as r from part group by p_brand, p_size) where r = 1")
+def mode(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(stats.mode("p_size").alias("mode"))
+
+
+@query("""
+with m as (select l_returnflag as k, avg(l_quantity) as m from lineitem group by 1),
+d as (select k, l_quantity - m as d from lineitem join m on k = l_returnflag)
+select k, round(avg(pow(d, 3)) / pow(avg(d * d), 1.5), 6) as skew, round(avg(pow(d, 4)) / pow(avg(d * d), 2) - 3, 6) as kurt, round(sqrt(sum(d * d) / (count(*) - 1)) / sqrt(count(*)), 8) as sem from d group by k
+""")
+def skew_kurt(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("k")).agg(F.round(stats.skewness("l_quantity"), 6).alias("skew"), F.round(stats.kurtosis("l_quantity"), 6).alias("kurt"), F.round(stats.sem("l_quantity"), 8).alias("sem"))
+
+
+@query("""
+select l_linestatus, round(corr(l_quantity, l_extendedprice), 8) as corr, round(covar_samp(l_quantity, l_extendedprice), 2) as cov, round(regr_slope(l_extendedprice, l_quantity), 4) as slope,
+  round(regr_intercept(l_extendedprice, l_quantity), 2) as intercept, round(regr_r2(l_extendedprice, l_quantity), 8) as r2,
+  round(sqrt((regr_syy(l_extendedprice, l_quantity) - pow(regr_sxy(l_extendedprice, l_quantity), 2) / regr_sxx(l_extendedprice, l_quantity)) / (count(*) - 2)), 2) as std_err
+from lineitem group by l_linestatus
+""")
+def corr_linreg(spark, sf_dir):
+    r = stats.linear_regression("l_quantity", "l_extendedprice")
+    return table(spark, sf_dir, "lineitem").groupBy("l_linestatus").agg(
+        F.round(stats.correlation("l_quantity", "l_extendedprice"), 8).alias("corr"), F.round(stats.covariance("l_quantity", "l_extendedprice"), 2).alias("cov"), F.round(r["slope"], 4).alias("slope"), F.round(r["intercept"], 2).alias("intercept"), F.round(r["r_squared"], 8).alias("r2"), F.round(r["std_err"], 2).alias("std_err")
+    )
+
+
+@query("select event_id, round((value - avg(value) over w) / stddev_samp(value) over w, 6) as z from events window w as (partition by user_id) qualify count(*) over w > 1")
+def zscore(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    many = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("user_id")
+    return stats.zscore(e.join(many, "user_id", "left_semi"), "value", ["user_id"]).select("event_id", F.round("z", 6).alias("z"))
+
+
+@query("select event_id, round(case when max(value) over w = min(value) over w then 0 else (value - min(value) over w) / (max(value) over w - min(value) over w) end, 6) as scaled from events window w as (partition by event_type)")
+def minmax(spark, sf_dir):
+    return stats.min_max_scale(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), "value", by=["event_type"]).select("event_id", F.round("scaled", 6).alias("scaled"))
+
+
+@query("""
+select event_id, round(avg(value) over w, 6) as moving_mean, round(stddev_samp(value) over w, 6) as moving_std from events
+window w as (partition by user_id order by event_id rows between 4 preceding and current row) qualify row_number() over (partition by user_id order by event_id) >= 5
+""")
+def moving(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    both = stats.moving_std(e, "value", 5, ["event_id"], ["user_id"]).select("event_id", F.round("moving_std", 6).alias("moving_std"))
+    return stats.moving_mean(e, "value", 5, ["event_id"], ["user_id"]).select("event_id", F.round("moving_mean", 6).alias("moving_mean")).join(both, "event_id")
+
+
+@query("select event_id, round(sum(value) over (partition by user_id order by event_id rows unbounded preceding), 4) as running from events")
+def scan(spark, sf_dir):
+    return stats.scan_sum(table(spark, sf_dir, "events"), "value", ["event_id"], ["user_id"]).select("event_id", F.round("running", 4).alias("running"))
+
+
+@query("""
+with d as (select user_id, event_id, value - avg(value) over (partition by user_id) as x from events),
+l as (select user_id, x, lag(x, 2) over (partition by user_id order by event_id) as y from d)
+select user_id, round(case when sum(x * x) = 0 then 0 else coalesce(sum(x * y), 0) / sum(x * x) end, 6) as autocorr from l group by user_id
+""")
+def autocorr(spark, sf_dir):
+    out = stats.autocorr(table(spark, sf_dir, "events"), "value", 2, ["event_id"], ["user_id"])
+    return out.select("user_id", F.round("autocorr", 6).alias("autocorr"))
+
+
+@query("""
+with recursive s as (select user_id, value, row_number() over (partition by user_id order by event_id) - 1 as i from events),
+e(user_id, i, value, ewma) as (select user_id, i, value, value from s where i = 0 union all select s.user_id, s.i, s.value, 0.3 * s.value + (1 - 0.3) * e.ewma from e join s on s.user_id = e.user_id and s.i = e.i + 1)
+select user_id, cast(i as integer) as position, value, round(ewma, 6) as ewma from e
+""")
+def ewma(spark, sf_dir):
+    return stats.ewma(table(spark, sf_dir, "events"), "value", 0.3, ["event_id"], ["user_id"]).withColumn("ewma", F.round("ewma", 6))
+
+
+@query("""
+with r as (select rank() over (order by p_size) + (count(*) over (partition by p_size) - 1) / 2 as a, rank() over (order by p_retailprice) + (count(*) over (partition by p_retailprice) - 1) / 2 as b from part)
+select round(corr(a, b), 8) as spearman from r
+""")
+def spearman(spark, sf_dir):
+    return stats.spearman(table(spark, sf_dir, "part"), "p_size", "p_retailprice").select(F.round("spearman", 8).alias("spearman"))
+
+
+@query("""
+with p as (select p_size as x, length(p_name) as y from part),
+s as (select sum(sign(b.y - a.y)) as s from p a join p b on a.x < b.x)
+select round(s / ((select count(*) from p) * ((select count(*) from p) - 1) / 2), 8) as kendall from s
+""")
+def kendall(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_size").alias("x"), F.length("p_name").alias("y"))
+    return stats.kendall(p, "x", "y").select(F.round("kendall", 8).alias("kendall"))
+
+
+@query("select p_partkey from part, (select quantile_cont(p_retailprice, 0.25) as a, quantile_cont(p_retailprice, 0.75) as b from part) where p_retailprice < a - 0.2 * (b - a) or p_retailprice > b + 0.2 * (b - a)")
+def outliers(spark, sf_dir):
+    return stats.outliers(table(spark, sf_dir, "part"), "p_retailprice", 0.2).select("p_partkey")
+
+
+@query("select round(avg(p_retailprice), 6) as trimmed_mean from part, (select quantile_cont(p_retailprice, 0.1) as a, quantile_cont(p_retailprice, 0.9) as b from part) where p_retailprice between a and b")
+def trimmed_mean(spark, sf_dir):
+    return stats.trimmed_mean(table(spark, sf_dir, "part"), "p_retailprice", 0.1).select(F.round("trimmed_mean", 6).alias("trimmed_mean"))

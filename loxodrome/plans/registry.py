@@ -5,8 +5,8 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-#: Modules of this package that hold QUERIES (name -> function of session and folder) and ORACLE_SQL.
-MODULES = ["frame_queries"]
+#: Modules of this package that hold a REGISTRY of queries (name -> function of session and folder) and their SQL.
+MODULES = ["frame_queries", "scalar_queries", "geo_queries", "stream_queries"]
 
 
 def _modules():
@@ -14,8 +14,8 @@ def _modules():
 
 
 def queries() -> dict[str, Callable]:
-    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
+    return {k: v for m in _modules() for k, v in m.REGISTRY.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in _modules() for k, v in m.ORACLE_SQL.items()}
+    return {k: v for m in _modules() for k, v in m.REGISTRY.sql.items()}
