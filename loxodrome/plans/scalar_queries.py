@@ -179,10 +179,10 @@ def set_methods(spark, sf_dir):
 
 @query("""
 select event_id, cast(year(ts) as integer) as year, cast(month(ts) as integer) as month, cast(day(ts) as integer) as day, cast(hour(ts) as integer) as hour, cast(minute(ts) as integer) as minute, cast(second(ts) as integer) as second,
-  cast(epoch_ms(ts) % 1000 as integer) as millisecond, cast(dayofweek(ts) as integer) as day_of_week, cast(dayofyear(ts) as integer) as day_of_year, cast(weekofyear(ts) as integer) as week_of_year, cast(quarter(ts) as integer) as quarter,
-  epoch_ms(ts) // 1000 as to_unix, epoch_ms(ts) as to_unix_millis, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as iso, strftime(ts, '%Y-%m-%d') as fmt, epoch_ms(date_trunc('day', ts)) as start_of_day, epoch_us(date_trunc('day', ts)) + 86399999999 as end_of_day,
-  epoch_ms(date_trunc('month', ts)) as start_of_month, epoch_ms(date_trunc('year', ts)) as start_of_year, ts < timestamp '2024-01-15' as before, epoch_ms(ts) + 5400000 as plus, epoch_ms(ts) - 86400000 as minus,
-  epoch_ms(date_trunc('month', ts) + interval 30 day + (ts - date_trunc('day', ts))) as with_day
+  cast(epoch_us(ts) // 1000 % 1000 as integer) as millisecond, cast(dayofweek(ts) as integer) as day_of_week, cast(dayofyear(ts) as integer) as day_of_year, cast(weekofyear(ts) as integer) as week_of_year, cast(quarter(ts) as integer) as quarter,
+  epoch_us(ts) // 1000000 as to_unix, epoch_us(ts) // 1000 as to_unix_millis, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as iso, strftime(ts, '%Y-%m-%d') as fmt, epoch_ms(date_trunc('day', ts)) as start_of_day, epoch_us(date_trunc('day', ts)) + 86399999999 as end_of_day,
+  epoch_ms(date_trunc('month', ts)) as start_of_month, epoch_ms(date_trunc('year', ts)) as start_of_year, ts < timestamp '2024-01-15' as before, epoch_us(ts) // 1000 + 5400000 as plus, epoch_us(ts) // 1000 - 86400000 as minus,
+  epoch_us(date_trunc('month', ts) + interval 30 day + (ts - date_trunc('day', ts))) // 1000 as with_day
 from events
 """)
 def date_methods(spark, sf_dir):

@@ -162,16 +162,22 @@ def geojson_rows(text: str) -> list[dict]:
     return of(json.loads(text))
 
 
-@F.pandas_udf(f"array<{GEOM}>")
-def _wkt(s: pd.Series) -> pd.Series:
+def _wkt_series(s: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else wkt_rows(t) for t in s])
 
 
-@F.pandas_udf(f"array<struct<geometry:{GEOM},properties:map<string,string>,id:string>>")
-def _geojson(s: pd.Series) -> pd.Series:
+def _geojson_series(s: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else geojson_rows(t) for t in s])
 
 
+def _wkt(s: Column) -> Column:
+    return F.pandas_udf(_wkt_series, f"array<{GEOM}>")(s)
+
+
+def _geojson(s: Column) -> Column:
+    return F.pandas_udf(_geojson_series, f"array<struct<geometry:{GEOM},properties:map<string,string>,id:string>>")(s)
+
+
 def parse_wkt(s: Column) -> Column:
     """The geometry in a text of any kind but a collection."""
     return F.get(_wkt(s), F.lit(0))
@@ -279,22 +285,20 @@ def point_to_wkb(x: Column, y: Column) -> Column:
     return F.concat(F.lit("0101000000"), _float_hex(x), _float_hex(y))
 
 
-@F.pandas_udf("string")
-def _to_wkb(kind: pd.Series, parts: pd.Series) -> pd.Series:
+def _to_wkb_series(kind: pd.Series, parts: pd.Series) -> pd.Series:
     return pd.Series([None if k is None else wkb_hex({"kind": k, "parts": p}) for k, p in zip(kind, parts, strict=True)])
 
 
-@F.pandas_udf(GEOM)
-def _from_wkb(s: pd.Series) -> pd.DataFrame:
+def _from_wkb_series(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([{"kind": None, "srid": None, "parts": None} if t is None else wkb_row(t) for t in s])
 
 
 def to_wkb(g: Column) -> Column:
-    return _to_wkb(g["kind"], g["parts"])
+    return F.pandas_udf(_to_wkb_series, "string")(g["kind"], g["parts"])
 
 
 def from_wkb(s: Column) -> Column:
-    return _from_wkb(s)
+    return F.pandas_udf(_from_wkb_series, GEOM)(s)
 
 
 def to_kml(g: Column) -> Column:
@@ -340,14 +344,13 @@ def kml_rows(text: str) -> list[dict]:
     return of(ET.fromstring(text))
 
 
-@F.pandas_udf(f"array<{GEOM}>")
-def _kml(s: pd.Series) -> pd.Series:
+def _kml_series(s: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else kml_rows(t) for t in s])
 
 
 def from_kml(s: Column) -> Column:
     """array of the geometries in the element."""
-    return _kml(s)
+    return F.pandas_udf(_kml_series, f"array<{GEOM}>")(s)
 
 
 def read_gpx(spark: SparkSession, path: str) -> DataFrame:
