@@ -14,6 +14,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words between ASCII whitespace.
 SPACED_PATTERN = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Labelled rows are learnt from where the remainder isn't 0.
 FOLDS = 5
 
@@ -58,9 +59,15 @@ class Scratch:
         atexit.register(_remove, spark, self.root)
 
     def table(self, df: DataFrame) -> DataFrame:
+        """df, written and read again; the shuffle files of the writing go with its end."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        conf, before = self.spark.conf, self.spark.conf.get(CLEANUP, None)
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._loxodrome_path = path
         return out

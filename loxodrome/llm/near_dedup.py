@@ -6,11 +6,11 @@
    the corpus first. Two sets over the threshold share so many retained values (``least_shared``;
    missed with a chance under 1e-10) that such prefixes must have one in common, while a passage
    that many documents hold is listed only by those that consist of little else.
-3. What shares a list is compared on whole sets of shingles. A class goes again if it has more
-   shingles that nobody else listed holds than a link allows. For the others lists are made of the
-   whole sets, rarest shingles first, as far as a link to a larger or a smaller set can need
-   (prefixes), and each class is compared with the most central class that it shares a list with.
-   That joins the large groups of copies at a cost of one pair a class.
+3. What shares a list is compared on whole sets of shingles. Lists are made of those, rarest
+   shingles first, as far as a link to a larger or a smaller set can need (prefixes); a class of
+   which more shingles are its own than a link allows lists none and goes. Each class is compared
+   with the most central class that it shares a list with. That joins the large groups of copies
+   at a cost of one pair a class.
 4. Pairs of classes that aren't in one component yet are made within the lists if size and places
    in the lists leave enough shingles to share (for every pair over the threshold they do, so none
    is lost; loose variants of one text, over the threshold with none of each other, make next to
@@ -25,8 +25,8 @@ Links, components and sketches stay in distributed tables; lineage is cut in the
 Defined results: null, empty or blank text has no shingles, n_shingles 0 and is linked with
 nothing; a text of fewer words than a shingle is one shingle; rows of one doc_id and one text are
 one document repeated and each gets its row; rows of one doc_id with different texts are separate
-texts with that id; a null doc_id never names a component that has another id; other columns play
-no part.
+texts with that id; rows with a null doc_id are linked with rows of the same words only, and never
+name a component that has another id; other columns play no part.
 """
 
 from __future__ import annotations
@@ -41,15 +41,16 @@ from pyspark.sql import functions as F
 
 from loxodrome.llm.common import Scratch
 
-KEPT, LISTED, PRUNINGS = 64, 32, 3
+KEPT, LISTED = 64, 32
 #: Lists of more members are paired by ranges of sizes, each this much wider than the one below.
 HOT_LIST, SIZE_STEP = 64, 1.02
 #: A pair whose estimate from KEPT values lies below this is over the threshold with a chance under 1e-10.
 LEAST_ESTIMATE = 0.4
-#: So many ids (16 bytes each) are broadcast at most; more are joined by a shuffle.
+#: So many ids or pairs of ids (16 bytes each) are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-SKETCH_SCHEMA = "doc_id bigint, key binary, n bigint, sketch array<bigint>"
-SET_SCHEMA = "doc_id bigint, key binary, shingles array<bigint>"
+#: key is a 128-bit hash of the words, which copies share; its first half is the id of the class.
+SKETCH_SCHEMA = "doc_id bigint, key binary, id bigint, n bigint, sketch array<bigint>"
+SET_SCHEMA = "doc_id bigint, id bigint, shingles array<bigint>"
 
 
 def spaced_words(text: bytes) -> list[bytes]:
@@ -86,18 +87,22 @@ def _batches(size: int, whole: bool):
             ids = batch.column(0)
             texts = batch.column(1).cast(pa.large_binary())
             for at in range(0, batch.num_rows, 1000):
-                keys, counts, values, ends = [], [], [], [0]
+                keys, class_ids, counts, values, ends = [], [], [], [], [0]
                 for text in texts.slice(at, 1000).to_pylist():
                     words = spaced_words(text or b"")
                     found = shingle_hashes(words, size)
                     kept = found if whole else found[:KEPT]
                     keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
+                    class_ids.append(int.from_bytes(keys[-1][:8], "big", signed=True) if words else None)
                     counts.append(len(found))
                     values.append(kept)
                     ends.append(ends[-1] + len(kept))
                 arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
-                columns = [ids.slice(at, 1000), pa.array(keys, pa.binary())] + ([] if whole else [pa.array(counts, pa.int64())]) + [arrays]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key"] + ([] if whole else ["n"]) + ["shingles" if whole else "sketch"])
+                own, first = ids.slice(at, 1000), pa.array(class_ids, pa.int64())
+                if whole:
+                    yield pa.RecordBatch.from_arrays([own, first, arrays], ["doc_id", "id", "shingles"])
+                else:
+                    yield pa.RecordBatch.from_arrays([own, pa.array(keys, pa.binary()), first, pa.array(counts, pa.int64()), arrays], ["doc_id", "key", "id", "n", "sketch"])
 
     return run
 
@@ -125,83 +130,78 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
 
 
 def listed(classes: DataFrame, percent: int) -> DataFrame:
-    """key: the classes that share an inverted list of retained values with another."""
-    values = classes.select("key", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
+    """id: the classes (id, n, sketch) that share an inverted list of retained values with another."""
+    values = classes.select("id", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    by_class = values.join(shared, "value").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"))
+    by_class = values.join(shared, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"))
+    by_class = by_class.join(classes.select("id", "n"), "id")
     rare = F.least("n", F.lit(LISTED)) - F.size("common")  # these come first in the prefix, and nobody else lists them
     entries = by_class.withColumn("take", F.greatest(_prefix(F.col("n"), percent) - rare, F.lit(0)).cast("int")).filter("take > 0")
-    entries = entries.select(F.explode(F.slice("common", F.lit(1), F.col("take"))).alias("c"), "key").select("c.value", "key")
+    entries = entries.select(F.explode(F.slice("common", F.lit(1), F.col("take"))).alias("c"), "id").select("c.value", "id")
     several = entries.groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("value")
-    return entries.join(several, "value", "left_semi").select("key").distinct()
+    return entries.join(several, "value", "left_semi").select("id").distinct()
 
 
 class Linker:
-    """The comparisons within one corpus. sketched: doc_id, key, n, sketch of each document; classes: key, doc_id, n."""
+    """The comparisons within one corpus. sketched: doc_id, key, id, n, sketch of each document; classes: key, id, doc_id, n."""
 
     def __init__(self, scratch: Scratch, docs: DataFrame, sketched: DataFrame, classes: DataFrame, size: int, percent: int):
         self.scratch, self.docs, self.sketched, self.classes, self.size, self.percent = scratch, docs, sketched, classes, size, percent
 
-    def sets_of(self, keys: DataFrame) -> DataFrame:
-        """key, shingles: the whole sets of these classes, read again from their first documents."""
-        wanted = self.scratch.table(self.classes.join(keys, "key", "left_semi").select("doc_id", "key"))
+    def sets_of(self, ids: DataFrame) -> DataFrame:
+        """id, shingles: the whole sets of these classes, read again from their first documents."""
+        wanted = self.scratch.table(self.classes.join(ids, "id", "left_semi").select("doc_id", "id"))
         rows = wanted.count()
         some = self.docs.join(_sized(wanted.select("doc_id").distinct(), rows), "doc_id", "left_semi").select("doc_id", "text")
         sets = some.mapInArrow(_batches(self.size, True), SET_SCHEMA)
-        return sets.join(_sized(wanted, rows), ["doc_id", "key"], "left_semi").dropDuplicates(["key"]).select("key", "shingles")
-
-    def linkable(self, sets: DataFrame) -> DataFrame:
-        """key: the classes that share enough of their shingles with others of these."""
-        keys, before = None, None
-        for _ in range(PRUNINGS):
-            some = sets if keys is None else sets.join(keys, "key", "left_semi")
-            each = some.select(F.xxhash64("key").alias("id"), F.explode("shingles").alias("shingle"))
-            alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-            sized = some.select("key", F.xxhash64("key").alias("id"), F.size("shingles").cast("bigint").alias("n"))
-            keys = self.scratch.table(sized.join(alone, "id", "left").filter(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= self.percent * F.col("n")).select("key"))
-            left = keys.count()
-            if before is not None and left > 0.95 * before:
-                break
-            before = left
-        return keys
+        # rows that repeat an id with another text, or the document itself, are left out
+        again = self.classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty() and self.sketched.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty()
+        return sets.select("id", "shingles") if again else sets.join(_sized(wanted, rows), ["doc_id", "id"], "left_semi").dropDuplicates(["id"]).select("id", "shingles")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """a, b, linked, of the pairs a, b that the estimate doesn't rule out."""
-        side = lambda s: self.members.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        pairs = self.scratch.table(pairs)
+        held = _sized(pairs, pairs.count())
+        side = lambda s: self.members.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"))
+        ends = lambda s: held.select(F.col(s)).distinct()
+        both = side("a").join(held, "a").join(side("b").join(ends("b"), "b", "left_semi"), "b")
         union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, KEPT)
         shared = F.array_intersect("s_a", "s_b")
         guess = F.size(F.array_intersect(union, shared)) / F.size(union)
         likely = both.filter((F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= LEAST_ESTIMATE) & (guess >= LEAST_ESTIMATE))
-        whole = lambda s: self.sets.select(F.col("key").alias(s), F.col("shingles").alias(f"w_{s}"))
-        exact = likely.select("a", "b", "n_a", "n_b").join(whole("a"), "a").join(whole("b"), "b")
+        likely = self.scratch.table(likely.select("a", "b", "n_a", "n_b"))
+        held = _sized(likely, likely.count())
+        whole = lambda s: self.sets.select(F.col("id").alias(s), F.col("shingles").alias(f"w_{s}"))
+        exact = whole("a").join(held, "a").join(whole("b").join(ends("b"), "b", "left_semi"), "b")
         exact = exact.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("w_a", "w_b")).cast("long").alias("inter"))
         over = F.col("n_a") + F.col("n_b") - F.col("inter")
         return exact.select("a", "b", (100 * F.col("inter") >= self.percent * over).alias("linked"))
 
     def entries(self) -> DataFrame:
-        """shingle, key, n, place, df, central: what each class lists of its whole set, rarest first."""
-        each = self.sets.select("key", F.size("shingles").cast("bigint").alias("n"), F.explode("shingles").alias("shingle"))
-        shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-        by_class = each.join(shared, "shingle").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("common"), (F.sum(F.log2("df")) / F.max("n")).alias("central"))
+        """shingle, id, n, place, central: what each class lists of its whole set, rarest first."""
+        each = self.sets.select("id", F.explode("shingles").alias("shingle"))
+        shared = each.groupBy("shingle").agg(F.count(F.lit(1)).cast("int").alias("df")).filter("df > 1")
+        by_class = each.join(shared, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("common"))
+        by_class = by_class.join(self.classes.select("id", "n").distinct(), "id")
         alone = F.col("n") - F.size("common")  # first in the order, and in no list
+        central = F.aggregate("common", F.lit(0.0), lambda s, c: s + F.log2(c["df"])) / F.col("n")
         reach = F.col("n") - F.ceil(F.col("n") * self.percent / F.lit(100.0)) + 1
         take = F.greatest(reach - alone, F.lit(0)).cast("int")
-        return by_class.select("key", "n", "central", alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), take)).alias("at", "c")).select("c.shingle", "key", "n", (F.col("alone") + F.col("at")).alias("place"), "c.df", "central")
+        return by_class.select("id", "n", central.alias("central"), alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), take)).alias("at", "c")).select("c.shingle", "id", "n", (F.col("alone") + F.col("at")).alias("place"), "central")
 
     def edges(self) -> DataFrame:
         """a, b: links that hold every component together."""
         table = self.scratch.table
-        sets = table(self.sets_of(listed(self.sketched.dropDuplicates(["key"]), self.percent)))
-        keys = self.linkable(sets)
-        self.sets = table(sets.join(keys, "key", "left_semi"))
-        self.scratch.drop(sets)
-        self.members = table(self.sketched.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", "n", "sketch"))
+        firsts = self.sketched.dropDuplicates(["id"]).select("id", "n", "sketch")
+        ids = table(listed(firsts, self.percent))
+        rows = ids.count()
+        self.sets = table(self.sets_of(ids))
+        self.members = table(self.sketched.join(_sized(ids, rows), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "sketch"))
         lists = table(self.entries())
-        tops = lists.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("central", "key")).alias("top")).filter("m > 1")
-        best = lists.join(tops, "shingle").groupBy("key").agg(F.max("top").alias("top")).filter(F.col("key") != F.col("top.key"))
-        first = table(self.verified(best.select(F.least("key", "top.key").alias("a"), F.greatest("key", "top.key").alias("b")).distinct()))
-        roots = components(self.scratch, self.classes.select("key", "doc_id"), first.filter("linked").select("a", "b"))
+        tops = lists.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("central", "id")).alias("top")).filter("m > 1")
+        best = lists.join(tops, "shingle").groupBy("id").agg(F.max("top").alias("top")).filter(F.col("id") != F.col("top.id"))
+        first = table(self.verified(best.select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b")).distinct()))
+        roots = components(self.scratch, self.classes.select("id", "doc_id"), first.filter("linked").select("a", "b"))
         rest = self.apart(lists, roots).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
         second = table(self.verified(rest))
         return first.union(second).filter("linked").select("a", "b")
@@ -209,15 +209,15 @@ class Linker:
     def apart(self, lists: DataFrame, roots: DataFrame) -> DataFrame:
         """a, b: pairs within lists that are in two components and can share enough."""
         p = self.percent
-        at = lists.join(roots.select("key", F.col("root.key").alias("root")), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        at = lists.join(roots.select("id", F.col("root.id").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
         # lists with members of more than one component, their sizes and the largest component
         by_root = at.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("big")).filter("roots > 1")
-        at = self.scratch.table(at.join(by_root.select("shingle", "m", F.col("big.root").alias("major")), "shingle").select("shingle", "key", "n", "place", "root", "m", (F.col("root") == F.col("major")).alias("major")))
+        at = self.scratch.table(at.join(by_root.select("shingle", "m", F.col("big.root").alias("major")), "shingle").select("shingle", "id", "n", "place", "root", "m", (F.col("root") == F.col("major")).alias("major")))
         # the smaller set of a pair (or smaller key) needs the shorter prefix
         ceil_div = lambda x, y: F.call_function("div", x + (y - 1), F.lit(y).cast("bigint"))
         own = at.filter(F.col("place") <= F.col("n") - ceil_div(2 * p * F.col("n"), 100 + p))
-        own = own.select("shingle", F.col("key").alias("ka"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"), F.col("major").alias("ma"), "m")
-        probe = at.select("shingle", F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"), F.col("major").alias("mb"), F.col("m").alias("m_"))
+        own = own.select("shingle", F.col("id").alias("ka"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"), F.col("major").alias("ma"), "m")
+        probe = at.select("shingle", F.col("id").alias("kb"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"), F.col("major").alias("mb"), F.col("m").alias("m_"))
         fits = (
             (F.col("ra") != F.col("rb"))
             & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ka") < F.col("kb"))))
@@ -239,20 +239,20 @@ class Linker:
 
 
 def components(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """key, root struct<doc_id, key> of every node that has an edge: the smallest it can reach."""
+    """id, root struct<doc_id, id> of every node (id, doc_id) that has an edge: the smallest it can reach."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = scratch.table(both)
-    own = nodes.join(both.select(F.col("a").alias("key")).distinct(), "key", "left_semi")
-    label = scratch.table(own.select("key", F.struct(F.col("doc_id"), F.col("key")).alias("root")))
+    own = nodes.join(both.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+    label = scratch.table(own.select("id", F.struct(F.col("doc_id"), F.col("id")).alias("root")))
     while True:
-        beside = both.join(label.select(F.col("key").alias("b"), "root"), "b").groupBy(F.col("a").alias("key")).agg(F.min("root").alias("least"))
-        lower = label.join(beside, "key").select("key", "root", F.least("root", "least").alias("next"))
+        beside = both.join(label.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("least"))
+        lower = label.join(beside, "id").select("id", "root", F.least("root", "least").alias("next"))
         lower = scratch.table(lower)
-        jump = lower.select(F.col("key").alias("via"), F.col("next").alias("jumped"))
-        new = scratch.table(lower.join(jump, F.col("next.key") == F.col("via")).select("key", F.least("next", "jumped").alias("root"), (F.least("next", "jumped") != F.col("root")).alias("moved")))
+        jump = lower.select(F.col("id").alias("via"), F.col("next").alias("jumped"))
+        new = scratch.table(lower.join(jump, F.col("next.id") == F.col("via")).select("id", F.least("next", "jumped").alias("root"), (F.least("next", "jumped") != F.col("root")).alias("moved")))
         scratch.drop(lower)
         scratch.drop(label)
-        label = new.select("key", "root")
+        label = new.select("id", "root")
         label._loxodrome_path = new._loxodrome_path
         if new.filter("moved").isEmpty():
             scratch.drop(both)
@@ -266,10 +266,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     docs = docs.select("doc_id", "text")
     sketched = scratch.table(docs.mapInArrow(_batches(size, False), SKETCH_SCHEMA))
     some = sketched.filter(F.col("key").isNotNull())
-    classes = scratch.table(some.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
+    classes = scratch.table(some.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("id").alias("id"), F.first("n").alias("n")))
     links = Linker(scratch, docs, some, classes, size, percent).edges()
-    roots = components(scratch, classes.select("key", "doc_id"), links)
-    named = classes.select("key", "doc_id").join(roots.select("key", F.col("root.doc_id").alias("root")), "key", "left").select("key", F.coalesce("root", "doc_id").alias("component_id"))
+    roots = components(scratch, classes.select("id", "doc_id"), links)
+    named = classes.select("key", "id", "doc_id").join(roots.select("id", F.col("root.doc_id").alias("root")), "id", "left").select("key", F.coalesce("root", "doc_id").alias("component_id"))
     out = some.select("doc_id", "n", "key").join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     out = out.union(sketched.filter(F.col("key").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
