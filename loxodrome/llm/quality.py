@@ -3,12 +3,13 @@
 Each labeller votes for its one class (bad for those that look for a defect, good for those that
 look for ordinary prose) or abstains. Over the counts of all documents' vote patterns (at most
 2 ** 10 of them reach the driver, whatever the corpus) expectation-maximisation estimates how often
-each labeller's vote is right, and with that the chance that a document of a pattern is good.
+each labeller votes on documents of either class, and so how often its votes are right, and with
+that the chance that a document of a pattern is good.
 Those chances are the labels of about TRAIN_DOCS documents (those with the smallest hashes), on which a linear scorer of hashed byte n-grams is trained. The patterns are counted
 over all documents; only the scorer's fit is on the bounded sample.
 
-Defined results: null and empty texts, and those without words, are voted bad for their length; a
-pattern without votes has chance 0.5; an empty table gives an empty result; repeated rows each get
+Defined results: null and empty texts, and those without words, are voted bad for their length; an
+empty table gives an empty result; repeated rows each get
 their row; other columns play no part.
 """
 
@@ -78,13 +79,20 @@ def votes(text: bytes) -> int:
 
 @dataclass
 class LabelModel:
-    """accuracy: the chance of each labeller, where it votes, to be right."""
+    """prior: the share of good documents; rate[c, j]: how often labeller j votes on documents of class c (1 good)."""
 
-    accuracy: np.ndarray
+    prior: float
+    rate: np.ndarray
 
     def good(self, patterns: np.ndarray) -> np.ndarray:
-        weight = np.log(self.accuracy / (1 - self.accuracy)) * np.array([1 if g else -1 for _, g in LABELLERS])
-        return 1 / (1 + np.exp(-(digits(patterns) @ weight)))
+        v = digits(patterns)
+        z = np.log(self.prior / (1 - self.prior)) + v @ np.log(self.rate[1] / self.rate[0]) + (1 - v) @ np.log((1 - self.rate[1]) / (1 - self.rate[0]))
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+    def accuracy(self) -> np.ndarray:
+        """The chance of each labeller, where it votes, to be right."""
+        votes = np.array([1 - self.prior, self.prior])[:, None] * self.rate
+        return votes[[int(g) for _, g in LABELLERS], range(len(LABELLERS))] / votes.sum(0)
 
 
 def digits(patterns: np.ndarray) -> np.ndarray:
@@ -93,17 +101,18 @@ def digits(patterns: np.ndarray) -> np.ndarray:
 
 
 def estimated(patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
-    """The label model of these vote patterns by EM, with a prior that votes are right nine times in ten."""
-    model = LabelModel(np.full(len(LABELLERS), 0.9))
-    voted_, for_good = digits(patterns), np.array([g for _, g in LABELLERS])
+    """The label model of these vote patterns by EM, begun with votes for bad outweighing those for good."""
+    v, for_good = digits(patterns), np.array([g for _, g in LABELLERS])
+    against, favour = (v * ~for_good).sum(1), (v * for_good).sum(1)
+    good = np.where(against > 0, np.where(against > favour, 0.02, 0.2), 0.95)
+    model = LabelModel(0.5, np.full((2, len(LABELLERS)), 0.5))
     for _ in range(STEPS if len(patterns) else 0):
-        good = model.good(patterns)[:, None]
-        right = np.where(for_good[None, :], good, 1 - good)
-        new = ((counts[:, None] * voted_ * right).sum(0) + 9) / ((counts[:, None] * voted_).sum(0) + 10)
-        moved = np.abs(new - model.accuracy).max()
-        model = LabelModel(np.clip(new, 0.01, 0.9999))
-        if moved < 1e-6:
+        share = np.stack([counts * (1 - good), counts * good])
+        model = LabelModel(float(np.clip(share[1].sum() / counts.sum(), 0.001, 0.999)), (share @ v + 0.5) / (share.sum(1, keepdims=True) + 1))
+        new = model.good(patterns)
+        if np.abs(new - good).max() < 1e-6:
             break
+        good = new
     return model
 
 

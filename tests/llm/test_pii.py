@@ -1,0 +1,72 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from loxodrome.llm import pii
+
+TEXTS = [
+    "mail hein.19@mail5.example.com now and HEIN.19@mail5.example.com", "call +1 (743) 555-3824 or +1 743 555 3824", "card 4111 1111 1111 1111 and 4785380592391139 end", "ip 152.143.123.131 version 1.2.3.4.5",
+    'les token = "f33e61083db5dbdf4bd2369d2f80176e57f7aa" x', "Mr. John Smith met Mrs. Jane Smith; Frau Müller, г-н Иван Петров", None, "", "nothing here, 12 of 345", "IBAN DE89 3704 0044 0532 0130 00, SSN 123-45-6789 ﷐ x a@b.co",
+    "again hein.19@mail5.example.com", "call (743) 555-3824",
+]
+
+
+@pytest.fixture(scope="module")
+def got(spark, frame):
+    docs = frame(list(enumerate(TEXTS)) + [(1, TEXTS[1])])
+    return pii.replaced(docs).collect()
+
+
+def test_originals_are_gone(got):
+    text = "\n".join(r["text"] or "" for r in got)
+    for private in ("hein.19", "mail5", "743", "3824", "4111 1111 1111 1111", "4785380592391139", "152.143", "f33e61083", "Smith", "Müller", "Иван", "Петров", "3704", "123-45-6789", "a@b.co"):
+        assert private not in text
+
+
+def test_the_rest_stays(got):
+    by = {r["doc_id"]: r for r in got}
+    assert by[6]["text"] is None and by[7]["text"] == "" and by[8]["text"] == TEXTS[8] and by[8]["n_entities"] == 0
+    assert by[3]["text"].endswith("version 1.2.3.4.5") and "﷐ x" in by[9]["text"] and by[9]["kinds"] == "email,iban,ssn" and by[0]["source"] == "s0" and by[0]["score"] == 9.0
+    assert len(got) == len(TEXTS) + 1
+
+
+def test_coreference(got):
+    by = {r["doc_id"]: r["text"] for r in got}
+    a, b = re.findall(r"\S+@\S+", by[0])
+    assert a == b == by[10].split()[1] and a.endswith(".com")
+    x, y = by[1].removeprefix("call ").split(" or ")
+    assert re.sub(r"\D", "", x) == re.sub(r"\D", "", y)
+    first, second = re.findall(r"M\w+\. \w+ \w+", by[5])
+    assert first.split()[1] in pii.NAMES["m", "latin"] and second.split()[1] in pii.NAMES["f", "latin"]
+    assert re.search(r"г-н [А-Я][а-яё]+ [А-Я][а-я]+$", by[5])
+
+
+def test_forms(got):
+    by = {r["doc_id"]: r["text"] for r in got}
+    assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} or \+1 \d{3} \d{3} \d{4}", by[1])
+    assert re.fullmatch(r'les token = "[0-9a-f]{38}" x', by[4])
+    for number in re.findall(r"\d[\d ]{14,}\d", by[2]):
+        d = [int(c) for c in number.replace(" ", "")][::-1]
+        assert (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0 and number[0] == "4"
+    assert all(0 < int(o) < 256 for o in by[3].split()[1].split("."))
+
+
+@pytest.mark.parametrize("rows", [pii.BROADCAST_ROWS, 0])
+def test_collisions_draw_again(spark, frame, monkeypatch, rows):
+    """SSNs whose first draws are forced into few values get distinct surrogates in the end."""
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", rows)
+    plain = pii.surrogate
+
+    def narrow(entity, attempt):
+        few = F.concat(F.lit("900-00-00"), F.lpad((F.pmod(F.xxhash64(entity), F.lit(5)) * 10).cast("string"), 2, "0"))
+        return F.when(attempt == 0, few).otherwise(plain(entity, attempt))
+
+    monkeypatch.setattr(pii, "surrogate", narrow)
+    docs = [(i, f"no {100 + i // 2:03d}-45-{6000 + i // 2:04d} here") for i in range(40)]
+    got = {r["doc_id"]: r["text"] for r in pii.replaced(frame(docs)).collect()}
+    assert all(got[i] == got[i + 1] for i in range(0, 40, 2)) and len(set(got.values())) == 20 and not set(got.values()) & {t for _, t in docs}
+
+
+def test_empty_table(frame):
+    assert pii.replaced(frame([])).count() == 0
