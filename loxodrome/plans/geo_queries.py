@@ -116,7 +116,7 @@ def grid_s2(spark, sf_dir):
 
 
 @query(f"""
-select n, 1120.0 as area, 136.0 as perimeter, (x0 + x1) / 2.0 as cx, (y0 + y1) / 2.0 as cy, cast(x0 as double) as minx, cast(y1 as double) as maxy, 5 as num_points, true as valid, 'Polygon' as kind, 1120.0 as signed_area, 2 as dimension, 28.0 as width,
+select n, 1120e0 as area, 136e0 as perimeter, (x0 + x1) / 2e0 as cx, (y0 + y1) / 2e0 as cy, cast(x0 as double) as minx, cast(y1 as double) as maxy, 5 as num_points, true as valid, 'Polygon' as kind, 1120e0 as signed_area, 2 as dimension, 28e0 as width,
   round(abs((x1 - x0) * 2 * (sin(radians(y1)) - sin(radians(y0)))) * pi() / 180 * 6371.0088 * 6371.0088 / 2, 2) as area_km2
 from ({_BOXES})
 """)
@@ -131,7 +131,7 @@ def measures(spark, sf_dir):
 
 
 @query(f"""
-select k, round(x + 3, 6) as tx, round(y * 2, 6) as sy, round(x * cos(0.5) - y * sin(0.5), 6) as rx, round(-y, 6) as my, round(x + 0.5 * y, 6) as shear_x, round(sqrt(25 + 144), 6) as length, round(x + 2.5, 6) as along_x, round(y + 6, 6) as along_y, 0.5 as located, true as closed, 2 as n
+select k, round(x + 3, 6) as tx, round(y * 2, 6) as sy, round(x * cos(0.5) - y * sin(0.5), 6) as rx, round(-y, 6) as my, round(x + 0.5 * y, 6) as shear_x, round(sqrt(25 + 144), 6) as length, round(x + 2.5, 6) as along_x, round(y + 6, 6) as along_y, 5e-1 as located, true as closed, 2 as n
 from ({_XY})
 """)
 def affine(spark, sf_dir):
@@ -250,7 +250,8 @@ def convex_hulls(spark, sf_dir):
 
 @query()
 def delaunay(spark, sf_dir):
-    p = _points(spark, sf_dir).filter("k % 9 = 0").select((F.col("k") % 5).alias("g"), F.col("k").alias("id"), "x", "y")
+    k = F.col("k")
+    p = _points(spark, sf_dir).filter("k <= 300").select((k % 5).alias("g"), k.alias("id"), (k * 37 % 101).cast("double").alias("x"), (k * k * 53 % 97).cast("double").alias("y"))
     return analysis.delaunay(p, ["g"])
 
 
@@ -290,7 +291,7 @@ def format_round_trips(spark, sf_dir):
     return p.select("k", "wkt", geom.x(back).alias("x"), geom.y(other).alias("y"), "geojson", "kml", same.alias("wkb_ok"))
 
 
-@query(f"select n, 'POLYGON ((' || x0 || ' ' || y0 || ', ' || x1 || ' ' || y0 || ', ' || x1 || ' ' || y1 || ', ' || x0 || ' ' || y1 || ', ' || x0 || ' ' || y0 || '))' as wkt, 1120.0 as area, 1120.0 as wkb_area from ({_BOXES})")
+@query(f"select n, 'POLYGON ((' || x0 || ' ' || y0 || ', ' || x1 || ' ' || y0 || ', ' || x1 || ' ' || y1 || ', ' || x0 || ' ' || y1 || ', ' || x0 || ' ' || y0 || '))' as wkt, 1120e0 as area, 1120e0 as wkb_area from ({_BOXES})")
 def polygon_formats(spark, sf_dir):
     b = _boxes(spark, sf_dir).select("n", "shape", formats.to_wkt(F.col("shape")).alias("wkt"), formats.to_wkb(F.col("shape")).alias("wkb"))
     return b.select("n", "wkt", _r(geom.area(formats.parse_wkt(F.col("wkt")))).alias("area"), _r(geom.area(formats.from_wkb(F.col("wkb")))).alias("wkb_area"))

@@ -318,7 +318,7 @@ def symbolic_columns(spark, sf_dir):
     return t.select("p_partkey", r(e).alias("value"), r(symbolic.diff(e, "x")).alias("dx"), r(symbolic.diff(e, "y")).alias("dy"), r(symbolic.diff(symbolic.diff(e, "x"), "x")).alias("dxx"), r(symbolic.expand(symbolic.parse("(x + y)^2"))).alias("square"))
 
 
-@query("select p_partkey, round(sqrt(p_size), 6) as bisect, round(sqrt(p_size), 6) as newton, round(pow(p_size, 3) / 3.0, 4) as quad, round(2.0 * p_size, 4) as diff, round(cast(p_size as double), 3) as minimize, round(3.0 * p_size * p_size - 2 * p_size + 1, 6) as polyval from part where p_size < 20")
+@query("select p_partkey, round(sqrt(p_size), 6) as bisect, round(sqrt(p_size), 6) as newton, round(pow(p_size, 3) / 3e0, 4) as quad, round(2e0 * p_size, 4) as diff, round(cast(p_size as double), 3) as minimize, round(3e0 * p_size * p_size - 2 * p_size + 1, 6) as polyval from part where p_size < 20")
 def numeric_methods(spark, sf_dir):
     n = F.col("p_size").cast("double")
     p = _parts(spark, sf_dir).filter("p_size < 20")
