@@ -218,3 +218,45 @@ def morans_i(points: DataFrame, key: str, value: str, radius: float) -> DataFram
     pairs = within_distance(p.select(key, "x", "y", "z"), p.select(key, "x", "y", "z"), radius).filter(F.col(key) != F.col(f"{key}_b"))
     s = pairs.agg(F.sum(F.col("z") * F.col("z_b")).alias("s"), F.count(F.lit(1)).alias("w"))
     return s.join(F.broadcast(m)).select((F.col("s") / F.col("w") / F.col("v")).alias("morans_i"))
+
+
+def quadrat_count(points: DataFrame, size: float) -> DataFrame:
+    """qx, qy, n: the points in each square of this size."""
+    return points.groupBy(F.floor(F.col("x") / size).cast("bigint").alias("qx"), F.floor(F.col("y") / size).cast("bigint").alias("qy")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def kernel_density(points: DataFrame, targets: DataFrame, key: str, radius: float) -> DataFrame:
+    """key, density: quartic kernels of the points within the radius of each target (key, x, y); 0 where there are none."""
+    pairs = within_distance(targets.select(F.col(key).alias("k"), "x", "y"), points.select("x", "y"), radius)
+    share = 1 - F.col("dist") * F.col("dist") / (radius * radius)
+    found = pairs.groupBy("k").agg(F.sum(share * share * F.lit(3 / (np.pi * radius * radius))).alias("d"))
+    return targets.select(F.col(key).alias("k")).join(found, "k", "left").select(F.col("k").alias(key), F.coalesce("d", F.lit(0.0)).alias("density"))
+
+
+def getis_ord_g(points: DataFrame, key: str, value: str, radius: float) -> DataFrame:
+    """key, g: the share of all other values that lies within the radius of each point."""
+    p = points.select(F.col(key).alias("k"), "x", "y", F.col(value).cast("double").alias("v"))
+    near = within_distance(p, p, radius).filter(F.col("k") != F.col("k_b")).groupBy("k").agg(F.sum("v_b").alias("s"))
+    total = p.agg(F.sum("v").alias("t"))
+    return p.join(near, "k", "left").join(F.broadcast(total)).select(F.col("k").alias(key), (F.coalesce("s", F.lit(0.0)) / (F.col("t") - F.col("v"))).alias("g"))
+
+
+def hillshade(a: DataFrame, cell: float = 1.0, azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
+    """row, col, value from 0 to 255; cells at the edge are left out."""
+    s = slope_aspect(a, cell)
+    zenith, sun = np.radians(90 - altitude), np.radians(azimuth)
+    slope, aspect = F.radians("slope"), F.radians("aspect")
+    light = F.lit(np.cos(zenith)) * F.cos(slope) + F.lit(np.sin(zenith)) * F.sin(slope) * F.cos(F.lit(sun) - aspect)
+    return s.select("row", "col", (F.greatest(light, F.lit(0.0)) * 255).alias("value"))
+
+
+def shortest_paths(edges: DataFrame, source) -> DataFrame:
+    """node, cost: the least cost from the source along edges (a, b, cost), by frontiers that widen until none improves."""
+    best = _kept(edges.sparkSession.createDataFrame([(source, 0.0)], f"node {edges.schema['a'].dataType.simpleString()}, cost double"))
+    frontier = best
+    while True:
+        step = frontier.join(edges.select(F.col("a").alias("node"), "b", F.col("cost").alias("w")), "node").groupBy(F.col("b").alias("node")).agg(F.min(F.col("cost") + F.col("w")).alias("new"))
+        frontier = _kept(step.join(best, "node", "left").filter(F.col("cost").isNull() | (F.col("new") < F.col("cost"))).select("node", F.col("new").alias("cost")))
+        if frontier.isEmpty():
+            return best
+        best = _kept(best.unionByName(frontier).groupBy("node").agg(F.min("cost").alias("cost")))

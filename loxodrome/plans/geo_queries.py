@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loxodrome.functions import geog, geom, grids
 from loxodrome.operators import analysis, spatial
+from loxodrome.operators.index import SpatialIndex
 from loxodrome.plans.base import Registry, table
 from loxodrome.sources import formats
 
@@ -305,3 +306,50 @@ def buffers(spark, sf_dir):
     return _points(spark, sf_dir).filter("k <= 200").select("k", geom.num_points(b).alias("n"), off.alias("round"))
 
 
+
+
+@query(f"select cast(floor(x / 30) as bigint) as qx, cast(floor(y / 30) as bigint) as qy, count(*) as n from ({_XY}) group by all")
+def quadrat_count(spark, sf_dir):
+    return analysis.quadrat_count(_points(spark, sf_dir), 30.0)
+
+
+@query(f"""
+select s, round(coalesce(sum(case when d <= 12 then pow(1 - d * d / 144, 2) * 3 / (pi() * 144) end), 0), 9) as density
+from (select s.s as s, sqrt(pow(p.x - s.x, 2) + pow(p.y - s.y, 2)) as d from ({_SITES}) s, ({_XY}) p) group by s
+""")
+def kernel_density(spark, sf_dir):
+    return analysis.kernel_density(_points(spark, sf_dir), _sites(spark, sf_dir), "s", 12.0).select("s", _r("density", 9).alias("density"))
+
+
+@query(f"""
+select a.s as s, round(coalesce(sum(case when a.s <> b.s and sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 40 then b.w end), 0) / (any_value(t) - any_value(a.w)), 8) as g
+from ({_SITES}) a, ({_SITES}) b, (select sum(w) as t from ({_SITES})) group by a.s
+""")
+def getis_ord_g(spark, sf_dir):
+    return analysis.getis_ord_g(_sites(spark, sf_dir), "s", "w", 40.0).select("s", _r("g", 8).alias("g"))
+
+
+@query("""
+with recursive e as (select n_nationkey as a, (n_nationkey * 7 + 3) % 25 as b, cast(n_nationkey % 5 + 1 as double) as cost from nation union all select n_nationkey, (n_nationkey + 1) % 25, 4e0 from nation),
+r(node, cost) as (select 0, 0e0 union select e.b, r.cost + e.cost from r join e on r.node = e.a where r.cost + e.cost < 60)
+select node, min(cost) as cost from r group by node
+""")
+def shortest_paths(spark, sf_dir):
+    n = F.col("n_nationkey")
+    t = table(spark, sf_dir, "nation")
+    edges = t.select(n.alias("a"), ((n * 7 + 3) % 25).alias("b"), (n % 5 + 1).cast("double").alias("cost")).union(t.select(n, (n + 1) % 25, F.lit(4.0)))
+    return analysis.shortest_paths(edges, 0)
+
+
+@query("""
+with r as (select i // 40 as row, i % 40 as col, cast((i * 7919) % 1000 as double) as value from range(1600) t(i))
+select a.row, a.col, round(degrees(atan(sqrt(pow((e.value - w.value) / 2, 2) + pow((s.value - n.value) / 2, 2)))), 6) as slope
+from r a join r e on e.row = a.row and e.col = a.col + 1 join r w on w.row = a.row and w.col = a.col - 1 join r s on s.row = a.row + 1 and s.col = a.col join r n on n.row = a.row - 1 and n.col = a.col
+""")
+def raster_slope(spark, sf_dir):
+    return analysis.slope_aspect(_raster(spark)).select("row", "col", _r("slope").alias("slope"))
+
+
+@query(f"select n from ({_BOXES}) where x1 >= -50 and x0 <= 20 and y1 >= -20 and y0 <= 10")
+def index_query(spark, sf_dir):
+    return SpatialIndex.of(_boxes(spark, sf_dir), "shape", 20.0).query(-50.0, -20.0, 20.0, 10.0).select("n")
