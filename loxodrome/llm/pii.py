@@ -11,7 +11,8 @@ gender, stays, first names come from the gender's list in the same script.
 
 Distinctness: over all distinct entities of the corpus the surrogates are compared with each other
 and with the entities themselves; of those that collide all but the smallest draw again, with the
-next attempt, until none collides. As a surrogate depends on nothing but key, kind, canonical form
+next attempt, until none collides (from the eighth attempt on, e-mail addresses grow by some
+letters, as there may be fewer of a short form than are needed). As a surrogate depends on nothing but key, kind, canonical form
 and attempt, one entity has one surrogate in all documents. Attempts above 0 are rare; only they
 are joined to the documents that hold such entities, all other rows are replaced in place without a
 shuffle.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from loxodrome.llm.common import Scratch
 
-KEY, MOST_ATTEMPTS = "loxodrome-surrogates", 64
+KEY, MOST_ATTEMPTS, WIDER_FROM = "loxodrome-surrogates", 64, 8
 #: Entities that had to draw again are broadcast up to so many.
 BROADCAST_ROWS = 200_000
 
@@ -200,6 +201,8 @@ def surrogate(entity: Column, attempt: Column) -> Column:
         cc = F.regexp_extract(e, r"^\+\d{1,3}(?=\D)", 0)  # the country's code stays
         # what stays in front of letters and digits that are replaced one by one
         front = F.when(kind == "iban", F.substring(e, 1, 2)).when(kind == "phone", cc).otherwise(F.lit(""))
+        # addresses so short that their form has too few others grow
+        wider = F.when((kind == "email") & (attempt >= WIDER_FROM), F.lower(F.hex(F.get(draws, F.lit(127)) + 4096))).otherwise(F.lit(""))
         rest = F.substring(F.when(kind == "email", F.lower(e)).otherwise(e), F.char_length(front) + 1, F.char_length(e))
         stays = F.when(kind == "email", top).otherwise(F.lit(1 << 30))
         return (
@@ -207,7 +210,7 @@ def surrogate(entity: Column, attempt: Column) -> Column:
             .when(kind == "card", _card(e, draws))
             .when(kind == "name", _name(e, draws))
             .when(kind == "secret", F.concat(lead, let(secret, lambda x: _hexed(x, draws))))
-            .otherwise(F.concat(front, let(F.struct(rest.alias("x"), stays.alias("n")), lambda s: _same_form(s["x"], draws, s["n"]))))
+            .otherwise(F.concat(wider, front, let(F.struct(rest.alias("x"), stays.alias("n")), lambda s: _same_form(s["x"], draws, s["n"]))))
         )
 
     return let(F.struct(entity.alias("e"), kind_of(entity).alias("k")), lambda s: made(s["e"], s["k"]))

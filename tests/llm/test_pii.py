@@ -70,3 +70,10 @@ def test_collisions_draw_again(spark, frame, monkeypatch, rows):
 
 def test_empty_table(frame):
     assert pii.replaced(frame([])).count() == 0
+
+
+def test_more_short_addresses_than_their_form_has(frame):
+    """All 26 of x@q.co and more: x@<letter>.co has 676 forms, of which the originals may not be used."""
+    docs = [(26 * i + j, f"to {chr(97 + i)}@{chr(97 + j)}.co now") for i in range(26) for j in range(26)]
+    got = [r["text"] for r in pii.replaced(frame(docs)).collect()]
+    assert len(set(got)) == len(docs) and not set(got) & {t for _, t in docs}
