@@ -28,7 +28,7 @@ from loxodrome.llm.common import held_out, sampled
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 TRAIN_DOCS, EXCERPTS = 3_000, 4
-EPOCHS, BATCH, RATE, SEED = 4, 128, 0.01, 7
+EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 4, 300, 128, 0.01, 7
 UNKNOWN = "und"
 
 
@@ -104,7 +104,8 @@ def train(texts: list[bytes], labels: list[str]) -> ByteConvNet | None:
     params = [*[net.tables[w] for w in WIDTHS], net.bias, net.out, net.out_bias]
     mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
-    for _ in range(EPOCHS):
+    # few windows are gone over more often
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // max(1, len(x))))):
         order = rng.permutation(len(x))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
