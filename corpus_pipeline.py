@@ -15,7 +15,7 @@ from loxodrome.llm.common import Scratch, documents, read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents whose best language has a smaller share are rejected, as are those without letters.
-LEAST_SHARE = 0.4
+LEAST_SHARE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
