@@ -133,7 +133,7 @@ def listed(classes: DataFrame, percent: int) -> DataFrame:
     """id: the classes (id, n, sketch) that share an inverted list of retained values with another."""
     values = classes.select("id", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    by_class = values.join(shared, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"))
+    by_class = values.join(shared, "value").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
     by_class = by_class.join(classes.select("id", "n"), "id")
     rare = F.least("n", F.lit(LISTED)) - F.size("common")  # these come first in the prefix, and nobody else lists them
     entries = by_class.withColumn("take", F.greatest(_prefix(F.col("n"), percent) - rare, F.lit(0)).cast("int")).filter("take > 0")
@@ -165,7 +165,7 @@ class Linker:
         side = lambda s: self.members.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"))
         ends = lambda s: held.select(F.col(s)).distinct()
         both = side("a").join(held, "a").join(side("b").join(ends("b"), "b", "left_semi"), "b")
-        union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, KEPT)
+        union = F.slice(F.sort_array(F.array_union("s_a", "s_b")), 1, KEPT)
         shared = F.array_intersect("s_a", "s_b")
         guess = F.size(F.array_intersect(union, shared)) / F.size(union)
         likely = both.filter((F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= LEAST_ESTIMATE) & (guess >= LEAST_ESTIMATE))
@@ -181,10 +181,10 @@ class Linker:
         """shingle, id, n, place, central: what each class lists of its whole set, rarest first."""
         each = self.sets.select("id", F.explode("shingles").alias("shingle"))
         shared = each.groupBy("shingle").agg(F.count(F.lit(1)).cast("int").alias("df")).filter("df > 1")
-        by_class = each.join(shared, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("common"))
+        by_class = each.join(shared, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("common"), F.sum(F.log2("df")).alias("logs"))
         by_class = by_class.join(self.classes.select("id", "n").distinct(), "id")
         alone = F.col("n") - F.size("common")  # first in the order, and in no list
-        central = F.aggregate("common", F.lit(0.0), lambda s, c: s + F.log2(c["df"])) / F.col("n")
+        central = F.col("logs") / F.col("n")
         reach = F.col("n") - F.ceil(F.col("n") * self.percent / F.lit(100.0)) + 1
         take = F.greatest(reach - alone, F.lit(0)).cast("int")
         return by_class.select("id", "n", central.alias("central"), alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), take)).alias("at", "c")).select("c.shingle", "id", "n", (F.col("alone") + F.col("at")).alias("place"), "central")
