@@ -129,12 +129,15 @@ def learnt(docs: DataFrame, limit: int = TRAIN_DOCS) -> tuple[LabelModel, Hashed
     some = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = sorted(r["text"].encode() for r in sampled(some, limit, "doc_id", "text").select("text").collect())
     y = model.good(np.array([votes(t) for t in texts], np.int64)) if texts else np.empty(0)
-    features = [present(t) for t in texts]
-    seen = np.bincount(np.concatenate([np.empty(0, np.uint32), *features]), minlength=1 << BITS)
-    weight = np.bincount(np.concatenate([np.empty(0, np.uint32), *features]), np.concatenate([np.empty(0), *[np.full(len(f), v) for f, v in zip(features, y, strict=True)]]), 1 << BITS)
+    seen, weight = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS)
+    for t, v in zip(texts, y, strict=True):  # one text's n-grams are held at a time
+        f = present(t)
+        seen[f] += 1
+        weight[f] += v
     # n-grams in enough texts whose share of good texts is off the mean
     odd = np.abs(weight / np.maximum(seen, 1) - (y.mean() if len(y) else 0.5)) > 0.1
-    return model, fitted(features, y, ((seen >= LEAST_TEXTS) & odd).astype(float))
+    scale = ((seen >= LEAST_TEXTS) & odd).astype(float)
+    return model, fitted([f[scale[f] != 0] for f in (present(t) for t in texts)], y, scale)
 
 
 def scored(docs: DataFrame, model: LabelModel, scorer: HashedLinear) -> DataFrame:

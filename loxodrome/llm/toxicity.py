@@ -28,11 +28,11 @@ from loxodrome.llm.hashed import BITS, HashedLinear, fitted, present
 ORDERS, TRAIN_TOXIC, TRAIN_CLEAN, LEAST_TEXTS, LEAST_RATIO = (4, 6, 8), 3_000, 5_000, 5, 2.0
 
 
-def log_count_ratios(features: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """For each feature the log of the ratio of its smoothed shares in the two classes; 0 where it is rare or tells little."""
-    empty = [np.empty(0, np.uint32)]
-    pos = np.bincount(np.concatenate(empty + [f for f, v in zip(features, y, strict=True) if v]), minlength=1 << BITS)
-    neg = np.bincount(np.concatenate(empty + [f for f, v in zip(features, y, strict=True) if not v]), minlength=1 << BITS)
+def log_count_ratios(texts: list[bytes], y: np.ndarray) -> np.ndarray:
+    """For each feature the log of the ratio of its smoothed shares in the two classes; 0 where it is rare or tells little. One text's features are held at a time."""
+    pos, neg = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for t, v in zip(texts, y, strict=True):
+        (pos if v else neg)[present(t, ORDERS)] += 1
     r = np.log((pos + 1) / (y.sum() + 2)) - np.log((neg + 1) / ((1 - y).sum() + 2))
     return np.where((pos + neg >= LEAST_TEXTS) & (np.abs(r) >= LEAST_RATIO), r, 0.0)
 
@@ -42,8 +42,9 @@ def train(texts: list[bytes], toxic: list[int]) -> HashedLinear:
     if not len(y) or y.min() == y.max():
         share = float(y[0]) if len(y) else 0.0
         return HashedLinear(np.empty(0, np.uint32), np.empty(0, np.float32), 30.0 if share else -30.0)
-    features = [present(t, ORDERS) for t in texts]
-    return fitted(features, y, log_count_ratios(features, y), ORDERS)
+    scale = log_count_ratios(texts, y)
+    features = [f[scale[f] != 0] for f in (present(t, ORDERS) for t in texts)]
+    return fitted(features, y, scale, ORDERS)
 
 
 def learnt(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> HashedLinear:
