@@ -70,8 +70,9 @@ class HashedLinear:
         return score
 
 
-def fitted(features: list[np.ndarray], y: np.ndarray, scale: np.ndarray, orders: tuple[int, ...] = ORDERS, ridge: float = 1e-3, epochs: int = 60, rate: float = 0.05) -> HashedLinear:
-    """Logistic regression on scale * presence, by Adam on all rows at once; y may hold probabilities. Features of scale 0 are left out."""
+def fitted(features: list[np.ndarray], y: np.ndarray, scale: np.ndarray, orders: tuple[int, ...] = ORDERS, ridge: float = 1e-3, epochs: int = 60, rate: float = 0.05, rows: np.ndarray | None = None) -> HashedLinear:
+    """Logistic regression on scale * presence, by Adam on all rows at once; y may hold probabilities, rows the rows' weights. Features of scale 0 are left out."""
+    share_of = np.full(len(y), 1 / max(1, len(y))) if rows is None else rows / rows.sum()
     kept = np.flatnonzero(scale).astype(np.int64)
     place = np.full(len(scale), -1, np.int32)
     place[kept] = np.arange(len(kept), dtype=np.int32)
@@ -80,11 +81,11 @@ def fitted(features: list[np.ndarray], y: np.ndarray, scale: np.ndarray, orders:
     flat = np.concatenate(cols) if cols else np.empty(0, np.int32)
     value = scale[kept].astype(np.float32)[flat]
     w, m, s = np.zeros(len(kept)), np.zeros(len(kept)), np.zeros(len(kept))
-    share = float(np.clip(y.mean() if len(y) else 0.5, 1e-4, 1 - 1e-4))
+    share = float(np.clip(share_of @ y if len(y) else 0.5, 1e-4, 1 - 1e-4))
     b, mb, sb = float(np.log(share / (1 - share))), 0.0, 0.0
     for e in range(1, epochs + 1 if len(y) and len(kept) else 1):
-        g = sigmoid(np.bincount(row, w[flat] * value, len(cols)) + b) - y
-        gw, gb = np.bincount(flat, g[row] * value, len(kept)) / len(y) + ridge * w, float(g.mean())
+        g = (sigmoid(np.bincount(row, w[flat] * value, len(cols)) + b) - y) * share_of
+        gw, gb = np.bincount(flat, g[row] * value, len(kept)) + ridge * w, float(g.sum())
         m += 0.1 * (gw - m)
         s += 0.01 * (gw * gw - s)
         w -= rate * (m / (1 - 0.9**e)) / (np.sqrt(s / (1 - 0.99**e)) + 1e-7)

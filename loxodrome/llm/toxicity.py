@@ -6,7 +6,8 @@ near 1 are left out. Logistic regression then weighs the scaled presences.
 
 It is trained in numpy on the driver, on about TRAIN_TOXIC toxic and TRAIN_CLEAN other labelled
 documents outside the held-out fold: of either class those with the smallest hashes of their ids.
-As toxic texts are rare, scores lean to them where the sample holds more of them than the corpus.
+Both classes are counted over all labels outside the fold, and each row of a sample stands for as many
+labels as its class has for each row drawn, so that 0.5 means even odds in the corpus at every size.
 
 Defined results: null and empty texts get the score of a text without any n-gram; of repeated
 labels the largest counts; null labels are left out; without labels, or with one class only, every
@@ -37,23 +38,26 @@ def log_count_ratios(texts: list[bytes], y: np.ndarray) -> np.ndarray:
     return np.where((pos + neg >= LEAST_TEXTS) & (np.abs(r) >= LEAST_RATIO), r, 0.0)
 
 
-def train(texts: list[bytes], toxic: list[int]) -> HashedLinear:
+def train(texts: list[bytes], toxic: list[int], weights: tuple[float, float] = (1.0, 1.0)) -> HashedLinear:
+    """weights: how many labels a text of the class 0 and of the class 1 stands for."""
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
         share = float(y[0]) if len(y) else 0.0
         return HashedLinear(np.empty(0, np.uint32), np.empty(0, np.float32), 30.0 if share else -30.0)
     scale = log_count_ratios(texts, y)
     features = [f[scale[f] != 0] for f in (present(t, ORDERS) for t in texts)]
-    return fitted(features, y, scale, ORDERS)
+    return fitted(features, y, scale, ORDERS, rows=np.where(y > 0, weights[1], weights[0]))
 
 
 def learnt(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> HashedLinear:
     """The classifier trained on about so many of docs (doc_id, text) of either class, by labels (doc_id, toxic)."""
     known = labels.select("doc_id", "toxic").filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = {r["hit"]: r["count"] for r in known.groupBy((F.col("toxic") > 0).alias("hit")).count().collect()}
     few = sampled(known.filter("toxic > 0"), toxic, "doc_id").union(sampled(known.filter("toxic <= 0"), clean, "doc_id"))
+    weights = max(1.0, n.get(False, 0) / clean), max(1.0, n.get(True, 0) / toxic)
     some = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").select("text", "toxic")  # about toxic + clean rows
     pairs = sorted(((r["text"] or "").encode(), int(r["toxic"] > 0)) for r in some.dropDuplicates().collect())
-    return train([t for t, _ in pairs], [y for _, y in pairs])
+    return train([t for t, _ in pairs], [y for _, y in pairs], weights)
 
 
 def scored(docs: DataFrame, model: HashedLinear) -> DataFrame:

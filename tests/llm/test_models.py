@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from loxodrome.llm import hashed, langid, quality, toxicity
+from loxodrome.llm.common import held_out
 from loxodrome.llm.queries import op2_language, op3_toxicity
 
 
@@ -60,6 +61,17 @@ def test_toxicity_edges(spark, frame):
     assert toxicity.scored(frame(docs), none).agg({"score": "max"}).first()[0] < 1e-6
 
 
+def test_toxicity_keeps_the_prior_of_all_labels(spark):
+    """Samples of 300 toxic and 500 other texts, where about one label in nine is toxic."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    some = docs.filter(held_out(docs["doc_id"])).join(labels.select("doc_id").distinct(), "doc_id")
+    got = [(r["predicted"], truth[r["row"]["doc_id"]]) for r in toxicity.scored(some, toxicity.learnt(docs, labels, 300, 500)).collect()]
+    clean, toxic = [p for p, t in got if not t], [p for p, t in got if t]
+    assert np.mean(clean) < 0.03 and np.mean(toxic) > 0.7
+
+
 def test_hashed_scores_do_not_depend_on_batches():
     model = hashed.fitted([hashed.present(b"good text here"), hashed.present(b"bad stuff there")], np.array([1.0, 0.0]), np.ones(1 << hashed.BITS))
     score = model.scorer()
