@@ -1,10 +1,16 @@
 """Fixity audit of WARC replicas by Merkle trees.
 
-Records are laid out in files in a fixed order; a leaf is the SHA-256 of a record with its offset and
-length. FAN consecutive leaves of a file, an ordered range of offsets, make a node whose hash is
-that of its children's hashes, and so on up to one root for each file. Two replicas are compared
-root by root; below roots that differ only the children of differing nodes are compared, level by
-level, down to the records that are corrupt or missing.
+Records are laid out in files in a fixed order; a leaf is the SHA-256 of a record's digest, offset,
+length and number of copies. FAN consecutive leaves of a file make a node whose hash is that of its
+range of offsets and its children's hashes, and so on up to one root for each file. Two replicas are
+compared root by root; below roots that differ only the children of differing nodes are compared,
+level by level, down to the leaves that differ.
+
+A lost or changed record moves those after it, so the records of differing leaves are realigned
+whatever their file and place: first whole copies with whole copies of the same page_id, URL and
+digest (``ok``, also where they moved), then what is left of one page_id and URL, copy by copy
+(``corrupt``). Copies beyond that are ``missing`` or ``extra``; a record of which some copies are
+whole and others not has a row for either part.
 
 A file holds the pages of FILE_PAGES consecutive ids; where a range has more than MOST_RECORDS
 records (one id may repeat), it is split into several files by a hash. Equal records of one id and
@@ -57,14 +63,14 @@ def leaves(pages: DataFrame) -> DataFrame:
 def parents(nodes: DataFrame) -> DataFrame:
     """file, place, offset, end, digest: the level above these nodes."""
     children = F.array_sort(F.collect_list(F.struct("place", "digest")))
-    return nodes.groupBy("file", F.floor(F.col("place") / FAN).cast("bigint").alias("place")).agg(
-        F.min("offset").alias("offset"), F.max("end").alias("end"), F.sha2(F.array_join(F.transform(children, lambda c: c["digest"]), ""), 256).alias("digest")
-    )
+    whole = nodes.groupBy("file", F.floor(F.col("place") / FAN).cast("bigint").alias("place")).agg(F.min("offset").alias("offset"), F.max("end").alias("end"), F.transform(children, lambda c: c["digest"]).alias("below"))
+    return whole.select("file", "place", "offset", "end", F.sha2(F.concat_ws(":", "offset", "end", "below"), 256).alias("digest"))
 
 
 def tree(scratch: Scratch, leaf: DataFrame) -> list[DataFrame]:
     """The levels from the leaves to the files' roots."""
-    level = scratch.table(leaf.select("file", F.col("place").cast("bigint").alias("place"), "offset", (F.col("offset") + F.col("length") * F.col("copies")).alias("end"), "digest"))
+    hashed = F.sha2(F.concat_ws(":", "digest", "offset", "length", "copies"), 256)
+    level = scratch.table(leaf.select("file", F.col("place").cast("bigint").alias("place"), "offset", (F.col("offset") + F.col("length") * F.col("copies")).alias("end"), hashed.alias("digest")))
     out = [level]
     while (level.agg(F.max("place")).first()[0] or 0) > 0:
         level = scratch.table(parents(level))
@@ -87,16 +93,37 @@ def mismatches(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
     return differing
 
 
+def realigned(own: DataFrame, other: DataFrame) -> DataFrame:
+    """file, page_id, offset, length, copies, digest, status of these records of both replicas, matched by what they hold and not by their places."""
+    sides = own.withColumn("own", F.lit(True)).unionByName(other.withColumn("own", F.lit(False)))
+    on = lambda c, own: F.max(F.when(F.col("own") == own, F.col(c)))
+    each = sides.groupBy("page_id", "url", "length", "digest").agg(
+        *[on(c, o).alias(f"{c}_{s}") for c in ("file", "offset") for s, o in (("a", True), ("b", False))], *[F.coalesce(on("copies", o), F.lit(0)).alias(s) for s, o in (("a", True), ("b", False))]
+    )
+    each = each.withColumn("both", F.least("a", "b")).withColumn("left_a", F.col("a") - F.col("both")).withColumn("left_b", F.col("b") - F.col("both")).withColumn("file", F.coalesce("file_a", "file_b"))
+    # sums before a record in two steps, so that no task holds more of one page_id and URL than a file does
+    files = each.groupBy("page_id", "url", "file").agg(F.sum("left_a").alias("file_left_a"), F.sum("left_b").alias("file_left_b"))
+    key = Window.partitionBy("page_id", "url")
+    sums = [c for s in ("a", "b") for c in (F.sum(f"file_left_{s}").over(key).alias(f"all_{s}"), F.coalesce(F.sum(f"file_left_{s}").over(key.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"files_{s}"))]
+    files = files.select(F.col("page_id").alias("p"), F.col("url").alias("u"), F.col("file").alias("f"), *sums)
+    within = Window.partitionBy("page_id", "url", "file").orderBy("digest", "length").rowsBetween(Window.unboundedPreceding, -1)
+    first = {s: F.col(f"files_{s}") + F.coalesce(F.sum(f"left_{s}").over(within), F.lit(0)) for s in ("a", "b")}
+    met = lambda s, t: F.greatest(F.lit(0), F.least(F.col(f"left_{s}"), F.col(f"all_{t}") - F.col(f"first_{s}")))
+    each = each.join(files, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("url") == F.col("u")) & (F.col("file") == F.col("f")))
+    each = each.withColumns({f"first_{s}": c for s, c in first.items()}).withColumn("corrupt", met("a", "b")).withColumn("extra", F.col("left_b") - met("b", "a"))
+    part = lambda s, at, copies, status: F.struct(F.col(f"file_{s}").alias("file"), (F.col(f"offset_{s}") + F.col("length") * at).alias("offset"), copies.cast("bigint").alias("copies"), F.lit(status).alias("status"))
+    both, corrupt, extra = F.col("both"), F.col("corrupt"), F.col("extra")
+    parts = F.array(part("a", F.lit(0), both, "ok"), part("a", both, corrupt, "corrupt"), part("a", both + corrupt, F.col("left_a") - corrupt, "missing"), part("b", F.col("b") - extra, extra, "extra"))
+    return each.select("page_id", "length", "digest", F.explode(F.filter(parts, lambda p: p["copies"] > 0)).alias("p")).select("p.file", "page_id", "p.offset", "length", "p.copies", "digest", "p.status")
+
+
 def audit(pages: DataFrame, replica: DataFrame) -> DataFrame:
     """file, page_id, offset, length, copies, digest, status: each record of pages against the replica; records that only the replica has are ``extra``."""
     scratch = Scratch(pages.sparkSession, "warc")
     own, other = scratch.table(leaves(pages)), scratch.table(leaves(replica))
-    bad = mismatches(tree(scratch, own), tree(scratch, other))
-    seen = own.join(bad.select("file", "place", "digest_b", F.lit(True).alias("bad")), ["file", "place"], "left")
-    status = F.when(F.col("bad").isNull(), F.lit("ok")).when(F.col("digest_b").isNull(), F.lit("missing")).otherwise(F.lit("corrupt"))
-    listed = seen.select("file", "page_id", "offset", "length", "copies", "digest", status.alias("status"))
-    more = other.join(bad.filter(F.col("digest_a").isNull()).select("file", "place"), ["file", "place"], "left_semi").select("file", "page_id", "offset", "length", "copies", "digest", F.lit("extra").alias("status"))
-    return listed.union(more)
+    bad = scratch.table(mismatches(tree(scratch, own), tree(scratch, other)).select("file", "place"))
+    whole = own.join(bad, ["file", "place"], "left_anti").select("file", "page_id", "offset", "length", "copies", "digest", F.lit("ok").alias("status"))
+    return whole.union(realigned(*[d.join(bad, ["file", "place"], "left_semi") for d in (own, other)]))
 
 
 def decayed(pages: DataFrame, one_in: int = 97) -> DataFrame:

@@ -72,6 +72,28 @@ def test_hot_file_is_split(spark, monkeypatch):
     assert len({r["file"] for r in got}) > 5 and any(r["status"] != "ok" for r in got)
 
 
+def found(spark, own, other):
+    """(page_id, status) -> copies, of what an audit doesn't call ok."""
+    kinds = "page_id bigint, url string, html string"
+    got = warc.audit(spark.createDataFrame(own, kinds), spark.createDataFrame(other, kinds)).collect()
+    assert sum(r["copies"] for r in got if r["status"] != "extra") == len(own)
+    return {(r["page_id"], s): sum(x["copies"] for x in got if (x["page_id"], x["status"]) == (r["page_id"], s)) for r in got if (s := r["status"]) != "ok"}
+
+
+def test_audit_counts_copies_and_realigns(spark, monkeypatch):
+    own = [(i, f"u{i}", f"<p>{i}</p>") for i in range(40)] + [(7, "u7", "<p>7</p>")] * 3
+    assert found(spark, own, own[:-2]) == {(7, "missing"): 2}
+    assert found(spark, own[:-2], own) == {(7, "extra"): 2}
+    assert found(spark, own, [r for r in own if r[0] != 20]) == {(20, "missing"): 1}
+    assert found(spark, own, [*own[:10], (10, "u10", "<p>"), *own[11:], (3, "u3", "<p>3</p>"), (41, "u", "new")]) == {(10, "corrupt"): 1, (3, "extra"): 1, (41, "extra"): 1}
+    assert found(spark, own, [*own[:-2], (7, "u7", "bad")]) == {(7, "corrupt"): 1, (7, "missing"): 1}
+    assert found(spark, [*own, (None, None, "x")], own) == {(None, "missing"): 1}
+    monkeypatch.setattr(warc, "MOST_RECORDS", 50)
+    hot = [(5, "u", str(i)) for i in range(200)]
+    assert found(spark, hot, [*hot[:9], (5, "u", "bad"), *hot[10:]]) == {(5, "corrupt"): 1}
+    assert found(spark, hot, hot[:90]) == {(5, "missing"): 110}
+
+
 def plain_base(text):
     w, places, labels = words(text), [], set()
     for phrase, label in licenses.BASE:
