@@ -65,12 +65,12 @@ FAMILIES: list[tuple[str, str, str, tuple[str, ...], tuple[str, ...]]] = [
     ("bsl", "boost software licen[cs]e", "bsl", ("boost software", "bsl"), ("1.0",)),
     ("busl", "business source licen[cs]e", "busl", ("business source", "busl"), ("1.1",)),
     ("sspl", "server side public licen[cs]e", "sspl", ("server side", "sspl"), ("1.0",)),
-    ("elastic", "elastic licen[cs]e", "elastic", ("elastic licen",), ("1.0", "2.0")),
+    ("elastic", "elastic licen[cs]e", "elastic", ("elastic",), ("1.0", "2.0")),
     ("ecl", "educational community licen[cs]e", "ecl", ("educational community", "ecl"), ("1.0", "2.0")),
     ("efl", "eiffel forum licen[cs]e", "efl", ("eiffel", "efl"), ("1.0", "2.0")),
     ("lppl", "latex project public licen[cs]e", "lppl", ("latex project", "lppl"), ("1.0", "1.1", "1.2", "1.3")),
     ("ofl", "(?:sil )?open font licen[cs]e", "ofl", ("open font", "ofl"), ("1.0", "1.1")),
-    ("php", "php licen[cs]e", "php", ("php licen", "php 3"), ("3.0", "3.01")),
+    ("php", "php licen[cs]e", "php", ("php",), ("3.0", "3.01")),
     ("python", "python (?:software foundation )?licen[cs]e", "psf", ("python", "psf"), ("2.0", "2.0.1")),
     ("qpl", "q public licen[cs]e", "qpl", ("q public", "qpl"), ("1.0",)),
     ("rpl", "reciprocal public licen[cs]e", "rpl", ("reciprocal public", "rpl"), ("1.1", "1.5")),
@@ -84,9 +84,9 @@ FAMILIES: list[tuple[str, str, str, tuple[str, ...], tuple[str, ...]]] = [
     ("odc-by", "open data commons attribution licen[cs]e", "odc by", ("data commons attribution", "odc by"), ("1.0",)),
     ("pddl", "public domain dedication and licen[cs]e", "pddl", ("public domain dedication", "pddl"), ("1.0",)),
     ("ogl-uk", "open government licen[cs]e", "ogl uk", ("open government", "ogl"), ("1.0", "2.0", "3.0")),
-    ("etalab", "(?:etalab )?(?:licence ouverte|open licence)", "etalab", ("licence ouverte", "etalab"), ("1.0", "2.0")),
+    ("etalab", "(?:etalab )?(?:licence ouverte|open licence)", "etalab", ("licence ouverte", "open licence", "etalab"), ("1.0", "2.0")),
     ("mulanpsl", "mulan permissive software licen[cs]e", "mulanpsl", ("mulan",), ("1.0", "2.0")),
-    ("vim", "vim licen[cs]e", "vim", ("vim licen",), ()),
+    ("vim", "vim licen[cs]e", "vim", ("vim licen", "identifier vim"), ()),
     ("unicode", "unicode (?:dfs|terms|licen[cs]e)(?: \\d+)?", "unicode dfs", ("unicode",), ("2015", "2016")),
     ("zlib", "zlib(?: libpng)? licen[cs]e", "zlib", ("zlib",), ()),
     ("isc", "isc licen[cs]e", "isc", ("isc licen", "identifier isc"), ()),
@@ -98,7 +98,7 @@ FAMILIES: list[tuple[str, str, str, tuple[str, ...], tuple[str, ...]]] = [
     ("json", "json licen[cs]e", "json", ("json licen", "identifier json"), ()),
     ("blueoak", "blue oak model licen[cs]e", "blueoak", ("blue oak", "blueoak"), ("1.0.0",)),
     ("hippocratic", "hippocratic licen[cs]e", "hippocratic", ("hippocratic",), ("1.2", "2.0", "2.1", "3.0")),
-    ("parity", "parity public licen[cs]e", "parity", ("parity public", "identifier parity"), ("6.0", "7.0")),
+    ("parity", "parity public licen[cs]e", "parity", ("parity",), ("6.0", "7.0")),
     ("polyform", "polyform (?:noncommercial|small business|shield|perimeter|strict|internal use|free trial) licen[cs]e", "polyform", ("polyform",), ("1.0.0",)),
     ("openrail", "(?:creativeml )?open ?rail(?: [ms]+)? licen[cs]e", "openrail", ("openrail", "open rail"), ()),
     ("llama", "llama \\d? ?community licen[cs]e", "llama community", ("llama",), ("2", "3")),
@@ -121,9 +121,9 @@ NOTICES: list[tuple[str, str, tuple[str, ...]]] = [
     ("mit", "(?:the )?mit licen[cs]e", ("mit licen",)),
     ("mit", "spdx license identifier (?:mit|x11)", ("spdx",)),
     ("mit-0", "(?:mit no attribution|spdx license identifier mit 0)", ("mit no attribution", "spdx")),
-    ("bsd-0", "(?:bsd zero clause|zero clause bsd|0bsd|bsd 0 clause)", ("bsd",)),
+    ("bsd-0", "(?:bsd zero clause|zero clause bsd|0bsd|bsd 0 clause)", ("bsd", "0bsd")),
     ("bsd-1", "(?:bsd 1 clause|1 clause bsd)", ("bsd",)),
-    ("bsd-2", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?", ("bsd",)),
+    ("bsd-2", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?", ("bsd", "freebsd")),
     ("bsd-3", "(?:bsd 3 clause|3 clause bsd|new bsd|revised bsd|modified bsd)(?: licen[cs]e)?", ("bsd",)),
     ("bsd-4", "(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[cs]e)?", ("bsd",)),
     ("bsd", "bsd (?:style )?licen[cs]e", ("bsd",)),
@@ -152,7 +152,7 @@ NOTICES: list[tuple[str, str, tuple[str, ...]]] = [
     ("reserved", "alle rechte vorbehalten", ("rechte",)),
     ("reserved", "(?:todos|reservados todos) los derechos(?: reservados)?", ("derechos",)),
     ("reserved", "reproduction (?:in whole or in part )?(?:without .{1,30}? )?(?:is )?(?:strictly )?(?:prohibited|forbidden)", ("reproduction",)),
-    ("proprietary", "(?:proprietary|confidential) and (?:proprietary|confidential)", ("proprietary",)),
+    ("proprietary", "(?:proprietary|confidential) and (?:proprietary|confidential)", ("proprietary", "confidential and")),
     ("proprietary", "(?:unauthori[sz]ed|unlicen[cs]ed) (?:copying|use|reproduction|distribution)", ("unauthori", "unlicen")),
     ("proprietary", "end user licen[cs]e agreement", ("end user",)),
     ("proprietary", "may not be (?:copied|reproduced|published|broadcast|redistributed)", ("may not be",)),

@@ -1,6 +1,7 @@
 """Mixing, fixity audit, license scans and the pipeline."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -129,6 +130,53 @@ def test_rules_compile_and_match_their_own_forms():
     assert [d.label for d in scanner.detections(b" the mozilla public license version 2 0 applies ")] == ["mpl-2.0"]
 
 
+def strings(pattern, rng):
+    """A string that the pattern matches, by random choices at each alternative, class and repeat."""
+
+    def of(tokens):
+        out = ""
+        for op, arg in tokens:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(arg)
+            elif op == "ANY":
+                out += "x"
+            elif op == "IN":
+                chosen = rng.choice(arg)
+                out += {"LITERAL": lambda: chr(chosen[1]), "CATEGORY": lambda: rng.choice("123")}[str(chosen[0])]()
+            elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+                low, high, inner = arg
+                out += "".join(of(inner) for _ in range(rng.randint(low, min(int(high), low + 2))))
+            elif op == "SUBPATTERN":
+                out += of(arg[3])
+            elif op == "BRANCH":
+                out += of(rng.choice(arg[1]))
+            else:
+                assert op in ("ASSERT", "ASSERT_NOT"), op
+        return out
+
+    return of(re._parser.parse(pattern))
+
+
+def test_keywords_are_in_whatever_their_rules_match():
+    """Generated examples of each rule, with and without the prefilter."""
+    rng, scanner = random.Random(5), licenses.Scanner()
+    lost = set()
+    for r in licenses.RULES:
+        compiled, seen = re.compile(r.pattern), set()
+        for _ in range(60):
+            text = f" {strings(r.pattern, rng)} "
+            assert compiled.search(text), (r, text)
+            if text not in seen and not any(f" {k}" in text for k in r.keywords):
+                lost.add((r.label, text))
+            seen.add(text)
+    assert not lost
+    everything = licenses.Scanner([licenses.Rule(r.rank, r.label, r.pattern, ("",), r.weight) for r in licenses.RULES])
+    for text in ("0BSD", "FreeBSD license", "SPDX-License-Identifier: Elastic-2.0", "Elastic 2.0", "SPDX-License-Identifier: Vim", "Parity 7.0", "Open Licence 2.0", "PHP v3.01"):
+        got = scanner.scan(text.encode())
+        assert got == everything.scan(text.encode()) and got[5] and got[6]
+
+
 def test_contained_spans_are_suppressed():
     d = lambda a, b, rank: licenses.Detection(a, b, rank, str(rank), 1.0)
     assert licenses.resolved([d(0, 10, 5), d(2, 8, 0), d(0, 10, 3), d(8, 14, 1)]) == [d(0, 10, 3), d(8, 14, 1)]
