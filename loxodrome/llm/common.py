@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,7 @@ SPACED_PATTERN = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Labelled rows are learnt from where the remainder isn't 0.
 FOLDS = 5
+ROW_KEY = ["k1", "k2"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loxodrome-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -76,6 +80,11 @@ class Scratch:
         _remove(self.spark, df._loxodrome_path)
 
 
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    """k1, k2: 128 bits that rows of one doc_id and text share, whether these are null or not."""
+    return [F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(F.lit(7), text, doc_id).alias("k2")]
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all else as it is. Plain ASCII takes the byte loop of lower()."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

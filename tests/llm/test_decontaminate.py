@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from loxodrome.llm import decontaminate
@@ -41,6 +43,32 @@ def test_without_broadcast(frame, spark, prose, monkeypatch):
     check(frame, spark, *cases(prose))
 
 
+def by_row(docs, items):
+    return Counter((d, n, hit, tuple(found)) for d, t in docs for n, hit, found in [contamination([(0, t)], items)[0]])
+
+
+@pytest.mark.parametrize("rows", [decontaminate.BROADCAST_ROWS, -1])
+def test_null_and_repeated_ids(frame, spark, monkeypatch, rows):
+    """Each row has its own result, whatever its id."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+    items = [(1, "one two three four five six seven eight nine ten eleven"), (2, "short item")]
+    docs = [(5, "x " + items[0][1]), (5, "clean words"), (5, "clean words"), (None, items[0][1]), (None, items[0][1]), (None, "a short item"), (None, "fine"), (None, None), (7, None)]
+    got = decontaminate.decontaminate(frame(docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got) == by_row(docs, items)
+    stay = decontaminate.clean(frame(docs), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert Counter((r["doc_id"], r["text"]) for r in stay.collect()) == Counter([(5, "clean words"), (5, "clean words"), (None, "fine"), (None, None), (7, None)]) and "score" in stay.columns
+
+
+def test_long_text_and_ties(frame, spark, prose):
+    """A text of 60,000 words with a passage at either end, one of one word throughout, and an item of one word."""
+    passage, other = prose(25, 1), prose(60_000, 2)
+    docs = [(1, " ".join(passage + other + passage)), (2, "la " * 5_000), (3, "la")]
+    for items in ([(1, " ".join(passage))], [(1, " ".join(passage)), (2, "la " * 12)]):
+        check(frame, spark, docs, items)
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontaminate.decontaminate(frame(docs), spark.createDataFrame([(9, "la"), (8, "la la")], "item_id bigint, text string")).collect()}
+    assert got[2] == (5_000, ["8", "9"]) and got[3] == (1, ["9"])
+
+
 def test_empty_tables(frame, spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     got = decontaminate.decontaminate(frame([(1, "a b c")]), none).first()
