@@ -6,40 +6,46 @@
    the corpus first. Two sets over the threshold share so many retained values (``least_shared``;
    missed with a chance under 1e-10) that such prefixes must have one in common, while a passage
    that many documents hold is listed only by those that consist of little else.
-3. What shares a list is compared on whole sets of shingles. Lists are made of those, rarest
-   shingles first, as far as a link to a larger or a smaller set can need (prefixes); a class of
-   which more shingles are its own than a link allows lists none and goes. Each class is compared
-   with the most central class that it shares a list with. That joins the large groups of copies
-   at a cost of one pair a class.
-4. Pairs of classes that aren't in one component yet are made within the lists if size and places
-   in the lists leave enough shingles to share (for every pair over the threshold they do, so none
-   is lost; loose variants of one text, over the threshold with none of each other, make next to
-   none). In lists of many members only those outside the list's largest component meet the rest,
-   and only in the ranges of sizes that their places allow.
-   The union of two sketches estimates the likeness of a pair; pairs far below the threshold go,
-   the others are decided by the whole sets.
+3. Of the overlaps that the lists generate, each class's with the most central class that it shares a
+   list with comes first: the union of the two sketches estimates their likeness, pairs far below the
+   threshold go, the others are decided by the whole sets (of 63-bit hashes of all shingles). That
+   joins the large groups of copies at a cost of one pair a class.
+4. What is left are lists whose members aren't in one component yet. All pairs within them could be as
+   many as the square of a group, so for these members alone the exact complement takes over: lists
+   of their whole sets, rarest shingles first, as far as a link to a larger or a smaller set can need
+   (prefixes), and within those the pairs of two components whose sizes and places in the lists leave
+   enough shingles to share (for every pair over the threshold they do, so none is lost; loose
+   variants of one text, over the threshold with none of each other, make next to none). In lists of
+   many members only those outside the list's largest component meet the rest, and only in the
+   ranges of sizes that their places allow. Pairs are estimated and decided as above.
 5. Components by least label with pointer jumping.
 
-Links, components and sketches stay in distributed tables; lineage is cut in the shared folder.
+Links, components and sketches stay in distributed tables; lineage is cut in the shared folder. Joins
+on values that many classes hold read both sides from such tables, with no aggregate or partitioning
+of their own below them, so that the adaptive planner can split a hot value among tasks; counts are
+summed before they are shuffled.
+
+Classes are numbered in the order of their smallest doc_id, null ids last, so ids never coincide.
 
 Defined results: null, empty or blank text has no shingles, n_shingles 0 and is linked with
 nothing; a text of fewer words than a shingle is one shingle; rows of one doc_id and one text are
 one document repeated and each gets its row; rows of one doc_id with different texts are separate
-texts with that id; rows with a null doc_id are linked with rows of the same words only, and never
-name a component that has another id; other columns play no part.
+texts with that id; rows with a null doc_id are linked like others, and name a component only if all
+its ids are null; other columns play no part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, comb
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loxodrome.llm.common import Scratch
+from loxodrome.llm.arrow_rows import slices
+from loxodrome.llm.common import ROW_KEY, Scratch, row_key
 
 KEPT, LISTED = 64, 32
 #: Lists of more members are paired by ranges of sizes, each this much wider than the one below.
@@ -48,10 +54,9 @@ HOT_LIST, SIZE_STEP = 64, 1.02
 LEAST_ESTIMATE = 0.4
 #: So many ids or pairs of ids (16 bytes each) are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: key is a 128-bit hash of the words, which copies share; its first half is the id of the class.
-SKETCH_SCHEMA = "doc_id bigint, key binary, id bigint, n bigint, sketch array<bigint>"
-SET_SCHEMA = "doc_id bigint, id bigint, shingles array<bigint>"
-
+#: k1, k2: hashes of the row; key: a 128-bit hash of the words, which copies share.
+SKETCH_SCHEMA = "doc_id bigint, k1 bigint, k2 bigint, key binary, n bigint, sketch array<bigint>"
+SET_SCHEMA = "id bigint, shingles array<bigint>"
 
 def spaced_words(text: bytes) -> list[bytes]:
     """Words between ASCII whitespace of UTF-8 text with A-Z in lower case."""
@@ -79,30 +84,39 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(acc >> np.uint64(1)).astype(np.int64)
 
 
-def _batches(size: int, whole: bool):
+def _listed(values: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values), pa.int64()))
+
+
+def _sketches(size: int):
+    """From doc_id, k1, k2, text to SKETCH_SCHEMA."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            ids = batch.column(0)
-            texts = batch.column(1).cast(pa.large_binary())
-            for at in range(0, batch.num_rows, 1000):
-                keys, class_ids, counts, values, ends = [], [], [], [], [0]
-                for text in texts.slice(at, 1000).to_pylist():
+            for at, some in slices(batch.column(3).cast(pa.large_binary())):
+                keys, counts, values = [], [], []
+                for text in some.to_pylist():
                     words = spaced_words(text or b"")
                     found = shingle_hashes(words, size)
-                    kept = found if whole else found[:KEPT]
                     keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
-                    class_ids.append(int.from_bytes(keys[-1][:8], "big", signed=True) if words else None)
                     counts.append(len(found))
-                    values.append(kept)
-                    ends.append(ends[-1] + len(kept))
-                arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
-                own, first = ids.slice(at, 1000), pa.array(class_ids, pa.int64())
-                if whole:
-                    yield pa.RecordBatch.from_arrays([own, first, arrays], ["doc_id", "id", "shingles"])
-                else:
-                    yield pa.RecordBatch.from_arrays([own, pa.array(keys, pa.binary()), first, pa.array(counts, pa.int64()), arrays], ["doc_id", "key", "id", "n", "sketch"])
+                    values.append(found[:KEPT].copy())
+                own = [batch.column(c).slice(at, len(some)) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), _listed(values)], ["doc_id", "k1", "k2", "key", "n", "sketch"])
+
+    return run
+
+
+def _sets(size: int):
+    """From id, text to SET_SCHEMA."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, some in slices(batch.column(1).cast(pa.large_binary())):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), _listed([shingle_hashes(spaced_words(t or b""), size) for t in some.to_pylist()])], ["id", "shingles"])
 
     return run
 
@@ -129,90 +143,91 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def listed(classes: DataFrame, percent: int) -> DataFrame:
-    """id: the classes (id, n, sketch) that share an inverted list of retained values with another."""
-    values = classes.select("id", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
-    shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    by_class = values.join(shared, "value").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
-    by_class = by_class.join(classes.select("id", "n"), "id")
-    rare = F.least("n", F.lit(LISTED)) - F.size("common")  # these come first in the prefix, and nobody else lists them
-    entries = by_class.withColumn("take", F.greatest(_prefix(F.col("n"), percent) - rare, F.lit(0)).cast("int")).filter("take > 0")
-    entries = entries.select(F.explode(F.slice("common", F.lit(1), F.col("take"))).alias("c"), "id").select("c.value", "id")
-    several = entries.groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("value")
-    return entries.join(several, "value", "left_semi").select("id").distinct()
-
-
 class Linker:
-    """The comparisons within one corpus. sketched: doc_id, key, id, n, sketch of each document; classes: key, id, doc_id, n."""
+    """The comparisons within one corpus. docs: doc_id, text; names: id, key, n, k1, k2 of each class; members: id, n, sketch."""
 
-    def __init__(self, scratch: Scratch, docs: DataFrame, sketched: DataFrame, classes: DataFrame, size: int, percent: int):
-        self.scratch, self.docs, self.sketched, self.classes, self.size, self.percent = scratch, docs, sketched, classes, size, percent
+    def __init__(self, scratch: Scratch, docs: DataFrame, names: DataFrame, members: DataFrame, repeated: bool, size: int, percent: int):
+        self.scratch, self.docs, self.names, self.members, self.repeated, self.size, self.percent = scratch, docs, names, members, repeated, size, percent
 
     def sets_of(self, ids: DataFrame) -> DataFrame:
-        """id, shingles: the whole sets of these classes, read again from their first documents."""
-        wanted = self.scratch.table(self.classes.join(ids, "id", "left_semi").select("doc_id", "id"))
-        rows = wanted.count()
-        some = self.docs.join(_sized(wanted.select("doc_id").distinct(), rows), "doc_id", "left_semi").select("doc_id", "text")
-        sets = some.mapInArrow(_batches(self.size, True), SET_SCHEMA)
-        # rows that repeat an id with another text, or the document itself, are left out
-        again = self.classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty() and self.sketched.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty()
-        return sets.select("id", "shingles") if again else sets.join(_sized(wanted, rows), ["doc_id", "id"], "left_semi").dropDuplicates(["id"]).select("id", "shingles")
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """a, b, linked, of the pairs a, b that the estimate doesn't rule out."""
+        """id, shingles: the whole sets of these classes, read again from one row of each."""
+        wanted = self.scratch.table(self.names.join(ids, "id", "left_semi").select("id", *ROW_KEY))
+        rows = self.docs.select(*row_key(F.col("doc_id"), F.col("text")), "text").join(_sized(wanted, wanted.count()), ROW_KEY).select("id", "text")
+        sets = rows.mapInArrow(_sets(self.size), SET_SCHEMA)
+        return self.scratch.table(sets.dropDuplicates(["id"]) if self.repeated else sets)
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """a, b, n_a, n_b of the pairs a, b that the union of their sketches doesn't rule out."""
         pairs = self.scratch.table(pairs)
         held = _sized(pairs, pairs.count())
         side = lambda s: self.members.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"))
-        ends = lambda s: held.select(F.col(s)).distinct()
-        both = side("a").join(held, "a").join(side("b").join(ends("b"), "b", "left_semi"), "b")
+        both = side("a").join(held, "a").join(side("b").join(held.select("b").distinct(), "b", "left_semi"), "b")
         union = F.slice(F.sort_array(F.array_union("s_a", "s_b")), 1, KEPT)
         shared = F.array_intersect("s_a", "s_b")
         guess = F.size(F.array_intersect(union, shared)) / F.size(union)
-        likely = both.filter((F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= LEAST_ESTIMATE) & (guess >= LEAST_ESTIMATE))
-        likely = self.scratch.table(likely.select("a", "b", "n_a", "n_b"))
+        fits = both.filter((100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")) & (guess >= LEAST_ESTIMATE))
+        return self.scratch.table(fits.select("a", "b", "n_a", "n_b"))
+
+    def exact(self, likely: DataFrame, sets: DataFrame) -> DataFrame:
+        """a, b, linked: the pairs decided by whole sets."""
         held = _sized(likely, likely.count())
-        whole = lambda s: self.sets.select(F.col("id").alias(s), F.col("shingles").alias(f"w_{s}"))
-        exact = whole("a").join(held, "a").join(whole("b").join(ends("b"), "b", "left_semi"), "b")
-        exact = exact.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("w_a", "w_b")).cast("long").alias("inter"))
+        whole = lambda s: sets.select(F.col("id").alias(s), F.col("shingles").alias(f"w_{s}"))
+        both = whole("a").join(held, "a").join(whole("b").join(held.select("b").distinct(), "b", "left_semi"), "b")
+        both = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("w_a", "w_b")).cast("long").alias("inter"))
         over = F.col("n_a") + F.col("n_b") - F.col("inter")
-        return exact.select("a", "b", (100 * F.col("inter") >= self.percent * over).alias("linked"))
-
-    def entries(self) -> DataFrame:
-        """shingle, id, n, place, central: what each class lists of its whole set, rarest first."""
-        each = self.sets.select("id", F.explode("shingles").alias("shingle"))
-        shared = each.groupBy("shingle").agg(F.count(F.lit(1)).cast("int").alias("df")).filter("df > 1")
-        by_class = each.join(shared, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("common"), F.sum(F.log2("df")).alias("logs"))
-        by_class = by_class.join(self.classes.select("id", "n").distinct(), "id")
+        return self.scratch.table(both.select("a", "b", (100 * F.col("inter") >= self.percent * over).alias("linked")))
+
+    def common(self, each: DataFrame, value: str) -> DataFrame:
+        """id, common (df and value, rarest first, of the values that several hold), logs; each: id and one value a row."""
+        shared = self.scratch.table(each.groupBy(value).agg(F.count(F.lit(1)).cast("int").alias("df")).filter("df > 1"))
+        return each.join(shared, value).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", value))).alias("common"), F.sum(F.log2("df")).alias("logs"))
+
+    def retained_lists(self) -> DataFrame:
+        """value, id, central: the inverted lists of retained values."""
+        values = self.members.select("id", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
+        by_class = self.common(values, "value").join(self.names.select("id", "n"), "id")
+        kept = F.least("n", F.lit(LISTED))
+        rare = kept - F.size("common")  # these come first in the prefix, and nobody else lists them
+        taken = by_class.withColumn("take", F.greatest(_prefix(F.col("n"), self.percent) - rare, F.lit(0)).cast("int")).filter("take > 0")
+        return self.scratch.table(taken.select("id", (F.col("logs") / kept).alias("central"), F.explode(F.slice("common", F.lit(1), F.col("take"))).alias("c")).select("c.value", "id", "central"))
+
+    def whole_lists(self, sets: DataFrame) -> DataFrame:
+        """shingle, id, n, place: what each of these classes lists of its whole set, rarest first."""
+        by_class = self.common(sets.select("id", F.explode("shingles").alias("shingle")), "shingle").join(self.names.select("id", "n"), "id")
         alone = F.col("n") - F.size("common")  # first in the order, and in no list
-        central = F.col("logs") / F.col("n")
         reach = F.col("n") - F.ceil(F.col("n") * self.percent / F.lit(100.0)) + 1
         take = F.greatest(reach - alone, F.lit(0)).cast("int")
-        return by_class.select("id", "n", central.alias("central"), alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), take)).alias("at", "c")).select("c.shingle", "id", "n", (F.col("alone") + F.col("at")).alias("place"), "central")
+        return self.scratch.table(by_class.select("id", "n", alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), take)).alias("at", "c")).select("c.shingle", "id", "n", (F.col("alone") + F.col("at")).alias("place")))
 
     def edges(self) -> DataFrame:
         """a, b: links that hold every component together."""
         table = self.scratch.table
-        firsts = self.sketched.dropDuplicates(["id"]).select("id", "n", "sketch")
-        ids = table(listed(firsts, self.percent))
-        rows = ids.count()
-        self.sets = table(self.sets_of(ids))
-        self.members = table(self.sketched.join(_sized(ids, rows), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "sketch"))
-        lists = table(self.entries())
-        tops = lists.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("central", "id")).alias("top")).filter("m > 1")
-        best = lists.join(tops, "shingle").groupBy("id").agg(F.max("top").alias("top")).filter(F.col("id") != F.col("top.id"))
-        first = table(self.verified(best.select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b")).distinct()))
-        roots = components(self.scratch, self.classes.select("id", "doc_id"), first.filter("linked").select("a", "b"))
-        rest = self.apart(lists, roots).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-        second = table(self.verified(rest))
-        return first.union(second).filter("linked").select("a", "b")
+        lists = self.retained_lists()
+        tops = table(lists.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("central", "id")).alias("top")).filter("m > 1").select("value", "top"))
+        best = lists.join(tops, "value").groupBy("id").agg(F.max("top").alias("top")).filter(F.col("id") != F.col("top.id"))
+        likely = self.likely(best.select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b")).distinct())
+        first = self.exact(likely, self.sets_of(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()))
+        links = first.filter("linked").select("a", "b")
+        roots = components(self.scratch, links)
+        # lists with members of more than one component
+        at = lists.select("value", "id").join(roots, "id", "left").select("value", "id", F.coalesce("root", "id").alias("root"))
+        mixed = table(at.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("value"))
+        left = table(lists.join(mixed, "value", "left_semi").select("id").distinct())
+        if left.isEmpty():
+            return links
+        sets = self.sets_of(left)
+        rest = self.apart(self.whole_lists(sets), roots).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+        second = self.exact(self.likely(rest), sets)
+        return links.union(second.filter("linked").select("a", "b"))
 
     def apart(self, lists: DataFrame, roots: DataFrame) -> DataFrame:
         """a, b: pairs within lists that are in two components and can share enough."""
         p = self.percent
-        at = lists.join(roots.select("id", F.col("root.id").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        at = lists.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         # lists with members of more than one component, their sizes and the largest component
         by_root = at.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("big")).filter("roots > 1")
-        at = self.scratch.table(at.join(by_root.select("shingle", "m", F.col("big.root").alias("major")), "shingle").select("shingle", "id", "n", "place", "root", "m", (F.col("root") == F.col("major")).alias("major")))
+        by_root = self.scratch.table(by_root.select("shingle", "m", F.col("big.root").alias("major")))
+        at = self.scratch.table(at.join(by_root, "shingle").select("shingle", "id", "n", "place", "root", "m", (F.col("root") == F.col("major")).alias("major")))
         # the smaller set of a pair (or smaller key) needs the shorter prefix
         ceil_div = lambda x, y: F.call_function("div", x + (y - 1), F.lit(y).cast("bigint"))
         own = at.filter(F.col("place") <= F.col("n") - ceil_div(2 * p * F.col("n"), 100 + p))
@@ -238,41 +253,46 @@ class Linker:
         return few.union(odd).union(even)
 
 
-def components(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, root struct<doc_id, id> of every node (id, doc_id) that has an edge: the smallest it can reach."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = scratch.table(both)
-    own = nodes.join(both.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
-    label = scratch.table(own.select("id", F.struct(F.col("doc_id"), F.col("id")).alias("root")))
-    while True:
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
+    """id, root of every node that has an edge (a, b): the smallest id it can reach."""
+    both = scratch.table(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = scratch.table(both.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("root")))
+    while not label.isEmpty():
         beside = both.join(label.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("least"))
-        lower = label.join(beside, "id").select("id", "root", F.least("root", "least").alias("next"))
-        lower = scratch.table(lower)
+        lower = scratch.table(label.join(beside, "id").select("id", "root", F.least("root", "least").alias("next")))
         jump = lower.select(F.col("id").alias("via"), F.col("next").alias("jumped"))
-        new = scratch.table(lower.join(jump, F.col("next.id") == F.col("via")).select("id", F.least("next", "jumped").alias("root"), (F.least("next", "jumped") != F.col("root")).alias("moved")))
+        new = scratch.table(lower.join(jump, F.col("next") == F.col("via")).select("id", F.least("next", "jumped").alias("root"), (F.least("next", "jumped") != F.col("root")).alias("moved")))
         scratch.drop(lower)
         scratch.drop(label)
         label = new.select("id", "root")
         label._loxodrome_path = new._loxodrome_path
         if new.filter("moved").isEmpty():
-            scratch.drop(both)
-            return label
+            break
+    scratch.drop(both)
+    return label
+
+
+def grouped(scratch: Scratch, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, k1, k2, key, n, component_id, first (the row's class is its component's first, and the row has that class's id) for every row of docs (doc_id, text)."""
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    sketched = scratch.table(docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), "text").mapInArrow(_sketches(size), SKETCH_SCHEMA))
+    repeated = not sketched.groupBy(*ROW_KEY).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty()
+    some = sketched.filter(F.col("key").isNotNull())
+    names = some.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(k).alias(k) for k in ROW_KEY])
+    # numbers grow with the partition and the place in it, and so with the order; the table holds them fast
+    names = scratch.table(names.orderBy(F.col("doc_id").asc_nulls_last(), "key").withColumn("id", F.monotonically_increasing_id()))
+    members = scratch.table(some.select("key", "n", "sketch").groupBy("key").agg(F.first("sketch").alias("sketch")).join(names.select("key", "id", "n"), "key").select("id", "n", "sketch"))
+    roots = components(scratch, Linker(scratch, docs, names, members, repeated, size, percent).edges())
+    heads = roots.join(names.select(F.col("id").alias("root"), F.col("doc_id").alias("component_id")), "root").select("id", "root", "component_id")
+    own = names.join(heads, "id", "left").select("key", F.col("doc_id").alias("class_doc"), F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("root", "id") == F.col("id")).alias("first"))
+    out = some.select("doc_id", *ROW_KEY, "n", "key").join(own, "key").select("doc_id", *ROW_KEY, "key", "n", "component_id", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_doc"))).alias("first"))
+    return out.union(sketched.filter(F.col("key").isNull()).select("doc_id", *ROW_KEY, "key", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("first")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
-    spark: SparkSession = docs.sparkSession
-    scratch = Scratch(spark, "dedup")
-    docs = docs.select("doc_id", "text")
-    sketched = scratch.table(docs.mapInArrow(_batches(size, False), SKETCH_SCHEMA))
-    some = sketched.filter(F.col("key").isNotNull())
-    classes = scratch.table(some.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("id").alias("id"), F.first("n").alias("n")))
-    links = Linker(scratch, docs, some, classes, size, percent).edges()
-    roots = components(scratch, classes.select("id", "doc_id"), links)
-    named = classes.select("key", "id", "doc_id").join(roots.select("id", F.col("root.doc_id").alias("root")), "id", "left").select("key", F.coalesce("root", "doc_id").alias("component_id"))
-    out = some.select("doc_id", "n", "key").join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    out = out.union(sketched.filter(F.col("key").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = grouped(Scratch(docs.sparkSession, "dedup"), docs, size, percent)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 ORACLE = """
@@ -291,17 +311,20 @@ from w join comp using (doc_id) left join n using (doc_id)
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs (doc_id, text and others) that are kept; rows of one doc_id stay or go together, equal ones once."""
-    scratch = Scratch(docs.sparkSession, "deduplicated")
-    found = scratch.table(near_duplicates(docs, size, percent))
-    gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select("doc_id")
-    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    """The rows of docs (doc_id, text and others) that are kept: of each component one; of rows without words, which are linked with nothing, each one, but rows of one id and text once."""
+    scratch = Scratch(docs.sparkSession, "dedup")
+    found = scratch.table(grouped(scratch, docs, size, percent).select(*ROW_KEY, "key", "first"))
+    gone = found.filter("not first").select(*ROW_KEY)
+    # rows with the id and the words of a component's first class whose texts differ in blanks or case: the smallest hash stays
+    alike = found.filter("first and key is not null").groupBy("key").agg(F.min(F.struct(*ROW_KEY)).alias("one"), F.max(F.struct(*ROW_KEY)).alias("other")).filter("one != other")
+    alike = scratch.table(alike.select("key", "one"))
+    if not alike.isEmpty():
+        gone = gone.union(found.filter("first").join(alike, "key").filter(F.struct(*ROW_KEY) != F.col("one")).select(*ROW_KEY))
+    gone = scratch.table(gone.distinct())
+    again = scratch.table(found.groupBy(*ROW_KEY).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(*ROW_KEY))
     held = lambda ids: _sized(ids, ids.count())
-    stay = docs.join(held(gone), "doc_id", "left_anti")
-    if repeated.isEmpty():
-        return stay.select(*docs.columns)
-    again = held(repeated)
-    once = stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    nameless = once.filter("false") if docs.filter("doc_id is null").isEmpty() else stay.filter("doc_id is null").dropDuplicates(["text"])
-    single = stay.filter("doc_id is not null").join(again, "doc_id", "left_anti")
-    return single.select(*docs.columns).union(once.select(*docs.columns)).union(nameless.select(*docs.columns))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(F.col("doc_id"), F.col("text").cast("string")))
+    stay = rows.join(held(gone), ROW_KEY, "left_anti")
+    if not again.isEmpty():
+        stay = stay.join(held(again), ROW_KEY, "left_anti").select("row", *ROW_KEY).union(stay.join(held(again), ROW_KEY, "left_semi").dropDuplicates(ROW_KEY).select("row", *ROW_KEY))
+    return stay.select("row.*")
