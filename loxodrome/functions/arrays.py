@@ -151,6 +151,12 @@ def sum_axis(a: Column, axis: int) -> Column:
     return from_list(F.transform(m, lambda r: F.aggregate(r, F.lit(0.0), lambda s, x: s + x)))
 
 
+def mean_axis(a: Column, axis: int) -> Column:
+    """The means along an axis of two dimensions."""
+    m = rows(a) if axis == 1 else rows(transpose(a))
+    return from_list(F.transform(m, lambda r: F.aggregate(r, F.lit(0.0), lambda s, x: s + x) / F.size(r)))
+
+
 def dot(a: Column, b: Column) -> Column:
     """The inner product of two lists."""
     return linalg.dot(a["data"], b["data"])

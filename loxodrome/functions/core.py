@@ -66,6 +66,27 @@ def int_range(start: Column, stop: Column, step: int = 1) -> Column:
     return F.when(some, F.sequence(one, F.when(some, last).otherwise(one), F.lit(step).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
 
 
+def some(x: Column) -> Column:
+    """An option is a nullable column: Some of a value is the value, None a null."""
+    return x
+
+
+def println(*values) -> None:
+    """The printed values on the driver's output, a blank between; for columns, their names."""
+    print(*values)
+
+
+print_ = lambda *values: print(*values, end="")
+
+
+def matched(x: Column, *cases: tuple, default: Column | None = None) -> Column:
+    """match: the result of the first case (predicate on x, result) that holds, else the default."""
+    out = default if default is not None else F.lit(None)
+    for test, result in reversed(cases):
+        out = F.when(F.coalesce(test(x), F.lit(False)), result).otherwise(out)
+    return out
+
+
 def ok(value: Column) -> Column:
     return F.struct(F.lit(True).alias("ok"), value.alias("value"), F.lit(None).cast("string").alias("err"))
 

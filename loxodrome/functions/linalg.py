@@ -22,6 +22,27 @@ def matrix(*rows) -> Column:
     return F.array(*[r if isinstance(r, Column) else vector(*r) for r in rows])
 
 
+def length(v: Column) -> Column:
+    return F.size(v)
+
+
+def to_list(v: Column) -> Column:
+    """A vector is an array, and a matrix one of arrays."""
+    return v
+
+
+def x(v: Column) -> Column:
+    return F.get(v, F.lit(0))
+
+
+def y(v: Column) -> Column:
+    return F.get(v, F.lit(1))
+
+
+def z(v: Column) -> Column:
+    return F.get(v, F.lit(2))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -317,3 +338,49 @@ def cholesky(m: Column) -> Column:
 
 def least_squares(m: Column, b: Column) -> Column:
     return _each("array<double>", lambda a, y: np.linalg.lstsq(_array(a), np.asarray(y, float), rcond=None)[0].tolist())(m, b)
+
+
+def toeplitz(c: Column, r: Column) -> Column:
+    """The matrix with this first column and, beyond its first element, this first row."""
+    return F.transform(c, lambda _, i: F.transform(r, lambda __, j: F.when(j <= i, F.get(c, i - j)).otherwise(F.get(r, j - i))))
+
+
+def companion(coeffs: Column) -> Column:
+    """Of a polynomial, the highest power first; its eigenvalues are the roots."""
+    n, lead = F.size(coeffs) - 1, F.get(coeffs, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.when(i == 0, -F.get(coeffs, j + 1) / lead).when(i == j + 1, 1.0).otherwise(0.0)))
+
+
+def _expm(a):
+    m = _array(a)
+    k = max(0, int(np.ceil(np.log2(max(np.abs(m).sum(1).max(), 1e-300)))) + 4)
+    term = out = np.eye(len(m))
+    for i in range(1, 24):
+        term = term @ (m / 2**k) / i
+        out = out + term
+    return np.linalg.matrix_power(out, 2**k).tolist()
+
+
+def expm(m: Column) -> Column:
+    """The exponential, by a series of the halved matrix and squarings."""
+    return _each(MATRIX, _expm)(m)
+
+
+def low_rank(m: Column, k: int) -> Column:
+    """The nearest matrix of rank k."""
+
+    def run(a):
+        u, s, v = np.linalg.svd(_array(a), full_matrices=False)
+        return ((u[:, :k] * s[:k]) @ v[:k]).tolist()
+
+    return _each(MATRIX, run)(m)
+
+
+def nullspace(m: Column) -> Column:
+    """An orthonormal basis of what the matrix maps to 0, a row each."""
+
+    def run(a):
+        _, s, v = np.linalg.svd(_array(a))
+        return v[int((s > RANK_TOLERANCE).sum()) :].tolist()
+
+    return _each(MATRIX, run)(m)

@@ -129,6 +129,18 @@ def prime_factors(n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(2), top), start, step, lambda s: F.when(s["n"] > 1, F.array_append(s["f"], s["n"])).otherwise(s["f"]))
 
 
+def next_prime(n: Column) -> Column:
+    """The smallest prime above n; gaps below 2 ** 31 are shorter than 300."""
+    return F.get(F.filter(F.sequence(F.greatest(n, F.lit(1)).cast("bigint") + 1, F.greatest(n, F.lit(1)).cast("bigint") + 300), is_prime), F.lit(0))
+
+
+def nth_prime(n: Column) -> Column:
+    """The n-th prime, from 1; null for n below 1. The n-th lies under n (ln n + ln ln n) from the sixth on."""
+    m = F.greatest(n, F.lit(1)).cast("double")
+    top = F.when(n < 6, F.lit(13)).otherwise(F.ceil(m * (F.ln(m) + F.ln(F.greatest(F.ln(F.greatest(m, F.lit(3.0))), F.lit(0.1)))))).cast("bigint")
+    return F.when(n >= 1, F.get(F.filter(F.sequence(F.lit(2).cast("bigint"), top), is_prime), (n - 1).cast("int")))
+
+
 def mod(a: Column, b: Column) -> Column:
     """Never negative for a positive b."""
     return F.pmod(a, b)

@@ -327,3 +327,231 @@ def taylor(e: Expr, x: str, at: float, terms: int) -> Expr:
         out = out + num(value(substitute(d, x, at), {}) / math.factorial(k)) * pow_(var(x) - at, k)
         d = diff(d, x)
     return simplify(out)
+
+
+def maclaurin(e: Expr, x: str, terms: int) -> Expr:
+    return taylor(e, x, 0.0, terms)
+
+
+# vector analysis
+
+
+def jacobian(es: list[Expr], names: list[str]) -> list[list[Expr]]:
+    return [gradient(lift(e), names) for e in es]
+
+
+def divergence(es: list[Expr], names: list[str]) -> Expr:
+    out = num(0)
+    for e, n in zip(es, names, strict=True):
+        out = out + diff(lift(e), n)
+    return simplify(out)
+
+
+def curl(es: list[Expr], names: list[str]) -> list[Expr]:
+    """Of three expressions of three variables."""
+    d = lambda i, j: diff(lift(es[i]), names[j])
+    return [simplify(d((k + 2) % 3, (k + 1) % 3) - d((k + 1) % 3, (k + 2) % 3)) for k in range(3)]
+
+
+def laplacian(e: Expr, names: list[str]) -> Expr:
+    return divergence(gradient(e, names), names)
+
+
+# polynomials in one variable, whose coefficients are expressions of the others
+
+
+def coefficients(e: Expr, x: str) -> list[Expr] | None:
+    """From the constant term up; None if the expression is no polynomial in x."""
+    if x not in free_symbols(e):
+        return [e]
+    if e.op == "var":
+        return [num(0), num(1)]
+    if e.op == "neg":
+        inner = coefficients(e.args[0], x)
+        return inner and [simplify(-c) for c in inner]
+    if e.op not in ("+", "-", "*", "/", "^"):
+        return None
+    a, b = coefficients(e.args[0], x), coefficients(e.args[1], x)
+    if a is None or b is None:
+        return None
+    if e.op in ("+", "-"):
+        n = max(len(a), len(b))
+        a, b = a + [num(0)] * (n - len(a)), b + [num(0)] * (n - len(b))
+        return [simplify(Expr(e.op, (p, q))) for p, q in zip(a, b, strict=True)]
+    if e.op == "/":
+        return [simplify(c / b[0]) for c in a] if len(b) == 1 else None
+    if e.op == "*":
+        return _product(a, b)
+    if len(b) > 1 or not is_num(b[0]) or b[0].args[0] != int(b[0].args[0]) or b[0].args[0] < 0:
+        return None
+    out = [num(1)]
+    for _ in range(int(b[0].args[0])):
+        out = _product(out, a)
+    return out
+
+
+def _product(a: list[Expr], b: list[Expr]) -> list[Expr]:
+    out = [num(0)] * (len(a) + len(b) - 1)
+    for i, p in enumerate(a):
+        for j, q in enumerate(b):
+            out[i + j] = simplify(out[i + j] + p * q)
+    return out
+
+
+def is_polynomial(e: Expr, x: str) -> bool:
+    return coefficients(e, x) is not None
+
+
+def degree(e: Expr, x: str) -> int | None:
+    c = coefficients(e, x)
+    return None if c is None else max((i for i, v in enumerate(c) if not is_num(v, 0)), default=0)
+
+
+def collect(e: Expr, x: str) -> Expr:
+    """The polynomial as a sum of powers of x."""
+    c = coefficients(e, x)
+    if c is None:
+        return e
+    out = num(0)
+    for i, v in enumerate(c):
+        out = out + v * pow_(var(x), i)
+    return simplify(out)
+
+
+def solve(e: Expr, x: str) -> list[Expr]:
+    """The real roots in x, ascending where they are numbers: by formula up to the second degree, numerically for higher degrees with numbers for coefficients. A ValueError for other equations."""
+    c = coefficients(e, x)
+    n = degree(e, x)
+    if c is None or n == 0 or n > 2 and not all(is_num(v) for v in c):
+        raise ValueError(f"cannot solve {e} for {x}")
+    if n == 1:
+        return [simplify(-c[0] / c[1])]
+    if n == 2:
+        d = expand(simplify(pow_(c[1], 2) - 4 * c[2] * c[0]))
+        if is_num(d) and d.args[0] < 0:
+            return []
+        return [simplify((-c[1] - sqrt(d)) / (2 * c[2])), simplify((-c[1] + sqrt(d)) / (2 * c[2]))]
+    import numpy as np
+
+    roots = np.roots([v.args[0] for v in c[: n + 1]][::-1])
+    return [num(float(r)) for r in sorted(roots[np.abs(roots.imag) < 1e-9].real)]
+
+
+def factor(e: Expr, x: str) -> Expr:
+    """The leading coefficient times a factor for each root, where all roots are real numbers; else the expression."""
+    c, n = coefficients(e, x), degree(e, x)
+    if c is None or not n or not all(is_num(v) for v in c):
+        return e
+    roots = solve(e, x)
+    if len(roots) < n:
+        return e
+    out = c[n]
+    for r in roots:
+        out = out * simplify(var(x) - num(round(r.args[0], 12)))
+    return simplify(out)
+
+
+def cancelled(e: Expr, x: str) -> Expr:
+    """A quotient of polynomials without their common real roots."""
+    if e.op != "/" or degree(e.args[0], x) is None or degree(e.args[1], x) is None:
+        return e
+    tops, downs = ([round(r.args[0], 9) for r in solve(a, x)] if degree(a, x) else [] for a in e.args)
+    lead = [coefficients(a, x)[degree(a, x)] for a in e.args]
+    for r in list(tops):
+        if r in downs:
+            tops.remove(r)
+            downs.remove(r)
+    sides = []
+    for first, roots in zip(lead, (tops, downs), strict=True):
+        for r in roots:
+            first = first * simplify(var(x) - num(r))
+        sides.append(simplify(first))
+    return simplify(Expr("/", tuple(sides)))
+
+
+# integrals and limits
+
+
+def integrate(e: Expr, x: str) -> Expr:
+    """An antiderivative: of sums, multiples, powers, and of sin, cos, exp, 1/x and square roots of linear arguments. A ValueError for others."""
+    e = simplify(e)
+    if x not in free_symbols(e):
+        return simplify(e * var(x))
+    c = coefficients(e, x)
+    if c is not None:
+        out = num(0)
+        for i, v in enumerate(c):
+            out = out + v * pow_(var(x), i + 1) / num(i + 1)
+        return simplify(out)
+    if e.op in ("+", "-"):
+        return simplify(Expr(e.op, (integrate(e.args[0], x), integrate(e.args[1], x))))
+    if e.op == "neg":
+        return simplify(-integrate(e.args[0], x))
+    if e.op == "*":
+        for a, b in (e.args, e.args[::-1]):
+            if x not in free_symbols(a):
+                return simplify(a * integrate(b, x))
+    if e.op == "/" and x not in free_symbols(e.args[1]):
+        return simplify(integrate(e.args[0], x) / e.args[1])
+    if e.op == "/" and x not in free_symbols(e.args[0]) and degree(e.args[1], x) == 1:
+        return simplify(e.args[0] * log(call("abs", e.args[1])) / coefficients(e.args[1], x)[1])
+    inner = e.args[0]
+    if degree(inner, x) == 1:
+        slope = coefficients(inner, x)[1]
+        of = {"sin": lambda: -cos(inner), "cos": lambda: sin(inner), "exp": lambda: e, "sqrt": lambda: num(2 / 3) * pow_(inner, 1.5)}.get(e.op)
+        if of:
+            return simplify(of() / slope)
+        if e.op == "^" and is_num(e.args[1]) and e.args[1].args[0] != -1:
+            return simplify(pow_(inner, e.args[1].args[0] + 1) / (num(e.args[1].args[0] + 1) * slope))
+    raise ValueError(f"cannot integrate {e}")
+
+
+def definite(e: Expr, x: str, a, b) -> Expr:
+    """The integral from a to b."""
+    f = integrate(e, x)
+    return simplify(substitute(f, x, b) - substitute(f, x, a))
+
+
+def limit(e: Expr, x: str, at: float) -> float:
+    """The value that both sides come to; by differentiating numerator and denominator while both vanish. NaN if the sides differ."""
+    for _ in range(6):
+        try:
+            return value(e, {x: at})
+        except (ZeroDivisionError, ValueError, OverflowError):
+            pass
+        if e.op != "/":
+            break
+        top, down = (value(a, {x: at}) for a in e.args)
+        if abs(top) > 1e-12 or abs(down) > 1e-12:
+            break
+        e = simplify(Expr("/", (diff(e.args[0], x), diff(e.args[1], x))))
+    left, right = (value(e, {x: at + s * 1e-7}) for s in (-1, 1))
+    return (left + right) / 2 if abs(left - right) < 1e-4 * max(1, abs(left)) else math.nan
+
+
+def dsolve_linear(a: float, b: float, y0: float, t: str = "t") -> Expr:
+    """The solution of y' = a y + b with y = y0 at 0."""
+    if a == 0:
+        return simplify(num(y0) + num(b) * var(t))
+    return simplify(num(y0 + b / a) * exp(num(a) * var(t)) - num(b / a))
+
+
+def rationalize(e: Expr) -> Expr:
+    """a / sqrt(b) as a sqrt(b) / b."""
+    if e.op == "/" and e.args[1].op == "sqrt":
+        return simplify(e.args[0] * e.args[1] / e.args[1].args[0])
+    return e
+
+
+def to_latex(e: Expr) -> str:
+    if e.op == "/":
+        return rf"\frac{{{to_latex(e.args[0])}}}{{{to_latex(e.args[1])}}}"
+    if e.op == "sqrt":
+        return rf"\sqrt{{{to_latex(e.args[0])}}}"
+    if e.op == "^":
+        base = to_latex(e.args[0])
+        return f"{base if e.args[0].op in ('num', 'var') else f'({base})'}^{{{to_latex(e.args[1])}}}"
+    if e.op in ("+", "-", "*"):
+        side = lambda a: f"({to_latex(a)})" if e.op != "+" and a.op in ("+", "-") else to_latex(a)
+        return f"{side(e.args[0])}{' ' if e.op == '*' else f' {e.op} '}{side(e.args[1])}"
+    return to_string(e) if e.op in ("num", "var") else f"-{to_latex(e.args[0])}" if e.op == "neg" else rf"\{e.op}({to_latex(e.args[0])})"

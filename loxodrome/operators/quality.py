@@ -177,3 +177,18 @@ def observed(df: DataFrame, checks: list[Check], name: str = "checks") -> tuple[
     """Soft: df, and the violations counted while it is used."""
     seen = Observation(name)
     return df.observe(seen, *_violations(checks)), seen
+
+
+class Soft:
+    """Assertions that are counted together in one pass; assert_all() names all that failed."""
+
+    def __init__(self, df: DataFrame, checks: list[Check]):
+        self.df, self.checks = df, checks
+
+    def failed(self) -> list[str]:
+        counts = self.df.agg(*_violations(self.checks)).first()  # one row
+        return [name for name, _ in self.checks if counts[name]]
+
+    def assert_all(self) -> None:
+        if names := self.failed():
+            raise AssertionError(f"failed: {', '.join(names)}")

@@ -81,11 +81,11 @@ def core_builtins(spark, sf_dir):
 
 
 def _orders(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_custkey < 400")
+    o = table(spark, sf_dir, "orders")
     return o.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", F.floor("o_totalprice").cast("bigint").alias("p")))), lambda s: s["p"]).alias("a"))
 
 
-_LISTS = "with t as (select o_custkey, list(cast(floor(o_totalprice) as bigint) order by o_orderkey) as a from orders where o_custkey < 400 group by o_custkey) "
+_LISTS = "with t as (select o_custkey, list(cast(floor(o_totalprice) as bigint) order by o_orderkey) as a from orders group by o_custkey) "
 
 
 @query(_LISTS + """
@@ -280,22 +280,6 @@ def matrices(spark, sf_dir):
     )
 
 
-@query(_VECTORS + """
-select vec_id, round(a[1] * b[2] - a[2] * b[1], 6) as det, round((a[1] * b[2] - a[2] * b[1]) / (a[1] * b[2] - a[2] * b[1]), 6) as one, 2 as rank, true as lu_ok, true as qr_ok from t where abs(a[1] * b[2] - a[2] * b[1]) > 0.0001
-""")
-def decompositions(spark, sf_dir):
-    v = F.col("embedding").cast("array<double>")
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.array(F.slice(v, 1, 2), F.slice(v, 4, 2)).alias("m"))
-    e = e.filter(F.abs(linalg.det_small(F.col("m"))) > 0.0001)
-    m = F.col("m")
-    near = lambda a, b: F.forall(F.zip_with(F.flatten(a), F.flatten(b), lambda x, y: F.abs(x - y) < 1e-6), lambda t: t)
-    got = e.select("vec_id", "m", linalg.det(m).alias("d"), linalg.inverse(m).alias("inv"), linalg.rank(m).alias("rank"), linalg.lu(m).alias("lu"), linalg.qr(m).alias("qr"))
-    return got.select(
-        "vec_id", F.round("d", 6).alias("det"), F.round(linalg.get(linalg.mat_mul(m, F.col("inv")), 0, 0), 6).alias("one"), "rank",
-        near(linalg.mat_mul(F.col("lu.L"), F.col("lu.U")), linalg.mat_mul(F.col("lu.P"), m)).alias("lu_ok"), near(linalg.mat_mul(F.col("qr.Q"), F.col("qr.R")), m).alias("qr_ok"),
-    )
-
-
 @query(_VECTORS + "select vec_id, round(list_sum(v), 6) as sum, round(list_avg(v), 6) as mean, round(list_min(v), 6) as min, round(list_max(v), 6) as max, len(v) as size, round(v[2], 6) as transposed, list_position(v, list_max(v)) - 1 as argmax, round(list_stddev_pop(v), 6) as std, round(v[1] + v[2] + v[3], 6) as cumsum_2 from t")
 def nd_arrays(spark, sf_dir):
     v = F.col("embedding").cast("array<double>")
@@ -318,11 +302,10 @@ def symbolic_columns(spark, sf_dir):
     return t.select("p_partkey", r(e).alias("value"), r(symbolic.diff(e, "x")).alias("dx"), r(symbolic.diff(e, "y")).alias("dy"), r(symbolic.diff(symbolic.diff(e, "x"), "x")).alias("dxx"), r(symbolic.expand(symbolic.parse("(x + y)^2"))).alias("square"))
 
 
-@query("select p_partkey, round(sqrt(p_size), 6) as bisect, round(sqrt(p_size), 6) as newton, round(pow(p_size, 3) / 3e0, 4) as quad, round(2e0 * p_size, 4) as diff, round(cast(p_size as double), 3) as minimize, round(3e0 * p_size * p_size - 2 * p_size + 1, 6) as polyval from part where p_size < 20")
+@query("select p_partkey, round(sqrt(p_size), 6) as bisect, round(sqrt(p_size), 6) as newton, round(pow(p_size, 3) / 3e0, 4) as quad, round(2e0 * p_size, 4) as diff, round(cast(p_size as double), 3) as minimize, round(3e0 * p_size * p_size - 2 * p_size + 1, 6) as polyval from part")
 def numeric_methods(spark, sf_dir):
     n = F.col("p_size").cast("double")
-    p = _parts(spark, sf_dir).filter("p_size < 20")
-    return p.select(
+    return _parts(spark, sf_dir).select(
         "p_partkey", F.round(numeric.bisect(lambda x: x * x - n, 0.0, 100.0), 6).alias("bisect"), F.round(numeric.newton(lambda x: x * x - n, n), 6).alias("newton"), F.round(numeric.quad(lambda x: x * x, F.lit(0.0), n, 20)["value"], 4).alias("quad"),
         F.round(numeric.diff(lambda x: x * x, n), 4).alias("diff"), F.round(numeric.minimize(lambda x: (x - n) * (x - n), -1.0, 50.0)["x"], 3).alias("minimize"), F.round(numeric.polyval(F.array(F.lit(3.0), F.lit(-2.0), F.lit(1.0)), n), 6).alias("polyval"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -30,5 +31,7 @@ def use_scratch(spark: SparkSession) -> None:
     """checkpoint() writes to the folder in spark.checkpoint.dir; to one of our own only where that is unset, as in tests."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loxodrome-")
-    spark.sparkContext.setCheckpointDir(folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="loxodrome-"))
