@@ -50,6 +50,44 @@ def row_count(df: DataFrame) -> int:
     return df.count()
 
 
+def columns(df: DataFrame) -> list[str]:
+    return df.columns
+
+
+def series_name(s: DataFrame) -> str:
+    """The name of a series' values: the column that is neither position nor index."""
+    return next(c for c in s.columns if c not in (POSITION, "idx"))
+
+
+def index(s: DataFrame) -> DataFrame:
+    """A series' positions and index."""
+    return s.select(POSITION, "idx")
+
+
+def map_series(s: DataFrame, f: Callable[[Column], Column]) -> DataFrame:
+    """The series with f of each value."""
+    name = series_name(s)
+    return s.withColumn(name, f(F.col(name)))
+
+
+def map_rows(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Each row with these columns computed from it."""
+    return df.withColumns(values)
+
+
+def rows(df: DataFrame) -> DataFrame:
+    """Each row as one struct."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def is_null(name: str) -> Column:
+    return F.col(name).isNull()
+
+
+def not_null(name: str) -> Column:
+    return F.col(name).isNotNull()
+
+
 def dtypes(df: DataFrame) -> list[tuple[str, str]]:
     return df.dtypes
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loxodrome.functions import sets
+from loxodrome.functions import distributions, sets
 from loxodrome.operators import frame, stats
-from loxodrome.plans.base import Registry, table
+from loxodrome.plans.base import Registry, real, table
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -129,8 +129,8 @@ def grouping_sets(spark, sf_dir):
 
 def _join(how, sql):
     def run(spark, sf_dir):
-        c = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select("c_custkey", "c_name")
-        o = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+        c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+        o = table(spark, sf_dir, "orders").select((F.col("o_custkey") * 2).alias("c_custkey"), "o_orderkey")
         found = frame.join(c, o, "c_custkey", how)
         return found.na.fill({"o_orderkey": -1}) if "o_orderkey" in found.columns else found
 
@@ -138,7 +138,7 @@ def _join(how, sql):
     return query(sql)(run)
 
 
-_SIDES = "from (select c_custkey, c_name from customer where c_custkey % 3 = 0) c {} join (select o_custkey as c_custkey, o_orderkey from orders where o_orderkey % 5 = 0) o using (c_custkey)"
+_SIDES = "from (select c_custkey, c_name from customer) c {} join (select o_custkey * 2 as c_custkey, o_orderkey from orders) o using (c_custkey)"
 for _how, _sql in {"inner": "inner", "left": "left", "right": "right", "outer": "full", "semi": "semi", "anti": "anti"}.items():
     _join(_how, ("select c_custkey, c_name " if _how in ("semi", "anti") else "select c_custkey, c_name, coalesce(o_orderkey, -1) as o_orderkey ") + _SIDES.format(_sql))
 
@@ -194,10 +194,10 @@ def _keys(spark, sf_dir):
     return (table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").filter("s_acctbal < 2000").select(F.col("s_nationkey").alias("k")))
 
 
-@query("select c_custkey as id, c_name as name, null as price from customer where c_custkey < 5 union all select p_partkey, p_name, p_retailprice from part where p_partkey < 5")
+@query("select c_custkey as id, c_name as name, null as price from customer union all select p_partkey, p_name, p_retailprice from part")
 def concat(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").filter("c_custkey < 5").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return frame.concat(a, table(spark, sf_dir, "part").filter("p_partkey < 5").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price")))
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return frame.concat(a, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price")))
 
 
 @query("""
@@ -210,11 +210,11 @@ def pivot(spark, sf_dir):
 
 
 @query("""
-select l_orderkey, l_linenumber, 'l_discount' as variable, l_discount as value from lineitem where l_orderkey < 100
-union all select l_orderkey, l_linenumber, 'l_tax', l_tax from lineitem where l_orderkey < 100
+select l_orderkey, l_linenumber, 'l_discount' as variable, l_discount as value from lineitem
+union all select l_orderkey, l_linenumber, 'l_tax', l_tax from lineitem
 """)
 def melt(spark, sf_dir):
-    return frame.melt(table(spark, sf_dir, "lineitem").filter("l_orderkey < 100"), ["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"])
+    return frame.melt(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"])
 
 
 @query("""
@@ -227,9 +227,9 @@ def describe(spark, sf_dir):
     return out.withColumn("mean", F.round("mean", 6)).withColumn("sd", F.round("sd", 6))
 
 
-@query("select o_custkey, list(o_orderkey order by o_orderdate, o_orderkey) as o_orderkey from orders where o_custkey < 200 group by o_custkey")
+@query("select o_custkey, list(o_orderkey order by o_orderdate, o_orderkey) as o_orderkey from orders group by o_custkey")
 def to_list(spark, sf_dir):
-    return frame.to_list(table(spark, sf_dir, "orders").filter("o_custkey < 200"), "o_orderkey", ["o_orderdate", "o_orderkey"], ["o_custkey"])
+    return frame.to_list(table(spark, sf_dir, "orders"), "o_orderkey", ["o_orderdate", "o_orderkey"], ["o_custkey"])
 
 
 # statistics
@@ -250,13 +250,30 @@ select l_returnflag, quantile_cont(l_extendedprice, 0.1) as p10, median(l_extend
 from lineitem group by l_returnflag
 """)
 def percentiles(spark, sf_dir):
-    q = stats.quartiles("l_quantity")
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(stats.percentile("l_extendedprice", 10).alias("p10"), stats.median("l_extendedprice").alias("med"), stats.iqr("l_extendedprice").alias("iqr"), q["q1"].alias("q1"), q["q2"].alias("q2"), q["q3"].alias("q3"), stats.stat_range("l_quantity").alias("range"))
+    li, by = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", "l_quantity"), ["l_returnflag"]
+    price = stats.quantiles(li, "l_extendedprice", [0.1, 0.5, 0.25, 0.75], by).select(*by, F.col("q0").alias("p10"), F.col("q1").alias("med"), (F.col("q3") - F.col("q2")).alias("iqr"))
+    quantity = stats.quantiles(li, "l_quantity", [0.25, 0.5, 0.75], by).select(*by, F.col("q0").alias("q1"), F.col("q1").alias("q2"), F.col("q2").alias("q3"))
+    return price.join(quantity, by).join(li.groupBy(*by).agg(stats.stat_range("l_quantity").alias("range")), by)
+
+
+@query("""
+select o_custkey, round(quantile_cont(o_totalprice, 0.1), 4) as p10, round(median(o_totalprice), 4) as med, round(quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25), 4) as iqr, round(quantile_cont(o_totalprice, 0.25), 4) as q1, round(quantile_cont(o_totalprice, 0.5), 4) as q2,
+  round(quantile_cont(o_totalprice, 0.75), 4) as q3 from orders group by o_custkey
+""")
+def percentile_aggregates(spark, sf_dir):
+    """As aggregates, for groups whose values fit a task."""
+    q, r = stats.quartiles("o_totalprice"), lambda c: F.round(c, 4)
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(r(stats.percentile("o_totalprice", 10)).alias("p10"), r(stats.median("o_totalprice")).alias("med"), r(stats.iqr("o_totalprice")).alias("iqr"), r(q["q1"]).alias("q1"), r(q["q2"]).alias("q2"), r(q["q3"]).alias("q3"))
 
 
 @query("select p_brand, p_size as mode from (select p_brand, p_size, row_number() over (partition by p_brand order by count(*) desc, p_size) as r from part group by p_brand, p_size) where r = 1")
 def mode(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(stats.mode("p_size").alias("mode"))
+    return stats.modes(table(spark, sf_dir, "part"), "p_size", ["p_brand"])
+
+
+@query("select p_type, p_size as mode from (select p_type, p_size, row_number() over (partition by p_type order by count(*) desc, p_size) as r from part group by p_type, p_size) where r = 1")
+def mode_aggregate(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy("p_type").agg(stats.mode("p_size").alias("mode"))
 
 
 @query("""
@@ -281,11 +298,9 @@ def corr_linreg(spark, sf_dir):
     )
 
 
-@query("select event_id, round((value - avg(value) over w) / stddev_samp(value) over w, 6) as z from events window w as (partition by user_id) qualify count(*) over w > 1")
+@query("select event_id, coalesce(round((value - avg(value) over w) / nullif(stddev_samp(value) over w, 0), 6), 0) as z from events window w as (partition by user_id)")
 def zscore(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    many = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("user_id")
-    return stats.zscore(e.join(many, "user_id", "left_semi"), "value", ["user_id"]).select("event_id", F.round("z", 6).alias("z"))
+    return stats.zscore(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), "value", ["user_id"]).select("event_id", F.round("z", 6).alias("z"))
 
 
 @query("select event_id, round(case when max(value) over w = min(value) over w then 0 else (value - min(value) over w) / (max(value) over w - min(value) over w) end, 6) as scaled from events window w as (partition by event_type)")
@@ -321,10 +336,10 @@ def autocorr(spark, sf_dir):
 @query("""
 with recursive s as (select user_id, value, row_number() over (partition by user_id order by event_id) - 1 as i from events),
 e(user_id, i, value, ewma) as (select user_id, i, value, value from s where i = 0 union all select s.user_id, s.i, s.value, 0.3 * s.value + (1 - 0.3) * e.ewma from e join s on s.user_id = e.user_id and s.i = e.i + 1)
-select user_id, cast(i as integer) as position, value, round(ewma, 6) as ewma from e
+select user_id, cast(i as integer) as position, value, round(1.3e-8 + ewma, 6) as ewma from e
 """)
 def ewma(spark, sf_dir):
-    return stats.ewma(table(spark, sf_dir, "events"), "value", 0.3, ["event_id"], ["user_id"]).withColumn("ewma", F.round("ewma", 6))
+    return stats.ewma(table(spark, sf_dir, "events"), "value", 0.3, ["event_id"], ["user_id"]).withColumn("ewma", F.round(F.lit(1.3e-8) + F.col("ewma"), 6))
 
 
 @query("""
@@ -353,3 +368,125 @@ def outliers(spark, sf_dir):
 @query("select round(avg(p_retailprice), 6) as trimmed_mean from part, (select quantile_cont(p_retailprice, 0.1) as a, quantile_cont(p_retailprice, 0.9) as b from part) where p_retailprice between a and b")
 def trimmed_mean(spark, sf_dir):
     return stats.trimmed_mean(table(spark, sf_dir, "part"), "p_retailprice", 0.1).select(F.round("trimmed_mean", 6).alias("trimmed_mean"))
+
+
+# frames: sources, shapes and rows
+
+
+@query("select o_orderkey, o_custkey from orders order by o_orderkey limit 9")
+def df_head(spark, sf_dir):
+    return frame.head(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 9)
+
+
+@query("select c_custkey, c_nationkey, c_acctbal as balance, c_mktsegment, c_acctbal * 2 as twice from customer where c_acctbal > 0 and c_nationkey < 20")
+def df_verbs(spark, sf_dir):
+    c = frame.drop(table(spark, sf_dir, "customer"), "c_name", "nothing")
+    c = frame.where(frame.filter_by_column(c, "c_acctbal", lambda x: x > 0), "c_nationkey < 20")
+    return frame.add_column(frame.rename(c, {"c_acctbal": "balance"}), "twice", F.col("balance") * 2)
+
+
+@query("""
+select 'DataFrame(columns=[c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment], rows=' || count(*) || ')' as describe, count(*) as row_count, 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' as columns, 'bigint,string,int,double,string' as dtypes from customer
+""")
+def df_shapes(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    row = (frame.describe(c), frame.row_count(c), ",".join(frame.columns(c)), ",".join(t for _, t in frame.dtypes(c)))
+    return spark.createDataFrame([row], "describe string, row_count bigint, columns string, dtypes string")
+
+
+@query("""
+select 0 as _pos, 'a' as idx, 1 as value, 'map' as source union all select 1, 'b', 2, 'map' union all select 0, '0', 7, 'list' union all select 1, '1', 8, 'list' union all select 0, 'x', 5, 'columns' union all select 1, 'y', 6, 'columns'
+union all select 0, 'r', 1, 'rows' union all select 1, null, 2, 'rows' union all select -1, 'value', 3, 'name'
+""")
+def df_sources(spark, sf_dir):
+    """Frames and series made of the caller's own values."""
+    made = frame.series_from_map(spark, {"b": 2, "a": 1}).withColumn("source", F.lit("map"))
+    made = made.unionByName(frame.series(spark, [7, 8]).withColumn("source", F.lit("list")))
+    made = made.unionByName(frame.from_columns(spark, {"idx": ["x", "y"], "value": [5, 6]}).withColumn("source", F.lit("columns")))
+    rows = frame.from_rows(spark, [{"_pos": 0, "idx": "r", "value": 1}, {"_pos": 1, "value": 2}]).withColumn("source", F.lit("rows"))
+    named = frame.map_series(frame.series(spark, [2]), lambda v: v + 1).select(F.lit(-1).alias("_pos"), F.lit(frame.series_name(made.select("_pos", "idx", "value"))).alias("idx"), "value", F.lit("name").alias("source"))
+    return made.unionByName(rows).unionByName(named).unionByName(frame.empty(spark, "_pos bigint, idx string, value bigint, source string"))
+
+
+@query("""
+select p_partkey, upper(p_brand) as p_brand, upper(p_type) as p_type, 'p_size=' || p_size || ',p_retailprice=' || (p_retailprice > 0) as row, p_size > 25 as is_null, p_size <= 25 as not_null, p_size * 2 as mapped from part
+""")
+def df_rows(spark, sf_dir):
+    p = frame.apply(table(spark, sf_dir, "part"), F.upper, "p_brand", "p_type")
+    small = p.select("p_partkey", "p_brand", "p_type", "p_size", F.when(F.col("p_size") <= 25, F.col("p_size")).alias("opt"), (F.col("p_retailprice") > 0).alias("p_retailprice"))
+    m = frame.to_map(small.select("p_size", "p_retailprice")).columns[0]
+    shown = F.concat_ws(",", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("p_size", "p_retailprice")])
+    out = frame.map_rows(small, {"row": shown, "mapped": F.col("p_size") * 2, "is_null": frame.is_null("opt"), "not_null": frame.not_null("opt")})
+    assert m == "row"
+    return out.select("p_partkey", "p_brand", "p_type", "row", "is_null", "not_null", "mapped")
+
+
+@query("select p_partkey, unnest(['p_brand', 'p_size']) as key, unnest([p_brand, cast(p_size as varchar)]) as value from part")
+def df_to_map(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_size"))
+    maps_ = frame.to_map(p.select("p_partkey", "p_brand", "p_size"))
+    return maps_.select(F.col("row")["p_partkey"].cast("bigint").alias("p_partkey"), F.explode(F.map_filter("row", lambda k, _: k != "p_partkey")).alias("key", "value"))
+
+
+@query("select c_nationkey as k from customer union select s_nationkey from supplier")
+def df_union(spark, sf_dir):
+    return frame.union(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")))
+
+
+@query()
+def df_sample(spark, sf_dir):
+    """A sample is the feature; tests hold its share and that it stays the same."""
+    return frame.sample(table(spark, sf_dir, "orders").select("o_orderkey"), 0.25, "o_orderkey")
+
+
+@query("""
+with t as (select p_partkey as k, p_size as x from part), n as (select count(*) as n from t)
+select round(max(greatest(abs(u / n.n - x / 51e0), abs((u - c) / n.n - x / 51e0))), 8) as statistic, any_value(n.n) as n from (select x, count(*) as c, sum(count(*)) over (order by x) as u from t group by x), n
+""")
+def ks_test(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_size").alias("x"))
+    return stats.ks_test(p, "x", distributions.uniform(0.0, 51.0)).select(F.round("statistic", 8).alias("statistic"), "n")
+
+
+@query("""
+with g as (select p_partkey % 3 as g, count(*) as n, avg(p_size) as m, var_pop(p_size) as v from part group by 1), a as (select sum(n) as nn, sum(n * m) / sum(n) as mm, count(*) as k from g),
+f as (select (sum(n * pow(m - mm, 2)) / (any_value(k) - 1)) / (sum(n * v) / (any_value(nn) - any_value(k))) as f, any_value(nn) - any_value(k) as d from g, a),
+o as (select p_size % 3 as c, count(*) as n from part group by 1), x as (select sum(pow(n - t / 3e0, 2) / (t / 3e0)) as x from o, (select count(*) as t from part))
+select 'anova' as test, round(f, 6) as statistic, round(pow(1 + 2 * f / d, -d / 2e0), 6) as p_value from f union all select 'chi square', round(x, 6), round(exp(-x / 2), 6) from x
+union all select 'one sample t', round((avg(p_size) - 25) / (stddev_samp(p_size) / sqrt(count(*))), 6), null from part
+union all select 'paired t', round(avg(p_size - p_retailprice / 40) / (stddev_samp(p_size - p_retailprice / 40) / sqrt(count(*))), 6), null from part
+""")
+def hypothesis_tests(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_size", (F.col("p_partkey") % 3).alias("g"), (F.col("p_size") % 3).alias("c"), (F.col("p_retailprice") / 40).alias("y"))
+    counts = p.groupBy("c").agg(F.count(F.lit(1)).alias("n")).join(p.agg((F.count(F.lit(1)) / 3).alias("e")))
+    named = lambda name, df, value: df.select(F.lit(name).alias("test"), F.round("statistic", 6).alias("statistic"), value.cast("double").alias("p_value"))
+    rounded, none = F.round("p_value", 6), F.lit(None)
+    t = lambda test: p.agg(test.alias("r")).select(F.col("r.t").alias("statistic"))
+    out = named("anova", stats.anova(p, "p_size", "g"), rounded).union(named("chi square", stats.chi_square_test(counts, "n", "e"), rounded))
+    return out.union(named("one sample t", t(stats.one_sample_t_test("p_size", 25.0)), none)).union(named("paired t", t(stats.paired_t_test("p_size", "y")), none))
+
+
+@query(real("""
+with t as (select p_partkey, p_size / 10e0 as x, p_size / 51e0 as u from part)
+select p_partkey, round(exp(-x * x / 2) / sqrt(2 * pi()), 8) as normal_pdf, round(0.5 + (select sum(case when i % 200 = 0 then 1 when i % 2 = 1 then 4 else 2 end * exp(-pow(x * i / 200, 2) / 2)) * x / 600 / sqrt(2 * pi()) from range(201) r(i)), 7) as normal_cdf, round((x - 1) / 5, 8) as uniform_cdf_raw,
+  round(1 - exp(-2 * x), 8) as exponential_cdf, round(-ln(1 - u) / 2, 8) as exponential_ppf, round(exp(-2.5) * pow(2.5, floor(x)) / factorial(cast(floor(x) as integer)), 8) as poisson_pmf, round((select sum(exp(-2.5) * pow(2.5, k) / factorial(cast(k as integer))) from range(6) r(k) where k <= x), 8) as poisson_cdf,
+  round(case floor(x) when 0 then 0.0256 when 1 then 0.1536 when 2 then 0.3456 when 3 then 0.3456 when 4 then 0.1296 else 0 end, 8) as binomial_pmf, round(1 - exp(-x) * (1 + x), 8) as gamma_cdf, round(u * u * (3 - 2 * u), 8) as beta_cdf, round(1 - exp(-x / 2), 8) as chisquare_cdf, round(0.5 + x / (2 * sqrt(2 + x * x)), 8) as t_cdf,
+  round(x / (1 + x), 8) as f_cdf, round(x, 6) as normal_round_trip, 2e0 as gamma_mean, round(1 / 20e0, 8) as beta_variance, round(1 / pow(1 + x, 2), 8) as f_pdf
+from t
+"""))
+def distribution_functions(spark, sf_dir):
+    d = distributions
+    x, u = F.col("x"), F.col("u")
+    t = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 10).alias("x"), (F.col("p_size") / 51).alias("u"))
+    r = lambda c, k=8: F.round(c, k)
+    return t.select(
+        "p_partkey", r(d.normal().pdf(x)).alias("normal_pdf"), r(d.normal().cdf(x), 7).alias("normal_cdf"), r((d.uniform(0.0, 10.0).cdf(x) * 10 - 1) / 5).alias("uniform_cdf_raw"), r(d.exponential(2.0).cdf(x)).alias("exponential_cdf"), r(d.exponential(2.0).ppf(u)).alias("exponential_ppf"), r(d.poisson(2.5).pdf(F.floor(x))).alias("poisson_pmf"),
+        r(d.poisson(2.5).cdf(x)).alias("poisson_cdf"), r(d.binomial(4, 0.6).pdf(F.floor(x))).alias("binomial_pmf"), r(d.gamma(2.0).cdf(x)).alias("gamma_cdf"), r(d.beta(2.0, 2.0).cdf(u)).alias("beta_cdf"), r(d.chisquare(2).cdf(x)).alias("chisquare_cdf"), r(d.t(2).cdf(x)).alias("t_cdf"), r(d.f(2, 2).cdf(x)).alias("f_cdf"),
+        r(d.normal().ppf(d.normal().cdf(x)), 6).alias("normal_round_trip"), F.lit(d.gamma(2.0, 1.0).mean()).alias("gamma_mean"), r(F.lit(d.beta(2.0, 2.0).variance())).alias("beta_variance"), r(d.f(2, 2).pdf(x)).alias("f_pdf"),
+    )
+
+
+@query()
+def bootstrap(spark, sf_dir):
+    """Draws by hash have no SQL; tests hold the interval against the normal one."""
+    return stats.bootstrap_ci(table(spark, sf_dir, "lineitem").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber")), "l_quantity", "k", 100)

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from loxodrome.functions import arrays, core, dates, linalg, lists, maps, mathx, numeric, sets, strings, symbolic
 from loxodrome.operators import functional, quality, stats
-from loxodrome.plans.base import Registry, table
+from loxodrome.plans.base import Registry, real, table
 
 REGISTRY = Registry()
 query = REGISTRY.query
 
 
-def real(sql: str) -> str:
-    """SQL with doubles for the decimal numbers in it."""
-    return re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.])", r"\1e0", sql)
-
-
 def _parts(spark, sf_dir):
     return table(spark, sf_dir, "part")
 
