@@ -1,53 +1,83 @@
 """PII surrogates: detected entities get keyed, type-consistent replacements.
 
 Entities are found by one expression: e-mail addresses, credentials (token = "..." and the like),
-IPv4 addresses, IBANs, card numbers, social security numbers, telephone numbers and names after a
-form of address. Each is reduced to a canonical form (digits of a number, lower case of an address),
-so that spellings of one entity share a surrogate, and the surrogate is drawn from a digest of the
-key, the kind, the canonical form and an attempt. It keeps what the original shows: digits stay
-digits, letters stay letters of the same case and script, punctuation stays; octets stay octets;
-card numbers keep their first digit and have a valid check digit; form of address, and with it the
-gender, stays, first names come from the gender's list in the same script.
-
-Distinctness: over all distinct entities of the corpus the surrogates are compared with each other
-and with the entities themselves; of those that collide all but the smallest draw again, with the
-next attempt, until none collides (from the eighth attempt on, e-mail addresses grow by some
-letters, as there may be fewer of a short form than are needed). As a surrogate depends on nothing but key, kind, canonical form
-and attempt, one entity has one surrogate in all documents. Attempts above 0 are rare; only they
-are joined to the documents that hold such entities, all other rows are replaced in place without a
-shuffle.
+IPv4 and IPv6 addresses, IBANs, card numbers, social security numbers, telephone numbers and names
+after a form of address. None has a limit of length but those of its format.
+
+An entity has one subject (a name has two: the surname, and the given name within it), which all
+spellings of it share: the digits of a number with the country's code, an address in lower case, a
+secret without its quotes, a surname without its feminine ending. What replaces a subject is drawn
+from an HMAC-SHA256 under the caller's key of its kind, its canonical form and an attempt, and the
+entity is then written anew as it was spelled: digits stay digits, letters stay letters of the same
+case and script, punctuation stays; octets stay octets; card numbers keep their first digit and have a
+valid check digit; telephone numbers keep the country's code; a form of address, and with it the
+gender, stays, given names come from the gender's list in the same script, Cyrillic surnames agree
+with the gender. "Mr. John Smith" and "Mr. Smith" share the surname's surrogate, and so do the
+spellings of one telephone number with and without blanks or the code +1.
+
+Distinctness: over all distinct subjects of the corpus the surrogates, in canonical form, are
+compared with each other and with the subjects themselves; of those that collide all but one draw
+again, with the next attempt, until none collides. From attempt WIDER_FROM on, the kinds whose forms
+may be too few (e-mail addresses, secrets, telephone numbers, IBANs, names) grow by some characters.
+What is left after MOST_ATTEMPTS is an error, never a shared surrogate. As a surrogate depends on
+nothing but key, kind, canonical form and attempt, one subject has one surrogate in all documents.
+Attempts above 0 are rare; only they are joined to the rows that hold such subjects, all other rows
+are replaced in place without a shuffle.
 
 All of it is SQL functions. Defined results: null text stays null and has no entities; text without
 entities stays as it is; repeated rows are replaced alike; a null doc_id is no obstacle; an empty
-table gives an empty result; extra columns are carried along.
+table gives an empty result; extra columns are carried along. Names without a form of address are not
+looked for, and full and shortened spellings of one IPv6 address count as two.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import logging
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loxodrome.llm.common import Scratch
 
-KEY, MOST_ATTEMPTS, WIDER_FROM = "loxodrome-surrogates", 64, 8
-#: Entities that had to draw again are broadcast up to so many.
+MOST_ATTEMPTS, WIDER_FROM = 64, 8
+#: The setting that names the key, and the key of synthetic tables where there is none.
+KEY_SETTING, SYNTHETIC_KEY = "spark.loxodrome.pii.key", "synthetic tables only"
+#: Rows with subjects that had to draw again are broadcast up to so many.
 BROADCAST_ROWS = 200_000
 
-#: Kind, pattern (no capturing groups), in order of precedence at one place.
 _ADDRESS = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Sr|Sra|Señor|Señora|г-н|г-жа|господин|госпожа)"
+_HEX = r"[0-9A-Fa-f]{1,4}"
+#: Kind, pattern (no capturing groups), in order of precedence at one place.
 KINDS = [
-    ("email", r"(?<![\p{L}\p{Nd}._%+\-])[\p{L}\p{Nd}._%+\-]{1,64}+@[\p{L}\p{Nd}\-]{1,63}(?:\.[\p{L}\p{Nd}\-]{1,63}){0,8}\.\p{L}{2,24}"),
-    ("secret", r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_\-]{8,256}[\"']?|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b"),
+    ("email", r"(?<![\p{L}\p{Nd}._%+\-])[\p{L}\p{Nd}._%+\-]++@[\p{L}\p{Nd}][\p{L}\p{Nd}.\-]*\.\p{L}{2,}"),
+    (
+        "secret",
+        r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b)\s{0,3}[=:]\s{0,3}(?:\"[^\"\s]{8,}+\"|'[^'\s]{8,}+'|[\"']?[A-Za-z0-9+/=~_.\-]{7,}[A-Za-z0-9+/=~_\-])|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}+\b",
+    ),
+    ("ip6", rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:2[0-9A-Fa-f]{{3}}|[fF][cCdDeE][0-9A-Fa-f]{{2}})(?::{_HEX}){{0,6}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![\w:])"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("phone", r"\+\d{1,3}[ .\-]?\(\d{1,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}\b|\(\d{3}\) ?\d{3}[ .\-]\d{4}\b|\+\d{1,3}(?:[ .\-]\d{2,4}){2,5}\b|\+\d{8,15}\b|\b\d{3}[.\-]\d{3}[.\-]\d{4}\b"),
     ("ssn", r"\b\d{3}-\d{2}-\d{4}\b"),
     ("card", r"(?<!\d)(?:\d{4}[ \-]){3}\d{4}(?!\d)|(?<![\d.])\d{13,19}(?![\d])"),
-    ("name", rf"\b{_ADDRESS}\.? \p{{Lu}}[\p{{L}}'’\-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'’\-]{{1,40}})?"),
+    ("name", rf"\b{_ADDRESS}\.? \p{{Lu}}[\p{{L}}'’\-]+(?: \p{{Lu}}[\p{{L}}'’\-]+)?"),
+]
+_BY_KIND = dict(KINDS)
+
+
+def _any(*kinds: str) -> str:
+    return "|".join(f"(?:{p})" for k, p in KINDS if k in kinds)
+
+
+#: At a letter that begins a word those kinds that begin with one, elsewhere those that begin with a digit or a sign.
+PATTERN = rf"(?=\p{{L}})(?<!\p{{L}})(?:{_any('email', 'secret', 'ip6', 'iban', 'name')})|(?=[0-9+(._%\-])(?:{_any('email', 'ip6', 'ip', 'phone', 'ssn', 'card')})"
+#: What every entity holds: a digit or an @, or else one of these signs or words; literals are searched for first, as that is many times cheaper than an expression.
+HINTS = [
+    (["=", ":"], rf"(?i:token|secret|passw|key)|[0-9A-Fa-f]:(?:{_HEX})?:"),
+    (["AKIA"], None),
+    (["_"], r"gh[pousr]_"),
+    (["Mr", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Mlle", "Sr", "Señor", "г-н", "г-ж", "господин", "госпожа"], rf"{_ADDRESS}\.? \p{{Lu}}"),
 ]
-PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
-#: A text with none of these has no entity, which is cheaper to tell.
-HINT = rf"[0-9@]|\b{_ADDRESS}\.? \p{{Lu}}|(?i:token|secret|passw|key)"
 #: Marks that part entities from the text; the first that the text doesn't hold is used.
 MARKS = ["\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3\ufdd4", "\ufdd5\ufdd6\ufdd7"]
 
@@ -62,9 +92,21 @@ NAMES = {
 }
 ONSETS = {"latin": "B C D F G H K L M N P R S T V W".split(), "cyrillic": "Б В Г Д К Л М Н П Р С Т Ф Х З Ж".split()}
 CORES = {"latin": "al en or is um an el it er on ar il as ur em ot".split(), "cyrillic": "ал ен ор ис ум ан ел ит ер он ар ил ас ур ем от".split()}
+#: Endings of given names that are made up.
+ENDINGS = {("m", "latin"): "o", ("f", "latin"): "a", ("n", "latin"): "y", ("m", "cyrillic"): "ий", ("f", "cyrillic"): "а", ("n", "cyrillic"): "и"}
 MALE, FEMALE = r"^(?:Mr|Herr|Monsieur|Sr|Señor|г-н|господин)\b", r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Sra|Señora|г-жа|госпожа)\b"
-LATIN_SMALL, LATIN_LARGE = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LATIN_SMALL = "abcdefghijklmnopqrstuvwxyz"
 CYRILLIC_SMALL, GREEK_SMALL = "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"
+#: Countries' codes, by the telephone union's plan: 1 and 7, those of two digits, all others of three.
+COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
+
+def key_of(spark: SparkSession) -> str:
+    """The key that the session names; one that everybody knows where it names none, which is fit for synthetic tables only."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        logging.getLogger(__name__).warning("%s is not set: surrogates can be recomputed by anybody", KEY_SETTING)
+    return key or SYNTHETIC_KEY
 
 
 def mark(text: Column) -> Column:
@@ -80,10 +122,21 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def hinted(text: Column) -> Column:
+    """False for texts that can hold no entity, which is cheap to tell."""
+    found = text.rlike("[0-9@]")
+    for literals, pattern in HINTS:
+        some = F.contains(text, F.lit(literals[0]))
+        for literal in literals[1:]:
+            some = some | F.contains(text, F.lit(literal))
+        found = found | (some if pattern is None else some & text.rlike(pattern))
+    return found
+
+
 def segments(text: Column) -> Column:
     """The text in parts; those at odd places (from 0) are entities. Null for text without entities."""
     cut = let(mark(text), lambda m: F.split(F.regexp_replace(text, F.lit(PATTERN), F.concat(m, F.lit("$0"), m)), m))
-    return F.when(text.rlike(HINT), F.when(text.rlike(PATTERN), cut))
+    return F.when(hinted(text), F.when(text.rlike(PATTERN), cut))
 
 
 def kind_of(entity: Column) -> Column:
@@ -94,32 +147,69 @@ def kind_of(entity: Column) -> Column:
 
 
 def secret_parts(entity: Column) -> tuple[Column, Column]:
-    """What introduces a secret, and the secret."""
-    lead = F.regexp_extract(entity, r"^((?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3})?(.*)$", 1)
+    """What introduces a secret with the quote before it, and the secret with what may end it."""
+    lead = F.regexp_extract(entity, r"^((?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)?(?s:.*)$", 1)
     return lead, F.substring(entity, F.char_length(lead) + 1, F.char_length(entity))
 
 
-def canonical(entity: Column, kind: Column) -> Column:
-    """What spellings of one entity have in common."""
+def name_parts(entity: Column) -> dict[str, Column]:
+    """gender, given (null if there is none), surname, script of a name after a form of address, as spelled."""
+    words = F.split(entity, " ")
+    given = F.when(F.size(words) > 2, F.get(words, F.lit(1)))
+    surname = F.get(words, F.size(words) - 1)
+    script = F.when(surname.rlike(r"^\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
+    known = F.lit("n")
+    for gender in ("f", "m"):
+        known = F.when(given.isin(NAMES[gender, "latin"] + NAMES[gender, "cyrillic"]), F.lit(gender)).otherwise(known)
+    gender = F.when(entity.rlike(MALE), F.lit("m")).when(entity.rlike(FEMALE), F.lit("f")).otherwise(known)
+    return {"gender": gender, "given": given, "surname": surname, "script": script}
+
+
+def _stem(surname: Column) -> Column:
+    """A surname in lower case; Cyrillic ones without the feminine ending."""
+    low = F.lower(surname)
+    return F.regexp_replace(F.regexp_replace(low, r"(?<=[оеё]в|[иы]н)а$", ""), r"(?<=[сц]к)ая$", "ий")
+
+
+def subjects(entity: Column, kind: Column) -> Column:
+    """array<struct<kind, canon>>: what spellings of one entity have in common; of a name its surname, then its given name."""
     digits = F.regexp_replace(entity, r"[^0-9]", "")
-    return (
-        F.when(kind.isin("phone", "ssn", "card"), digits)
-        .when(kind == "email", F.lower(entity))
+    canon = (
+        F.when(kind == "phone", F.when(F.startswith(entity, F.lit("+")), digits).otherwise(F.concat(F.lit("1"), digits)))
+        .when(kind.isin("ssn", "card"), digits)
+        .when(kind.isin("email", "ip6"), F.lower(entity))
         .when(kind == "iban", F.regexp_replace(entity, " ", ""))
-        .when(kind == "secret", F.regexp_replace(secret_parts(entity)[1], r"[\"']", ""))
-        .when(kind == "name", F.regexp_replace(entity, r"\. ", " "))
+        .when(kind == "secret", F.regexp_replace(secret_parts(entity)[1], r"[\"']$", ""))
         .otherwise(entity)
     )
+    pair = lambda k, c: F.struct(k.alias("kind"), c.alias("canon"))
+    n = name_parts(entity)
+    stem = _stem(n["surname"])
+    both = F.array(pair(F.lit("surname"), stem), pair(F.lit("given"), F.concat_ws("|", n["gender"], F.lower(n["given"]), stem)))
+    return F.when(kind != "name", F.array(pair(kind, canon))).when(n["given"].isNull(), F.slice(both, 1, 1)).otherwise(both)
+
+
+def _hmac(key: str, message: Column) -> Column:
+    """HMAC-SHA256 in hexadecimal."""
+    import hashlib
+
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    pad = lambda x: F.lit(bytearray(b ^ x for b in raw))
+    return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), F.encode(message, "utf-8")), 256))), 256)
 
 
-def _digest(canon: Column, kind: Column, attempt: Column, block: int) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(KEY), kind, canon, attempt.cast("string"), F.lit(str(block))), 256)
+def _draws(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
+    """128 numbers from 0 to 65535 of the subject; later places go round."""
+    seed = _hmac(key, F.concat_ws("|", kind, attempt.cast("string"), canon))
+    hexes = lambda s: F.concat(*[F.sha2(F.concat(s, F.lit(str(k))), 256) for k in range(8)])
+    return let(let(seed, hexes), lambda h: F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.conv(F.substring(h, i * 4 + 1, F.lit(4)), 16, 10).cast("int")))
 
 
-def _draws(canon: Column, kind: Column, attempt: Column) -> Column:
-    """128 numbers from 0 to 65535 of the entity; later places go round."""
-    hexes = F.concat(*[_digest(canon, kind, attempt, k) for k in range(8)])
-    return let(hexes, lambda h: F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.conv(F.substring(h, i * 4 + 1, F.lit(4)), 16, 10).cast("int")))
+def _at(draws: Column, i: Column) -> Column:
+    """The number for the place i; from the 129th place on the numbers come again, each time with others added."""
+    round_ = F.floor(i / 128).cast("int")
+    return F.get(draws, i % 128) + F.when(round_ > 0, F.get(draws, round_ % 128)).otherwise(0)
 
 
 def _pick(choices: str | list[str], n: Column) -> Column:
@@ -142,143 +232,174 @@ def _alike(c: Column, n: Column) -> Column:
     return F.when(c.rlike(r"^[0-9]$"), (n % 10).cast("string")).when(c.rlike(r"^\p{L}$"), F.when(large, F.upper(small)).otherwise(small)).otherwise(c)
 
 
-def _same_form(entity: Column, draws: Column, keep_from: Column | None = None) -> Column:
-    """Every letter and digit for another of its kind; by the place among letters and digits, so that blanks and dashes don't matter. keep_from: code points from here stay."""
+def _same_form(canon: Column, draws: Column, first: Column, last: Column) -> Column:
+    """Every letter and digit for another of its kind; the characters before the place first and from the place last on stay."""
+    return F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when((i < first) | (i >= last), c).otherwise(_alike(c, _at(draws, i)))), "")
 
-    def swapped(chars: Column, places: Column) -> Column:
-        return F.transform(chars, lambda c, i: F.when(F.lit(False) if keep_from is None else i >= keep_from, c).otherwise(_alike(c, F.get(draws, (F.get(places, i) % 128).cast("int")))))
 
-    return let(F.split(entity, ""), lambda chars: F.array_join(let(_places(chars, r"^[\p{L}\p{Nd}]$"), lambda places: swapped(chars, places)), ""))
+def _as_hex(canon: Column, draws: Column) -> Column:
+    """Every hexadecimal digit for another, in the case of small letters."""
+    return F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when(c.rlike("^[0-9a-f]$"), F.lower(F.hex(_at(draws, i) % 16))).otherwise(c)), "")
 
 
-def _places(chars: Column, pattern: str) -> Column:
-    """For each character how many of those before it match."""
-    return F.aggregate(
-        chars,
-        F.struct(F.array().cast("array<int>").alias("all"), F.lit(0).alias("n")),
-        lambda a, c: F.struct(F.array_append(a["all"], a["n"]).alias("all"), (a["n"] + F.when(c.rlike(pattern), 1).otherwise(0)).alias("n")),
-        lambda a: a["all"],
-    )
+def _card(digits: Column, draws: Column) -> Column:
+    """As many digits with the same first one; the last is the check digit."""
+    chars = F.split(digits, "")
+    n = F.size(chars)
+    body = F.transform(F.slice(chars, F.lit(1), n - 1), lambda d, i: F.when(i == 0, d.cast("int")).otherwise(_at(draws, i) % 10))
+    # from the right, every other digit of the body counts double
+    counted = lambda b: F.aggregate(F.transform(b, lambda d, i: F.when((n - 2 - i) % 2 == 0, F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)).otherwise(d)), F.lit(0), lambda a, x: a + x)
+    return let(body, lambda b: F.array_join(F.concat(b, F.array(((10 - counted(b) % 10) % 10).cast("int"))), ""))
 
 
-def _card(entity: Column, draws: Column) -> Column:
-    """A number of this form with the same first digit; the last digit is the check digit."""
+def _syllables(script: str, draws: Column, first: int, n: int) -> Column:
+    parts = [(_pick(ONSETS[script], F.get(draws, F.lit(first + 2 * k))), _pick(CORES[script], F.get(draws, F.lit(first + 2 * k + 1)))) for k in range(n)]
+    return F.lower(F.concat(*[p for pair in parts for p in pair]))
 
-    def whole(digits: Column) -> Column:
-        n = F.size(digits)
-        body = F.transform(F.slice(digits, F.lit(1), n - 1), lambda d, i: F.when(i == 0, d.cast("int")).otherwise(F.get(draws, (i % 128).cast("int")) % 10))
-        # from the right, every other digit of the body counts double
-        counted = lambda b: F.aggregate(F.transform(b, lambda d, i: F.when((n - 2 - i) % 2 == 0, F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)).otherwise(d)), F.lit(0), lambda a, x: a + x)
-        return let(body, lambda b: F.concat(b, F.array(((10 - counted(b) % 10) % 10).cast("int"))))
 
-    number = let(F.split(F.regexp_replace(entity, r"[^0-9]", ""), ""), whole)
-    put = lambda chars, digits, places: F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), F.get(digits, F.get(places, i)).cast("string")).otherwise(c))
-    return let(F.split(entity, ""), lambda chars: F.array_join(let(F.struct(number.alias("d"), _places(chars, "^[0-9]$").alias("p")), lambda s: put(chars, s["d"], s["p"])), ""))
+def _surname(canon: Column, draws: Column, wide: Column) -> Column:
+    latin = F.concat(_syllables("latin", draws, 1, 3), F.when(wide, _syllables("latin", draws, 20, 2)).otherwise(F.lit("")))
+    cyrillic = F.concat(_syllables("cyrillic", draws, 1, 3), F.when(wide, _syllables("cyrillic", draws, 20, 2)).otherwise(F.lit("")), F.lit("ов"))
+    return F.when(canon.rlike(r"^\p{IsCyrillic}"), cyrillic).otherwise(latin)
 
 
-def _name(entity: Column, draws: Column) -> Column:
-    """The form of address stays; first name of the gender, surname of syllables, both in the script of the original."""
-    words = F.split(entity, " ")
-    given, n = F.lit(""), lambda k: F.get(draws, F.lit(k))
-    for script in ("latin", "cyrillic"):
-        here = F.get(words, F.lit(1)).rlike(r"^\p{IsCyrillic}") if script == "cyrillic" else F.lit(True)
-        surname = F.concat(_pick(ONSETS[script], n(1)), _pick(CORES[script], n(2)), F.lower(_pick(ONSETS[script], n(3))), _pick(CORES[script], n(4)), F.lower(_pick(ONSETS[script], n(5))), _pick(CORES[script], n(6)))
-        first = F.when(entity.rlike(MALE), _pick(NAMES["m", script], n(0))).when(entity.rlike(FEMALE), _pick(NAMES["f", script], n(0))).otherwise(_pick(NAMES["n", script], n(0)))
-        given = F.when(here, F.when(F.size(words) > 2, F.concat(first, F.lit(" "), surname)).otherwise(surname)).otherwise(given)
-    return F.concat(F.get(words, F.lit(0)), F.lit(" "), given)
+def _given(canon: Column, draws: Column, wide: Column) -> Column:
+    """A given name within the same surname: gender, name, surname, as in the subject."""
+    gender, given = F.substring_index(canon, "|", 1), F.get(F.split(canon, r"\|"), F.lit(1))
+    out = F.lit("")
+    for (g, script), names in NAMES.items():
+        here = (gender == g) & (given.rlike(r"^\p{IsCyrillic}") == F.lit(script == "cyrillic"))
+        made = F.when(wide, F.concat(_syllables(script, draws, 1, 3), F.lit(ENDINGS[g, script]))).otherwise(F.lower(_pick(names, F.get(draws, F.lit(0)))))
+        out = F.when(here, made).otherwise(out)
+    return F.concat_ws("|", gender, out, F.substring_index(canon, "|", -1))
 
 
-def surrogate(entity: Column, attempt: Column) -> Column:
-    """What stands for the entity at this attempt."""
+def drawn(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
+    """The canonical form of what stands for a subject at this attempt."""
+    wide = attempt >= WIDER_FROM
+    n = F.char_length(canon)
 
-    def made(e: Column, kind: Column) -> Column:
-        return let(_draws(canonical(e, kind), kind, attempt), lambda draws: drawn(e, kind, draws))
-
-    def drawn(e: Column, kind: Column, draws: Column) -> Column:
-        lead, secret = secret_parts(e)
-        top = F.char_length(e) - F.char_length(F.substring_index(e, ".", -1)) - 1  # the top-level domain stays
+    def of(draws: Column) -> Column:
+        more = F.lower(F.hex(F.get(draws, F.lit(127)) + 4096))
+        digits = F.when(wide, F.lpad((F.get(draws, F.lit(126)) % 10_000).cast("string"), 4, "0")).otherwise(F.lit(""))
+        top = n - F.char_length(F.substring_index(canon, ".", -1)) - 1  # the top-level domain stays
         octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.get(draws, i) % 254 + 1).cast("string")), ".")
-        cc = F.regexp_extract(e, r"^\+\d{1,3}(?=\D)", 0)  # the country's code stays
-        # what stays in front of letters and digits that are replaced one by one
-        front = F.when(kind == "iban", F.substring(e, 1, 2)).when(kind == "phone", cc).otherwise(F.lit(""))
-        # addresses so short that their form has too few others grow
-        wider = F.when((kind == "email") & (attempt >= WIDER_FROM), F.lower(F.hex(F.get(draws, F.lit(127)) + 4096))).otherwise(F.lit(""))
-        rest = F.substring(F.when(kind == "email", F.lower(e)).otherwise(e), F.char_length(front) + 1, F.char_length(e))
-        stays = F.when(kind == "email", top).otherwise(F.lit(1 << 30))
+        hexed = canon.rlike(r"^[0-9a-f]+$")
+        form = _same_form(canon, draws, F.when(kind == "iban", 2).when(kind == "phone", F.char_length(F.regexp_extract(canon, COUNTRY, 0))).otherwise(0), F.when(kind == "email", top).otherwise(n))
         return (
             F.when(kind == "ip", octets)
-            .when(kind == "card", _card(e, draws))
-            .when(kind == "name", _name(e, draws))
-            .when(kind == "secret", F.concat(lead, let(secret, lambda x: _hexed(x, draws))))
-            .otherwise(F.concat(wider, front, let(F.struct(rest.alias("x"), stays.alias("n")), lambda s: _same_form(s["x"], draws, s["n"]))))
+            .when(kind == "card", _card(canon, draws))
+            .when(kind == "surname", _surname(canon, draws, wide))
+            .when(kind == "given", _given(canon, draws, wide))
+            .when(kind == "ip6", _as_hex(canon, draws))
+            .when(kind == "secret", F.concat(F.when(hexed, _as_hex(canon, draws)).otherwise(form), F.when(wide, more).otherwise(F.lit(""))))
+            .when(kind == "email", F.concat(F.when(wide, more).otherwise(F.lit("")), form))
+            .otherwise(F.concat(form, digits))
         )
 
-    return let(F.struct(entity.alias("e"), kind_of(entity).alias("k")), lambda s: made(s["e"], s["k"]))
+    return let(_draws(key, kind, canon, attempt), of)
+
+
+def _filled(entity: Column, made: Column) -> Column:
+    """The digits of an entity (and capitals of an IBAN), from the last one back, for those of made; what made has besides goes behind."""
+
+    def put(chars: Column) -> Column:
+        slots = lambda cs: F.size(F.filter(cs, lambda c: c.rlike("^[0-9A-Z]$")))
+        return let(
+            F.struct(slots(chars).alias("n"), F.char_length(made).alias("m")),
+            lambda s: F.aggregate(
+                chars,
+                F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
+                # the shorter of the two ends of made: a country's code that the entity leaves out is skipped
+                lambda a, c: F.when(c.rlike("^[0-9A-Z]$"), F.struct(F.concat(a["out"], F.substring(made, a["at"] + 1 + F.greatest(s["m"] - s["n"], F.lit(0)), F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))),
+                lambda a: a["out"],
+            ),
+        )
 
+    return let(F.split(entity, ""), put)
 
-def _hexed(secret: Column, draws: Column) -> Column:
-    """Hexadecimal secrets stay hexadecimal."""
-    as_hex = F.array_join(F.transform(F.split(secret, ""), lambda c, i: F.when(c.rlike("^[0-9a-f]$"), F.lower(F.hex(F.get(draws, (i % 128).cast("int")) % 16))).otherwise(c)), "")
-    return F.when(secret.rlike(r"^[\"']?[0-9a-f]+[\"']?$"), as_hex).otherwise(_same_form(secret, draws))
+
+def surrogate(key: str, entity: Column, attempt_of) -> Column:
+    """What stands for the entity; attempt_of(kind, canon): the attempt of a subject."""
+
+    def made(e: Column, kind: Column) -> Column:
+        return let(subjects(e, kind), lambda s: written(e, kind, s))
+
+    def of(subject: Column) -> Column:
+        return drawn(key, subject["kind"], subject["canon"], attempt_of(subject["kind"], subject["canon"]))
+
+    def written(e: Column, kind: Column, s: Column) -> Column:
+        first = F.get(s, F.lit(0))
+        lead, secret = secret_parts(e)
+        end = F.regexp_extract(secret, r"[\"']$", 0)
+        n = name_parts(e)
+        feminine = (n["gender"] == "f") & (n["script"] == "cyrillic")
+        cased = lambda new, old: F.when((F.upper(old) == old) & (F.char_length(old) > 1), F.upper(new)).otherwise(F.concat(F.upper(F.substring(new, F.lit(1), F.lit(1))), F.substring(new, F.lit(2), F.char_length(new))))
+        surname = cased(F.concat(of(first), F.when(feminine, F.lit("а")).otherwise(F.lit(""))), n["surname"])
+        given = F.when(n["given"].isNull(), F.lit("")).otherwise(F.concat(cased(F.get(F.split(of(F.get(s, F.lit(1))), r"\|"), F.lit(1)), n["given"]), F.lit(" ")))
+        # a number that grew has its new digits behind; the others fill the places of the old ones
+        grown = let(of(first), lambda m: let(F.greatest(F.char_length(m) - F.char_length(first["canon"]), F.lit(0)), lambda more: F.concat(_filled(e, F.substring(m, F.lit(1), F.char_length(m) - more)), F.substring(m, F.char_length(m) - more + 1, more))))
+        return (
+            F.when(kind == "name", F.concat(F.substring_index(e, " ", 1), F.lit(" "), given, surname))
+            .when(kind == "secret", F.concat(lead, of(first), end))
+            .when(kind.isin("email", "ip", "ip6"), of(first))
+            .otherwise(grown)
+        )
+
+    return let(F.struct(entity.alias("e"), kind_of(entity).alias("k")), lambda s: made(s["e"], s["k"]))
 
 
-def redrawn(scratch: Scratch, entities: DataFrame) -> DataFrame:
-    """kind, canon, attempt of the entities (kind, canon, entity: one spelling) whose first surrogate collides."""
-    forms = entities.select("kind", "canon", "entity")
-    tries = None
-    state = scratch.table(forms.select("kind", "canon", "entity", F.lit(0).alias("attempt"), canonical(surrogate(F.col("entity"), F.lit(0)), F.col("kind")).alias("made")))
-    for attempt in range(1, MOST_ATTEMPTS):
+def redrawn(scratch: Scratch, forms: DataFrame, key: str) -> DataFrame:
+    """kind, canon, attempt of the distinct subjects (kind, canon) whose first surrogate collides."""
+    new = lambda attempt: drawn(key, F.col("kind"), F.col("canon"), attempt)
+    # dealt by a number of partitions, so that the few bytes of subjects are not drawn for in one task
+    n = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    state = scratch.table(forms.repartition(n, "kind", "canon").select("kind", "canon", F.lit(0).alias("attempt"), new(F.lit(0)).alias("made")))
+    for attempt in range(1, MOST_ATTEMPTS + 1):
         shared = state.groupBy("kind", "made").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "canon")).alias("first")).filter("n > 1")
         # of equal surrogates the one with the fewest attempts and then the smallest form stays
         lost = state.join(shared.select("kind", "made", "first"), ["kind", "made"]).filter(F.struct("attempt", "canon") != F.col("first")).select("kind", "canon")
-        real = state.join(forms.select("kind", F.col("canon").alias("made")).distinct(), ["kind", "made"], "left_semi").select("kind", "canon")
+        real = state.join(forms.select("kind", F.col("canon").alias("made")), ["kind", "made"], "left_semi").select("kind", "canon")
         lost = scratch.table(lost.union(real).distinct())
         if lost.isEmpty():
-            break
-        again = state.join(lost.withColumn("lost", F.lit(True)), ["kind", "canon"], "left")
+            return state.filter("attempt > 0").select("kind", "canon", "attempt")
+        if attempt == MOST_ATTEMPTS:
+            kinds = sorted(r[0] for r in lost.select("kind").distinct().collect())  # ten kinds at most
+            raise RuntimeError(f"no distinct surrogates after {MOST_ATTEMPTS} attempts: {', '.join(kinds)}")
         # all that draw now take the same new attempt
-        again = again.select("kind", "canon", "entity", F.when(F.col("lost"), F.lit(attempt)).otherwise(F.col("attempt")).alias("attempt"), F.when(F.col("lost"), canonical(surrogate(F.col("entity"), F.lit(attempt)), F.col("kind"))).otherwise(F.col("made")).alias("made"))
-        old, state = state, scratch.table(again)
+        again = state.join(lost, ["kind", "canon"], "left_semi").select("kind", "canon", F.lit(attempt).alias("attempt"), new(F.lit(attempt)).alias("made"))
+        old, state = state, scratch.table(state.join(lost, ["kind", "canon"], "left_anti").union(again))
         scratch.drop(old)
-    tries = state.filter("attempt > 0").select("kind", "canon", "attempt")
-    return tries
 
 
-def replaced(docs: DataFrame) -> DataFrame:
+def replaced(docs: DataFrame, key: str) -> DataFrame:
     """All columns of docs with entities in text replaced, and n_entities, kinds (sorted, distinct); docs: doc_id, text and others."""
     scratch = Scratch(docs.sparkSession, "pii")
     names = [c for c in docs.columns if c not in ("n_entities", "kinds")]
-    parts = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), segments(F.col("text").cast("string")).alias("parts"))
-    entity = F.transform(F.filter("parts", lambda _, i: i % 2 == 1), lambda e: F.struct(e.alias("entity"), kind_of(e).alias("kind")))
-    found = parts.filter(F.col("parts").isNotNull()).select(F.explode(entity).alias("x")).select("x.*")
-    entities = found.select("kind", canonical(F.col("entity"), F.col("kind")).alias("canon"), "entity").groupBy("kind", "canon").agg(F.min("entity").alias("entity"))
-    tries = redrawn(scratch, entities)
-    n = tries.count()
-    plain = surrogate_parts(F.col("parts"), None)
-    if not n:
-        text = F.when(F.col("parts").isNull(), F.col("row.text")).otherwise(plain)
-        return _out(parts, text, names)
-    # rows with an entity that drew again get their attempts; all others are replaced in place
-    again = tries.select(F.struct("kind", "canon").alias("k"), "attempt")
-    if n <= BROADCAST_ROWS:
-        held = F.broadcast(again.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("again")))  # one row of BROADCAST_ROWS entries at most
-        return _out(parts.join(held, F.lit(True), "left"), F.when(F.col("parts").isNull(), F.col("row.text")).otherwise(surrogate_parts(F.col("parts"), F.col("again"))), names)
-    numbered = parts.withColumn("at", F.xxhash64("row.doc_id", "row.text"))
-    uses = numbered.filter(F.col("parts").isNotNull()).select("at", F.explode(entity).alias("x")).select("at", F.struct(F.col("x.kind").alias("kind"), canonical(F.col("x.entity"), F.col("x.kind")).alias("canon")).alias("k")).distinct()
-    by_row = uses.join(again, "k").groupBy("at").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("again"))
-    return _out(numbered.join(by_row, "at", "left"), F.when(F.col("parts").isNull(), F.col("row.text")).otherwise(surrogate_parts(F.col("parts"), F.col("again"))), names)
-
-
-def surrogate_parts(parts: Column, again: Column | None) -> Column:
-    """The text of parts with a surrogate for each entity; again: attempts by kind and canonical form."""
-
-    def made(e: Column) -> Column:
-        if again is None:
-            return surrogate(e, F.lit(0))
-        kind = kind_of(e)
-        return surrogate(e, F.coalesce(F.try_element_at(again, F.struct(kind.alias("kind"), canonical(e, kind).alias("canon"))), F.lit(0)))
-
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, p).otherwise(made(p))), "")
+    text = F.col("text").cast("string")
+    parts = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), segments(text).alias("parts"))
+    row = [F.xxhash64("row.text").alias("k1"), F.xxhash64(F.lit(7), "row.text").alias("k2")]
+    found = parts.filter(F.col("parts").isNotNull()).select(*row, F.explode(F.flatten(F.transform(F.filter("parts", lambda _, i: i % 2 == 1), lambda e: subjects(e, kind_of(e))))).alias("s"))
+    uses = scratch.table(found.select("k1", "k2", "s.*"))  # the corpus is scanned for entities here and where they are replaced, and no third time
+    forms = scratch.table(uses.select("kind", "canon").distinct())
+    tries = redrawn(scratch, forms, key)
+    if tries.isEmpty():
+        return _out(parts, _written(key, None), names)
+    # texts with a subject that drew again get its attempts; all others are replaced in place
+    again = uses.join(tries, ["kind", "canon"]).distinct().groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("kind", "canon").alias("k"), "attempt"))).alias("again"))
+    again = scratch.table(again)
+    held = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    return _out(parts.select("*", *row).join(held, ["k1", "k2"], "left"), _written(key, F.col("again")), names)
+
+
+def _written(key: str, again: Column | None) -> Column:
+    """The text of the row with a surrogate for each entity; again: attempts by kind and canonical form."""
+
+    def attempt_of(kind: Column, canon: Column) -> Column:
+        return F.lit(0) if again is None else F.coalesce(F.try_element_at(again, F.struct(kind.alias("kind"), canon.alias("canon"))), F.lit(0))
+
+    made = F.transform(F.col("parts"), lambda p, i: F.when(i % 2 == 0, p).otherwise(surrogate(key, p, attempt_of)))
+    return F.when(F.col("parts").isNull(), F.col("row.text")).otherwise(F.array_join(made, ""))
 
 
 def _out(df: DataFrame, text: Column, names: list[str]) -> DataFrame:

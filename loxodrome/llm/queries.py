@@ -36,7 +36,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replaced(documents(spark, sf_dir).select("doc_id", "text"))
+    return pii.replaced(documents(spark, sf_dir).select("doc_id", "text"), pii.key_of(spark))
 
 
 def op5_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
