@@ -6,13 +6,15 @@ the number of copies is the inverse at u of the Poisson distribution of mean r:
 P(X <= k) <= u. Each document is exploded by its count, and the copies are shuffled globally: each
 has a hashed key, copies are dealt to partitions by ranges of it and ordered by it.
 
-Which documents repeat depends on the seed, the id and the text only, so a lost task gives the same
+Which documents repeat depends on the seed and the id only, so a lost task gives the same
 copies again. Source counts are one small aggregate; rates are broadcast up to BROADCAST_ROWS
 sources and joined by a shuffle beyond.
 
+Rows with a null id draw by a hash of their text instead.
+
 Defined results: a null source is a source of its own; sources missing from the weights get weight
-0 if weights are given; sizes alone (temperature) otherwise; rows of one id and text are copies of
-each other and draw the same number; an empty table gives an empty result; extra columns are carried
+0 if weights are given; sizes alone (temperature) otherwise; rows of one id (or of no id and one text) are
+copies of each other and draw the same number; an empty table gives an empty result; extra columns are carried
 along.
 """
 
@@ -63,10 +65,10 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, wante
 
 
 def copies(docs: DataFrame, of: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs with rate, u, n_copies; of: source, rate."""
+    """docs (drawn_by, source and others) with rate, u, n_copies; of: source, rate."""
     held = F.broadcast if of.count() <= BROADCAST_ROWS else lambda df: df
     rated = docs.join(held(of.select(F.col("source").alias("_source"), "rate")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    u = hashed(F.lit(seed), F.col("doc_id")) / F.lit(float(16**DIGITS))
+    u = hashed(F.lit(seed), F.col("drawn_by")) / F.lit(float(16**DIGITS))
     out = rated.withColumn("u", u)
     whole = F.floor(F.col("rate") / MOST_RATE).cast("int")
     rest = poisson(F.col("u"), F.col("rate") - whole * F.lit(MOST_RATE))
@@ -74,20 +76,25 @@ def copies(docs: DataFrame, of: DataFrame, seed: int = SEED) -> DataFrame:
     more = F.aggregate(
         F.when(whole > 0, F.sequence(F.lit(1), whole)).otherwise(F.array().cast("array<int>")),
         F.lit(0),
-        lambda a, k: a + poisson(hashed(F.lit(seed), F.col("doc_id"), k) / F.lit(float(16**DIGITS)), F.lit(MOST_RATE)),
+        lambda a, k: a + poisson(hashed(F.lit(seed), F.col("drawn_by"), k) / F.lit(float(16**DIGITS)), F.lit(MOST_RATE)),
     )
     return out.withColumn("n_copies", rest + more)
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, wanted: int | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """All columns of docs, copy (from 0) and shuffle_key, in the order of shuffle_key; docs: doc_id, source and others."""
-    inner = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))) if "text" in docs.columns else F.lit("")
+    by = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), text))
+    inner = docs.select(by.alias("drawn_by"), F.col("source").cast("string").alias("source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     drawn = copies(inner, rates(inner.select("source"), weights, wanted, temperature), seed)
-    each = drawn.filter("n_copies > 0").select("doc_id", "row", F.posexplode(F.array_repeat(F.lit(0), F.col("n_copies"))).alias("copy", "_"))
-    keyed = each.select("row", "copy", hashed(F.lit(seed + 1), F.col("doc_id"), F.col("copy")).alias("shuffle_key"))
+    each = drawn.filter("n_copies > 0").select("drawn_by", "row", F.posexplode(F.array_repeat(F.lit(0), F.col("n_copies"))).alias("copy", "_"))
+    keyed = each.select("row", "copy", hashed(F.lit(seed + 1), F.col("drawn_by"), F.col("copy")).alias("shuffle_key"))
     names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    return keyed.orderBy("shuffle_key", "copy").select(*[F.col(f"row.`{c}`") for c in names], F.col("copy").cast("bigint").alias("copy"), "shuffle_key")
-
+    # partition k holds the k-th of equal ranges of the key, so the partitions in turn are the global order
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.least(F.floor(F.col("shuffle_key") / F.lit(16**DIGITS / n)), F.lit(n - 1)).cast("int")
+    dealt = keyed.repartitionById(n, part).sortWithinPartitions("shuffle_key", "copy")
+    return dealt.select(*[F.col(f"row.`{c}`") for c in names], F.col("copy").cast("bigint").alias("copy"), "shuffle_key")
 
 
 ORACLE = f"""
