@@ -13,8 +13,9 @@ digest (``ok``, also where they moved), then what is left of one page_id and URL
 whole and others not has a row for either part.
 
 A file holds the pages of FILE_PAGES consecutive ids; where a range has more than MOST_RECORDS
-records (one id may repeat), it is split into several files by a hash. Equal records of one id and
-URL are one leaf with a count, so repeats can't swell a file.
+records (one id may repeat) in either replica, it is split into several files by a hash, in both replicas
+into the same number, so that a lost or added record leaves the others in their files. Equal records of
+one id and URL are one leaf with a count, so repeats can't swell a file.
 
 Defined results: null URL or HTML counts as empty; a null page_id is in a file of its own range;
 an empty table has no files; a record or file that one replica lacks is ``missing`` there and
@@ -47,13 +48,25 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
     )
 
 
-def leaves(pages: DataFrame) -> DataFrame:
-    """file, place, page_id, url, offset, length, copies, digest: the records of pages (page_id, url, html) as they lie in files."""
+def records(pages: DataFrame) -> DataFrame:
+    """range, page_id, url, length, digest, copies: the distinct records of pages (page_id, url, html)."""
     one = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), record(F.col("page_id"), F.col("url"), F.col("html")).alias("r"))
     one = one.select("page_id", "url", F.octet_length("r").cast("bigint").alias("length"), F.sha2("r", 256).alias("digest"))
-    each = one.groupBy("page_id", "url", "length", "digest").agg(F.count(F.lit(1)).alias("copies")).withColumn("range", F.coalesce(F.floor(F.col("page_id") / FILE_PAGES).cast("bigint"), F.lit(-1).cast("bigint")))
-    sizes = each.groupBy("range").agg(F.ceil(F.count(F.lit(1)) / MOST_RECORDS).cast("int").alias("parts")).filter("parts > 1")
-    split = each.join(sizes, "range", "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("page_id", "url", "digest"), F.col("parts")).cast("int")))
+    return one.groupBy("page_id", "url", "length", "digest").agg(F.count(F.lit(1)).alias("copies")).withColumn("range", F.coalesce(F.floor(F.col("page_id") / FILE_PAGES).cast("bigint"), F.lit(-1).cast("bigint")))
+
+
+def splits(*replicas: DataFrame) -> DataFrame:
+    """range, parts: how many files the ranges have that hold too many records in any of these replicas."""
+    sizes = [r.groupBy("range").agg(F.count(F.lit(1)).alias("n")) for r in replicas]
+    both = sizes[0]
+    for more in sizes[1:]:
+        both = both.union(more)
+    return both.groupBy("range").agg(F.ceil(F.max("n") / MOST_RECORDS).cast("int").alias("parts")).filter("parts > 1")
+
+
+def leaves(each: DataFrame, parts: DataFrame) -> DataFrame:
+    """file, place, page_id, url, offset, length, copies, digest: records as they lie in files; parts: as of splits()."""
+    split = each.join(parts, "range", "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("page_id", "url", "digest"), F.col("parts")).cast("int")))
     name = F.concat(F.lit("pages-"), F.col("range").cast("string"), F.when(F.col("part") > 0, F.concat(F.lit("-"), F.col("part").cast("string"))).otherwise(F.lit("")), F.lit(".warc"))
     w = Window.partitionBy("file").orderBy("page_id", "url", "digest")
     before = F.sum(F.col("length") * F.col("copies")).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -120,28 +133,44 @@ def realigned(own: DataFrame, other: DataFrame) -> DataFrame:
 def audit(pages: DataFrame, replica: DataFrame) -> DataFrame:
     """file, page_id, offset, length, copies, digest, status: each record of pages against the replica; records that only the replica has are ``extra``."""
     scratch = Scratch(pages.sparkSession, "warc")
-    own, other = scratch.table(leaves(pages)), scratch.table(leaves(replica))
+    each = [scratch.table(records(d)) for d in (pages, replica)]
+    parts = scratch.table(splits(*each))
+    own, other = [scratch.table(leaves(d, parts)) for d in each]
     bad = scratch.table(mismatches(tree(scratch, own), tree(scratch, other)).select("file", "place"))
     whole = own.join(bad, ["file", "place"], "left_anti").select("file", "page_id", "offset", "length", "copies", "digest", F.lit("ok").alias("status"))
     return whole.union(realigned(*[d.join(bad, ["file", "place"], "left_semi") for d in (own, other)]))
 
 
 def decayed(pages: DataFrame, one_in: int = 97) -> DataFrame:
-    """pages as a replica in which the first byte of the HTML of about one page in so many has gone wrong."""
-    number = F.conv(F.substring(F.md5(F.col("page_id").cast("string")), 1, 8), 16, 10).cast("bigint")
-    hit = (number % one_in == 0) & (F.char_length("html") > 0)
-    return pages.select("page_id", "url", F.when(hit, F.concat(F.lit("\u007f"), F.substring("html", F.lit(2), F.char_length("html")))).otherwise(F.col("html")).alias("html"))
+    """pages as a replica in which of about so many pages one has lost the first byte of its HTML to another, one is missing, one is there twice and one has lost its last character."""
+    number = F.conv(F.substring(F.md5(F.col("page_id").cast("string")), 1, 8), 16, 10).cast("bigint") % one_in
+    n = F.char_length("html")
+    html = F.when((number == 0) & (n > 0), F.concat(F.lit("\u007f"), F.substring("html", F.lit(2), n))).when((number == 3) & (n > 0), F.substring("html", F.lit(1), n - 1)).otherwise(F.col("html"))
+    times = F.when(number == 1, 0).when(number == 2, 2).otherwise(1)
+    return pages.select("page_id", "url", html.alias("html"), F.explode(F.array_repeat(F.lit(0), times)).alias("_")).drop("_")
 
 
 ORACLE = f"""
-with r as (select page_id, url, html, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+with p as (select page_id, url, html, cast('0x' || substr(md5(cast(page_id as varchar)), 1, 8) as bigint) % 97 as k from pages),
+q as (select page_id, url, case when k = 0 and length(html) > 0 then chr(127) || substr(html, 2) when k = 3 and length(html) > 0 then left(html, length(html) - 1) else html end as html
+  from p, unnest(range(case k when 1 then 0 when 2 then 2 else 1 end))),
+s as (select 'a' as side, page_id, url, html from pages union all select 'b', page_id, url, html from q),
+r as (select side, page_id, coalesce(url, '') as url, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(cast(page_id as varchar), '') || '>' || chr(13) || chr(10)
    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
-   || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as rec from pages),
-d as (select page_id, coalesce(url, '') as url, cast(strlen(rec) as bigint) as length, sha256(rec) as digest,
-   cast('0x' || substr(md5(cast(page_id as varchar)), 1, 8) as bigint) % 97 = 0 and length(html) > 0 as hit from r),
-g as (select page_id, url, length, digest, hit, count(*) as copies from d group by all)
-select 'pages-' || cast(floor(page_id / {FILE_PAGES}) as bigint) || '.warc' as file, page_id,
-  cast(coalesce(sum(length * copies) over (partition by floor(page_id / {FILE_PAGES}) order by page_id, url, digest rows between unbounded preceding and 1 preceding), 0) as bigint) as offset,
-  length, copies, digest, case when hit then 'corrupt' else 'ok' end as status
-from g
+   || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as rec from s),
+g as (select side, page_id, url, cast(strlen(rec) as bigint) as length, sha256(rec) as digest, count(*) as copies,
+   'pages-' || coalesce(cast(floor(page_id / {FILE_PAGES}) as bigint), -1) || '.warc' as file from r group by all),
+o as (select *, cast(coalesce(sum(length * copies) over (partition by side, file order by page_id nulls first, url, digest rows between unbounded preceding and 1 preceding), 0) as bigint) as at_ from g),
+e as (select coalesce(x.page_id, y.page_id) as page_id, coalesce(x.url, y.url) as url, coalesce(x.length, y.length) as length, coalesce(x.digest, y.digest) as digest, coalesce(x.file, y.file) as file,
+   x.at_ as offset_a, y.at_ as offset_b, coalesce(x.copies, 0) as a, coalesce(y.copies, 0) as b, least(coalesce(x.copies, 0), coalesce(y.copies, 0)) as whole
+  from (select * from o where side = 'a') x full join (select * from o where side = 'b') y on x.page_id is not distinct from y.page_id and x.url = y.url and x.length = y.length and x.digest = y.digest),
+f as (select *, a - whole as left_a, b - whole as left_b, sum(a - whole) over k as all_a, sum(b - whole) over k as all_b,
+   coalesce(sum(a - whole) over (u rows between unbounded preceding and 1 preceding), 0) as first_a, coalesce(sum(b - whole) over (u rows between unbounded preceding and 1 preceding), 0) as first_b
+  from e window k as (partition by page_id, url), u as (partition by page_id, url order by file, digest, length)),
+h as (select *, greatest(0, least(left_a, all_b - first_a)) as corrupt, left_b - greatest(0, least(left_b, all_a - first_b)) as extra from f),
+out as (select file, page_id, offset_a as at_, length, whole as copies, digest, 'ok' as status from h
+  union all select file, page_id, offset_a + length * whole, length, corrupt, digest, 'corrupt' from h
+  union all select file, page_id, offset_a + length * (whole + corrupt), length, left_a - corrupt, digest, 'missing' from h
+  union all select file, page_id, offset_b + length * (b - extra), length, extra, digest, 'extra' from h)
+select file, page_id, cast(at_ as bigint) as "offset", length, cast(copies as bigint) as copies, digest, status from out where copies > 0
 """

@@ -52,6 +52,21 @@ def test_mixture_edges(frame):
     assert "copy" in mixing.mixed(nulls).columns and mixing.mixed(nulls, {None: 1.0}, 400).count() > 0
 
 
+def test_null_ids_draw_by_their_texts(frame):
+    """1,000 texts without an id aimed at 1,500 copies; equal ones draw alike."""
+    docs = frame([(None, f"text {i}") for i in range(1000)] + [(None, "same")] * 2)
+    got = Counter(r["text"] for r in mixing.mixed(docs, {"s0": 1.0}, 1500).select("text").collect())
+    assert abs(sum(got.values()) - 1500) < 120 and got["same"] % 2 == 0
+    assert got == Counter(r["text"] for r in mixing.mixed(docs.repartition(7), {"s0": 1.0}, 1500).select("text").collect())
+
+
+def test_shuffle_is_in_the_order_of_its_key(frame):
+    """Partition by partition, with the copies of one document far from each other."""
+    df = mixing.mixed(frame([(i, "é" * 50_000 if i == 1 else "x") for i in range(300)]), wanted=900)
+    rows = df.select("shuffle_key", F.spark_partition_id().alias("p")).collect()
+    assert rows == sorted(rows, key=lambda r: (r["p"], r["shuffle_key"])) and [r["shuffle_key"] for r in rows] == sorted(r["shuffle_key"] for r in rows)
+
+
 def test_audit_finds_what_differs(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{'é' * (i % 9)}{i}</p>") for i in range(2500)] + [(7, "http://h/7", "<p>" + "é" * 7 + "7</p>"), (None, None, None)], "page_id bigint, url string, html string")
     other = pages.filter("page_id is null or page_id <> 2400").withColumn("html", F.when(F.col("page_id").isin(3, 1500), "gone").otherwise(F.col("html")))
@@ -95,6 +110,47 @@ def test_audit_counts_copies_and_realigns(spark, monkeypatch):
     assert found(spark, hot, hot[:90]) == {(5, "missing"): 110}
 
 
+def test_one_record_lost_of_a_split_range(spark, monkeypatch):
+    """The number of a range's files doesn't depend on the replica."""
+    monkeypatch.setattr(warc, "MOST_RECORDS", 50)
+    own = [(i, f"u{i}", f"<p>{i}</p>") for i in range(101)]
+    assert found(spark, own, own[:70] + own[71:]) == {(70, "missing"): 1}
+    nulls = [(None, f"u{i}", "x") for i in range(101)]
+    assert found(spark, nulls, nulls[1:]) == {(None, "missing"): 1}
+
+
+def plain_audit(own, other):
+    """(page_id, status) -> copies, by counting records of each page and URL on either side."""
+    a, b, out = Counter(own), Counter(other), Counter()
+    for key in {r[:2] for r in own + other}:
+        left = [sum((x - y).values()) for x, y in ((Counter({r: c for r, c in s.items() if r[:2] == key}), Counter({r: c for r, c in t.items() if r[:2] == key})) for s, t in ((a, b), (b, a)))]
+        for status, n in (("corrupt", min(left)), ("missing", left[0] - min(left)), ("extra", left[1] - min(left))):
+            if n:
+                out[key[0], status] += n
+    return dict(out)
+
+
+@pytest.mark.parametrize("most", [10_000, 20])
+def test_audit_against_counts(spark, monkeypatch, most):
+    """Random losses, insertions, changes and repeats, with and without split ranges."""
+    monkeypatch.setattr(warc, "MOST_RECORDS", most)
+    rng = random.Random(most)
+    own = [(rng.choice([None, *range(60)]), f"u{rng.randint(0, 2)}", rng.choice("abcd")) for _ in range(250)] + [(1500, "u", "é" * 300_000)]
+    other = []
+    for r in own:
+        x = rng.random()
+        other += [] if x < 0.05 else [r, r] if x < 0.1 else [(*r[:2], r[2] + "!")] if x < 0.2 else [r]
+    other += [(3000, "new", "n")]
+    assert found(spark, own, other) == plain_audit(own, other)
+
+
+def test_audit_ignores_other_columns(spark):
+    kinds = "page_id bigint, url string, html string, file string, digest string, copies int, range int"
+    pages = spark.createDataFrame([(i, "u", "x", "f", "d", 9, 7) for i in range(5)], kinds)
+    got = warc.audit(pages, pages.filter("page_id <> 2")).collect()
+    assert Counter(r["status"] for r in got) == {"ok": 4, "missing": 1} and got[0].asDict().keys() == {"file", "page_id", "offset", "length", "copies", "digest", "status"}
+
+
 def plain_base(text):
     w, places, labels = words(text), [], set()
     for phrase, label in licenses.BASE:
@@ -143,7 +199,7 @@ def strings(pattern, rng):
                 out += "x"
             elif op == "IN":
                 chosen = rng.choice(arg)
-                out += {"LITERAL": lambda: chr(chosen[1]), "CATEGORY": lambda: rng.choice("123")}[str(chosen[0])]()
+                out += {"LITERAL": lambda: chr(chosen[1]), "CATEGORY": lambda: rng.choice("123"), "RANGE": lambda: chr(rng.randint(*chosen[1]))}[str(chosen[0])]()
             elif op in ("MAX_REPEAT", "MIN_REPEAT"):
                 low, high, inner = arg
                 out += "".join(of(inner) for _ in range(rng.randint(low, min(int(high), low + 2))))
@@ -177,6 +233,42 @@ def test_keywords_are_in_whatever_their_rules_match():
         assert got == everything.scan(text.encode()) and got[5] and got[6]
 
 
+def plain_labels(text):
+    """Labels and score by trying every rule at every place, without the prefilter, and suppressing spans one by one."""
+    joined = f" {' '.join(words(text))} "
+    spans = {(*m.span(), r.rank) for r in licenses.RULES for m in re.finditer(r.pattern, joined)}
+    kept = [(a, b, k) for a, b, k in spans if not any((c <= a and b <= d and d - c > b - a) or ((c, d) == (a, b) and m < k) for c, d, m in spans)]
+    base = [label for phrase, label in licenses.BASE if f" {phrase} " in joined]
+    rules = {r.rank: r for r in licenses.RULES}
+    return ",".join(sorted({*base, *(rules[k].label for *_, k in kept)})), max([float(bool(base)), *(rules[k].weight for *_, k in kept)])
+
+
+def test_labels_against_plain(spark, frame):
+    """Whole notices, those of sf0.01, and generated forms of rules, among other words."""
+    rng = random.Random(8)
+    docs = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lower(text) rlike 'licen|rights|copyright|creative|public'").select("text").limit(40).collect()]
+    for _ in range(60):
+        parts = [strings(rng.choice(licenses.RULES).pattern, rng) for _ in range(rng.randint(1, 4))]
+        docs.append(" and then, ".join(parts) + rng.choice(["", ". All rights reserved.", " cc by"]))
+    got = {r["row"]["doc_id"]: (r["labels"], r["score"]) for r in licenses.scanned(frame(list(enumerate(docs)))).collect()}
+    for i, t in enumerate(docs):
+        assert got[i] == plain_labels(t), t
+
+
+def test_licenses_edges(frame):
+    """Long texts of one phrase in time that grows with their length, repeated rows, ties and clashing columns."""
+    import time
+
+    took = []
+    for n in (50_000, 200_000):
+        began = time.perf_counter()
+        assert licenses.Scanner().scan(b"all rights reserved " * n)[:4] == (3 * n, n, 0, 3 * n - 3)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 1
+    rows = licenses.scanned(frame([(1, "CC BY"), (1, "CC BY"), (None, "x")]).withColumn("labels", F.lit("mine"))).collect()
+    assert sorted((r["row"]["doc_id"] or 0, r["labels"], r["row"]["labels"]) for r in rows) == [(0, "", "mine"), (1, "cc-by", "mine"), (1, "cc-by", "mine")]
+
+
 def test_contained_spans_are_suppressed():
     d = lambda a, b, rank: licenses.Detection(a, b, rank, str(rank), 1.0)
     assert licenses.resolved([d(0, 10, 5), d(2, 8, 0), d(0, 10, 3), d(8, 14, 1)]) == [d(0, 10, 3), d(8, 14, 1)]
