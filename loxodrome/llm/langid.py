@@ -6,9 +6,9 @@ layer over the maxima gives the languages' shares; a document's shares are the m
 all its windows, weighted by their bytes. A filter is a table of 256 values for each of its
 places, so a convolution is a sum of table rows; two places are looked up at once.
 
-The network is trained in numpy on the driver, on excerpts of about TRAIN_DOCS labelled
-documents: those with the smallest hashes, outside the held-out fold. EXCERPTS
-windows are taken from each, spread over its whole text.
+The network is trained in numpy on the driver, on about TRAIN_WINDOWS windows of labelled documents
+outside the held-out fold: of all windows of their whole texts those whose hashes fall in that share of
+the range, so that every place of every labelled text has the same chance.
 
 Defined results: null text, or one without any letter, is ``und`` with score 0; without labelled
 rows every document is ``und``; repeated rows each get their row; other columns play no part.
@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loxodrome.llm.arrow_rows import added
-from loxodrome.llm.common import held_out, sampled
+from loxodrome.llm.common import held_out
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
-TRAIN_DOCS, EXCERPTS = 3_000, 4
+#: Windows that are trained on, of WINDOW code points each before they are cut to WINDOW bytes.
+TRAIN_WINDOWS = 12_000
 EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 4, 300, 128, 0.01, 7
 UNKNOWN = "und"
 
@@ -138,19 +139,17 @@ def train(texts: list[bytes], labels: list[str]) -> ByteConvNet | None:
     return net
 
 
-def learnt(docs: DataFrame, limit: int = TRAIN_DOCS) -> ByteConvNet | None:
-    """The network trained on about ``limit`` labelled rows of docs (doc_id, text, lang)."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    n = F.char_length("text")
-    spread = F.array(*[F.substring("text", F.floor(n * k / EXCERPTS).cast("int") + 1, F.lit(WINDOW)) for k in range(EXCERPTS)])
-    some = sampled(rows, limit, "doc_id", "text", "lang").select("doc_id", "lang", F.array_distinct(spread).alias("cuts")).collect()
-    texts, labels = [], []
-    for r in sorted(some):
-        for cut in r["cuts"]:
-            if cut:
-                texts.append(cut.encode())
-                labels.append(r["lang"])
-    return train(texts, labels)
+def learnt(docs: DataFrame, limit: int = TRAIN_WINDOWS) -> ByteConvNet | None:
+    """The network trained on about ``limit`` windows of the labelled rows of docs (doc_id, text, lang)."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & (F.char_length("text") > 0) & ~held_out(F.col("doc_id")))
+    last = F.floor((F.char_length("text") - 1) / WINDOW).cast("int")
+    n = rows.agg(F.coalesce(F.sum(last.cast("bigint") + 1), F.lit(0))).first()[0]
+    below = -(1 << 63) + (1 << 64) * limit // n if n > limit else (1 << 63) - 1
+    own = rows.withColumn("own", F.xxhash64("doc_id", "text", "lang"))
+    places = F.filter(F.sequence(F.lit(0), last), lambda k: F.xxhash64("own", k) <= below)
+    cuts = own.select("lang", F.col("text"), F.explode(places).alias("k")).select("lang", F.expr(f"substring(text, k * {WINDOW} + 1, {WINDOW})").alias("cut"))
+    some = sorted((r["lang"], r["cut"]) for r in cuts.distinct().collect())  # about limit rows of WINDOW code points
+    return train([cut.encode() for _, cut in some], [lang for lang, _ in some])
 
 
 def predictor(net: ByteConvNet | None):
@@ -179,6 +178,6 @@ def predictor(net: ByteConvNet | None):
     return make
 
 
-def identified(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
-    """row (the columns of docs), lang_pred, score."""
-    return added(docs, "text", [("lang_pred", "string", pa.string()), ("score", "double", pa.float64())], predictor(net))
+def identified(docs: DataFrame, net: ByteConvNet | None, keep_text: bool = False) -> DataFrame:
+    """row (the columns of docs but text), with keep_text the text, lang_pred, score."""
+    return added(docs, "text", [("lang_pred", "string", pa.string()), ("score", "double", pa.float64())], predictor(net), keep_text)
