@@ -1,4 +1,4 @@
-"""Hashed byte n-grams and linear scorers over them, trained in numpy."""
+"""Hashed character n-grams and linear scorers over them, trained in numpy."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ _STEP, _SPREAD = np.uint32(0x01000195), np.uint32(0x9E3779B1)
 
 
 def grams(text: bytes, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> list[np.ndarray]:
-    """For each order the hashes, in text order, of the n-grams of the bytes with A-Z in lower case."""
-    b = np.frombuffer(text.lower(), np.uint8).astype(np.uint32)
+    """For each order the hashes, in text order, of the n-grams of the characters (code points) of UTF-8 text in lower case."""
+    b = np.frombuffer(text.decode("utf-8", "replace").lower().encode("utf-32-le"), np.uint32)
     h, out = b, []
     for n in range(2, max(orders) + 1):
         if len(h) < 2:

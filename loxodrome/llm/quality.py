@@ -5,7 +5,7 @@ look for ordinary prose) or abstains. Over the counts of all documents' vote pat
 2 ** 10 of them reach the driver, whatever the corpus) expectation-maximisation estimates how often
 each labeller votes on documents of either class, and so how often its votes are right, and with
 that the chance that a document of a pattern is good.
-Those chances are the labels of about TRAIN_DOCS documents (those with the smallest hashes), on which a linear scorer of hashed byte n-grams is trained. The patterns are counted
+Those chances are the labels of about TRAIN_DOCS documents (those with the smallest hashes), on which a linear scorer of hashed character n-grams is trained. The patterns are counted
 over all documents; only the scorer's fit is on the bounded sample.
 
 Defined results: null and empty texts, and those without words, are voted bad for their length; an
@@ -141,7 +141,7 @@ def learnt(docs: DataFrame, limit: int = TRAIN_DOCS) -> tuple[LabelModel, Hashed
 
 
 def scored(docs: DataFrame, model: LabelModel, scorer: HashedLinear) -> DataFrame:
-    """row (the columns of docs), weak (chance of good by the votes), score (by the scorer), good (score >= 0.5)."""
+    """row (the columns of docs but text), weak (chance of good by the votes), score (by the scorer), good (score >= 0.5)."""
 
     def make():
         score = scorer.scorer()
