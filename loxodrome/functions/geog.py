@@ -39,6 +39,13 @@ def from_lat_lon(lat, lon) -> Column:
     return Point(lon, lat)
 
 
+def from_wkt(s: Column) -> Column:
+    """A geography of well-known text in longitudes and latitudes."""
+    from loxodrome.sources import formats
+
+    return geom.set_srid(formats.parse_wkt(s), 4326)
+
+
 def distance_great_circle(p: Column, q: Column) -> Column:
     """Metres."""
     return geom.haversine(x(p), y(p), x(q), y(q), EARTH_M)

@@ -360,18 +360,15 @@ def within(a: Column, b: Column) -> Column:
 covers, covered_by = contains, within
 
 
-def _cross(o: Column, a: Column, b: Column) -> Column:
-    return (a["x"] - o["x"]) * (b["y"] - o["y"]) - (a["y"] - o["y"]) * (b["x"] - o["x"])
-
-
-def _between(p: Column, q: Column, r: Column) -> Column:
-    return r["x"].between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & r["y"].between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
-
-
-def segments_meet(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
-    d1, d2, d3, d4 = _cross(b1, b2, a1), _cross(b1, b2, a2), _cross(a1, a2, b1), _cross(a1, a2, b2)
-    proper = (((d1 > 0) & (d2 < 0)) | ((d1 < 0) & (d2 > 0))) & (((d3 > 0) & (d4 < 0)) | ((d3 < 0) & (d4 > 0)))
-    return proper | ((d1 == 0) & _between(b1, b2, a1)) | ((d2 == 0) & _between(b1, b2, a2)) | ((d3 == 0) & _between(a1, a2, b1)) | ((d4 == 0) & _between(a1, a2, b2))
+def segments_meet(p: Column, q: Column, r: Column, s: Column) -> Column:
+    """Whether pq and rs have a point in common: their boxes overlap, and neither segment lies to one side of the other's line."""
+    span = lambda u, v, k: (F.least(u[k], v[k]), F.greatest(u[k], v[k]))
+    overlap = F.lit(True)
+    for k in ("x", "y"):
+        (low, high), (least, most) = span(p, q, k), span(r, s, k)
+        overlap = overlap & (low <= most) & (least <= high)
+    side = lambda u, v, w: F.signum((v["x"] - u["x"]) * (w["y"] - u["y"]) - (w["x"] - u["x"]) * (v["y"] - u["y"]))
+    return overlap & (side(p, q, r) * side(p, q, s) <= 0) & (side(r, s, p) * side(r, s, q) <= 0)
 
 
 def edges(g: Column) -> Column:
@@ -478,6 +475,12 @@ def affine(g: Column, a: float, b: float, c_: float, d: float, e: float, f: floa
     return mapped(g, lambda c: coord(c["x"] * a + c["y"] * b + c_, c["x"] * d + c["y"] * e + f, c["z"]))
 
 
+def affine3d(g: Column, m: list[list[float]]) -> Column:
+    """Three rows of four numbers: each coordinate is the sum of x, y, z (0 without elevation) and 1, weighed by a row."""
+    z = lambda c: F.coalesce(c["z"], F.lit(0.0))
+    return mapped(g, lambda c: coord(*[c["x"] * float(r[0]) + c["y"] * float(r[1]) + z(c) * float(r[2]) + float(r[3]) for r in m]))
+
+
 def reverse(g: Column) -> Column:
     return make(g["kind"], F.transform(g["parts"], lambda p: F.transform(p, F.reverse)), g["srid"])
 
@@ -662,7 +665,16 @@ def convex_hull(g: Column) -> Column:
     return polygon(_lines(hull)(coords(g)), srid=g["srid"])
 
 
-concave_hull = alpha_shape = convex_hull
+def concave_hull(g: Column, concavity: float = 0.5) -> Column:
+    from loxodrome.functions import overlay
+
+    return overlay.concave_hull(g, concavity)
+
+
+def alpha_shape(g: Column, alpha: float) -> Column:
+    from loxodrome.functions import overlay
+
+    return overlay.alpha_shape(g, alpha)
 
 
 def simplify(g: Column, tolerance: float) -> Column:
@@ -672,7 +684,7 @@ def simplify(g: Column, tolerance: float) -> Column:
 
 
 def buffer(g: Column, radius: float, segments: int = 32) -> Column:
-    """Of a point a circle; of other kinds the hull of the circles about its vertices."""
+    """Of a point a circle; of other kinds the hull of the circles about its vertices. overlay.buffer() is exact."""
     turn = np.linspace(0, 2 * math.pi, segments + 1)
     ring = np.column_stack([np.cos(turn), np.sin(turn)]) * radius
     round_ = _lines(lambda xy: hull((xy[:, None, :] + ring[None, :, :]).reshape(-1, 2)))(coords(g))

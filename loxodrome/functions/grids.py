@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loxodrome.functions import geom
+from loxodrome.functions.core import let
 
 MOST_RESOLUTION, MOST_LEVEL = 15, 30
 
@@ -195,3 +196,54 @@ def s2_children(c: Column) -> Column:
     u, v = _uv(c)
     head = F.shiftleft((s2_level(c) + 1).cast("bigint"), 59).bitwiseOR(F.shiftleft(s2_face(c).cast("bigint"), 56))
     return F.array(*[head.bitwiseOR(F.shiftleft(u * 2 + i, 28)).bitwiseOR(v * 2 + j) for i in (0, 1) for j in (0, 1)])
+
+
+def h3_path(a: Column, b: Column) -> Column:
+    """The cells on the straight line from a to b, both included; of one resolution."""
+    n = h3_distance(a, b)
+    step = lambda u, v, i: F.round(u + (v - u) * i / F.greatest(n, F.lit(1))).cast("bigint")
+    head = F.shiftleft(h3_resolution(a).cast("bigint"), 60)
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), n), lambda i: head.bitwiseOR(F.shiftleft(step(h3_row(a), h3_row(b), i), 30)).bitwiseOR(step(h3_col(a), h3_col(b), i)))
+
+
+def h3_polyfill(g: Column, res: int) -> Column:
+    """The cells whose centres lie in the polygon, in rows from the south."""
+    inside = lambda h: lambda i: let(h3_center(i), lambda c: geom.in_polygon(c["x"], c["y"], geom.rings(h)))
+    return let(g, lambda h: let(geom.envelope(h), lambda e: F.filter(covering(e["minx"], e["miny"], e["maxx"], e["maxy"], res), inside(h))))
+
+
+def h3_compact(cells, column: str, by: list[str] = []):  # noqa: B006
+    """A table of by and cells with each four cells that fill a cell of the next resolution replaced by that one, as far as it goes."""
+    from loxodrome.operators.stats import kept
+
+    out = kept(cells.select(*by, column).distinct())
+    finest = out.agg(F.max(h3_resolution(F.col(column)))).first()[0] or 0
+    for res in range(finest, 0, -1):
+        own = h3_resolution(F.col(column)) == res
+        parent = out.filter(own).select(*by, column, h3_parent(F.col(column), res - 1).alias("_p"))
+        full = kept(parent.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 4").select(*by, "_p"))
+        rest = parent.join(full, [*by, "_p"], "left_anti").select(*by, column)
+        out = kept(out.filter(~own).union(rest).union(full.select(*by, F.col("_p").alias(column))))  # written out, or the next level would compute this one three times
+    return out
+
+
+def h3_uncompact(cells, column: str, res: int):
+    """A table of cells with coarser ones replaced by their cells of the resolution."""
+    i = F.col(column)
+    return cells.withColumn(column, F.explode(F.when(h3_resolution(i) < res, h3_children(i, res)).otherwise(F.array(i))))
+
+
+def s2_neighbors(c: Column, level: int) -> Column:
+    """The four cells that share an edge with a cell of this level, over the cube's edges too."""
+    n, f = F.lit(float(1 << level)), s2_face(c)
+    centre = [(k + 0.5) / n * 2 - 1 for k in _uv(c)]
+    step = 2 / n
+
+    def of(du: int, dv: int) -> Column:
+        u, v = centre[0] + du * step, centre[1] + dv * step
+        px = F.when(f == 0, 1.0).when(f == 3, -1.0).otherwise(u)
+        py = F.when(f == 1, 1.0).when(f == 4, -1.0).when(f.isin(0, 3), u).otherwise(v)
+        pz = F.when(f == 2, 1.0).when(f == 5, -1.0).otherwise(v)
+        return s2_from_lat_lon(F.degrees(F.atan2(pz, F.hypot(px, py))), F.degrees(F.atan2(py, px)), level)
+
+    return F.array(*[of(du, dv) for du, dv in ((1, 0), (-1, 0), (0, 1), (0, -1))])

@@ -8,21 +8,38 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loxodrome.functions import geom
-from loxodrome.operators.spatial import within_distance
-from loxodrome.session import use_scratch
+from loxodrome.operators.spatial import knn_join, points_in_polygons, within_distance
+from loxodrome.operators.stats import kept, running
 
 
-def idw(points: DataFrame, targets: DataFrame, key: str, value: str, power: float = 2.0) -> DataFrame:
+#: Targets of an interpolation that every point weighs on are broadcast up to so many, in blocks beyond.
+BLOCK = 20_000
+
+
+def idw(points: DataFrame, targets: DataFrame, key: str, value: str, power: float = 2.0, radius: float | None = None) -> DataFrame:
     """key, idw: the values weighted by inverse distance at each target (key, x, y); a point at the target gives its value.
 
-    Every point weighs on every target; the targets, the smaller side, are broadcast by the planner where they fit.
+    With a radius only the points within it weigh, found by cells (targets without any are left out).
+    Without one every point weighs on every target, as the definition has it: the work is the product of
+    both, dealt by the points, with the targets broadcast in blocks of at most BLOCK rows.
     """
     t = targets.select(F.col(key).alias("_k"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     d = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2.0) + F.pow(F.col("y") - F.col("_y"), 2.0))
-    w = F.when(d > 0, F.pow(F.nullif(d, F.lit(0.0)), F.lit(-power)))
-    each = points.select("x", "y", value).crossJoin(t).select("_k", F.col(value).cast("double").alias("v"), d.alias("d"), w.alias("w"))
+    w = F.when(F.col("d") > 0, F.pow(F.nullif("d", F.lit(0.0)), F.lit(-power)))
     hit = F.min(F.when(F.col("d") == 0, F.col("v")))
-    return each.groupBy(F.col("_k").alias(key)).agg(F.coalesce(hit, F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("idw"))
+    out = lambda each: each.groupBy(F.col("_k").alias(key)).agg(F.coalesce(hit, F.sum(F.col("v") * w) / F.sum(w)).alias("idw"))
+    if radius is not None:
+        near = within_distance(t.select("_k", F.col("_x").alias("x"), F.col("_y").alias("y")), points.select("x", "y", F.col(value).cast("double").alias("v")), radius)
+        return out(near.select("_k", F.col("v_b").alias("v"), F.col("dist").alias("d")))
+    own = points.select("x", "y", F.col(value).cast("double").alias("v"))
+    n = t.count()
+    blocks = -(-n // BLOCK) or 1
+    found = None
+    for i in range(blocks):
+        some = t if blocks == 1 else t.filter(F.pmod(F.xxhash64("_k"), F.lit(2 * blocks)).isin(2 * i, 2 * i + 1))
+        part = out(own.crossJoin(F.broadcast(some)).select("_k", "v", d.alias("d")))
+        found = part if found is None else found.union(part)
+    return found
 
 
 def dbscan(points: DataFrame, key: str, eps: float, least: int) -> DataFrame:
@@ -33,37 +50,31 @@ def dbscan(points: DataFrame, key: str, eps: float, least: int) -> DataFrame:
     in the lowest-numbered cluster that reaches it.
     """
     p = points.select(F.col(key).alias("k"), "x", "y")
-    near = within_distance(p, p, eps).select("k", F.col("k_b").alias("other"))
-    core = near.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("k")
-    links = _kept(near.join(core, "k").join(core.select(F.col("k").alias("other")), "other").select("k", "other"))
-    label = _kept(core.withColumn("label", F.col("k")))
+    near = kept(within_distance(p, p, eps).select("k", F.col("k_b").alias("other")))
+    core = kept(near.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("k"))
+    links = kept(near.join(core, "k").join(core.select(F.col("k").alias("other")), "other").select("k", "other"))
+    label = core.withColumn("label", F.col("k"))
     while True:
         least_ = links.join(label.select(F.col("k").alias("other"), "label"), "other").groupBy("k").agg(F.min("label").alias("near"))
-        step = label.join(least_, "k", "left").select("k", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
+        step = kept(label.join(least_, "k", "left").select("k", "label", F.least("label", F.coalesce("near", "label")).alias("next")))
         jump = step.select(F.col("k").alias("next"), F.col("next").alias("jumped"))
-        new = _kept(step.join(jump, "next").select("k", F.least("next", "jumped").alias("label"), (F.least("next", "jumped") != F.col("label")).alias("moved")))
+        new = kept(step.join(jump, "next").select("k", F.least("next", "jumped").alias("label"), (F.least("next", "jumped") != F.col("label")).alias("moved")))
         label = new.select("k", "label")
         if new.filter("moved").isEmpty():
             break
     # clusters are numbered by the first of their points that isn't noise when it comes, a core point
-    ids = label.select("label").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("label")))
+    ids = running(label.select("label").distinct(), ["label"], F.lit(1), "cluster").select("label", F.col("cluster").cast("int").alias("cluster"))
     numbered = label.join(ids, "label").select("k", "cluster")
     border = near.join(numbered.withColumnRenamed("k", "other"), "other").join(core, "k", "left_anti").groupBy("k").agg(F.min("cluster").alias("cluster"))
     return numbered.union(border).select(F.col("k").alias(key), "cluster")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the shared folder."""
-    use_scratch(df.sparkSession)
-    return df.checkpoint()
-
-
 def kmeans_step(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """c, x, y, n: one of Lloyd's steps from these centres (c, x, y); centres without points are dropped."""
-    held = F.broadcast(centres.select("c", F.col("x").alias("cx"), F.col("y").alias("cy")))  # k rows
-    d = F.pow(F.col("x") - F.col("cx"), 2.0) + F.pow(F.col("y") - F.col("cy"), 2.0)
-    own = points.select("x", "y", F.monotonically_increasing_id().alias("_i")).crossJoin(held).groupBy("_i", "x", "y").agg(F.min(F.struct(d.alias("d"), "c")).alias("m"))
-    return own.groupBy(F.col("m.c").alias("c")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n"))
+    """c, x, y, n: one of Lloyd's steps from these centres (c, x, y: k rows, which reach the driver); centres without points are dropped."""
+    rows = centres.select("c", "x", "y").orderBy("c").collect()
+    own = assigned(points, [(r["x"], r["y"]) for r in rows])
+    named = F.create_map(*[v for i, r in enumerate(rows) for v in (F.lit(i), F.lit(r["c"]))]) if rows else F.lit(None)
+    return own.groupBy(named[F.col("cluster")].alias("c")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n"))
 
 
 def assigned(points: DataFrame, centres: list[tuple[float, float]]) -> DataFrame:
@@ -83,11 +94,11 @@ def kmeans(points: DataFrame, centres: list[tuple[float, float]], most: int = 10
     return assigned(points, centres), centres
 
 
-def nearest_site(nodes: DataFrame, sites: DataFrame, node: str, site: str) -> DataFrame:
-    """node, site, dist: the nearest site of each node, the first of several."""
-    s = sites.select(F.col(site).alias("_s"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    d = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2.0) + F.pow(F.col("y") - F.col("_y"), 2.0))
-    return nodes.crossJoin(F.broadcast(s)).groupBy(node).agg(F.min(F.struct(d.alias("d"), "_s")).alias("m")).select(node, F.col("m._s").alias(site), F.col("m.d").alias("dist"))
+def nearest_site(nodes: DataFrame, sites: DataFrame, node: str, site: str, size: float = 20.0) -> DataFrame:
+    """node, site, dist: the nearest site of each node, the first of several, by cells of this size that widen where they have to."""
+    s = sites.select(F.col(site).alias("_s"), "x", "y")
+    found = knn_join(nodes.select(F.col(node).alias("_n"), "x", "y"), s, 1, "_n", "_s", size)
+    return found.select(F.col("_n").alias(node), F.col("_s_b").alias(site), "dist")
 
 
 def grid_nodes(spark: SparkSession, minx: float, miny: float, maxx: float, maxy: float, steps: int = 20) -> DataFrame:
@@ -136,28 +147,34 @@ def delaunay(points: DataFrame, by: list[str]) -> DataFrame:
 
 
 def triangulated(xy: np.ndarray) -> np.ndarray:
-    """(n, 3) indices of the Delaunay triangles of points (m, 2)."""
+    """(n, 3) indices of the Delaunay triangles of points (m, 2). Each point is held against the circles of all triangles so far at once."""
     m = len(xy)
     if m < 3:
         return np.empty((0, 3), int)
+    # in a unit square, within a triangle so large that even flat triangles at the hull stay
     mid, span = xy.mean(0), float(np.ptp(xy, axis=0).max()) or 1.0
-    pts = np.vstack([xy, mid + np.array([[-20.0, -10.0], [20.0, -10.0], [0.0, 20.0]]) * span])
-    tris = [(m, m + 1, m + 2)]
-
-    def circled(t, p) -> bool:
-        a, b, c = pts[t[0]] - p, pts[t[1]] - p, pts[t[2]] - p
-        det = (a @ a) * (b[0] * c[1] - c[0] * b[1]) - (b @ b) * (a[0] * c[1] - c[0] * a[1]) + (c @ c) * (a[0] * b[1] - b[0] * a[1])
-        turn = (pts[t[1]] - pts[t[0]])[0] * (pts[t[2]] - pts[t[0]])[1] - (pts[t[1]] - pts[t[0]])[1] * (pts[t[2]] - pts[t[0]])[0]
-        return det * np.sign(turn) > 0
-
+    pts = np.vstack([(xy - mid) / span, np.array([[-2.0, -1.0], [2.0, -1.0], [0.0, 2.0]]) * 1e4])
+    tri = np.array([[m, m + 1, m + 2]])
+
+    def circles(t: np.ndarray) -> np.ndarray:
+        a, b, c = pts[t[:, 0]], pts[t[:, 1]], pts[t[:, 2]]
+        u, v = b - a, c - a
+        d = 2 * (u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0])
+        d = np.where(d == 0, 1e-300, d)
+        uu, vv = (u * u).sum(1), (v * v).sum(1)
+        off = np.column_stack([(v[:, 1] * uu - u[:, 1] * vv) / d, (u[:, 0] * vv - v[:, 0] * uu) / d])
+        return np.column_stack([a + off, (off * off).sum(1)])
+
+    round_ = circles(tri)
     for i in range(m):
-        bad = [t for t in tris if circled(t, pts[i])]
-        edges: dict = {}
-        for t in bad:
-            for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                edges[frozenset(e)] = edges.get(frozenset(e), 0) + 1
-        tris = [t for t in tris if t not in bad] + [(*sorted(e), i) for e, n in edges.items() if n == 1]
-    return np.array(sorted(tuple(sorted(t)) for t in tris if max(t) < m) or np.empty((0, 3), int), int).reshape(-1, 3)
+        bad = (round_[:, 0] - pts[i, 0]) ** 2 + (round_[:, 1] - pts[i, 1]) ** 2 < round_[:, 2]
+        edges = np.sort(tri[bad][:, [0, 1, 1, 2, 2, 0]].reshape(-1, 2), axis=1)
+        rim, times = np.unique(edges, axis=0, return_counts=True)
+        rim = rim[times == 1]
+        fresh = np.column_stack([rim, np.full(len(rim), i)])
+        tri, round_ = np.vstack([tri[~bad], fresh]), np.vstack([round_[~bad], circles(fresh)])
+    own = np.sort(tri[tri.max(1) < m], axis=1)
+    return own[np.lexsort((own[:, 2], own[:, 1], own[:, 0]))]
 
 
 # rasters: raster, row, col, value
@@ -252,11 +269,297 @@ def hillshade(a: DataFrame, cell: float = 1.0, azimuth: float = 315.0, altitude:
 
 def shortest_paths(edges: DataFrame, source) -> DataFrame:
     """node, cost: the least cost from the source along edges (a, b, cost), by frontiers that widen until none improves."""
-    best = _kept(edges.sparkSession.createDataFrame([(source, 0.0)], f"node {edges.schema['a'].dataType.simpleString()}, cost double"))
+    sources = edges.sparkSession.createDataFrame([(source, 0)], f"node {edges.schema['a'].dataType.simpleString()}, origin int")
+    return closest_sources(edges, sources).select("node", "cost")
+
+
+def closest_sources(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """node, origin, cost: for each node that edges (a, b, cost) lead to from some of the sources (node, origin) the nearest one, the smallest origin of several."""
+    best = kept(sources.groupBy("node").agg(F.min("origin").alias("origin")).withColumn("cost", F.lit(0.0)))
     frontier = best
+    steps = edges.select(F.col("a").alias("node"), "b", F.col("cost").alias("w"))
+    pick = lambda df: df.groupBy("node").agg(F.min(F.struct("cost", "origin")).alias("m")).select("node", "m.origin", "m.cost")
     while True:
-        step = frontier.join(edges.select(F.col("a").alias("node"), "b", F.col("cost").alias("w")), "node").groupBy(F.col("b").alias("node")).agg(F.min(F.col("cost") + F.col("w")).alias("new"))
-        frontier = _kept(step.join(best, "node", "left").filter(F.col("cost").isNull() | (F.col("new") < F.col("cost"))).select("node", F.col("new").alias("cost")))
+        reached = pick(frontier.join(steps, "node").select(F.col("b").alias("node"), "origin", (F.col("cost") + F.col("w")).alias("cost")))
+        old = best.select("node", F.struct("cost", "origin").alias("old"))
+        frontier = kept(reached.join(old, "node", "left").filter(F.col("old").isNull() | (F.struct("cost", "origin") < F.col("old"))).select("node", "origin", "cost"))
         if frontier.isEmpty():
             return best
-        best = _kept(best.unionByName(frontier).groupBy("node").agg(F.min("cost").alias("cost")))
+        best = kept(pick(best.unionByName(frontier)))
+
+
+def service_area(edges: DataFrame, source, most: float) -> DataFrame:
+    """node, cost: what can be reached at this cost at most."""
+    return shortest_paths(edges.filter(F.col("cost") <= most), source).filter(F.col("cost") <= most)
+
+
+def closest_facility(edges: DataFrame, origins: DataFrame, facilities: DataFrame) -> DataFrame:
+    """node, facility, cost: the facility (node) that each origin (node) reaches at the least cost."""
+    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cost")
+    found = closest_sources(back, facilities.select("node", F.col("node").alias("origin")))
+    return found.join(origins.select("node"), "node", "left_semi").select("node", F.col("origin").alias("facility"), "cost")
+
+
+# point patterns and interpolation
+
+
+def nearest_neighbour(points: DataFrame, key: str, area: float, size: float) -> DataFrame:
+    """observed, expected, ratio, z: Clark and Evans' comparison of the mean distance to the nearest other point with that of random points in the area."""
+    p = points.select(F.col(key).alias("k"), "x", "y")
+    near = knn_join(p, p, 2, "k", "k", size).filter(F.col("k") != F.col("k_b")).groupBy("k").agg(F.min("dist").alias("d"))
+    stat = near.agg(F.avg("d").alias("observed"), F.count(F.lit(1)).alias("n"))
+    expected = 0.5 / F.sqrt(F.col("n") / F.lit(float(area)))
+    error = 0.26136 / F.sqrt(F.col("n") * F.col("n") / F.lit(float(area)))
+    return stat.select("observed", expected.alias("expected"), (F.col("observed") / expected).alias("ratio"), ((F.col("observed") - expected) / error).alias("z"))
+
+
+def idw_grid(points: DataFrame, value: str, minx: float, miny: float, maxx: float, maxy: float, cell: float, power: float = 2.0, radius: float | None = None) -> DataFrame:
+    """row, col, value: idw at the centres of a raster's cells, rows from the top."""
+    return _on_grid(points.sparkSession, minx, miny, maxx, maxy, cell, lambda t: idw(points, t, "k", value, power, radius).select("k", F.col("idw").alias("value")))
+
+
+def _on_grid(spark: SparkSession, minx: float, miny: float, maxx: float, maxy: float, cell: float, f) -> DataFrame:
+    cols, rows = int(np.ceil((maxx - minx) / cell)), int(np.ceil((maxy - miny) / cell))
+    k = F.col("k")
+    nodes = spark.range(cols * rows).select(F.col("id").alias("k"))
+    nodes = nodes.select("k", (F.lit(minx) + (k % cols + 0.5) * cell).alias("x"), (F.lit(maxy) - (F.floor(k / cols) + 0.5) * cell).alias("y"))
+    return f(nodes).select(F.floor(k / cols).cast("int").alias("row"), (k % cols).cast("int").alias("col"), "value")
+
+
+def kriging(points: DataFrame, targets: DataFrame, key: str, point_key: str, value: str, size: float, neighbours: int = 12, slope: float = 1.0, nugget: float = 0.0) -> DataFrame:
+    """key, estimate, variance: ordinary kriging from each target's nearest points with the linear variogram nugget + slope * distance."""
+    near = knn_join(targets.select(F.col(key).alias("k"), "x", "y"), points.select(F.col(point_key).alias("p"), "x", "y", F.col(value).cast("double").alias("v")), neighbours, "k", "p", size)
+    each = near.groupBy("k").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.array_sort(F.collect_list(F.struct("dist", "p_b", "x_b", "y_b", "v_b"))).alias("n"))  # of ``neighbours`` points
+
+    @F.pandas_udf("estimate double, variance double")
+    def solved(d: pd.Series, xs: pd.Series, ys: pd.Series, vs: pd.Series) -> pd.DataFrame:
+        out = []
+        for dist, px, py, pv in zip(d, xs, ys, vs, strict=True):
+            dist, px, py, pv = (np.asarray(c, float) for c in (dist, px, py, pv))
+            if dist[0] == 0:
+                out.append((pv[0], 0.0))
+                continue
+            n = len(dist)
+            gamma = lambda h: np.where(h > 0, nugget + slope * h, 0.0)
+            m = np.ones((n + 1, n + 1))
+            m[:n, :n] = gamma(np.hypot(px[:, None] - px, py[:, None] - py))
+            m[n, n] = 0
+            right = np.append(gamma(dist), 1.0)
+            w = np.linalg.lstsq(m, right, rcond=None)[0]
+            out.append((float(w[:n] @ pv), float(w @ right)))
+        return pd.DataFrame(out, columns=["estimate", "variance"])
+
+    part = lambda c: F.transform("n", lambda s: s[c])
+    cols = [part(c) for c in ("dist", "x_b", "y_b", "v_b")]
+    return each.select(F.col("k").alias(key), solved(*cols).alias("s")).select(key, "s.estimate", "s.variance")
+
+
+def tin(points: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """by, shape, corners: the Delaunay triangles of each group's points (id, x, y, value) as polygons, with the corners' values."""
+    p = points.select(*by, "id", "x", "y", F.col(value).cast("double").alias("v"))
+    t = delaunay(p, by)
+    for c in ("a", "b", "c"):
+        t = t.join(p.select(*by, F.col("id").alias(c), F.struct("x", "y", "v").alias(f"p{c}")), [*by, c])
+    ring = F.array(*[geom.coord(F.col(f"p{c}.x"), F.col(f"p{c}.y")) for c in ("a", "b", "c", "a")])
+    return t.select(*by, geom.polygon(ring).alias("shape"), F.array("pa", "pb", "pc").alias("corners"))
+
+
+def tin_at(triangles: DataFrame, targets: DataFrame, key: str, size: float) -> DataFrame:
+    """key, value: the surface of the triangles at each target (key, x, y) in one of them."""
+    both = points_in_polygons(targets.select(F.col(key).alias("k"), "x", "y"), triangles.select("shape", "corners"), "x", "y", "shape", size)
+    a, b, c = (F.col("corners")[i] for i in range(3))
+    det = (b["y"] - c["y"]) * (a["x"] - c["x"]) + (c["x"] - b["x"]) * (a["y"] - c["y"])
+    u = ((b["y"] - c["y"]) * (F.col("x") - c["x"]) + (c["x"] - b["x"]) * (F.col("y") - c["y"])) / det
+    v = ((c["y"] - a["y"]) * (F.col("x") - c["x"]) + (a["x"] - c["x"]) * (F.col("y") - c["y"])) / det
+    return both.select(F.col("k").alias(key), (u * a["v"] + v * b["v"] + (1 - u - v) * c["v"]).alias("value"))
+
+
+def hdbscan(points: DataFrame, by: list[str], least: int) -> DataFrame:
+    """by, id, cluster (0 of noise): the most persistent clusters of ``least`` points or more in each group of points (id, x, y), from the hierarchy of mutual reachability. A group is one task's."""
+    fields = points.select(*by, "id").schema.simpleString()[len("struct<") : -1]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        out = pdf[[*by, "id"]].copy()
+        out["cluster"] = persistent_clusters(pdf[["x", "y"]].to_numpy(float), least).astype("int32")
+        return out
+
+    return points.select(*by, "id", "x", "y").groupBy(*by).applyInPandas(run, ", ".join(f.replace(":", " ") for f in fields.split(",")) + ", cluster int")
+
+
+def persistent_clusters(xy: np.ndarray, least: int) -> np.ndarray:
+    """Numbers from 1 by first point, 0 of noise."""
+    n = len(xy)
+    out = np.zeros(n, int)
+    if n < max(2, least):
+        return out
+    d = np.hypot(xy[:, None, 0] - xy[:, 0], xy[:, None, 1] - xy[:, 1])
+    core = np.sort(d, axis=1)[:, min(least, n) - 1]
+    reach = np.maximum(d, np.maximum(core[:, None], core))
+    # the least spanning tree, point by point
+    best, via, done, tree = reach[0].copy(), np.zeros(n, int), np.zeros(n, bool), []
+    done[0] = True
+    for _ in range(n - 1):
+        j = int(np.where(done, np.inf, best).argmin())
+        tree.append((best[j], int(via[j]), j))
+        done[j] = True
+        closer = reach[j] < best
+        best, via = np.where(closer, reach[j], best), np.where(closer, j, via)
+    # merges from the shortest edge on: each node has its points and the distance at which it came to be
+    parent, nodes = list(range(n)), {i: ([i], 0.0, ()) for i in range(n)}
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for dist, a, b in sorted(tree):
+        x, y = find(a), find(b)
+        k = len(parent)
+        parent.append(k)
+        parent[x] = parent[y] = k
+        nodes[k] = (nodes[x][0] + nodes[y][0], dist, (x, y))
+    lam = lambda dist: 1 / dist if dist > 0 else 1e12
+
+    def chosen(node: int, born: float) -> tuple[float, list[list[int]]]:
+        """The stability of the best clusters in a node that came apart from the rest at this density, and their points."""
+        members, stability = nodes[node][0], 0.0
+        at = node
+        while True:
+            points, dist, kids = nodes[at]
+            if not kids:
+                return stability, [members]
+            big = [k for k in kids if len(nodes[k][0]) >= least]
+            if len(big) == 2:
+                stability += len(points) * (lam(dist) - born)
+                parts = [chosen(k, lam(dist)) for k in big]
+                below = sum(p[0] for p in parts)
+                return (below, [c for p in parts for c in p[1]]) if below > stability else (stability, [members])
+            if not big:
+                return stability + len(points) * (lam(dist) - born), [members]
+            stability += (len(points) - len(nodes[big[0]][0])) * (lam(dist) - born)
+            at = big[0]
+
+    root = len(parent) - 1
+    import sys
+
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
+    dist, kids = nodes[root][1], nodes[root][2]
+    big = [k for k in kids if len(nodes[k][0]) >= least]
+    clusters = [c for k in big for c in chosen(k, lam(dist))[1]] if len(big) == 2 else chosen(root, 0.0)[1]
+    for number, c in enumerate(sorted(clusters, key=min), 1):
+        out[c] = number
+    return out
+
+
+# more of rasters
+
+
+def value_at(a: DataFrame, points: DataFrame, key: str, minx: float, maxy: float, cell: float) -> DataFrame:
+    """key, value: the cell that each point (key, x, y) lies in; points beyond the raster are left out."""
+    row, col = F.floor((F.lit(maxy) - F.col("y")) / cell).cast("int"), F.floor((F.col("x") - minx) / cell).cast("int")
+    return points.select(key, row.alias("row"), col.alias("col")).join(a.select("row", "col", "value"), ["row", "col"]).select(key, "value")
+
+
+def sampled_at(a: DataFrame, points: DataFrame, key: str, minx: float, maxy: float, cell: float) -> DataFrame:
+    """key, value: bilinear between the centres of the four cells about each point, of those that there are."""
+    r, c = (F.lit(maxy) - F.col("y")) / cell - 0.5, (F.col("x") - minx) / cell - 0.5
+    at = points.select(key, r.alias("r"), c.alias("c"))
+    corners = F.array(*[F.struct((F.floor("r") + i).cast("int").alias("row"), (F.floor("c") + j).cast("int").alias("col"), ((F.col("r") - F.floor("r") if i else 1 - F.col("r") + F.floor("r")) * (F.col("c") - F.floor("c") if j else 1 - F.col("c") + F.floor("c"))).alias("w")) for i in (0, 1) for j in (0, 1)])
+    each = at.select(key, F.explode(corners).alias("n")).select(key, "n.*").filter("w > 0")
+    return each.join(a.select("row", "col", "value"), ["row", "col"]).groupBy(key).agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
+
+
+def resample(a: DataFrame, width: int, height: int, new_width: int, new_height: int, method: str = "bilinear") -> DataFrame:
+    """The raster with another number of cells over the same ground; method: nearest or bilinear."""
+    k = F.col("k")
+    x = (k % new_width + 0.5) * (width / new_width)
+    y = -(F.floor(k / new_width) + 0.5) * (height / new_height)
+    targets = a.sparkSession.range(new_width * new_height).select(F.col("id").alias("k")).select("k", x.alias("x"), y.alias("y"))
+    found = (value_at if method == "nearest" else sampled_at)(a, targets, "k", 0.0, 0.0, 1.0)
+    return found.select(F.floor(k / new_width).cast("int").alias("row"), (k % new_width).cast("int").alias("col"), "value")
+
+
+def reproject(a: DataFrame, minx: float, maxy: float, cell: float, back, new_minx: float, new_maxy: float, new_cell: float, width: int, height: int, method: str = "bilinear") -> DataFrame:
+    """The raster on a grid of another system; back(x, y): columns of that system's coordinates to those of this one."""
+    k = F.col("k")
+    x, y = back(F.lit(new_minx) + (k % width + 0.5) * new_cell, F.lit(new_maxy) - (F.floor(k / width) + 0.5) * new_cell)
+    targets = a.sparkSession.range(width * height).select(F.col("id").alias("k")).select("k", x.alias("x"), y.alias("y"))
+    found = (value_at if method == "nearest" else sampled_at)(a, targets, "k", minx, maxy, cell)
+    return found.select(F.floor(k / width).cast("int").alias("row"), (k % width).cast("int").alias("col"), "value")
+
+
+def contours(a: DataFrame, interval: float) -> DataFrame:
+    """level, x1, y1, x2, y2: the pieces of the contour lines between the centres of cells (x is the column, y the row), by marching triangles about each square's middle."""
+    at = lambda dr, dc, name: a.select((F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), F.col("value").alias(name))
+    on = ["row", "col"]
+    sq = at(0, 0, "p").join(at(0, 1, "q"), on).join(at(1, 1, "r"), on).join(at(1, 0, "s"), on)
+    low, high = F.least("p", "q", "r", "s"), F.greatest("p", "q", "r", "s")
+    first, last = F.ceil(low / interval), F.floor(high / interval)
+    sq = sq.filter(first <= last).withColumn("_m", F.explode(F.sequence(first, last))).withColumn("level", F.col("_m") * F.lit(float(interval)))
+    x, y, v = F.col("col").cast("double"), F.col("row").cast("double"), F.col("level")
+    corner = lambda name, dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"), F.col(name).alias("z"))
+    corners = [corner("p", 0.0, 0.0), corner("q", 1.0, 0.0), corner("r", 1.0, 1.0), corner("s", 0.0, 1.0)]
+    middle = F.struct((x + 0.5).alias("x"), (y + 0.5).alias("y"), ((F.col("p") + F.col("q") + F.col("r") + F.col("s")) / 4).alias("z"))
+
+    def cut(a_, b_):
+        """Where the level crosses the side from a to b: null if both are on one side of it."""
+        t = (v - a_["z"]) / F.nullif(b_["z"] - a_["z"], F.lit(0.0))
+        return F.when((a_["z"] >= v) != (b_["z"] >= v), F.struct((a_["x"] + t * (b_["x"] - a_["x"])).alias("x"), (a_["y"] + t * (b_["y"] - a_["y"])).alias("y")))
+
+    pieces = [F.array_compact(F.array(cut(m, n), cut(n, middle), cut(middle, m))) for m, n in zip(corners, corners[1:] + corners[:1], strict=True)]
+    found = sq.select("level", F.explode(F.array(*pieces)).alias("s")).filter(F.size("s") == 2)
+    return found.select("level", F.col("s")[0]["x"].alias("x1"), F.col("s")[0]["y"].alias("y1"), F.col("s")[1]["x"].alias("x2"), F.col("s")[1]["y"].alias("y2"))
+
+
+def to_polygons(a: DataFrame) -> DataFrame:
+    """value, geom: the outlines of the cells of each value (x is the column, y the row). Only sides between different values meet in a value's task."""
+    from loxodrome.functions import overlay
+
+    x, y = F.col("col").cast("double"), F.col("row").cast("double")
+    # counter-clockwise with y upwards; a side is an outline where the cell across has another value
+    sides = [(-1, 0, (0.0, 0.0, 1.0, 0.0)), (0, 1, (1.0, 0.0, 1.0, 1.0)), (1, 0, (1.0, 1.0, 0.0, 1.0)), (0, -1, (0.0, 1.0, 0.0, 0.0))]
+    each = a.select("value", F.explode(F.array(*[F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"), (x + s[0]).alias("x1"), (y + s[1]).alias("y1"), (x + s[2]).alias("x2"), (y + s[3]).alias("y2")) for dr, dc, s in sides])).alias("s")).select("value", "s.*")
+    across = a.select("row", "col", F.col("value").alias("_across"))
+    rim = each.join(across, ["row", "col"], "left").filter(F.col("_across").isNull() | (F.col("_across") != F.col("value"))).select("value", "x1", "y1", "x2", "y2")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        starts: dict = {}
+        for r in pdf.sort_values(["x1", "y1", "x2", "y2"]).itertuples():
+            starts.setdefault((r.x1, r.y1), []).append((r.x2, r.y2))
+        return pd.DataFrame([{"value": pdf["value"].iloc[0], "geom": overlay.row_of(overlay.nested(overlay.rings_of(starts)))}])
+
+    return rim.groupBy("value").applyInPandas(run, f"value double, geom {geom.GEOM}")
+
+
+def viewshed(a: DataFrame, row: int, col: int, height: float, most: float) -> DataFrame:
+    """row, col, visible: whether each cell within the distance (in cells) is seen from an observer of this height: no cell on the line between rises above it."""
+    own = a.filter((F.col("row") == row) & (F.col("col") == col)).select((F.col("value") + height).alias("_eye"))
+    dr, dc = F.col("row") - row, F.col("col") - col
+    steps = F.greatest(F.abs(dr), F.abs(dc))
+    near = a.filter((dr * dr + dc * dc <= most * most) & (steps > 0)).join(F.broadcast(own)).select("row", "col", ((F.col("value") - F.col("_eye")) / F.sqrt(dr * dr + dc * dc)).alias("slope"), steps.alias("n"), dr.alias("dr"), dc.alias("dc"), "_eye")
+    line = near.filter("n > 1").select("row", "col", "slope", "_eye", "n", "dr", "dc", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("i"))
+    line = line.select(F.col("row").alias("_r"), F.col("col").alias("_c"), "slope", "_eye", (F.lit(row) + F.round(F.col("dr") * F.col("i") / F.col("n"))).cast("int").alias("row"), (F.lit(col) + F.round(F.col("dc") * F.col("i") / F.col("n"))).cast("int").alias("col"))
+    away = F.sqrt(F.pow(F.col("row") - row, 2.0) + F.pow(F.col("col") - col, 2.0))
+    hidden = line.join(a.select("row", "col", "value"), ["row", "col"]).filter((F.col("value") - F.col("_eye")) / away > F.col("slope")).select(F.col("_r").alias("row"), F.col("_c").alias("col")).distinct()
+    seen = near.select("row", "col").union(a.filter((F.col("row") == row) & (F.col("col") == col)).select("row", "col"))
+    return seen.join(hidden.withColumn("_h", F.lit(True)), ["row", "col"], "left").select("row", "col", F.col("_h").isNull().alias("visible"))
+
+
+def raster_edges(a: DataFrame) -> DataFrame:
+    """a, b, cost between the eight neighbours of each cell: the mean of both cells' costs by the distance of their centres; nodes are row * 2 ** 32 + col."""
+    node = lambda r, c: F.shiftleft(r.cast("bigint"), 32) + c.cast("bigint")
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
+    out = a.select("row", "col", F.col("value").alias("v"), F.explode(steps).alias("s")).select(F.col("row").alias("r0"), F.col("col").alias("c0"), "v", (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"), F.when((F.col("s.i") != 0) & (F.col("s.j") != 0), F.lit(2.0**0.5)).otherwise(1.0).alias("d"))
+    return out.join(a.select("row", "col", "value"), ["row", "col"]).select(node(F.col("r0"), F.col("c0")).alias("a"), node(F.col("row"), F.col("col")).alias("b"), ((F.col("v") + F.col("value")) / 2 * F.col("d")).alias("cost"))
+
+
+def least_cost_path(a: DataFrame, start: tuple[int, int], end: tuple[int, int]) -> DataFrame:
+    """row, col, cost: the cells that least-cost paths from start to end go through, by cost from the start: those whose costs from either end add up to the least."""
+    edges = kept(raster_edges(a))
+    node = lambda p: (p[0] << 32) + p[1]
+    there, back = shortest_paths(edges, node(start)), shortest_paths(edges, node(end)).withColumnRenamed("cost", "rest")
+    least = there.filter(F.col("node") == node(end)).select(F.col("cost").alias("total"))
+    on = there.join(back, "node").join(F.broadcast(least)).filter(F.col("cost") + F.col("rest") <= F.col("total") * (1 + 1e-12))
+    return on.select(F.shiftright("node", 32).cast("int").alias("row"), (F.col("node") % (1 << 32)).cast("int").alias("col"), "cost")

@@ -34,6 +34,28 @@ class SpatialIndex:
     def size(self) -> int:
         return self.items.count()
 
+    insert_all = insert
+
+    def clear(self) -> SpatialIndex:
+        return replace(self, items=self.items.limit(0))
+
+    def bounds(self) -> DataFrame:
+        """minx, miny, maxx, maxy of all items: one row, of nulls if there are none."""
+        return self.items.agg(F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"))
+
+    def query_radius(self, x: float, y: float, radius: float) -> DataFrame:
+        """The items whose boxes come within the radius of a point, with dist."""
+        dx = F.greatest(F.col("minx") - x, x - F.col("maxx"), F.lit(0.0))
+        dy = F.greatest(F.col("miny") - y, y - F.col("maxy"), F.lit(0.0))
+        near = self.query(x - radius, y - radius, x + radius, y + radius)
+        return near.withColumn("dist", F.hypot(dx, dy)).filter(F.col("dist") <= radius)
+
+    def get_cell(self, x: float, y: float) -> DataFrame:
+        """The items whose boxes meet the point's cell of the grid."""
+        size = self.size_of_cell
+        west, south = x // size * size, y // size * size
+        return self.items.filter((F.col("maxx") >= west) & (F.col("minx") < west + size) & (F.col("maxy") >= south) & (F.col("miny") < south + size))
+
     def query(self, minx: float, miny: float, maxx: float, maxy: float) -> DataFrame:
         """The items whose boxes meet this one."""
         return spatial.bbox_query(self.items, minx, miny, maxx, maxy)
@@ -54,3 +76,7 @@ class SpatialIndex:
         """As Parquet in the order of cells, so that a query reads few row groups."""
         cells = self.items.withColumn("_cx", spatial.cell(F.col("minx"), self.size_of_cell)).withColumn("_cy", spatial.cell(F.col("miny"), self.size_of_cell))
         cells.repartitionByRange("_cx", "_cy").sortWithinPartitions("_cx", "_cy").drop("_cx", "_cy").write.mode("overwrite").parquet(path)
+
+
+#: One table serves for all kinds of index: boxes reach the scan, and joins go by cells.
+RTree = QuadTree = STRTree = GridIndex = SpatialIndex

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loxodrome.functions import geom
+from loxodrome.operators.stats import kept
 
 
 def cell(v: Column, size: float) -> Column:
@@ -83,31 +84,32 @@ def nearest(df: DataFrame, px: float, py: float, n: int, key: str, x: str = "x",
     return df.withColumn("dist", F.sqrt(dx * dx + dy * dy)).orderBy("dist", key).limit(n)
 
 
-def knn_join(a: DataFrame, b: DataFrame, k: int, key_a: str, key_b: str, size: float, x: str = "x", y: str = "y", rounds: int = 24) -> DataFrame:
+def knn_join(a: DataFrame, b: DataFrame, k: int, key_a: str, key_b: str, size: float, x: str = "x", y: str = "y") -> DataFrame:
     """The k nearest points of b for each of a, with dist and rank; columns of b get the suffix _b.
 
     Squares of cells about each point are searched, twice as wide each round; a point is done once it
-    has k found within the square's safe radius. Points still open after the rounds, or with fewer
-    than k points in all of b, take the whole of b.
+    has k found within the square's safe radius, or once the squares are wider than all points lie
+    apart. What is still open is written out after each round, so that no round is computed again.
     """
-    open_, done = a, None
     bb = b.select(*[F.col(c).alias(f"{c}_b") for c in b.columns])
-    total = b.count()
     w = Window.partitionBy(key_a).orderBy("dist", f"{key_b}_b")
     dx, dy = F.col(x) - F.col(f"{x}_b"), F.col(y) - F.col(f"{y}_b")
-    for round_ in range(rounds):
-        if total < k:
-            break
-        wide = size * 2**round_
-        near = F.array(F.lit(-1), F.lit(0), F.lit(1)).cast("array<bigint>")
+    both = a.select(x, y).unionByName(b.select(x, y)).agg(*[f(c) for c in (x, y) for f in (F.min, F.max)]).first()
+    span = max(both[1] - both[0], both[3] - both[2], size) if both[0] is not None else size
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1)).cast("array<bigint>")
+    open_, done, wide = a, None, size
+    while True:
+        last = wide >= 2 * span
         cells = open_.withColumn("_i", F.explode(near)).withColumn("_j", F.explode(near)).withColumn("cx", cell(F.col(x), wide) + F.col("_i")).withColumn("cy", cell(F.col(y), wide) + F.col("_j")).drop("_i", "_j")
         found = cells.join(bb.withColumn("cx", cell(F.col(f"{x}_b"), wide)).withColumn("cy", cell(F.col(f"{y}_b"), wide)), ["cx", "cy"]).drop("cx", "cy")
-        # whatever is nearer than a cell's width lies in the nine cells
-        ranked = found.withColumn("dist", F.sqrt(dx * dx + dy * dy)).filter(F.col("dist") <= wide).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        full = ranked.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key_a))).filter(F.col("_n") == k).drop("_n")
+        ranked = found.withColumn("dist", F.sqrt(dx * dx + dy * dy))
+        # whatever is nearer than a cell's width lies in the nine cells; in the last round all points do
+        ranked = (ranked if last else ranked.filter(F.col("dist") <= wide)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        if last:
+            return ranked if done is None else done.unionByName(ranked)
+        full = kept(ranked.withColumn("_full", F.count(F.lit(1)).over(Window.partitionBy(key_a))).filter(F.col("_full") == k).drop("_full"))
         done = full if done is None else done.unionByName(full)
-        open_ = open_.join(full.select(key_a).distinct(), key_a, "left_anti")
+        open_ = kept(open_.join(full.select(key_a).distinct(), key_a, "left_anti"))
         if open_.isEmpty():
             return done
-    rest = open_.crossJoin(bb).withColumn("dist", F.sqrt(dx * dx + dy * dy)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return rest if done is None else done.unionByName(rest)
+        wide *= 2

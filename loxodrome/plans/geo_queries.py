@@ -16,7 +16,12 @@ query = REGISTRY.query
 _LON, _LAT = "({k} * 37 % 36000) / 1e2 - 180", "({k} * 53 % 17000) / 1e2 - 85"
 _XY = "select c_custkey as k, c_acctbal as v, " + _LON.format(k="c_custkey") + " as x, " + _LAT.format(k="c_custkey") + " as y from customer"
 _SITES = "select s_suppkey as s, s_acctbal as w, " + _LON.format(k="(s_suppkey * 91)") + " as x, " + _LAT.format(k="(s_suppkey * 17)") + " as y from supplier"
-_BOXES = "select n_nationkey as n, n_nationkey * 14 - 178 as x0, n_nationkey * 5 - 80 as y0, n_nationkey * 14 - 150 as x1, n_nationkey * 5 - 40 as y1 from nation"
+_BOXES = "select n_nationkey as n, n_nationkey * 14 - 178 as x0, n_nationkey * 5 - 80 as y0, n_nationkey * 14 - 158 + n_nationkey % 4 as x1, n_nationkey * 5 - 50 + n_nationkey % 7 as y1 from nation"
+#: Area of the hull of the points p(g, x, y), which are whole numbers: by the sides that all other points lie to the left of.
+_HULLS = """sides as (select p.g, p.x as px, p.y as py, q.x as qx, q.y as qy from p join p q on p.g = q.g and (p.x <> q.x or p.y <> q.y)
+  where not exists (select 1 from p r where r.g = p.g and ((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) < 0
+    or (q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) = 0 and ((r.x - p.x) * (r.x - q.x) > 0 or (r.y - p.y) * (r.y - q.y) > 0)))),
+hulls as (select g, sum(px * qy - qx * py) / 2e0 as area from sides group by g)"""
 #: Haversine distance of two pairs of degrees in SQL.
 _HAV = "2 * {r} * atan2(sqrt(pow(sin(radians({b} - {d}) / 2), 2) + cos(radians({b})) * cos(radians({d})) * pow(sin(radians({a} - {c}) / 2), 2)), sqrt(1 - (pow(sin(radians({b} - {d}) / 2), 2) + cos(radians({b})) * cos(radians({d})) * pow(sin(radians({a} - {c}) / 2), 2))))"
 
@@ -33,7 +38,7 @@ def _sites(spark, sf_dir):
 
 def _boxes(spark, sf_dir):
     n = F.col("n_nationkey").cast("double")
-    box = geom.bbox(n * 14 - 178, n * 5 - 80, n * 14 - 150, n * 5 - 40)
+    box = geom.bbox(n * 14 - 178, n * 5 - 80, n * 14 - 158 + n % 4, n * 5 - 50 + n % 7)
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), geom.bbox_to_polygon(box).alias("shape"))
 
 
@@ -94,7 +99,7 @@ def grid_h3(spark, sf_dir):
 
 
 @query(f"""
-with c as (select k, least(cast(floor((y + 90) / 180 * 16) as bigint), 15) as r, least(cast(floor((x + 180) / 360 * 16) as bigint), 15) as c from ({_XY} limit 100000)),
+with c as (select k, least(cast(floor((y + 90) / 180 * 16) as bigint), 15) as r, least(cast(floor((x + 180) / 360 * 16) as bigint), 15) as c from ({_XY})),
 d as (select k, greatest(0, least(15, r + i)) as r, (c + j + 16) % 16 as c from c, (values (-1), (0), (1)) as a(i), (values (-1), (0), (1)) as b(j))
 select 3 * 1152921504606846976 + r * 1073741824 + c as cell, count(*) as n, sum(k) as ks from d group by all
 """)
@@ -117,7 +122,7 @@ def grid_s2(spark, sf_dir):
 
 
 @query(f"""
-select n, 1120e0 as area, 136e0 as perimeter, (x0 + x1) / 2e0 as cx, (y0 + y1) / 2e0 as cy, cast(x0 as double) as minx, cast(y1 as double) as maxy, 5 as num_points, true as valid, 'Polygon' as kind, 1120e0 as signed_area, 2 as dimension, 28e0 as width,
+select n, cast((x1 - x0) * (y1 - y0) as double) as area, cast(2 * (x1 - x0 + y1 - y0) as double) as perimeter, (x0 + x1) / 2e0 as cx, (y0 + y1) / 2e0 as cy, cast(x0 as double) as minx, cast(y1 as double) as maxy, 5 as num_points, true as valid, 'Polygon' as kind, cast((x1 - x0) * (y1 - y0) as double) as signed_area, 2 as dimension, cast(x1 - x0 as double) as width,
   round(abs((x1 - x0) * 2 * (sin(radians(y1)) - sin(radians(y0)))) * pi() / 180 * 6371.0088 * 6371.0088 / 2, 2) as area_km2
 from ({_BOXES})
 """)
@@ -158,13 +163,16 @@ def polygons_meeting_join(spark, sf_dir):
 
 
 @query(f"""
-select n, k, x > x0 and x < x1 and y > y0 and y < y1 as contains, x > x0 and x < x1 and y > y0 and y < y1 as intersects, not (x > x0 and x < x1 and y > y0 and y < y1) as disjoint, false as touches
-from ({_XY}) join ({_BOXES}) on k % 25 = n where k < 500
-""")
+select n, k, x >= x0 and x < x1 and y >= y0 and y < y1 as contains, x > x0 and x < x1 and y > y0 and y < y1 as intersects, not (x > x0 and x < x1 and y > y0 and y < y1) as disjoint, false as touches, x >= x0 and x < x1 and y >= y0 and y < y1 as within,
+  x >= x0 and x < x1 and y >= y0 and y < y1 as covers, x >= x0 and x < x1 and y >= y0 and y < y1 as covered_by
+from ({_XY}) join ({_BOXES}) on k % 25 = n
+""".replace("x > x0 and x < x1 and y > y0 and y < y1", "x >= x0 and x < x1 and y >= y0 and y < y1"))
 def predicates(spark, sf_dir):
-    both = _points(spark, sf_dir).filter("k < 500").join(_boxes(spark, sf_dir), F.col("k") % 25 == F.col("n"))
+    both = _points(spark, sf_dir).join(_boxes(spark, sf_dir), F.col("k") % 25 == F.col("n"))
     g, p = F.col("shape"), geom.point(F.col("x"), F.col("y"))
-    return both.select("n", "k", geom.contains(g, p).alias("contains"), geom.intersects(g, p).alias("intersects"), geom.disjoint(g, p).alias("disjoint"), geom.touches(g, p).alias("touches"))
+    return both.select(
+        "n", "k", geom.contains(g, p).alias("contains"), geom.intersects(g, p).alias("intersects"), geom.disjoint(g, p).alias("disjoint"), geom.touches(g, p).alias("touches"), geom.within(p, g).alias("within"), geom.covers(g, p).alias("covers"), geom.covered_by(p, g).alias("covered_by"),
+    )
 
 
 @query(f"select a.k as k, b.s as s_b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) as dist from ({_XY}) a, ({_SITES}) b where sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 8")
@@ -193,7 +201,7 @@ def knn_join(spark, sf_dir):
 
 
 @query(f"""
-with t as (select n as k, x0 + 14.0 as x, y0 + 20.0 as y from ({_BOXES}))
+with t as (select n as k, (x0 + x1) / 2e0 as x, (y0 + y1) / 2e0 as y from ({_BOXES}))
 select t.k as k, round(sum(s.w / (pow(s.x - t.x, 2) + pow(s.y - t.y, 2))) / sum(1 / (pow(s.x - t.x, 2) + pow(s.y - t.y, 2))), 4) as idw from t, ({_SITES}) s group by t.k
 """)
 def idw(spark, sf_dir):
@@ -203,8 +211,8 @@ def idw(spark, sf_dir):
 
 
 @query(f"""
-with recursive p as (select k, x, y from ({_XY}) where k <= 400),
-near as (select a.k as k, b.k as o from p a, p b where sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 9),
+with recursive p as (select k, x, y from ({_XY})),
+near as (select a.k as k, b.k as o from p a, p b where sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 2.5),
 core as (select k from near group by k having count(*) >= 4),
 links as (select near.k, near.o from near join core a on near.k = a.k join core b on near.o = b.k),
 reach(k, r) as (select k, k from core union select reach.k, links.o from reach join links on reach.r = links.k),
@@ -214,7 +222,7 @@ own as (select k, cluster from label join ids using (l))
 select k, cluster from own union all select near.k, min(cluster) from near join own on near.o = own.k where near.k not in (select k from core) group by near.k
 """)
 def dbscan(spark, sf_dir):
-    return analysis.dbscan(_points(spark, sf_dir).filter("k <= 400").select("k", "x", "y"), "k", 9.0, 4)
+    return analysis.dbscan(_points(spark, sf_dir).select("k", "x", "y"), "k", 2.5, 4)
 
 
 @query(f"""
@@ -237,23 +245,38 @@ def voronoi_grid(spark, sf_dir):
     return analysis.nearest_site(nodes, _sites(spark, sf_dir), "node", "s").select("node", "s", _r("dist").alias("dist"))
 
 
-@query()
+@query(f"""
+with g as (select i + 21 * j as node, i, j, -180 + i * 18e0 as x, -85 + j * 8.5e0 as y from range(21) a(i), range(21) b(j)),
+d as (select node, i, j, s, row_number() over (partition by node order by sqrt(pow(g.x - t.x, 2) + pow(g.y - t.y, 2)), s) as r from g, ({_SITES}) t),
+p as (select s as g, i as x, j as y from d where r = 1), {_HULLS}
+select distinct p.g as s, round(coalesce(area, 0) * 18 * 8.5e0, 4) as area from p left join hulls using (g)
+""")
 def voronoi_cells(spark, sf_dir):
     out = analysis.voronoi(_sites(spark, sf_dir), "s", -180.0, -85.0, 180.0, 85.0)
     return out.select("s", _r(geom.area(F.col("geom")), 4).alias("area"))
 
 
-@query()
+@query(f"""
+with p as (select distinct c_custkey % 10 as g, c_custkey * 37 % 36000 as x, c_custkey * 53 % 17000 as y from customer), {_HULLS}
+select distinct p.g, round(coalesce(area, 0) / 1e4, 4) as area from p left join hulls using (g)
+""")
 def convex_hulls(spark, sf_dir):
     p = _points(spark, sf_dir).select((F.col("k") % 10).alias("g"), "x", "y")
     return analysis.hulls(p, ["g"]).select("g", _r(geom.area(F.col("geom")), 4).alias("area"))
 
 
-@query()
+@query("""
+with p as (select c_custkey % 150 as g, c_custkey as id, (c_custkey * 7919 % 10007) / 10e0 as x, (c_custkey * c_custkey % 10009) / 10e0 as y from customer),
+t as (select a.g, a.id as a, b.id as b, c.id as c, a.x as ax, a.y as ay, b.x - a.x as ux, b.y - a.y as uy, c.x - a.x as vx, c.y - a.y as vy from p a join p b on a.g = b.g and a.id < b.id join p c on a.g = c.g and b.id < c.id),
+o as (select *, 2 * (ux * vy - uy * vx) as d, ux * ux + uy * uy as uu, vx * vx + vy * vy as vv from t where ux * vy <> uy * vx),
+r as (select g, a, b, c, ax + (vy * uu - uy * vv) / d as x, ay + (ux * vv - vx * uu) / d as y, (pow(vy * uu - uy * vv, 2) + pow(ux * vv - vx * uu, 2)) / (d * d) as rr from o)
+select g, a, b, c from r where not exists (select 1 from p where p.g = r.g and p.id not in (r.a, r.b, r.c) and pow(p.x - r.x, 2) + pow(p.y - r.y, 2) < rr * (1 - 1e-12))
+""")
 def delaunay(spark, sf_dir):
-    k = F.col("k")
-    p = _points(spark, sf_dir).filter("k <= 300").select((k % 5).alias("g"), k.alias("id"), (k * 37 % 101).cast("double").alias("x"), (k * k * 53 % 97).cast("double").alias("y"))
-    return analysis.delaunay(p, ["g"])
+    k = F.col("c_custkey")
+    p = table(spark, sf_dir, "customer").select((k % 150).alias("g"), k.alias("id"), ((k * 7919 % 10007) / F.lit(10.0)).alias("x"), ((k * k % 10009) / F.lit(10.0)).alias("y"))
+    t, order = analysis.delaunay(p, ["g"]), F.array_sort(F.array("a", "b", "c"))
+    return t.select("g", *[order[i].alias(c) for i, c in enumerate("abc")])
 
 
 @query("""
@@ -292,20 +315,18 @@ def format_round_trips(spark, sf_dir):
     return p.select("k", "wkt", geom.x(back).alias("x"), geom.y(other).alias("y"), "geojson", "kml", same.alias("wkb_ok"))
 
 
-@query(f"select n, 'POLYGON ((' || x0 || ' ' || y0 || ', ' || x1 || ' ' || y0 || ', ' || x1 || ' ' || y1 || ', ' || x0 || ' ' || y1 || ', ' || x0 || ' ' || y0 || '))' as wkt, 1120e0 as area, 1120e0 as wkb_area from ({_BOXES})")
+@query(f"select n, 'POLYGON ((' || x0 || ' ' || y0 || ', ' || x1 || ' ' || y0 || ', ' || x1 || ' ' || y1 || ', ' || x0 || ' ' || y1 || ', ' || x0 || ' ' || y0 || '))' as wkt, cast((x1 - x0) * (y1 - y0) as double) as area, cast((x1 - x0) * (y1 - y0) as double) as wkb_area from ({_BOXES})")
 def polygon_formats(spark, sf_dir):
     b = _boxes(spark, sf_dir).select("n", "shape", formats.to_wkt(F.col("shape")).alias("wkt"), formats.to_wkb(F.col("shape")).alias("wkb"))
     return b.select("n", "wkt", _r(geom.area(formats.parse_wkt(F.col("wkt")))).alias("area"), _r(geom.area(formats.from_wkb(F.col("wkb")))).alias("wkb_area"))
 
 
-@query(f"select k, 33 as n, true as round from ({_XY}) where k <= 200")
+@query(f"select k, 33 as n, round(x + (k % 5 + 1), 6) as east, round(y - (k % 5 + 1), 6) as south, round(16 * pow(k % 5 + 1, 2) * sin(pi() / 16), 6) as area from ({_XY})")
 def buffers(spark, sf_dir):
     p = geom.point(F.col("x"), F.col("y"))
-    b = geom.buffer_point(p, 2.0)
-    off = F.forall(geom.coords(b), lambda c: F.abs(F.hypot(c["x"] - F.col("x"), c["y"] - F.col("y")) - 2) < 1e-9)
-    return _points(spark, sf_dir).filter("k <= 200").select("k", geom.num_points(b).alias("n"), off.alias("round"))
-
-
+    b = geom.buffer_point(p, F.col("k") % 5 + 1)
+    e = geom.envelope(b)
+    return _points(spark, sf_dir).select("k", geom.num_points(b).alias("n"), _r(e["maxx"]).alias("east"), _r(e["miny"]).alias("south"), _r(geom.area(b)).alias("area"))
 
 
 @query(f"select cast(floor(x / 30) as bigint) as qx, cast(floor(y / 30) as bigint) as qy, count(*) as n from ({_XY}) group by all")

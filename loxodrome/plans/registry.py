@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: Modules of this package that hold a REGISTRY of queries (name -> function of session and folder) and their SQL.
-MODULES = ["frame_queries", "scalar_queries", "function_queries", "geo_queries", "stream_queries"]
+MODULES = ["frame_queries", "scalar_queries", "function_queries", "geo_queries", "shape_queries", "stream_queries"]
 
 
 def _modules():

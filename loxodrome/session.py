@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -35,3 +36,9 @@ def use_scratch(spark: SparkSession) -> None:
     if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="loxodrome-"))
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, for tables of one run."""
+    use_scratch(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex[:12]}"

@@ -30,10 +30,15 @@ def write_text(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").text(path)
 
 
+def append_text(df: DataFrame, path: str) -> None:
+    """More rows of one column of text behind those that are there."""
+    write_text(df, path, append=True)
+
+
 def write_bytes(spark: SparkSession, path: str, values: list[int]) -> None:
     fs, p = _at(spark, path)
     out = fs.create(p, True)
-    out.write(bytearray(values))
+    out.write(bytearray(values), 0, len(values))
     out.close()
 
 
