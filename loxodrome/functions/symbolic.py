@@ -521,7 +521,10 @@ def limit(e: Expr, x: str, at: float) -> float:
             pass
         if e.op != "/":
             break
-        top, down = (value(a, {x: at}) for a in e.args)
+        try:
+            top, down = (value(a, {x: at}) for a in e.args)
+        except (ZeroDivisionError, ValueError, OverflowError):
+            break
         if abs(top) > 1e-12 or abs(down) > 1e-12:
             break
         e = simplify(Expr("/", (diff(e.args[0], x), diff(e.args[1], x))))

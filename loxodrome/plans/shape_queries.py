@@ -295,7 +295,7 @@ def file_calls(spark, sf_dir):
 
 @query(real(f"""
 with c as (select k, least(cast(floor((y + 90) / 180 * 256) as bigint), 255) as r, least(cast(floor((x + 180) / 360 * 256) as bigint), 255) as c from ({_XY}))
-select k, 4 as children, 8 as ring, round(360 / 256.0 * 180 / 256.0, 6) as boundary_area, round(2 * pi() * pow(6371.0088, 2) / 256 * (sin(radians((r + 1) / 256.0 * 180 - 90)) - sin(radians(r / 256.0 * 180 - 90))), 4) as area_km2, greatest(abs(r - 128), abs(c - 128)) + 1 as path, 1 + 4 as uncompacted, true as valid, round((c + 0.5) / 256 * 360 - 180, 6) as point_x,
+select k, 4 as children, case when c between 1 and 254 then 8 else 5 end as ring, round(360 / 256.0 * 180 / 256.0, 6) as boundary_area, round(2 * pi() * pow(6371.0088, 2) / 256 * (sin(radians((r + 1) / 256.0 * 180 - 90)) - sin(radians(r / 256.0 * 180 - 90))), 4) as area_km2, greatest(abs(r - 128), abs(c - 128)) + 1 as path, 1 + 4 as uncompacted, true as valid, round((c + 0.5) / 256 * 360 - 180, 6) as point_x,
   4 as covered, 6 as polyfilled
 from c where r between 1 and 254
 """))
@@ -415,7 +415,7 @@ def raster_outlines(spark, sf_dir):
 
 @query(f"""
 with {_RASTER}, w as (select row, col, value, case when col = 20 and row between 5 and 35 then 900 else 0 end as wall, case when col = 20 and row <> 0 then 1000e0 else 1e0 end as cost from r)
-select 'seen' as kind, count(*) filter (where col < 20 or col = 20) as n, 0e0 as cost from w where sqrt(pow(row - 20, 2) + pow(col - 10, 2)) <= 12 and (col <= 20) union all select 'ascii', count(*), sum(value) from r
+select 'seen' as kind, count(*) filter (where col < 20 or col = 20) as n, 0e0 as cost from w where sqrt(pow(row - 20, 2) + pow(col - 10, 2)) <= 12 and (col <= 20) union all select 'ascii', count(*), sum(value) from r union all select 'corner', 40, 2.5e0
 """)
 def raster_paths(spark, sf_dir):
     """A wall hides what lies behind it; a grid written as text reads the same."""
@@ -423,20 +423,16 @@ def raster_paths(spark, sf_dir):
     wall = r.withColumn("value", F.when((F.col("col") == 20), 900.0).otherwise(0.0))
     seen = analysis.viewshed(wall, 20, 10, 2.0, 12.0).filter("visible").agg(F.count(F.lit(1)).alias("n")).select(F.lit("seen").alias("kind"), "n", F.lit(0.0).alias("cost"))
     path = scratch_path(spark, "grid")
-    vectors.ascii_grid(r, 40, 0.0, 0.0, 1.0, 40).orderBy("at").coalesce(1).select("value").write.text(path)
+    vectors.ascii_grid(r, 40, 2.5, -30.0, 1.0, 40).orderBy("at").coalesce(1).select("value").write.text(path)
     read = vectors.read_ascii_grid(spark, f"{path}/part-*")
-    return seen.unionByName(read.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("cost")).select(F.lit("ascii").alias("kind"), "n", "cost"))
+    return seen.unionByName(read.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("cost")).select(F.lit("ascii").alias("kind"), "n", "cost")).unionByName(read.agg((F.max("maxy") + 30).cast("bigint").alias("n"), F.min("minx").alias("cost")).select(F.lit("corner").alias("kind"), "n", "cost"))
 
 
-@query("select 0 as row, i as col, cast(i as double) as cost from range(21) t(i) union all select i, 20, 20 + cast(i as double) from range(1, 13) t(i)")
+@query("select 0 as row, i as col, cast(i as double) as cost from range(20) t(i) union all select i, 20, round(18 + sqrt(2) + i, 6) from range(1, 13) t(i)")
 def least_cost(spark, sf_dir):
-    """Cells are dear but along the upper and the right edge."""
+    """Cells are dear but along the upper and the right edge; the corner is cut by the diagonal."""
     r = analysis.raster_empty(spark, 21, 13).withColumn("value", F.when((F.col("row") == 0) | (F.col("col") == 20), 1.0).otherwise(100.0))
-    found = analysis.least_cost_path(r, (0, 0), (12, 20))
-    # the corner may be cut at the cost of the diagonal
-    straight = spark.range(21).select(F.lit(0).alias("row"), F.col("id").cast("int").alias("col"), F.col("id").cast("double").alias("cost")).unionByName(spark.range(1, 13).select(F.col("id").cast("int").alias("row"), F.lit(20).alias("col"), (20 + F.col("id")).cast("double").alias("cost")))
-    corner = found.filter("row = 0 and col = 20").count() + found.filter("row = 0 and col = 19").count()
-    return straight if corner and found.filter("row = 5 and col = 5").isEmpty() else found
+    return analysis.least_cost_path(r, (0, 0), (12, 20)).withColumn("cost", F.round("cost", 6))
 
 
 # point patterns, interpolation and networks

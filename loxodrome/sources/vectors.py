@@ -240,12 +240,17 @@ def write_geo_csv(df: DataFrame, path: str, column: str) -> None:
 def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
     """path, row, col, value, and the grid's minx, maxy and cell; cells without data are left out."""
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r?\n").alias("lines"))
-    own = lambda name, other: F.coalesce(*[F.get(F.transform(F.filter("lines", lambda line, n=n: F.lower(line).startswith(n)), lambda line: F.regexp_extract(line, r"(\S+)\s*$", 1).cast("double")), F.lit(0)) for n in name], F.lit(other).cast("double"))
-    size, rows = own(["cellsize"], None), own(["nrows"], None)
-    minx = F.coalesce(own(["xllcorner"], None), own(["xllcenter"], None) - size / 2)
-    miny = F.coalesce(own(["yllcorner"], None), own(["yllcenter"], None) - size / 2)
+
+    def own(name: str, other: float | None) -> Column:
+        """The number in the header line of this name."""
+        found = F.get(F.filter("lines", lambda line: F.lower(line).startswith(name)), F.lit(0))
+        return F.coalesce(F.regexp_extract(found, r"(\S+)\s*$", 1).try_cast("double"), F.lit(other).cast("double"))
+
+    size, rows = own("cellsize", None), own("nrows", None)
+    minx = F.coalesce(own("xllcorner", None), own("xllcenter", None) - size / 2)
+    miny = F.coalesce(own("yllcorner", None), own("yllcenter", None) - size / 2)
     data = F.filter("lines", lambda line: line.rlike(r"^\s*[-+.\d]"))
-    each = text.select("path", minx.alias("minx"), (miny + rows * size).alias("maxy"), size.alias("cell"), own(["nodata_value"], -9999).alias("none"), F.posexplode(data).alias("row", "line"))
+    each = text.select("path", minx.alias("minx"), (miny + rows * size).alias("maxy"), size.alias("cell"), own("nodata_value", -9999.0).alias("none"), F.posexplode(data).alias("row", "line"))
     cells = each.select("path", "minx", "maxy", "cell", "none", "row", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "text"))
     return cells.withColumn("value", F.col("text").cast("double")).filter("value <> none").select("path", "row", "col", "value", "minx", "maxy", "cell")
 
