@@ -104,3 +104,148 @@ def test_em_recovers_classes():
 @pytest.mark.parametrize("text", [b"", b"   ", b"One.", "é".encode() * 5000])
 def test_quality_edges(text):
     assert 0 <= quality.votes(text) < 1 << len(quality.LABELLERS)
+
+
+def plain_language(net, text):
+    """The whole prediction for one text, filter by filter and byte by byte."""
+    data = text.encode()
+    total, weight = np.zeros(len(net.langs)), 0.0
+    for at in range(0, max(1, len(data)), langid.WINDOW):
+        part = data[at : at + langid.WINDOW]
+        padded = part + bytes(langid.WINDOW + 3 - len(part))
+        peaks = []
+        for w in langid.WIDTHS:
+            for f in range(langid.FILTERS):
+                peaks.append(max(sum(net.tables[w][j][padded[i + j]][f] for j in range(w)) for i in range(langid.WINDOW)))
+        h = np.maximum(np.array(peaks) + net.bias, 0)
+        z = h @ net.out + net.out_bias
+        e = np.exp(z - z.max())
+        total += e / e.sum() * max(1, len(part))
+        weight += max(1, len(part))
+    return total / weight
+
+
+def test_language_against_plain(frame, prose):
+    """Short and long texts, on both sides of a window's end, with ties and repeated rows."""
+    docs = [(i, " ".join(prose(40, i)) + (" été" if i % 2 else " one")) for i in range(1, 30)]
+    net = langid.learnt(frame(docs))
+    texts = ["a", "é" * 128, "x" * 256, "x" * 257, " ".join(prose(300, 99)), "Ω", "a", "b" * 100_000]
+    got = {}
+    for r in langid.identified(frame(list(enumerate(texts))), net).collect():
+        got[r["row"]["doc_id"]] = (r["lang_pred"], r["score"])
+    for i, t in enumerate(texts[:-1]):
+        share = plain_language(net, t)
+        assert got[i][0] == net.langs[int(share.argmax())] and got[i][1] == pytest.approx(share.max(), abs=1e-5)
+    assert got[0] == got[6] and 0 <= got[7][1] <= 1
+    even = langid.ByteConvNet(["a", "b"], {w: np.zeros((w, 256, langid.FILTERS), np.float32) for w in langid.WIDTHS}, np.zeros(24, np.float32), np.zeros((24, 2), np.float32), np.zeros(2, np.float32))
+    assert langid.identified(frame([(1, "tie")]), even).first()["lang_pred"] == "a"
+
+
+def test_learnt_windows_reach_the_end_of_texts(spark):
+    """The second language only shows beyond the first thousands of characters."""
+    rows = [(i, "zz " * 1500 + ("один два три " if i % 2 else "eins zwei drei ") * 400, "ru" if i % 2 else "de") for i in range(1, 40)]
+    net = langid.learnt(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), 600)
+    score = langid.predictor(net)()
+    assert score([b"eins zwei drei " * 20, "один два три ".encode() * 20])[0] == ["de", "ru"]
+
+
+def plain_grams(text, orders):
+    """The distinct hashed n-grams of characters, one by one."""
+    b, out = [ord(c) for c in text.lower()], set()
+    for n in orders:
+        for i in range(len(b) - n + 1):
+            h = b[i]
+            for c in b[i + 1 : i + n]:
+                h = (h * 0x01000195 + c) % (1 << 32)
+            k = ((h ^ (h >> 15)) * 0x9E3779B1 + n * 7919) % (1 << 32)
+            out.add(k * 0x9E3779B1 % (1 << 32) >> (32 - hashed.BITS))
+    return out
+
+
+@pytest.mark.parametrize("orders", [toxicity.ORDERS, hashed.ORDERS])
+def test_scores_against_plain(frame, orders):
+    """N-grams are of characters: letters beyond ASCII count as one, capitals of any script as small ones."""
+    texts = ["", "abc", "Ещё ОДИН раз", "ещё один раз", "straße " * 30, "x" * 50_000, "ab" * 3]
+    for t in texts:
+        assert set(hashed.present(t.encode(), orders).tolist()) == plain_grams(t, orders)
+    index = np.array(sorted(set().union(*[plain_grams(t, orders) for t in texts]))[::2], np.uint32)
+    weight = np.random.default_rng(1).normal(0, 0.5, len(index)).astype(np.float32)
+    model = hashed.HashedLinear(index, weight, -0.3, orders)
+    table = dict(zip(index.tolist(), weight.tolist(), strict=True))
+    want = [1 / (1 + np.exp(0.3 - sum(table.get(g, 0.0) for g in plain_grams(t, orders)))) for t in texts]
+    got = {r["row"]["doc_id"]: r for r in toxicity.scored(frame(list(enumerate(texts)) + [(99, None)]), model).collect()}
+    assert [got[i]["score"] for i in range(len(texts))] == pytest.approx(want) and got[99]["score"] == got[0]["score"] and got[2]["score"] == got[3]["score"]
+    assert all(r["predicted"] == (r["score"] >= 0.5) for r in got.values())
+
+
+def test_log_count_ratios_against_plain():
+    texts, y = [b"good day", b"good night", b"bad day", b"bad bad", b"bad luck", b"bad day", b"bad eggs"], np.array([0, 0, 1, 1, 1, 1, 1.0])
+    r = toxicity.log_count_ratios(texts, y)
+    for g in plain_grams("bad ", (4,)):
+        assert r[g] == pytest.approx(np.log((5 + 1) / (5 + 2)) - np.log((0 + 1) / (2 + 2))) if abs(np.log(6 / 7) - np.log(1 / 4)) >= toxicity.LEAST_RATIO else r[g] == 0
+
+
+def test_training_texts_are_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, (f"bad{i} " if i % 2 else f"good{i} ") * 2_000) for i in range(400)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id bigint, quality int, toxic int")
+    seen = []
+    plain = toxicity.train
+    toxicity.train = lambda texts, y, weights: seen.append((sum(map(len, texts)), weights)) or plain(texts, y, weights)
+    try:
+        model = toxicity.learnt(docs, labels, most=200_000)
+    finally:
+        toxicity.train = plain
+    # about 200,000 bytes of either class; each drawn row stands for its share of all labels
+    assert 200_000 < seen[0][0] < 650_000 and min(seen[0][1]) > 2
+    assert [p["predicted"] for p in toxicity.scored(docs.limit(2), model).collect()] in ([0, 1], [1, 0])
+
+
+def plain_measures(text):
+    """The definitions of MEASURES, character by character."""
+    raw = text.encode()
+    w = raw.split()
+    if not w:
+        return [None] * 6 + [0.0]
+    blanks = sum(raw.count(c) for c in (b" ", b"\n", b"\r", b"\x0b", b"\x0c"))
+    solid = max(1, len(raw) - blanks)
+    odd = sum(chr(c) in "!\"#$%&*+/<=>@[\\]^_`{}~|\t" for c in raw)
+    large, small = sum(65 <= c <= 90 for c in raw), sum(97 <= c <= 122 for c in raw)
+    seen, again = set(), 0
+    for line in raw.split(b"\n"):
+        if line.strip():
+            again += len(line) if line in seen else 0
+            seen.add(line)
+    parts = [w[i : i + 1000] for i in range(0, len(w), 1000)]
+    return [odd / solid, large / (large + small) if large + small else None, again / len(raw), sum(map(len, w)) / len(w), sum(chr(c) in "|\t" for c in raw) / solid, sum(len(set(p)) / len(p) for p in parts) / len(parts) if len(w) >= 50 else None, float(len(w))]
+
+
+def test_quality_against_plain(frame, prose):
+    """Measures, votes and posteriors of whole texts, one by one."""
+    rng = random.Random(6)
+    texts = ["", "  ", "One. Two!", "ABC DEF", "a|b|c\td", "same line\nsame line\nsame line", " ".join(prose(1500, 3)), "".join(rng.choice("aB|# \n.é") for _ in range(3000)), "word " * 80]
+    model, scorer = quality.learnt(frame([(i, t) for i, t in enumerate(texts * 20)]))
+    got = {r["row"]["doc_id"]: r for r in quality.scored(frame(list(enumerate(texts))), model, scorer).collect()}
+    for i, t in enumerate(texts):
+        m = plain_measures(t)
+        assert quality.measures(t.encode()) == [pytest.approx(v) if v is not None else None for v in m]
+        bits, doubts = [], 0
+        for v, (_, bad, good, larger) in zip(m, quality.MEASURES, strict=True):
+            bits.append(v is not None and (v > bad if larger else v < bad))
+            doubts += v is not None and (v > good if larger else v < good)
+        ends = sum(t.count(c) for c in (". ", ".\n", "! ", "? ")) + (t.rstrip()[-1:] in (".", "!", "?") and bool(t.rstrip()))
+        bits += [doubts > 0, doubts == 0, not any(bits) and ends > 0 and m[-1] / max(1, ends) < 60]
+        odds = model.prior / (1 - model.prior)
+        for j, v in enumerate(bits):
+            odds *= model.rate[1, j] / model.rate[0, j] if v else (1 - model.rate[1, j]) / (1 - model.rate[0, j])
+        assert got[i]["weak"] == pytest.approx(odds / (1 + odds)) and got[i]["good"] == (got[i]["score"] >= 0.5)
+
+
+def test_empty_tables_and_clashing_columns(spark, frame):
+    none = frame([])
+    assert langid.identified(none, None).count() == 0 and toxicity.scored(none, toxicity.train([], [])).count() == 0
+    model, scorer = quality.learnt(none)
+    assert quality.scored(none, model, scorer).count() == 0
+    odd = frame([(1, "good words here."), (1, "good words here.")]).selectExpr("doc_id", "text", "'x' as score", "true as good", "5 as weak", "'y' as lang_pred", "2 as predicted", "struct(1 as a) as row")
+    rows = quality.scored(odd, model, scorer).collect()
+    assert len(rows) == 2 and rows[0] == rows[1] and rows[0]["row"]["score"] == "x"
+    assert toxicity.scored(odd, toxicity.train([b"a", b"b"], [0, 1])).first()["row"]["predicted"] == 2 and langid.identified(odd, None).first()["lang_pred"] == "und"
