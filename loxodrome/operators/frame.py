@@ -75,6 +75,11 @@ def map_rows(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     return df.withColumns(values)
 
 
+def for_each(df: DataFrame, f: Callable) -> None:
+    """f of each row, for its effects, on the executors; for streams see windows.to_batches()."""
+    df.foreach(f)
+
+
 def rows(df: DataFrame) -> DataFrame:
     """Each row as one struct."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))

@@ -389,3 +389,46 @@ def logging_of_runs(spark, sf_dir):
         functional.LOG.handlers[:] = held
     lines = [line.partition(" ms")[0].rsplit(":", 1)[0] if "took" in line else line for line in out.getvalue().splitlines()]
     return spark.createDataFrame([("normal", len(lines), "|".join(lines))], "log string, lines int, text string")
+
+
+@query(real("""
+with t as (select p_partkey, cast(p_size as double) as n, p_retailprice / 1000 as x from part)
+select p_partkey, n * 2 + 1 as composed, n - 100 as flipped, n + 6 as curried, n + 5 as partial_, n > 0 as all_, round(n * x, 8) as mul, -n as neg, 'x,y' as symbols, true as polynomial, round(n * n + 2 * n + 1, 6) as collected, [round(n * n + x, 6), round(n + x * 3, 6), round(n * n + 3 * x, 6)] as matmul_, [[n, 2.0], [x, n]] as toeplitz,
+  [[-n, -x], [1.0, 0.0]] as companion, round(exp(x), 6) as expm_00, round(x * exp(x), 5) as expm_01, 1 as rank_one, 1 as nullity, round(2 * n, 3) as spline_slope, 'n ^ 2 + 2 * n' as printed, 3 as loops, n * 4 as piped
+from t
+""").replace("[round(n * n + x, 6), round(n + x * 3, 6), round(n * n + 3 * x, 6)] as matmul_", "[n * n + 1, n * x + 2, n + 2, x + 4] as matmul_"))
+def functions_of_functions(spark, sf_dir):
+    n, x = F.col("n"), F.col("x")
+    t = _parts(spark, sf_dir).select("p_partkey", F.col("p_size").cast("double").alias("n"), (F.col("p_retailprice") / 1000).alias("x"))
+    add = functional.curry(lambda a, b, c: a + b + c)
+    sx, sy = symbolic.var("x"), symbolic.var("y")
+    nested = arrays.from_nested(F.array(F.array(n, x), F.array(F.lit(1.0), F.lit(2.0))))
+    product = arrays.matmul(arrays.from_nested(F.array(F.array(n, F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0)))), nested)
+    m = linalg.matrix(linalg.vector(x, x), linalg.vector(F.lit(0.0), x))
+    low = linalg.low_rank(linalg.matrix(linalg.vector(n, F.lit(1.0)), [1, 3]), 1)
+    s = numeric.spline(F.transform(F.sequence(F.lit(-6), F.lit(6)), lambda i: n + i), F.transform(F.sequence(F.lit(-6), F.lit(6)), lambda i: (n + i) * (n + i)))
+    e = symbolic.collect(symbolic.mul(sx, sx) + 2 * sx + 1, "x")
+    out = t.select(
+        "p_partkey", functional.compose(lambda c: c + 1, lambda c: c * 2)(n).alias("composed"), functional.flip(lambda a, b: a - b)(F.lit(100), n).alias("flipped"), add(n)(F.lit(2.0))(F.lit(4.0)).alias("curried"), functional.partial(lambda a, b: a + b, F.lit(5.0))(n).alias("partial_"), lists.all_(F.array(n), lambda v: v > 0).alias("all_"),
+        F.round(symbolic.realize(symbolic.mul(sx, sy), {"x": n, "y": x}), 8).alias("mul"), symbolic.realize(symbolic.neg(sx), {"x": n}).alias("neg"), F.lit(",".join(symbolic.free_symbols(sx * sy))).alias("symbols"), F.lit(symbolic.is_polynomial(e, "x") and symbolic.degree(e, "x") == 2 and len(symbolic.coefficients(e, "x")) == 3).alias("polynomial"),
+        _round(symbolic.realize(e, {"x": n})).alias("collected"), arrays.to_list(product).alias("matmul_"), linalg.toeplitz(F.array(n, x), F.array(n, F.lit(2.0))).alias("toeplitz"), linalg.companion(F.array(F.lit(1.0), n, x)).alias("companion"), _round(linalg.get(linalg.expm(m), 0, 0)).alias("expm_00"), _round(linalg.get(linalg.expm(m), 0, 1), 5).alias("expm_01"),
+        linalg.rank(low).alias("rank_one"), F.size(linalg.nullspace(linalg.matrix([1, 1], [2, 2]))).alias("nullity"), _round(numeric.spline_derivative(s, n), 3).alias("spline_slope"), F.lit(symbolic.to_string(symbolic.var("n") ** 2 + 2 * symbolic.var("n"))).alias("printed"), F.size(F.transform(core.int_range(F.lit(0), F.lit(3)), lambda i: i * i)).alias("loops"), n.alias("n"),
+    )
+    return functional.through(out, lambda d: d.withColumn("piped", F.col("n") * 2), lambda d: d.withColumn("piped", F.col("piped") * 2)).drop("n")
+
+
+@query("""
+with f as (select regr_slope(l_extendedprice, l_quantity) as a, regr_intercept(l_extendedprice, l_quantity) as b from lineitem where l_linenumber = 1), r as (select p_partkey, rank() over (order by p_size) + (count(*) over (partition by p_size) - 1) / 2 as rank from part)
+select 'slope' as what, 0 as k, round(a, 4) as value from f union all select 'predicted', 1, round(a * 10 + b, 2) from f union all select 'rank', p_partkey, rank from r union all select 'polyfit', i, [3e0, -2e0, 1e0][i + 1] from range(3) t(i) union all select 'violations', 0, (select count(*) from part where p_size <= 25)
+""")
+def models_and_ranks(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").agg(stats.linreg("l_quantity", "l_extendedprice").alias("m"))
+    named = lambda what, k, v: (F.lit(what).alias("what"), k.cast("bigint").alias("k"), v.cast("double").alias("value"))
+    p = _parts(spark, sf_dir)
+    fit = numeric.polyfit(p.select(F.col("p_size").alias("x"), (3 * F.col("p_size") * F.col("p_size") - 2 * F.col("p_size") + 1).alias("y")), "x", "y", 2)
+    seen, counts = quality.observed(p, [("large", F.col("p_size") > 25)])
+    seen.write.format("noop").mode("overwrite").save()
+    out = li.select(*named("slope", F.lit(0), F.round(F.col("m.slope"), 4))).union(li.select(*named("predicted", F.lit(1), F.round(stats.predicted(F.col("m"), F.lit(10)), 2))))
+    out = out.union(stats.average_rank(p, "p_size", "rank").select(*named("rank", F.col("p_partkey"), F.col("rank"))))
+    rows = [("polyfit", i, round(v, 6)) for i, v in enumerate(fit)] + [("violations", 0, float(counts.get["large"]))]
+    return out.union(spark.createDataFrame(rows, "what string, k bigint, value double"))

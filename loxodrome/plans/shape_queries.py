@@ -428,11 +428,11 @@ def raster_paths(spark, sf_dir):
     return seen.unionByName(read.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("cost")).select(F.lit("ascii").alias("kind"), "n", "cost")).unionByName(read.agg((F.max("maxy") + 30).cast("bigint").alias("n"), F.min("minx").alias("cost")).select(F.lit("corner").alias("kind"), "n", "cost"))
 
 
-@query("select 0 as row, i as col, cast(i as double) as cost from range(20) t(i) union all select i, 20, round(18 + sqrt(2) + i, 6) from range(1, 13) t(i)")
+@query("select 0 as row, i as col, cast(i as double) as cost from range(8) t(i) union all select i, 8, round(6 + sqrt(2) + i, 6) from range(1, 6) t(i)")
 def least_cost(spark, sf_dir):
     """Cells are dear but along the upper and the right edge; the corner is cut by the diagonal."""
-    r = analysis.raster_empty(spark, 21, 13).withColumn("value", F.when((F.col("row") == 0) | (F.col("col") == 20), 1.0).otherwise(100.0))
-    return analysis.least_cost_path(r, (0, 0), (12, 20)).withColumn("cost", F.round("cost", 6))
+    r = analysis.raster_empty(spark, 9, 6).withColumn("value", F.when((F.col("row") == 0) | (F.col("col") == 8), 1.0).otherwise(100.0))
+    return analysis.least_cost_path(r, (0, 0), (5, 8)).withColumn("cost", F.round("cost", 6))
 
 
 # point patterns, interpolation and networks
@@ -514,3 +514,31 @@ def networks(spark, sf_dir):
     area = analysis.service_area(edges, 0, 12.0).select(F.lit("area").alias("kind"), "node", F.lit(0).alias("facility"), "cost")
     near = analysis.closest_facility(edges, t.select(n.alias("node")), t.filter("n_nationkey in (3, 11, 20)").select(n.alias("node")))
     return area.unionByName(near.select(F.lit("facility").alias("kind"), "node", "facility", "cost"))
+
+
+@query(real(f"""
+select k, true as in_bbox, 5.0 as elevation, x as wkt_x, y as wkt_y, 2 as collection, lower(lpad(to_hex(cell), 16, '0')) as token, true as from_token, round(2 + 0.5 * (k % 4), 6) as hull, 32600 + case when y >= 0 then 0 else 100 end + least(cast(floor((x + 180) / 6) as integer) + 1, 60) as utm_epsg, true as utm_near
+from (select k, x, y, 10 * 576460752303423488 + k % 1000 as cell from ({_XY}))
+"""))
+def shape_rest(spark, sf_dir):
+    x, y, k = F.col("x"), F.col("y"), F.col("k")
+    p = geom.point(x, y, 5.0)
+    cell = F.shiftleft(F.lit(10).cast("bigint"), 59) + k % 1000
+    cloud = geom.multipoint(_ring((0, 0), (2, 0), (2, 1), (0, 1), (1, 0.5), (1, 1 + (k % 4) / 2)))
+    wkt = formats.parse_wkt_point(F.concat(F.lit("POINT ("), x.cast("string"), F.lit(" "), y.cast("string"), F.lit(")")))
+    utm = geog.to_utm(geom.point(x, y))
+    two = formats.parse_wkt_collection(F.concat(F.lit("GEOMETRYCOLLECTION (POINT ("), (k % 9).cast("string"), F.lit(" 1), LINESTRING (0 0, 1 1))")))
+    return _points(spark, sf_dir).select(
+        "k", geom.in_bbox(p, geom.bbox(x - 1, y - 1, x + 1, y + 1)).alias("in_bbox"), (geom.elevation(p) + geom.z(p) - 5).alias("elevation"), geom.x(wkt).alias("wkt_x"), geom.y(wkt).alias("wkt_y"), F.size(two).alias("collection"), grids.s2_to_token(cell).alias("token"), (grids.s2_from_token(grids.s2_to_token(cell))["value"] == cell).alias("from_token"),
+        _r(geom.area(geom.concave_hull(cloud, 0.0))).alias("hull"), geom.srid(utm).alias("utm_epsg"), geom.x(utm).between(160000.0, 840000.0).alias("utm_near"),
+    )
+
+
+@query(f"select cast(n * 14 - 178 as double) as lon, cast(n * 5 - 80 as double) as lat, cast(n as double) as ele from ({_BOXES})")
+def track_files(spark, sf_dir):
+    """A track through the nations' corners, written as a GPX file and read again."""
+    n = F.col("n_nationkey").cast("double")
+    path = scratch_path(spark, "gpx")
+    track = table(spark, sf_dir, "nation").agg(F.array_sort(F.collect_list(geom.coord(n * 14 - 178, n * 5 - 80, n))).alias("c"))  # 25 points
+    track.select(formats.to_gpx(geom.line(F.col("c"))).alias("value")).write.text(path)
+    return formats.read_gpx(spark, path).select("lon", "lat", "ele")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from loxodrome.plans.base import Registry, table
+from loxodrome.session import scratch_path
 from loxodrome.streaming import windows
 
 REGISTRY = Registry()
@@ -72,3 +73,16 @@ def stream_state(spark, sf_dir):
     out = windows.replayed(windows.running_totals(stream, "user_id", "value"), f"s{uuid.uuid4().hex}", "update")
     last = out.groupBy("user_id").agg(F.max(F.struct("n", "total")).alias("m"))
     return last.select("user_id", F.col("m.n").alias("n"), F.round("m.total", 4).alias("total"))
+
+
+@query("select event_type, count(*) as n, round(sum(value), 4) as total from events group by event_type")
+def stream_to_database(spark, sf_dir):
+    """A stream handed batch by batch to a database table (an embedded one, that ends with the session), and that table's sums."""
+    source = table(spark, sf_dir, "events")
+    name = f"e{uuid.uuid4().hex[:12]}"
+    url = f"jdbc:derby:memory:{name};create=true"
+    stream = windows.stream_of(spark, f"{sf_dir}/events.parquet*", source.schema).select("event_type", "value")
+    windows.to_batches(stream, windows.jdbc_sink(url, "events"), scratch_path(spark, name), availableNow=True).awaitTermination()
+    rows = spark.read.format("jdbc").option("url", url).option("dbtable", "events").load()
+    out = rows.select(F.col("event_type"), F.col("value")).groupBy("event_type").agg(*_sums())
+    return spark.createDataFrame(out.collect(), out.schema)  # a row for each type; the database is this process's own

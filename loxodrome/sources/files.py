@@ -17,6 +17,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def read_line(prompt: str = "") -> str:
+    """A line of the driver's standard input."""
+    return input(prompt)
+
+
 def read_bytes(spark: SparkSession, path: str) -> DataFrame:
     """path, length, modified, bytes (as whole numbers from 0 to 255)."""
     raw = spark.read.format("binaryFile").load(path)
