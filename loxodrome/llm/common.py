@@ -62,8 +62,13 @@ class Scratch:
         self.n = 0
         atexit.register(_remove, spark, self.root)
 
-    def table(self, df: DataFrame) -> DataFrame:
-        """df, written and read again; the shuffle files of the writing go with its end."""
+    def table(self, df: DataFrame, few: bool = False) -> DataFrame:
+        """df, written and read again; the shuffle files of the writing go with its end.
+
+        few: what comes of a large scan may be little, so it is first dealt to partitions of a proper size,
+        or each task of the scan would write a file of a few rows.
+        """
+        df = df.hint("rebalance") if few else df
         self.n += 1
         path = f"{self.root}/{self.n}"
         conf, before = self.spark.conf, self.spark.conf.get(CLEANUP, None)

@@ -13,7 +13,8 @@
 4. What is left are lists whose members aren't in one component yet. All pairs within them could be as
    many as the square of a group, so for these members alone the exact complement takes over: lists
    of their whole sets, rarest shingles first, as far as a link to a larger or a smaller set can need
-   (prefixes), and within those the pairs of two components whose sizes and places in the lists leave
+   (prefixes). Each class's overlap with the most central one of these lists is decided first, as
+   above; then come the pairs of two components whose sizes and places in the lists leave
    enough shingles to share (for every pair over the threshold they do, so none is lost; loose
    variants of one text, over the threshold with none of each other, make next to none). In lists of
    many members only those outside the list's largest component meet the rest, and only in the
@@ -151,7 +152,7 @@ class Linker:
 
     def sets_of(self, ids: DataFrame) -> DataFrame:
         """id, shingles: the whole sets of these classes, read again from one row of each."""
-        wanted = self.scratch.table(self.names.join(ids, "id", "left_semi").select("id", *ROW_KEY))
+        wanted = self.scratch.table(self.names.join(ids, "id", "left_semi").select("id", *ROW_KEY), few=True)
         rows = self.docs.select(*row_key(F.col("doc_id"), F.col("text")), "text").join(_sized(wanted, wanted.count()), ROW_KEY).select("id", "text")
         sets = rows.mapInArrow(_sets(self.size), SET_SCHEMA)
         return self.scratch.table(sets.dropDuplicates(["id"]) if self.repeated else sets)
@@ -166,7 +167,7 @@ class Linker:
         shared = F.array_intersect("s_a", "s_b")
         guess = F.size(F.array_intersect(union, shared)) / F.size(union)
         fits = both.filter((100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")) & (guess >= LEAST_ESTIMATE))
-        return self.scratch.table(fits.select("a", "b", "n_a", "n_b"))
+        return self.scratch.table(fits.select("a", "b", "n_a", "n_b"), few=True)
 
     def exact(self, likely: DataFrame, sets: DataFrame) -> DataFrame:
         """a, b, linked: the pairs decided by whole sets."""
@@ -175,7 +176,7 @@ class Linker:
         both = whole("a").join(held, "a").join(whole("b").join(held.select("b").distinct(), "b", "left_semi"), "b")
         both = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("w_a", "w_b")).cast("long").alias("inter"))
         over = F.col("n_a") + F.col("n_b") - F.col("inter")
-        return self.scratch.table(both.select("a", "b", (100 * F.col("inter") >= self.percent * over).alias("linked")))
+        return self.scratch.table(both.select("a", "b", (100 * F.col("inter") >= self.percent * over).alias("linked")), few=True)
 
     def common(self, each: DataFrame, value: str) -> DataFrame:
         """id, common (df and value, rarest first, of the values that several hold), logs; each: id and one value a row."""
@@ -192,47 +193,55 @@ class Linker:
         return self.scratch.table(taken.select("id", (F.col("logs") / kept).alias("central"), F.explode(F.slice("common", F.lit(1), F.col("take"))).alias("c")).select("c.value", "id", "central"))
 
     def whole_lists(self, sets: DataFrame) -> DataFrame:
-        """shingle, id, n, place: what each of these classes lists of its whole set, rarest first."""
-        by_class = self.common(sets.select("id", F.explode("shingles").alias("shingle")), "shingle").join(self.names.select("id", "n"), "id")
+        """value (a shingle), id, n, place, central: what each of these classes lists of its whole set, rarest first."""
+        by_class = self.common(sets.select("id", F.explode("shingles").alias("value")), "value").join(self.names.select("id", "n"), "id")
         alone = F.col("n") - F.size("common")  # first in the order, and in no list
         reach = F.col("n") - F.ceil(F.col("n") * self.percent / F.lit(100.0)) + 1
         take = F.greatest(reach - alone, F.lit(0)).cast("int")
-        return self.scratch.table(by_class.select("id", "n", alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), take)).alias("at", "c")).select("c.shingle", "id", "n", (F.col("alone") + F.col("at")).alias("place")))
+        taken = by_class.select("id", "n", (F.col("logs") / F.col("n")).alias("central"), alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), take)).alias("at", "c"))
+        return self.scratch.table(taken.select("c.value", "id", "n", (F.col("alone") + F.col("at")).alias("place"), "central"))
+
+    def central(self, lists: DataFrame) -> DataFrame:
+        """a, b: each class with the most central one that it shares a list (value, id, central) with."""
+        tops = self.scratch.table(lists.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("central", "id")).alias("top")).filter("m > 1").select("value", "top"))
+        best = lists.join(tops, "value").groupBy("id").agg(F.max("top").alias("top")).filter(F.col("id") != F.col("top.id"))
+        return best.select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b")).distinct()
 
     def edges(self) -> DataFrame:
         """a, b: links that hold every component together."""
         table = self.scratch.table
         lists = self.retained_lists()
-        tops = table(lists.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("central", "id")).alias("top")).filter("m > 1").select("value", "top"))
-        best = lists.join(tops, "value").groupBy("id").agg(F.max("top").alias("top")).filter(F.col("id") != F.col("top.id"))
-        likely = self.likely(best.select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b")).distinct())
+        likely = self.likely(self.central(lists))
         first = self.exact(likely, self.sets_of(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()))
         links = first.filter("linked").select("a", "b")
         roots = components(self.scratch, links)
         # lists with members of more than one component
         at = lists.select("value", "id").join(roots, "id", "left").select("value", "id", F.coalesce("root", "id").alias("root"))
         mixed = table(at.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("value"))
-        left = table(lists.join(mixed, "value", "left_semi").select("id").distinct())
+        left = table(lists.join(mixed, "value", "left_semi").select("id").distinct(), few=True)
         if left.isEmpty():
             return links
         sets = self.sets_of(left)
-        rest = self.apart(self.whole_lists(sets), roots).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-        second = self.exact(self.likely(rest), sets)
-        return links.union(second.filter("linked").select("a", "b"))
+        lists = self.whole_lists(sets)
+        tried = first.select("a", "b")
+        for pairs in (lambda: self.central(lists), lambda: self.apart(lists, components(self.scratch, links)).distinct()):
+            found = self.exact(self.likely(pairs().join(tried, ["a", "b"], "left_anti")), sets)
+            links, tried = links.union(found.filter("linked").select("a", "b")), tried.union(found.select("a", "b"))
+        return links
 
     def apart(self, lists: DataFrame, roots: DataFrame) -> DataFrame:
         """a, b: pairs within lists that are in two components and can share enough."""
         p = self.percent
         at = lists.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         # lists with members of more than one component, their sizes and the largest component
-        by_root = at.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("big")).filter("roots > 1")
-        by_root = self.scratch.table(by_root.select("shingle", "m", F.col("big.root").alias("major")))
-        at = self.scratch.table(at.join(by_root, "shingle").select("shingle", "id", "n", "place", "root", "m", (F.col("root") == F.col("major")).alias("major")))
+        by_root = at.groupBy("value", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("big")).filter("roots > 1")
+        by_root = self.scratch.table(by_root.select("value", "m", F.col("big.root").alias("major")))
+        at = self.scratch.table(at.join(by_root, "value").select("value", "id", "n", "place", "root", "m", (F.col("root") == F.col("major")).alias("major")))
         # the smaller set of a pair (or smaller key) needs the shorter prefix
         ceil_div = lambda x, y: F.call_function("div", x + (y - 1), F.lit(y).cast("bigint"))
         own = at.filter(F.col("place") <= F.col("n") - ceil_div(2 * p * F.col("n"), 100 + p))
-        own = own.select("shingle", F.col("id").alias("ka"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"), F.col("major").alias("ma"), "m")
-        probe = at.select("shingle", F.col("id").alias("kb"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"), F.col("major").alias("mb"), F.col("m").alias("m_"))
+        own = own.select("value", F.col("id").alias("ka"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"), F.col("major").alias("ma"), "m")
+        probe = at.select("value", F.col("id").alias("kb"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"), F.col("major").alias("mb"), F.col("m").alias("m_"))
         fits = (
             (F.col("ra") != F.col("rb"))
             & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ka") < F.col("kb"))))
@@ -240,14 +249,14 @@ class Linker:
             & ((100 + p) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= p * (F.col("na") + F.col("nb")))
         )
         pair = [F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")]
-        few = own.filter(F.col("m") <= HOT_LIST).join(probe.filter(F.col("m_") <= HOT_LIST), "shingle").filter(fits).select(*pair)
+        few = own.filter(F.col("m") <= HOT_LIST).join(probe.filter(F.col("m_") <= HOT_LIST), "value").filter(fits).select(*pair)
         # the smaller sets that the place of an entry leaves possible
         step = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(SIZE_STEP))).cast("int")
         most = F.least(F.col("nb"), F.floor((F.col("nb") - F.col("pb")) * (100 + p) / F.lit(float(p)) - F.col("nb") + F.lit(1e-6)))
         least = F.ceil(F.col("nb") * p / F.lit(100.0) - F.lit(1e-6))
         hot_own = own.filter(F.col("m") > HOT_LIST).withColumn("range", step(F.col("na")))
         hot_probe = probe.filter((F.col("m_") > HOT_LIST) & (most >= least)).withColumn("range", F.explode(F.sequence(step(least), step(most))))
-        on = ["shingle", "range"]
+        on = ["value", "range"]
         odd = hot_own.filter(~F.col("ma")).join(hot_probe, on).filter(fits).select(*pair)
         even = hot_own.filter("ma").join(hot_probe.filter(~F.col("mb")), on).filter(fits).select(*pair)
         return few.union(odd).union(even)
@@ -320,7 +329,7 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     alike = scratch.table(alike.select("key", "one"))
     if not alike.isEmpty():
         gone = gone.union(found.filter("first").join(alike, "key").filter(F.struct(*ROW_KEY) != F.col("one")).select(*ROW_KEY))
-    gone = scratch.table(gone.distinct())
+    gone = scratch.table(gone.distinct(), few=True)
     again = scratch.table(found.groupBy(*ROW_KEY).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(*ROW_KEY))
     held = lambda ids: _sized(ids, ids.count())
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(F.col("doc_id"), F.col("text").cast("string")))
