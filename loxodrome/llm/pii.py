@@ -322,31 +322,35 @@ def _filled(entity: Column, made: Column) -> Column:
 def surrogate(key: str, entity: Column, attempt_of) -> Column:
     """What stands for the entity; attempt_of(kind, canon): the attempt of a subject."""
 
-    def made(e: Column, kind: Column) -> Column:
-        return let(subjects(e, kind), lambda s: written(e, kind, s))
-
     def of(subject: Column) -> Column:
         return drawn(key, subject["kind"], subject["canon"], attempt_of(subject["kind"], subject["canon"]))
 
-    def written(e: Column, kind: Column, s: Column) -> Column:
-        first = F.get(s, F.lit(0))
+    def written(e: Column, kind: Column, own: Column, made: Column) -> Column:
+        """own: the subjects; made: what stands for each."""
+        first = F.get(made, F.lit(0))
         lead, secret = secret_parts(e)
         end = F.regexp_extract(secret, r"[\"']$", 0)
-        n = name_parts(e)
-        feminine = (n["gender"] == "f") & (n["script"] == "cyrillic")
         cased = lambda new, old: F.when((F.upper(old) == old) & (F.char_length(old) > 1), F.upper(new)).otherwise(F.concat(F.upper(F.substring(new, F.lit(1), F.lit(1))), F.substring(new, F.lit(2), F.char_length(new))))
-        surname = cased(F.concat(of(first), F.when(feminine, F.lit("а")).otherwise(F.lit(""))), n["surname"])
-        given = F.when(n["given"].isNull(), F.lit("")).otherwise(F.concat(cased(F.get(F.split(of(F.get(s, F.lit(1))), r"\|"), F.lit(1)), n["given"]), F.lit(" ")))
+
+        def named(n: Column) -> Column:
+            feminine = (n["gender"] == "f") & (n["script"] == "cyrillic")
+            surname = cased(F.concat(first, F.when(feminine, F.lit("а")).otherwise(F.lit(""))), n["surname"])
+            given = F.when(n["given"].isNull(), F.lit("")).otherwise(F.concat(cased(F.get(F.split(F.get(made, F.lit(1)), r"\|"), F.lit(1)), n["given"]), F.lit(" ")))
+            return F.concat(F.substring_index(e, " ", 1), F.lit(" "), given, surname)
+
         # a number that grew has its new digits behind; the others fill the places of the old ones
-        grown = let(of(first), lambda m: let(F.greatest(F.char_length(m) - F.char_length(first["canon"]), F.lit(0)), lambda more: F.concat(_filled(e, F.substring(m, F.lit(1), F.char_length(m) - more)), F.substring(m, F.char_length(m) - more + 1, more))))
+        size, old = F.char_length(first), F.char_length(F.get(own, F.lit(0))["canon"])
+        grown = F.concat(_filled(e, F.substring(first, F.lit(1), F.least(size, old))), F.substring(first, old + 1, size))
         return (
-            F.when(kind == "name", F.concat(F.substring_index(e, " ", 1), F.lit(" "), given, surname))
-            .when(kind == "secret", F.concat(lead, of(first), end))
-            .when(kind.isin("email", "ip", "ip6"), of(first))
+            F.when(kind == "name", let(F.struct(*[c.alias(k) for k, c in name_parts(e).items()]), named))
+            .when(kind == "secret", F.concat(lead, first, end))
+            .when(kind.isin("email", "ip", "ip6"), first)
             .otherwise(grown)
         )
 
-    return let(F.struct(entity.alias("e"), kind_of(entity).alias("k")), lambda s: made(s["e"], s["k"]))
+    # each step is bound once, so that the expression of the draws is in the plan once
+    subject_of = lambda s: let(subjects(s["e"], s["k"]), lambda own: let(F.transform(own, of), lambda made: written(s["e"], s["k"], own, made)))
+    return let(F.struct(entity.alias("e"), kind_of(entity).alias("k")), subject_of)
 
 
 def redrawn(scratch: Scratch, forms: DataFrame, key: str) -> DataFrame:
@@ -354,7 +358,7 @@ def redrawn(scratch: Scratch, forms: DataFrame, key: str) -> DataFrame:
     new = lambda attempt: drawn(key, F.col("kind"), F.col("canon"), attempt)
     # dealt by a number of partitions, so that the few bytes of subjects are not drawn for in one task
     n = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    state = scratch.table(forms.repartition(n, "kind", "canon").select("kind", "canon", F.lit(0).alias("attempt"), new(F.lit(0)).alias("made")))
+    state = scratch.table(forms.repartition(n, "kind", "canon").select("kind", "canon", F.lit(0).alias("attempt"), new(F.lit(0)).alias("made")), few=True)
     for attempt in range(1, MOST_ATTEMPTS + 1):
         shared = state.groupBy("kind", "made").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "canon")).alias("first")).filter("n > 1")
         # of equal surrogates the one with the fewest attempts and then the smallest form stays
@@ -368,7 +372,7 @@ def redrawn(scratch: Scratch, forms: DataFrame, key: str) -> DataFrame:
             raise RuntimeError(f"no distinct surrogates after {MOST_ATTEMPTS} attempts: {', '.join(kinds)}")
         # all that draw now take the same new attempt
         again = state.join(lost, ["kind", "canon"], "left_semi").select("kind", "canon", F.lit(attempt).alias("attempt"), new(F.lit(attempt)).alias("made"))
-        old, state = state, scratch.table(state.join(lost, ["kind", "canon"], "left_anti").union(again))
+        old, state = state, scratch.table(state.join(lost, ["kind", "canon"], "left_anti").union(again), few=True)
         scratch.drop(old)
 
 
@@ -380,7 +384,7 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     parts = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), segments(text).alias("parts"))
     row = [F.xxhash64("row.text").alias("k1"), F.xxhash64(F.lit(7), "row.text").alias("k2")]
     found = parts.filter(F.col("parts").isNotNull()).select(*row, F.explode(F.flatten(F.transform(F.filter("parts", lambda _, i: i % 2 == 1), lambda e: subjects(e, kind_of(e))))).alias("s"))
-    uses = scratch.table(found.select("k1", "k2", "s.*"))  # the corpus is scanned for entities here and where they are replaced, and no third time
+    uses = scratch.table(found.select("k1", "k2", "s.*"), few=True)  # the corpus is scanned for entities here and where they are replaced, and no third time
     forms = scratch.table(uses.select("kind", "canon").distinct())
     tries = redrawn(scratch, forms, key)
     if tries.isEmpty():
