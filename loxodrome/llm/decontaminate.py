@@ -93,11 +93,14 @@ def hits(scratch: Scratch, docs: DataFrame, benchmark: DataFrame) -> tuple[DataF
     # of an item's short grams only the first of a short item is looked up
     wanted = wanted.filter((F.col("f") >= 0) | ((F.col("n") < WINDOW) & (place_of(F.col("f")) == 0))).select(looked_up(F.col("f")).alias("hash"), F.lit(True).alias("known")).distinct()
 
+    if bytes_ > BROADCAST_BYTES:  # tables of their own, so that the texts' side of a join can be split where a gram is common
+        items, wanted = scratch.table(items), scratch.table(wanted)
+
     cut = docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), words(F.col("text")).alias("w"))
     own = F.lit(None).cast("bigint")  # stands for the row itself
     rows = cut.select("doc_id", *ROW_KEY, F.size("w").alias("n_words"), F.explode(F.concat(F.array(own), fingerprints(F.col("w"), short))).alias("f"))
     found = rows.withColumn("hash", looked_up(F.col("f"))).join(held(wanted), "hash", "left").filter(F.col("f").isNull() | F.col("known"))
-    found = scratch.table(found.select("doc_id", *ROW_KEY, "n_words", "f"))
+    found = scratch.table(found.select("doc_id", *ROW_KEY, "n_words", "f"), few=True)
     each = found.filter("f is null").groupBy("doc_id", *ROW_KEY).agg(F.max("n_words").cast("bigint").alias("n_words"), F.count(F.lit(1)).alias("rows"))
 
     at, n = place_of(F.col("f")), F.col("n_words")
@@ -157,7 +160,7 @@ from dw left join spots using (doc_id) left join its using (doc_id)
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text and others) that hold no window of any item."""
-    gone = Scratch(docs.sparkSession, "clean").table(decontaminated(docs, benchmark).filter("n_hit > 0").select(*ROW_KEY))
+    gone = Scratch(docs.sparkSession, "clean").table(decontaminated(docs, benchmark).filter("n_hit > 0").select(*ROW_KEY), few=True)
     held = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(F.col("doc_id"), F.col("text").cast("string")))
     return rows.join(held, ROW_KEY, "left_anti").select("row.*")
