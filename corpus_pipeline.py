@@ -14,15 +14,17 @@ from loxodrome.llm import decontaminate, langid, mixing, near_dedup, pii
 from loxodrome.llm.common import Scratch, documents, read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Documents whose best language has a smaller share are rejected, as are those without letters.
-LEAST_SHARE = 0.3
+#: Documents whose best language has less than so many times the even share are rejected, as are those without letters.
+LEAST_TIMES = 1.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told."""
     docs = docs.select(*COLUMNS)
-    found = langid.identified(docs, langid.learnt(docs))
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("row.*")
+    net = langid.learnt(docs)
+    least = LEAST_TIMES / len(net.langs) if net and len(net.langs) > 1 else 0.0
+    found = langid.identified(docs, net, keep_text=True)
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least)).select("row.*", "text").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data."""
-    return pii.replaced(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
+    return pii.replaced(docs.select(*COLUMNS), pii.key_of(spark)).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
