@@ -114,12 +114,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     known = docs.agg(F.count("doc_id")).first()[0]
     n = max(1, min(MOST_RANGES, known // RANGE_ROWS))
     # ascending cuts; range 0 holds the smallest ids, and null ids come after them
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else []
     placed = docs.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_range_of(sorted(set(cuts or [])))))
     # a row for each range (MOST_RANGES and one at most): its largest id, and the range above it, or the lowest one for the highest
     tops = placed.groupBy("range").agg(F.max("doc_id").alias("top")).collect()
     order = sorted((r["range"] for r in tops), reverse=True)
-    bounds = docs.sparkSession.createDataFrame([(r["range"], r["top"], order[order.index(r["range"]) - 1]) for r in tops], "range int, top bigint, also int")
+    above = {r: order[i - 1] for i, r in enumerate(order)}
+    bounds = docs.sparkSession.createDataFrame([(r["range"], r["top"], above[r["range"]]) for r in tops], "range int, top bigint, also int")
     # rows with a range's first id follow that of the range above it, and those with the very first id end the last range
     own = F.array(F.struct(F.col("range"), F.lit(0).alias("halo")))
     both = F.array(F.struct(F.col("range"), F.lit(0).alias("halo")), F.struct(F.col("also").alias("range"), F.lit(1).alias("halo")))
