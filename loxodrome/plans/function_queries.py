@@ -148,7 +148,8 @@ def date_rest(spark, sf_dir):
         "event_id", dates.is_after(t, F.lit("2024-01-15")).alias("is_after"), dates.is_between(t, F.lit("2024-01-05"), F.lit("2024-01-20")).alias("is_between"), us(dates.with_year(t, 2023)).alias("with_year"), us(dates.with_month(t, 3)).alias("with_month"), dates.to_days(dates.hours(k % 100)).alias("to_days"),
         (dates.is_before(t, dates.now()) & dates.is_before(t, dates.instant())).alias("before_now"), us(dates.datetime(F.lit(2024), F.lit(2), F.lit(3), (k % 24).cast("int"), F.lit(0), F.lit(0))).alias("datetime"), dates.to_seconds(dates.minutes(k % 90)).alias("minutes"), dates.to_seconds(dates.millis(k % 5000)).alias("millis"),
         ((dates.to_seconds(dates.since(t)) > 0) & (dates.to_seconds(dates.until(t)) < 0)).alias("past"), F.unix_millis(dates.from_unix_millis(k * 1000 + 7)).alias("from_unix_millis"), dates.to_seconds(dates.plus(dates.at(t), dates.hours(k % 50)) - dates.minus(dates.at(t), dates.seconds(F.lit(61)))).alias("seconds"),
-        F.unix_millis(dates.minus(t, dates.minutes(F.lit(1)))).alias("minus"),
+        # to the nearest millisecond, halves away from zero, before the minute is taken off, as epoch_ms does
+        F.unix_millis(dates.minus(F.timestamp_micros(F.round(us(t), -3)), dates.minutes(F.lit(1)))).alias("minus"),
     )
 
 
