@@ -33,8 +33,9 @@ def coord(x, y, z=None) -> Column:
 
 
 def make(kind, parts: Column, srid=0) -> Column:
+    """Without a cast to GEOM, which parts of coord() have anyway: a cast would copy every coordinate and hide from Catalyst that x(point(a, b)) is a."""
     kind = kind if isinstance(kind, Column) else F.lit(kind)
-    return F.struct(kind.alias("kind"), (srid if isinstance(srid, Column) else F.lit(srid)).cast("int").alias("srid"), parts.alias("parts")).cast(GEOM)
+    return F.struct(kind.alias("kind"), (srid if isinstance(srid, Column) else F.lit(srid)).cast("int").alias("srid"), parts.alias("parts"))
 
 
 # builders
@@ -238,9 +239,14 @@ def distance_geodesic(p: Column, q: Column) -> Column:
 
 def _edges(c: Column, f, closed: bool) -> Column:
     """f of each coordinate and the next; closed: also of the last and the first."""
-    after = F.concat(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 1, 1)) if closed else F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0)))
-    first = c if closed else F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0)))
-    return F.zip_with(first, after, f)
+
+    def of(c: Column) -> Column:
+        rest = F.greatest(F.size(c) - 1, F.lit(0))
+        if closed:
+            return F.zip_with(c, F.concat(F.slice(c, F.lit(2), rest), F.slice(c, 1, 1)), f)
+        return F.zip_with(F.slice(c, F.lit(1), rest), F.slice(c, F.lit(2), rest), f)
+
+    return let(c, of)
 
 
 def _sum(a: Column) -> Column:
@@ -249,7 +255,7 @@ def _sum(a: Column) -> Column:
 
 def ring_signed_area(ring: Column) -> Column:
     """Positive if counter-clockwise."""
-    return F.when(F.size(ring) < 3, 0.0).otherwise(_sum(_edges(ring, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"], True)) / 2)
+    return let(ring, lambda c: F.when(F.size(c) < 3, 0.0).otherwise(_sum(_edges(c, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"], True)) / 2))
 
 
 def _area_of_part(rs: Column, ring_area) -> Column:
@@ -267,9 +273,13 @@ def signed_area(g: Column) -> Column:
 
 def ring_area_geodesic(ring: Column, radius: float = EARTH_KM) -> Column:
     """Spherical excess in squares of the radius' unit."""
-    n = F.size(ring)
-    term = lambda c, i: (F.radians(F.get(ring, (i + 2) % n)["x"]) - F.radians(c["x"])) * F.sin(F.radians(F.get(ring, (i + 1) % n)["y"]))
-    return F.when(n < 3, 0.0).otherwise(F.abs(_sum(F.transform(ring, term))) * F.lit(radius * radius / 2))
+
+    def of(ring: Column) -> Column:
+        n = F.size(ring)
+        term = lambda c, i: (F.radians(F.get(ring, (i + 2) % n)["x"]) - F.radians(c["x"])) * F.sin(F.radians(F.get(ring, (i + 1) % n)["y"]))
+        return F.when(n < 3, 0.0).otherwise(F.abs(_sum(F.transform(ring, term))) * F.lit(radius * radius / 2))
+
+    return let(ring, of)
 
 
 def area_geodesic(g: Column, radius: float = EARTH_KM) -> Column:
@@ -350,7 +360,7 @@ def contains(a: Column, b: Column) -> Column:
     """Whether all vertices of b (the outer ring's of a Polygon) are in the Polygon a and in none of its holes; false if a is of another kind."""
     inner = F.when(b["kind"] == "Polygon", exterior(b)).otherwise(coords(b))
     some = (a["kind"] == "Polygon") & b["kind"].isin("Point", "LineString", "Polygon", "MultiPoint")
-    return F.when(some, F.forall(inner, lambda c: in_polygon(c["x"], c["y"], rings(a)))).otherwise(False)
+    return F.when(some, let(rings(a), lambda rs: F.forall(inner, lambda c: in_polygon(c["x"], c["y"], rs)))).otherwise(False)
 
 
 def within(a: Column, b: Column) -> Column:
@@ -388,7 +398,7 @@ def bbox_meet(a: Column, b: Column) -> Column:
 
 def intersects(a: Column, b: Column) -> Column:
     """Bounding boxes, then containment, edges and vertices in outer rings. A point is never met by a point or line."""
-    vertex_in = lambda p, q: (p["kind"] == "Polygon") & F.exists(coords(q), lambda c: in_ring(c["x"], c["y"], exterior(p)))
+    vertex_in = lambda p, q: (p["kind"] == "Polygon") & let(exterior(p), lambda ring: F.exists(coords(q), lambda c: in_ring(c["x"], c["y"], ring)))
     return F.when(bbox_meet(envelope(a), envelope(b)), contains(a, b) | contains(b, a) | edges_meet(a, b) | vertex_in(a, b) | vertex_in(b, a)).otherwise(False)
 
 
@@ -403,7 +413,7 @@ def touches(a: Column, b: Column) -> Column:
 
 def crosses(a: Column, b: Column) -> Column:
     """A line with vertices in and out of a polygon, or one that meets a line."""
-    inside = F.transform(coords(a), lambda c: in_ring(c["x"], c["y"], exterior(b)))
+    inside = let(exterior(b), lambda ring: F.transform(coords(a), lambda c: in_ring(c["x"], c["y"], ring)))
     return F.when((a["kind"] == "LineString") & (b["kind"] == "Polygon"), F.array_contains(inside, True) & F.array_contains(inside, False)).when((a["kind"] == "LineString") & (b["kind"] == "LineString"), edges_meet(a, b)).otherwise(False)
 
 
@@ -417,17 +427,18 @@ def equals(a: Column, b: Column) -> Column:
 
 
 def is_closed(g: Column) -> Column:
-    c = exterior(g)
-    return (F.size(c) > 0) & (F.get(c, F.lit(0)) == F.element_at(c, -1))
+    return let(exterior(g), lambda c: (F.size(c) > 0) & (F.get(c, F.lit(0)) == F.element_at(c, -1)))
 
 
 def is_simple(g: Column) -> Column:
     """A LineString none of whose edges meets another but its neighbours; other kinds always."""
-    e = edges(g)
-    n = F.size(e)
-    ends = is_closed(g)
-    clash = F.exists(F.transform(e, lambda s, i: F.exists(F.filter(e, lambda _, j: (j > i + 1) & ~(ends & (i == 0) & (j == n - 1))), lambda t: segments_meet(s["a"], s["b"], t["a"], t["b"]))), lambda v: v)
-    return F.when(g["kind"] == "LineString", ~clash).otherwise(True)
+
+    def clash(e: Column) -> Column:
+        n = F.size(e)
+        ends = let(e, lambda e: (F.size(e) > 0) & (F.get(e, F.lit(0))["a"] == F.element_at(e, -1)["b"]))
+        return let(ends, lambda ends: F.exists(F.transform(e, lambda s, i: F.exists(F.filter(e, lambda _, j: (j > i + 1) & ~(ends & (i == 0) & (j == n - 1))), lambda t: segments_meet(s["a"], s["b"], t["a"], t["b"]))), lambda v: v))
+
+    return F.when(g["kind"] == "LineString", ~let(edges(g), clash)).otherwise(True)
 
 
 def is_ring(g: Column) -> Column:
@@ -487,13 +498,13 @@ def reverse(g: Column) -> Column:
 
 def merge(a: Column, b: Column) -> Column:
     """One line of two; a shared vertex comes once."""
-    ca, cb = exterior(a), exterior(b)
-    return line(F.concat(ca, F.when(F.element_at(ca, -1) == F.get(cb, F.lit(0)), F.slice(cb, F.lit(2), F.size(cb))).otherwise(cb)), a["srid"])
+    both = lambda ca, cb: F.concat(ca, F.when(F.element_at(ca, -1) == F.get(cb, F.lit(0)), F.slice(cb, F.lit(2), F.size(cb))).otherwise(cb))
+    return line(let(exterior(a), lambda ca: let(exterior(b), lambda cb: both(ca, cb))), a["srid"])
 
 
 def orient_exterior_ccw(g: Column) -> Column:
-    r = rings(g)
-    return F.when(signed_area(g) < 0, make("Polygon", F.array(F.transform(r, lambda ring, i: F.when(i == 0, F.reverse(ring)).otherwise(ring))), g["srid"])).otherwise(g)
+    turned = lambda g: make("Polygon", F.array(F.transform(rings(g), lambda ring, i: F.when(i == 0, F.reverse(ring)).otherwise(ring))), g["srid"])
+    return let(g, lambda g: F.when(signed_area(g) < 0, turned(g)).otherwise(g))
 
 
 def along(g: Column, fraction) -> Column:
@@ -505,8 +516,7 @@ def along(g: Column, fraction) -> Column:
         # the first edge whose end is at or beyond the goal
         state = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("at"), F.lit(0.0).alias("t"), F.lit(0).alias("i"))
 
-        def walk(s, d):
-            goal = line_length(c) * f
+        def walk(s, d, goal):
             hit = (s["at"] < 0) & (s["sum"] + d >= goal)
             return F.struct((s["sum"] + d).alias("sum"), F.when(hit, s["i"]).otherwise(s["at"]).alias("at"), F.when(hit & (d > 0), (goal - s["sum"]) / F.nullif(d, F.lit(0.0))).otherwise(s["t"]).alias("t"), (s["i"] + 1).alias("i"))
 
@@ -515,7 +525,7 @@ def along(g: Column, fraction) -> Column:
             last = F.element_at(c, -1)
             return F.when(s["at"] < 0, coord(last["x"], last["y"])).otherwise(coord(a["x"] + s["t"] * (b["x"] - a["x"]), a["y"] + s["t"] * (b["y"] - a["y"])))
 
-        return F.aggregate(steps, state, walk, put)
+        return let(line_length(c) * f, lambda goal: F.aggregate(steps, state, lambda s, d: walk(s, d, goal), put))
 
     return make("Point", F.array(F.array(F.array(let(exterior(g), of)))), g["srid"])
 
@@ -525,9 +535,8 @@ interpolate = along
 
 def locate_point(g: Column, p: Column) -> Column:
     """The share of the line's length at its place nearest to p."""
-    px, py = x(p), y(p)
 
-    def of(c: Column) -> Column:
+    def of(c: Column, px: Column, py: Column) -> Column:
         def near(a, b):
             dx, dy = b["x"] - a["x"], b["y"] - a["y"]
             t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(((px - a["x"]) * dx + (py - a["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))))
@@ -538,16 +547,20 @@ def locate_point(g: Column, p: Column) -> Column:
         step = lambda s, e: F.struct(F.least(s["off"], e["off"]).alias("off"), F.when(e["off"] < s["off"], s["sum"] + e["into"]).otherwise(s["at"]).alias("at"), (s["sum"] + e["len"]).alias("sum"))
         return F.aggregate(_edges(c, near, False), start, step, lambda s: F.when(s["sum"] > 0, s["at"] / F.nullif(s["sum"], F.lit(0.0))).otherwise(0.0))
 
-    return let(exterior(g), of)
+    return let(exterior(g), lambda c: let(coord_of(p), lambda q: of(c, q["x"], q["y"])))
 
 
 def substring(g: Column, start: float, stop: float) -> Column:
     """The line between two shares of its length."""
-    c = exterior(g)
-    total = line_length(c)
-    upto = F.transform(c, lambda _, i: line_length(F.slice(c, F.lit(1), i + 1)))
-    inner = F.filter(c, lambda _, i: (F.get(upto, i) > total * start) & (F.get(upto, i) < total * stop))
-    return line(F.concat(F.array(coord_of(along(g, start))), inner, F.array(coord_of(along(g, stop)))), g["srid"])
+
+    def of(c: Column) -> Column:
+        # the length up to each vertex, by one pass
+        sums = F.aggregate(_edges(c, _distance, False), F.array(F.lit(0.0)), lambda s, d: F.concat(s, F.array(F.element_at(s, -1) + d)))
+        inner = lambda upto: F.filter(c, lambda _, i: (F.get(upto, i) > F.element_at(upto, -1) * start) & (F.get(upto, i) < F.element_at(upto, -1) * stop))
+        whole = line(c)
+        return F.concat(F.array(coord_of(along(whole, start))), let(sums, inner), F.array(coord_of(along(whole, stop))))
+
+    return line(let(exterior(g), of), g["srid"])
 
 
 def buffer_point(p: Column, radius, segments: int = 32) -> Column:
@@ -613,9 +626,9 @@ def project(g: Column, source: int, target: int) -> Column:
 
 def hull(xy: np.ndarray) -> np.ndarray:
     """The convex hull of points (n, 2), counter-clockwise and closed, from the smallest x."""
-    pts = np.unique(xy, axis=0)
+    pts = sorted(set(map(tuple, np.asarray(xy, float).tolist())))  # plain numbers: most hulls are of a few points, which arrays are slow for
     if len(pts) <= 2:
-        return pts
+        return np.array(pts, float).reshape(-1, 2)
 
     def chain(seq):
         out: list = []
@@ -694,7 +707,7 @@ def buffer(g: Column, radius: float, segments: int = 32) -> Column:
 def hausdorff_distance(a: Column, b: Column) -> Column:
     """Between the vertices."""
     one = lambda p, q: F.array_max(F.transform(p, lambda s: F.array_min(F.transform(q, lambda t: _distance(s, t)))))
-    return F.greatest(one(coords(a), coords(b)), one(coords(b), coords(a)))
+    return let(coords(a), lambda p: let(coords(b), lambda q: F.greatest(one(p, q), one(q, p))))
 
 
 def densify(g: Column, most: float) -> Column:
@@ -702,7 +715,7 @@ def densify(g: Column, most: float) -> Column:
 
     def parts(a, b):
         n = F.greatest(F.ceil(F.hypot(b["x"] - a["x"], b["y"] - a["y"]) / most), F.lit(1)).cast("int")
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda k: coord(a["x"] + (b["x"] - a["x"]) * k / n, a["y"] + (b["y"] - a["y"]) * k / n))
+        return let(n, lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda k: coord(a["x"] + (b["x"] - a["x"]) * k / n, a["y"] + (b["y"] - a["y"]) * k / n)))
 
     each = lambda l: F.concat(F.flatten(_edges(l, parts, False)), F.slice(l, F.size(l), F.lit(1)))
     return make(g["kind"], F.transform(g["parts"], lambda p: F.transform(p, each)), g["srid"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loxodrome.functions import crs, geog, geom, grids, overlay
 from loxodrome.operators import analysis, quality, spatial
 from loxodrome.operators.index import GridIndex, QuadTree, SpatialIndex, STRTree
-from loxodrome.plans.base import Registry, real, table
+from loxodrome.plans.base import Registry, dealt, real, table
 from loxodrome.plans.geo_queries import _BOXES, _HAV, _SITES, _XY, _boxes, _points, _r, _raster, _sites
 from loxodrome.session import scratch_path
 from loxodrome.sources import files, formats, vectors
@@ -75,7 +75,7 @@ def geometry_measures(spark, sf_dir):
     cloud = geom.multipoint(_ring((0, 0), (2, 0), (2, 1), (0, 1), (1, 0.5), (1, 1 + (k % 4) / 2)))
     shift = geom.affine3d(geom.point(x, y, 5.0), [[1, 2, 3, 1], [0, 1, 0, 0], [0, 0, 1, 0]])
     a = geom.affine(geom.point(x, y), 2, 3, 1, 1, -1, 0)
-    return _points(spark, sf_dir).filter(F.abs(y) < 89).select(
+    return dealt(_points(spark, sf_dir)).filter(F.abs(y) < 89).select(
         "k", _r(geom.length_geodesic(line)).alias("length_km"), _r(geog.distance_great_circle(geom.point(x, y), geom.point(x + 1, y)) / 1000).alias("geog_km"), _r(geom.area_geodesic(poly), 4).alias("area_km2"), _r(geog.area_geodesic(poly) / 1e6, 2).alias("geog_area"), _r(geom.hausdorff_distance(line, geom.translate(line, 1.0, 0.0))).alias("hausdorff"),
         _r(overlay.frechet_distance(line, far)).alias("frechet"), geom.num_points(geom.densify(geom.line(_ring((x, y), (x + 3, y))), 0.5)).alias("densified"), (F.floor(geom.x(geom.snap(geom.point(F.floor(x / 2 + 0.5) * 2 + 0.3, y), 2.0)) + 0.5)).alias("snapped"), _r(geom.x(a)).alias("affine_x"), _r(geom.y(a)).alias("affine_y"),
         _r(geom.x(shift)).alias("affine3_x"), geom.num_points(geom.simplify(bent, 0.1)).alias("thinned"), geom.num_points(overlay.visvalingam_whyatt(bent, 5.5)).alias("visvalingam"), _r(geom.area(geom.convex_hull(cloud))).alias("hull_area"), _r(geom.area(geom.alpha_shape(cloud, 0.0))).alias("alpha_hull"),
