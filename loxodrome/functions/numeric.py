@@ -26,7 +26,7 @@ def bisect(f: Fn, a, b, steps: int = 60) -> Column:
     def step(s, _):
         m = (s["a"] + s["b"]) / 2
         left = F.signum(f(m)) == F.signum(f(s["a"]))
-        return F.struct(F.when(left, m).otherwise(s["a"]).alias("a"), F.when(left, s["b"]).otherwise(m).alias("b"))
+        return F.when(left, F.struct(m.alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), m.alias("b")))
 
     found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(_d(a).alias("a"), _d(b).alias("b")), step, lambda s: (s["a"] + s["b"]) / 2)
     return F.when(F.signum(f(_d(a))) * F.signum(f(_d(b))) <= 0, found).otherwise(F.raise_error(F.lit("bisect: f(a) and f(b) must have opposite signs")).cast("double"))
@@ -36,18 +36,19 @@ def newton(f: Fn, x0, steps: int = 30, h: float = 1e-6) -> Column:
     """Newton's steps with a central difference."""
 
     def step(x, _):
-        slope = (f(x + h) - f(x - h)) / (2 * h)
-        return F.when(slope == 0, x).otherwise(x - f(x) / F.nullif(slope, F.lit(0.0)))
+        return let((f(x + h) - f(x - h)) / (2 * h), lambda slope: F.when(slope == 0, x).otherwise(x - f(x) / F.nullif(slope, F.lit(0.0))))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), _d(x0), step)
 
 
 def secant(f: Fn, a, b, steps: int = 40) -> Column:
     def step(s, _):
-        slope = f(s["b"]) - f(s["a"])
-        return F.struct(s["b"].alias("a"), F.when(slope == 0, s["b"]).otherwise(s["b"] - f(s["b"]) * (s["b"] - s["a"]) / F.nullif(slope, F.lit(0.0))).alias("b"))
+        moved = let(s["b"] - s["fb"] * (s["b"] - s["a"]) / F.nullif(s["fb"] - s["fa"], F.lit(0.0)), lambda x: F.struct(s["b"].alias("a"), x.alias("b"), s["fb"].alias("fa"), f(x).alias("fb")))
+        return F.when(s["fb"] == s["fa"], s).otherwise(moved)  # level: every further step would stay at b
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(_d(a).alias("a"), _d(b).alias("b")), step, lambda s: s["b"])
+    low, high = _d(a), _d(b)
+    start = F.struct(low.alias("a"), high.alias("b"), f(low).alias("fa"), f(high).alias("fb"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["b"])
 
 
 def _simpson(f: Fn, a: Column, b: Column, n: int) -> Column:
@@ -71,8 +72,7 @@ def minimize(f: Fn, a, b, steps: int = 80) -> Column:
 
     def step(s, _):
         c, d = s["b"] - (s["b"] - s["a"]) * GOLDEN, s["a"] + (s["b"] - s["a"]) * GOLDEN
-        lower = f(c) < f(d)
-        return F.struct(F.when(lower, s["a"]).otherwise(c).alias("a"), F.when(lower, d).otherwise(s["b"]).alias("b"))
+        return F.when(f(c) < f(d), F.struct(s["a"].alias("a"), d.alias("b"))).otherwise(F.struct(c.alias("a"), s["b"].alias("b")))
 
     x = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(_d(a).alias("a"), _d(b).alias("b")), step, lambda s: (s["a"] + s["b"]) / 2)
     return let(x, lambda v: F.struct(v.alias("x"), f(v).alias("value")))
@@ -111,11 +111,8 @@ def ode_rk4(f: Callable[[Column, Column], Column], y0, t0: float, t1: float, ste
 
     def step(y, i):
         t = F.lit(t0) + i * h
-        k1 = f(t, y)
-        k2 = f(t + h / 2, y + k1 * h / 2)
-        k3 = f(t + h / 2, y + k2 * h / 2)
-        k4 = f(t + h, y + k3 * h)
-        return y + (k1 + k2 * 2 + k3 * 2 + k4) * h / 6
+        end = lambda k1, k2, k3: y + (k1 + k2 * 2 + k3 * 2 + f(t + h, y + k3 * h)) * h / 6
+        return let(f(t, y), lambda k1: let(f(t + h / 2, y + k1 * h / 2), lambda k2: let(f(t + h / 2, y + k2 * h / 2), lambda k3: end(k1, k2, k3))))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), _d(y0), step)
 
@@ -130,20 +127,16 @@ def brent(f: Fn, a, b, steps: int = 60) -> Column:
         part = lambda u, fu, fv, fw, v, w: u * fv * fw / F.nullif((fu - fv) * (fu - fw), F.lit(0.0))
         curved = part(a, fa, fb, fc, b, c) + part(b, fb, fa, fc, a, c) + part(c, fc, fa, fb, a, b)
         straight = b - fb * (b - a) / F.nullif(fb - fa, F.lit(0.0))
-        guess, mid = F.when(apart, curved).otherwise(straight), (a + b) / 2
-        low, high = F.least((3 * a + b) / 4, b), F.greatest((3 * a + b) / 4, b)
-        x = F.when((guess > low) & (guess < high), guess).otherwise(mid)
-
-        def put(x):
-            def told(fx):
-                left = F.signum(fa) * F.signum(fx) <= 0
-                na, nfa, nb, nfb = F.when(left, a).otherwise(x), F.when(left, fa).otherwise(fx), F.when(left, x).otherwise(b), F.when(left, fx).otherwise(fb)
-                better = F.abs(nfa) < F.abs(nfb)  # b is the better end
-                return F.struct(F.when(better, nb).otherwise(na).alias("a"), F.when(better, na).otherwise(nb).alias("b"), b.alias("c"), F.when(better, nfb).otherwise(nfa).alias("fa"), F.when(better, nfa).otherwise(nfb).alias("fb"), fb.alias("fc"))
+        edge = (3 * a + b) / 4
+        held = lambda guess: F.when(((guess > edge) & (guess < b)) | ((guess > b) & (guess < edge)), guess).otherwise((a + b) / 2)
 
-            return let(f(x), told)
+        def ends(u, fu, v, fv):
+            """The bracket from u to v, with its better end as b."""
+            of = lambda p, fp, q, fq: F.struct(p.alias("a"), q.alias("b"), b.alias("c"), fp.alias("fa"), fq.alias("fb"), fb.alias("fc"))
+            return F.when(F.abs(fu) < F.abs(fv), of(v, fv, u, fu)).otherwise(of(u, fu, v, fv))
 
-        return F.when(fb == 0, s).otherwise(let(x, put))
+        put = lambda x: let(f(x), lambda fx: F.when(F.signum(fa) * F.signum(fx) <= 0, ends(a, fa, x, fx)).otherwise(ends(x, fx, b, fb)))
+        return F.when(fb == 0, s).otherwise(let(F.when(apart, curved).otherwise(straight), lambda guess: let(held(guess), put)))
 
     low, high = _d(a), _d(b)
     start = F.struct(low.alias("a"), high.alias("b"), low.alias("c"), f(low).alias("fa"), f(high).alias("fb"), f(low).alias("fc"))
@@ -215,8 +208,8 @@ def rk45(f: Callable[[Column, Column], Column], y0, t0: float, t1: float, tolera
 
         def slopes(ks):
             if len(ks) == len(_C):
-                high = y + h * weighed(ks, _FIFTH[:-1])
-                return let(f(t + h, high), lambda last: decided(high, h * F.abs(weighed([*ks, last], [p - q for p, q in zip(_FIFTH, _FOURTH, strict=True)]))))
+                error = lambda last: h * F.abs(weighed([*ks, last], [p - q for p, q in zip(_FIFTH, _FOURTH, strict=True)]))
+                return let(y + h * weighed(ks, _FIFTH[:-1]), lambda high: let(f(t + h, high), lambda last: let(error(last), lambda e: decided(high, e))))
             i = len(ks)
             return let(f(t + h * float(_C[i]), y + h * weighed(ks, _A[i])), lambda k: slopes([*ks, k]))
 

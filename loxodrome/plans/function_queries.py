@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loxodrome.functions import arrays, core, dates, linalg, lists, maps, mathx, numeric, sets, strings, symbolic
 from loxodrome.operators import functional, quality, stats
-from loxodrome.plans.base import Registry, real, table
+from loxodrome.plans.base import Registry, dealt, real, table
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -300,7 +300,7 @@ def numeric_rest(spark, sf_dir):
     square = lambda x: x * x - n
     f = numeric.fft(F.array(n, F.lit(1.0), F.lit(1.0), F.lit(2.0)))
     s = numeric.spline(F.array(n - 1, n, n + 1), F.array((n - 1) * (n - 1), n * n, (n + 1) * (n + 1)))
-    return _parts(spark, sf_dir).select(
+    return dealt(_parts(spark, sf_dir)).select(
         "p_partkey", _round(numeric.secant(square, 0.5, n + 1)).alias("secant"), _round(numeric.brent(square, 0.0, n + 1)).alias("brent"), _round(numeric.quad_gauss(lambda x: x * x, F.lit(0.0), n, 5), 4).alias("gauss"), _round(numeric.romberg(F.sin, F.lit(0.0), n / 10)).alias("romberg"), _round(numeric.dblquad(lambda x, y: x * y, F.lit(0.0), n, F.lit(0.0), F.lit(1.0)), 4).alias("dblquad"),
         _round(numeric.gradient_descent(lambda x: (x - n) * (x - n), F.lit(0.0), 0.1, 60), 2).alias("descent"), _round(numeric.ode_rk4(lambda t, y: y, n, 0.0, 1.0), 4).alias("rk4"), _round(numeric.rk45(lambda t, y: y, n, 0.0, 1.0), 4).alias("rk45"),
         numeric.interp1d(F.array(F.lit(0.0), F.lit(10.0), F.lit(50.0)), F.array(F.lit(0.0), F.lit(20.0), F.lit(40.0)), n).alias("interp1d"), _round(numeric.spline_at(s, n)).alias("spline_at_knot"), _round(numeric.spline_at(s, n + 0.5)).alias("spline_between"), _round(numeric.diff2(lambda x: x * x, n), 2).alias("diff2"), numeric.linspace(0, 1, 3).alias("linspace"), numeric.arange(0, 3).alias("arange"),
