@@ -138,7 +138,12 @@ h3_from_string = s2_from_token = from_hex
 def s2_from_lat_lon(lat: Column, lon: Column, level: int) -> Column:
     """At levels 29 and 30 the face coordinates run into the bits above, as they always have."""
     a, o = F.radians(lat), F.radians(lon)
-    px, py, pz = F.cos(a) * F.cos(o), F.cos(a) * F.sin(o), F.sin(a)
+    place = F.struct((F.cos(a) * F.cos(o)).alias("x"), (F.cos(a) * F.sin(o)).alias("y"), F.sin(a).alias("z"))
+    return let(place, lambda p: _on_cube(p["x"], p["y"], p["z"], level))
+
+
+def _on_cube(px: Column, py: Column, pz: Column, level: int) -> Column:
+    """The cell in whose direction from the middle a place lies, at any distance."""
     ax, ay, az = F.abs(px), F.abs(py), F.abs(pz)
     by_x, by_y = (ax >= ay) & (ax >= az), (ay >= ax) & (ay >= az)
     face = F.when(by_x, F.when(px > 0, 0).otherwise(3)).when(by_y, F.when(py > 0, 1).otherwise(4)).otherwise(F.when(pz > 0, 2).otherwise(5))
@@ -235,15 +240,15 @@ def h3_uncompact(cells, column: str, res: int):
 
 def s2_neighbors(c: Column, level: int) -> Column:
     """The four cells that share an edge with a cell of this level, over the cube's edges too."""
-    n, f = F.lit(float(1 << level)), s2_face(c)
-    centre = [(k + 0.5) / n * 2 - 1 for k in _uv(c)]
-    step = 2 / n
+    n = 1 << level
+    own = F.struct(s2_face(c).alias("f"), *[((k + 0.5) / F.lit(float(n)) * 2 - 1).alias(name) for k, name in zip(_uv(c), "uv", strict=True)])
 
-    def of(du: int, dv: int) -> Column:
-        u, v = centre[0] + du * step, centre[1] + dv * step
+    def beside(s: Column, du: int, dv: int) -> Column:
+        f, u, v = s["f"], s["u"] + du * 2 / n, s["v"] + dv * 2 / n
         px = F.when(f == 0, 1.0).when(f == 3, -1.0).otherwise(u)
         py = F.when(f == 1, 1.0).when(f == 4, -1.0).when(f.isin(0, 3), u).otherwise(v)
         pz = F.when(f == 2, 1.0).when(f == 5, -1.0).otherwise(v)
-        return s2_from_lat_lon(F.degrees(F.atan2(pz, F.hypot(px, py))), F.degrees(F.atan2(py, px)), level)
+        return F.struct(px.alias("x"), py.alias("y"), pz.alias("z"))
 
-    return F.array(*[of(du, dv) for du, dv in ((1, 0), (-1, 0), (0, 1), (0, -1))])
+    places = let(own, lambda s: F.array(*[beside(s, du, dv) for du, dv in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
+    return F.transform(places, lambda p: _on_cube(p["x"], p["y"], p["z"], level))

@@ -323,7 +323,7 @@ select k, 9 * 576460752303423488 + face * 72057594037927936 + least(cast(floor((
 def s2_rest(spark, sf_dir):
     x, y = F.col("x"), F.col("y")
     c = F.col("cell")
-    p = _points(spark, sf_dir).withColumn("cell", grids.s2_from_lat_lon(y, x, 10)).withColumn("near", grids.s2_neighbors(F.col("cell"), 10))
+    p = dealt(_points(spark, sf_dir)).withColumn("cell", grids.s2_from_lat_lon(y, x, 10)).withColumn("near", grids.s2_neighbors(F.col("cell"), 10))
     point = grids.s2_to_point(c)
     same = grids.s2_contains(c, geom.y(point), geom.x(point), 10)
     mutual = F.forall("near", lambda n: F.array_contains(grids.s2_neighbors(n, 10), c))
