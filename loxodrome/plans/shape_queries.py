@@ -528,7 +528,7 @@ def shape_rest(spark, sf_dir):
     wkt = formats.parse_wkt_point(F.concat(F.lit("POINT ("), x.cast("string"), F.lit(" "), y.cast("string"), F.lit(")")))
     utm = geog.to_utm(geom.point(x, y))
     two = formats.parse_wkt_collection(F.concat(F.lit("GEOMETRYCOLLECTION (POINT ("), (k % 9).cast("string"), F.lit(" 1), LINESTRING (0 0, 1 1))")))
-    return _points(spark, sf_dir).select(
+    return dealt(_points(spark, sf_dir)).select(
         "k", geom.in_bbox(p, geom.bbox(x - 1, y - 1, x + 1, y + 1)).alias("in_bbox"), (geom.elevation(p) + geom.z(p) - 5).alias("elevation"), geom.x(wkt).alias("wkt_x"), geom.y(wkt).alias("wkt_y"), F.size(two).alias("collection"), grids.s2_to_token(cell).alias("token"), (grids.s2_from_token(grids.s2_to_token(cell))["value"] == cell).alias("from_token"),
         _r(geom.area(geom.concave_hull(cloud, 0.0))).alias("hull"), geom.srid(utm).alias("utm_epsg"), geom.x(utm).between(160000.0, 840000.0).alias("utm_near"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loxodrome.functions import geom, overlay
 from loxodrome.plans import registry
 
-HEAVY = ["geometry_measures", "numeric_rest", "s2_rest"]
+HEAVY = ["geometry_measures", "numeric_rest", "s2_rest", "shape_rest"]
 
 
 @pytest.fixture(scope="module")
