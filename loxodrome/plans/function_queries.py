@@ -225,7 +225,7 @@ from u
 """))
 def decompositions(spark, sf_dir):
     """Of [[a, 1], [1, 3]], whose parts have closed forms."""
-    t = _parts(spark, sf_dir).select("p_partkey", linalg.matrix(linalg.vector(F.col("p_size").cast("double") + 2, F.lit(1.0)), [1, 3]).alias("m"), linalg.vector(F.col("p_size").cast("double") + 2, F.col("p_retailprice") / 1000).alias("b"))
+    t = dealt(_parts(spark, sf_dir)).select("p_partkey", linalg.matrix(linalg.vector(F.col("p_size").cast("double") + 2, F.lit(1.0)), [1, 3]).alias("m"), linalg.vector(F.col("p_size").cast("double") + 2, F.col("p_retailprice") / 1000).alias("b"))
     m, b = F.col("m"), F.col("b")
     got = t.select(
         "p_partkey", linalg.det(m).alias("det"), linalg.solve(m, b).alias("s"), linalg.eigenvalues(m).alias("e"), linalg.svd(m).alias("v"), linalg.cond(m).alias("c"), linalg.pseudo_inverse(m).alias("p"), linalg.cholesky(m).alias("ch"), linalg.least_squares(m, b).alias("ls"), linalg.inverse(m).alias("inv"),
