@@ -400,7 +400,7 @@ from t
 """).replace("[round(n * n + x, 6), round(n + x * 3, 6), round(n * n + 3 * x, 6)] as matmul_", "[n * n + 1, n * x + 2, n + 2, x + 4] as matmul_"))
 def functions_of_functions(spark, sf_dir):
     n, x = F.col("n"), F.col("x")
-    t = _parts(spark, sf_dir).select("p_partkey", F.col("p_size").cast("double").alias("n"), (F.col("p_retailprice") / 1000).alias("x"))
+    t = dealt(_parts(spark, sf_dir)).select("p_partkey", F.col("p_size").cast("double").alias("n"), (F.col("p_retailprice") / 1000).alias("x"))
     add = functional.curry(lambda a, b, c: a + b + c)
     sx, sy = symbolic.var("x"), symbolic.var("y")
     nested = arrays.from_nested(F.array(F.array(n, x), F.array(F.lit(1.0), F.lit(2.0))))
