@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loxodrome.functions import arrays, core, dates, linalg, lists, maps, mathx, numeric, sets, strings, symbolic
 from loxodrome.operators import quality
-from loxodrome.plans.base import Registry, table
+from loxodrome.plans.base import Registry, dealt, table
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -305,7 +305,7 @@ def symbolic_columns(spark, sf_dir):
 @query("select p_partkey, round(sqrt(p_size), 6) as bisect, round(sqrt(p_size), 6) as newton, round(pow(p_size, 3) / 3e0, 4) as quad, round(2e0 * p_size, 4) as diff, round(cast(p_size as double), 3) as minimize, round(3e0 * p_size * p_size - 2 * p_size + 1, 6) as polyval from part")
 def numeric_methods(spark, sf_dir):
     n = F.col("p_size").cast("double")
-    return _parts(spark, sf_dir).select(
+    return dealt(_parts(spark, sf_dir)).select(
         "p_partkey", F.round(numeric.bisect(lambda x: x * x - n, 0.0, 100.0), 6).alias("bisect"), F.round(numeric.newton(lambda x: x * x - n, n), 6).alias("newton"), F.round(numeric.quad(lambda x: x * x, F.lit(0.0), n, 20)["value"], 4).alias("quad"),
         F.round(numeric.diff(lambda x: x * x, n), 4).alias("diff"), F.round(numeric.minimize(lambda x: (x - n) * (x - n), -1.0, 50.0)["x"], 3).alias("minimize"), F.round(numeric.polyval(F.array(F.lit(3.0), F.lit(-2.0), F.lit(1.0)), n), 6).alias("polyval"),
     )
