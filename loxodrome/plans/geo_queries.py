@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loxodrome.functions import geog, geom, grids
 from loxodrome.operators import analysis, spatial
 from loxodrome.operators.index import SpatialIndex
-from loxodrome.plans.base import Registry, table
+from loxodrome.plans.base import Registry, dealt, table
 from loxodrome.sources import formats
 
 REGISTRY = Registry()
@@ -326,7 +326,7 @@ def buffers(spark, sf_dir):
     p = geom.point(F.col("x"), F.col("y"))
     b = geom.buffer_point(p, F.col("k") % 5 + 1)
     e = geom.envelope(b)
-    return _points(spark, sf_dir).select("k", geom.num_points(b).alias("n"), _r(e["maxx"]).alias("east"), _r(e["miny"]).alias("south"), _r(geom.area(b)).alias("area"))
+    return dealt(_points(spark, sf_dir)).select("k", geom.num_points(b).alias("n"), _r(e["maxx"]).alias("east"), _r(e["miny"]).alias("south"), _r(geom.area(b)).alias("area"))
 
 
 @query(f"select cast(floor(x / 30) as bigint) as qx, cast(floor(y / 30) as bigint) as qy, count(*) as n from ({_XY}) group by all")
