@@ -302,7 +302,7 @@ from c where r between 1 and 254
 def grid_rest(spark, sf_dir):
     i, e = F.col("cell"), F.col("e")
     other = grids.h3_from_lat_lon(F.lit(0.1), F.lit(0.1), 7)
-    p = _points(spark, sf_dir).withColumn("cell", grids.h3_from_lat_lon(F.col("y"), F.col("x"), 7)).filter(grids.h3_row(i).between(1, 254))
+    p = dealt(_points(spark, sf_dir)).withColumn("cell", grids.h3_from_lat_lon(F.col("y"), F.col("x"), 7)).filter(grids.h3_row(i).between(1, 254))
     p = p.withColumn("shape", grids.h3_boundary(i)).withColumn("e", geom.envelope(F.col("shape")))
     dx, dy = F.lit(360 / 256), F.lit(180 / 256)
     p = p.withColumn("cover", grids.covering(e["minx"] + dx / 4, e["miny"] + dy / 4, e["maxx"] - dx / 4, e["maxy"] - dy / 4, 8))
