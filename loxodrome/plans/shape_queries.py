@@ -218,7 +218,7 @@ def format_rest(spark, sf_dir):
     p = geom.point((k % 360).cast("double"), (k % 90).cast("double"))
     line = geom.set_srid(geom.line(F.array(geom.coord_of(p), geom.coord(0, 0))), 4326)
     text = formats.to_feature(p, F.struct(k.alias("n")), F.concat(F.lit("f"), k.cast("string")))
-    d = _points(spark, sf_dir).select("k", p.alias("p"), formats.to_kml(p).alias("kml"), formats.to_ewkb(line).alias("e"), formats.to_gpx(line).alias("g"), text.alias("feature"), formats.from_kml(formats.to_kml(p)).alias("back"))
+    d = dealt(_points(spark, sf_dir)).select("k", p.alias("p"), formats.to_kml(p).alias("kml"), formats.to_ewkb(line).alias("e"), formats.to_gpx(line).alias("g"), text.alias("feature"), formats.from_kml(formats.to_kml(p)).alias("back"))
     parsed = formats.features(d.select(F.col("feature")), "feature").select(F.col("properties")["n"].cast("bigint").alias("k"), F.col("id"), F.col("properties")["n"].alias("n"), formats.to_wkt(F.col("geometry")).alias("geometry"))
     return d.join(parsed, "k").select(
         "k", "kml", geom.x(F.col("back")[0]).alias("kml_x"), formats.to_wkt(formats.from_ewkb(F.col("e"))).alias("ewkb"), geom.srid(formats.from_ewkb(F.col("e"))).alias("ewkb_srid"), F.regexp_extract("g", "<trkpt.*?</trkpt>", 0).alias("gpx"), F.regexp_extract("feature", r'"properties":(\{.*?\})', 1).alias("properties"), "id", "n", "geometry",
