@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loxodrome.functions import geom, overlay
 from loxodrome.plans import registry
 
-HEAVY = ["geometry_measures", "numeric_rest", "s2_rest", "shape_rest", "geometry_parts", "decompositions", "geography", "functions_of_functions", "numeric_methods", "buffers", "grid_rest", "format_rest"]
+HEAVY = ["geometry_measures", "numeric_rest", "s2_rest", "shape_rest", "geometry_parts", "decompositions", "geography", "functions_of_functions", "numeric_methods", "buffers", "grid_rest", "format_rest", "transforms"]
 
 
 @pytest.fixture(scope="module")
