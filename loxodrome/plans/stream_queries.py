@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -77,12 +78,11 @@ def stream_state(spark, sf_dir):
 
 @query("select event_type, count(*) as n, round(sum(value), 4) as total from events group by event_type")
 def stream_to_database(spark, sf_dir):
-    """A stream handed batch by batch to a database table (an embedded one, that ends with the session), and that table's sums."""
+    """A stream handed batch by batch to a database table (an embedded one, in a folder of the driver's own), and that table's sums, which the database adds up."""
     source = table(spark, sf_dir, "events")
     name = f"e{uuid.uuid4().hex[:12]}"
-    url = f"jdbc:derby:memory:{name};create=true"
+    url = f"jdbc:derby:directory:{tempfile.mkdtemp(prefix='loxodrome-')}/{name};create=true"
     stream = windows.stream_of(spark, f"{sf_dir}/events.parquet*", source.schema).select("event_type", "value")
-    windows.to_batches(stream, windows.jdbc_sink(url, "events"), scratch_path(spark, name), availableNow=True).awaitTermination()
-    rows = spark.read.format("jdbc").option("url", url).option("dbtable", "events").load()
-    out = rows.select(F.col("event_type"), F.col("value")).groupBy("event_type").agg(*_sums())
-    return spark.createDataFrame(out.collect(), out.schema)  # a row for each type; the database is this process's own
+    windows.to_batches(stream, windows.embedded_sink(url, "events"), scratch_path(spark, name), availableNow=True).awaitTermination()
+    rows = windows.embedded_rows(spark, url, 'select "event_type", cast(count(*) as bigint), sum("value") from events group by "event_type"')
+    return spark.createDataFrame(rows, "event_type string, n bigint, total double").withColumn("total", F.round("total", 4))

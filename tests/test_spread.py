@@ -48,3 +48,24 @@ def test_hdbscan_of_copies(spark):
     p = place.crossJoin(spark.range(1000).select(F.col("id").alias("c"))).select(F.lit(1).alias("g"), (F.col("i") + 60 * F.col("c")).alias("id"), "x", "y")
     got = analysis.hdbscan(p, ["g"], 10).groupBy("cluster", F.col("id") % 60 < 30).count().collect()
     assert sorted((r["cluster"], r[1], r["count"]) for r in got) == [(1, True, 30_000), (2, False, 30_000)]
+
+
+def test_stream_to_database_where_executors_are_other_processes(tmp_path):
+    """The database is in the driver's process; rows have to get there from executors."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+from loxodrome.session import build_session
+from loxodrome.plans import registry
+spark = build_session("local-cluster[1,1,1024]", "t", **{{"spark.checkpoint.dir": "file://{tmp_path}/ck", "spark.executor.memory": "1g", "spark.ui.enabled": "false"}})
+rows = registry.queries()["stream_to_database"](spark, "/root/testdata/sf0.001").collect()
+print("rows", sorted((r[0], r[1]) for r in rows))
+spark.stop()
+"""
+    root = str(Path(__file__).parents[1])
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**__import__("os").environ, "PYTHONPATH": root, "TMPDIR": str(tmp_path)}, capture_output=True, text=True, timeout=240)
+    con = __import__("duckdb").connect()
+    expected = con.sql("select event_type, count(*) from '/root/testdata/sf0.001/events.parquet' group by all order by all").fetchall()
+    assert f"rows {expected}" in done.stdout, done.stderr[-2000:]
