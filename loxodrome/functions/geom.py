@@ -342,9 +342,12 @@ bounds = envelope
 
 
 def in_ring(px: Column, py: Column, ring: Column) -> Column:
-    """Ray casting, half open: of two regions that share an edge a point on it is in one."""
-    crossing = lambda a, b: ((b["y"] > py) != (a["y"] > py)) & (px < (a["x"] - b["x"]) * (py - b["y"]) / F.nullif(a["y"] - b["y"], F.lit(0.0)) + b["x"])
-    return F.size(F.filter(_edges(ring, lambda a, b: F.coalesce(crossing(a, b), F.lit(False)), True), lambda c: c)) % 2 == 1
+    """Ray casting, half open: of two regions that share an edge a point on it is in one. An edge is always reckoned from its lower end, or rounding would put a point near it in both or in none."""
+    end = lambda pick, a, b: pick(F.struct(a["y"].alias("y"), a["x"].alias("x")), F.struct(b["y"].alias("y"), b["x"].alias("x")))
+    right = lambda low, high: px < (high["x"] - low["x"]) * (py - low["y"]) / F.nullif(high["y"] - low["y"], F.lit(0.0)) + low["x"]
+    crossing = lambda a, b: ((b["y"] > py) != (a["y"] > py)) & right(end(F.least, a, b), end(F.greatest, a, b))
+    after = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))  # not by _edges(), whose let() conditions of joins don't take
+    return F.size(F.filter(F.zip_with(ring, after, lambda a, b: F.coalesce(crossing(a, b), F.lit(False))), lambda c: c)) % 2 == 1
 
 
 def in_polygon(px: Column, py: Column, rs: Column) -> Column:

@@ -69,3 +69,20 @@ spark.stop()
     con = __import__("duckdb").connect()
     expected = con.sql("select event_type, count(*) from '/root/testdata/sf0.001/events.parquet' group by all order by all").fetchall()
     assert f"rows {expected}" in done.stdout, done.stderr[-2000:]
+
+
+def test_kriging_at_points_of_one_place(spark):
+    from loxodrome.operators import analysis
+
+    p = spark.createDataFrame([(1, 0.0, 0.0, 5.0), (2, 0.0, 0.0, 7.0), (3, 4.0, 0.0, 1.0)], "p long, x double, y double, v double")
+    got = analysis.kriging(p, p.select(F.col("p").alias("k"), "x", "y"), "k", "p", "v", 2.0, 2).collect()
+    assert {r["k"]: r["estimate"] for r in got} == {1: 5.0, 2: 7.0, 3: 1.0}
+
+
+def test_a_point_near_a_shared_side_is_in_one_triangle(spark):
+    """A side is reckoned the same from either end: points on it, to rounding, are in one of the two triangles."""
+    a, b, c, d = (-500.3, -400.1), (505.7, 400.9), (500.1, -410.7), (-510.9, 405.3)
+    rows = [(i, a[0] + (b[0] - a[0]) * i / 997, a[1] + (b[1] - a[1]) * i / 997) for i in range(1, 997)]
+    ring = lambda *p: F.array(*[geom.coord(*q) for q in (*p, p[0])])
+    inside = [geom.in_ring(F.col("x"), F.col("y"), ring(*t)).cast("int") for t in ((a, b, d), (b, a, c))]
+    assert [r["n"] for r in spark.createDataFrame(rows, "k int, x double, y double").select((inside[0] + inside[1]).alias("n")).collect()] == [1] * 996
