@@ -86,3 +86,10 @@ def test_a_point_near_a_shared_side_is_in_one_triangle(spark):
     ring = lambda *p: F.array(*[geom.coord(*q) for q in (*p, p[0])])
     inside = [geom.in_ring(F.col("x"), F.col("y"), ring(*t)).cast("int") for t in ((a, b, d), (b, a, c))]
     assert [r["n"] for r in spark.createDataFrame(rows, "k int, x double, y double").select((inside[0] + inside[1]).alias("n")).collect()] == [1] * 996
+
+
+def test_knn_starts_with_narrow_cells_where_points_are_dense(spark):
+    from loxodrome.operators import spatial
+
+    dense = spark.range(2500).select((F.col("id") % 50).cast("double").alias("x"), F.floor(F.col("id") / 50).cast("double").alias("y"))
+    assert spatial._width(dense, 3, 100.0, "x", "y") < 4 and spatial._width(dense, 3, 1.0, "x", "y") == 1.0
