@@ -254,23 +254,20 @@ def ks_test(df: DataFrame, c: str, dist: distributions.Distribution) -> DataFram
 def bootstrap_ci(df: DataFrame, c: str, key: str, resamples: int = 200, level: float = 0.95, seed: int = 42) -> DataFrame:
     """lo, hi: percentiles of the means of resamples, in each of which a row counts as often as a Poisson number of mean 1, drawn by the hash of its key, says.
 
-    One pass and two sums for each resample; nothing is collected or sampled.
+    One pass, in which each row is dealt to all resamples and summed by them where it is; nothing is collected but a mean for each resample, or sampled.
     """
     shares, total = [], 0.0
     for k in range(9):
         total += math.exp(-1) / math.factorial(k)
         shares.append(total)
 
-    def weight(i: int) -> Column:
-        u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(i), F.col(key)), 11) / F.lit(float(1 << 53))
-        out = F.lit(len(shares))
-        for k in reversed(range(len(shares))):
-            out = F.when(u < shares[k], k).otherwise(out)
-        return out
-
-    known = df.filter(F.col(c).isNotNull())
-    means = known.agg(*[(F.sum(_d(c) * weight(i)) / F.sum(weight(i))).alias(f"m{i}") for i in range(resamples)])
-    ordered = means.select(F.array_sort(F.array(*[F.col(f"m{i}") for i in range(resamples)])).alias("m"))
+    weight = F.lit(len(shares))
+    for k in reversed(range(len(shares))):
+        weight = F.when(F.col("u") < shares[k], k).otherwise(weight)
+    known = df.filter(F.col(c).isNotNull()).select(_d(c).alias("v"), F.col(key).alias("k"))
+    drawn = known.select("v", "k", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("i")).select("v", "i", (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "i", "k"), 11) / F.lit(float(1 << 53))).alias("u"))
+    means = drawn.select("v", "i", weight.alias("w")).groupBy("i").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
+    ordered = means.agg(F.array_sort(F.collect_list("m")).alias("m"))  # a row for each resample
     edge = (1 - level) / 2
     at = lambda share: F.get("m", F.lit(min(resamples - 1, max(0, round(share * (resamples - 1))))))
     return ordered.select(at(edge).alias("lo"), at(1 - edge).alias("hi"))

@@ -114,3 +114,11 @@ def test_sums_of_copies_within_a_distance(spark, monkeypatch):
         assert analysis.morans_i(df, "s", "w", 2.0).first()[0] == pytest.approx((near * np.outer(z, z)).sum() / near.sum() / w.var())
         pairs = spatial.within_distance(df, df, 2.0)
         assert pairs.count() == near.sum() + 200 and pairs.rdd.getNumPartitions() > 1
+
+
+def test_bootstrap_plan_has_one_sum_for_all_resamples(spark):
+    """Not two for each of them, which no compiled aggregate holds."""
+    from loxodrome.operators import stats
+
+    df = spark.range(50).select("id", F.col("id").cast("double").alias("v"))
+    assert stats.bootstrap_ci(df, "v", "id", 100)._jdf.queryExecution().analyzed().toString().count("sum(") <= 4
